@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,20 +12,6 @@ from pyspark.sql import functions as F
 MAX_FILTER_BITS = 1 << 24
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a Spark context, for clusters that do not have it installed."""
-    context = spark.sparkContext
-    if getattr(context, "_ledgerloom_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    made = Path(tempfile.mkdtemp(prefix="spark-ledgerloom-")) / "ledgerloom.zip"
-    with zipfile.ZipFile(made, "w") as out:
-        for file in sorted(top.rglob("*.py")):
-            out.write(file, file.relative_to(top.parent))
-    context.addPyFile(str(made))
-    context._ledgerloom_shipped = True
-
-
 def workspace(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in spark.checkpoint.dir, or in one set here if unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

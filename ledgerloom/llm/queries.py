@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import fingerprints, jaccard, lempelziv, mixing, packing, quality, repair, sharding, suffixes, topk
-from ledgerloom.llm.common import ship_package
 from ledgerloom.llm.tokenids import vocabulary_path
+from ledgerloom.plans.session import ship_package
 
 N_SHARDS, WINDOW, QUERY_EVERY, TOP_K, SCALE = 40, 1024, 50, 5, 256
 

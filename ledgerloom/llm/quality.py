@@ -125,7 +125,8 @@ def train(examples: DataFrame) -> np.ndarray:
 
     # one task on purpose: the updates are sequential and the sample is bounded
     sample = examples.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("o")).repartition(1).sortWithinPartitions("o", "text").select("text", "label")
-    return np.frombuffer(sample.mapInArrow(run, "w binary").first()[0], dtype=np.float32)
+    made = sample.mapInArrow(run, "w binary").first()
+    return np.frombuffer(made[0], dtype=np.float32) if made else np.zeros((1 << BITS) + EXTRA, dtype=np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Only suffixes at content-selected minimiser positions are kept, and of those only ones whose minimiser occurs twice in
 the corpus. A suffix record has the hashes of the next `window` words as its key and of the `window` words before, read
-backwards. Records are sorted by anchor and key; neighbours in that order share the longest prefixes. Each
-neighbouring pair is extended right along the keys and left along what precedes, and when both together span at least
-`window` words it is a match. Matches that follow one another form a chain of copies, whose first in (doc_id,
-position) order is the original; the others are duplicate spans.
+backwards. Records are sorted by anchor and key; neighbours in that order share the longest prefixes. A record is
+compared with the NEIGHBOURS before it and with the earliest record of its anchor so far: each pair is extended right
+along the keys and left along what precedes, and when both together span at least `window` words, the
+span of the later place is a duplicate. All spans given are exact copies of an earlier place. The one
+omission: where many edited copies of a passage compete, a span may be shorter than the longest possible.
 
 Hash partitions by anchor keep all comparable suffixes together; a task streams its sorted records and holds only
-the previous one, so that no group is ever collected.
+a few of them, so that no group is ever collected.
 
 Defined cases: null or short texts have no suffix; null doc_ids take no part; repeated rows of a doc_id count as one
 document when their texts are equal and otherwise the greatest text stands for it; an empty table gives no rows.
@@ -20,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +28,7 @@ from ledgerloom.llm.anchors import repeated_anchors
 from ledgerloom.llm.common import maybe_member, stored, workspace
 from ledgerloom.llm.wordhash import gram_hashes, pieces, word_hashes
 
-GRAM = 8
+GRAM, NEIGHBOURS = 8, 3
 RECORD = "anchor long, key binary, before binary, doc_id long, position int"
 
 
@@ -63,35 +63,32 @@ def common_words(one: bytes, two: bytes) -> int:
 
 
 def neighbour_matches(sorted_records: DataFrame, window: int) -> DataFrame:
-    """Rows (chain, doc_id, position, start, stop): each record that matches a neighbour, with the words they share."""
+    """Rows (doc_id, start, stop, ref_doc_id): for each compared pair that shares `window` words, the span of the later one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["chain", "doc_id", "position", "start", "stop"]
-        task, chain, last, linked = TaskContext.get().partitionId() << 40, 0, None, False
+        names, anchor, before, earliest = ["doc_id", "start", "stop", "ref_doc_id"], None, [], None
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                match = False
-                if last is not None and last[0] == row[0]:
-                    right = common_words(last[1], row[1])
-                    left = common_words(last[2], row[2])
-                    # the same place twice cannot be, and a run that overlaps itself is a match all the same
+                if row[0] != anchor:
+                    anchor, before, earliest = row[0], [], None
+                for other in before if earliest is None or earliest in before else [*before, earliest]:
+                    right, left = common_words(other[1], row[1]), common_words(other[2], row[2])
                     if left + right >= window:
-                        match = True
-                        if not linked:
-                            chain += 1
-                        out += [(task | chain, r[3], r[4], r[4] - left, r[4] + right) for r in (last, row)]
-                linked, last = match, row
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names)
+                        old, new = (other, row) if other[3:] < row[3:] else (row, other)
+                        out.append((new[3], new[4] - left, new[4] + right, old[3]))
+                before = [row, *before[: NEIGHBOURS - 1]]
+                earliest = row if earliest is None or row[3:] < earliest[3:] else earliest
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names)
 
-    return sorted_records.mapInArrow(run, "chain long, doc_id long, position int, start int, stop int")
+    return sorted_records.mapInArrow(run, "doc_id long, start int, stop int, ref_doc_id long")
 
 
 def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, start, stop, ref_doc_id): maximal word spans of at least `window` words that stand somewhere before.
+    """Rows (doc_id, start, stop, ref_doc_id): word spans of at least `window` words that stand somewhere before.
 
-    ref_doc_id is the document of the earliest copy found in the chain; spans of one document do not overlap.
+    ref_doc_id is the smallest document that a part of the span was compared with; spans of one document do not overlap.
     """
     path = workspace(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
@@ -100,9 +97,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     texts = likely.join(anchors, "doc_id").groupBy("doc_id").agg(F.max_by(F.struct("text", "anchors"), F.col("text")).alias("d")).select("doc_id", "d.*")
     records = suffix_rows(texts, window).repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "position")
     matches = stored(neighbour_matches(records, window), f"{path}/matches")
-    origin = matches.groupBy("chain").agg(F.min(F.struct("doc_id", "position")).alias("first"))
-    later = matches.join(origin, "chain").where("doc_id <> first.doc_id OR position <> first.position")
-    spans = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", F.col("first.doc_id").alias("ref_doc_id")))).alias("spans"))
+    spans = matches.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "ref_doc_id"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,stop:int,ref_doc_id:bigint>>")
     merged = F.aggregate(
         "spans",

@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 MAX_FILTER_BITS = 1 << 24
 
 
+#: Rows of an Arrow batch between Spark and Python: whole texts can be long, so far fewer than Spark's default.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once; called by whatever hands whole texts to Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def workspace(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in spark.checkpoint.dir, or in one set here if unset."""
+    small_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import small_batches
 from ledgerloom.llm.wordhash import _LOWER, mix64, pieces, span_hashes
 
 BITS, EXTRA = 18, 8
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-4, 3
-MAX_TRAIN = 12_000
+MAX_TRAIN = 8_000
 
 #: Classes of bytes: 0 white space, 1 part of a word, then one class for each other ASCII sign.
 _KIND = np.ones(256, dtype=np.uint8)
@@ -123,6 +124,7 @@ def train(examples: DataFrame) -> np.ndarray:
             w[1 << BITS] = 0 if not len(y) else 20 if y[0] else -20
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()])], ["w"])
 
+    small_batches(examples.sparkSession)
     # one task on purpose: the updates are sequential and the sample is bounded
     sample = examples.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("o")).repartition(1).sortWithinPartitions("o", "text").select("text", "label")
     made = sample.mapInArrow(run, "w binary").first()
@@ -131,6 +133,7 @@ def train(examples: DataFrame) -> np.ndarray:
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
     """Rows (doc_id, score), and `keep` as a third column if given. The weights have a fixed size and are broadcast."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
     cols = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")] + ([keep.alias("keep")] if keep is not None else [])
     slim = docs.select(*cols)

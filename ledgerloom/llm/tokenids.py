@@ -32,7 +32,7 @@ _FINE = _COARSE.copy()
 _FINE[[8 * 4 + 5, 8 * 4 + 6, 8 * 5 + 4, 8 * 2 + 4, 8 * 2 + 5, 8 * 2 + 6]] = True
 _MARKER = b"<|endoftext|>"
 _ONE_RUN = regex.compile(r" ?\p{L}+| ?[^\s\p{L}\p{N}]+")
-_MOST_KEPT = 3 << 20
+_MOST_KEPT = 3 << 19
 _encoders: dict[str, PieceEncoder] = {}
 
 

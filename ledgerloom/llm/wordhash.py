@@ -50,7 +50,7 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string array into runs of whole texts of about `limit` bytes.
 
     Yields (index of the first text, bytes, offsets); a null text counts as empty and a text over

@@ -114,7 +114,8 @@ def train(examples: DataFrame) -> np.ndarray:
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for at, data, offsets in pieces(batch.column(0)):
                 i, x, first = features(data, offsets)
-                rows += [(i[a:b].astype(np.int32), x[a:b].astype(np.float32)) for a, b in zip(first[:-1], first[1:], strict=True)]
+                i, x = i.astype(np.int32), x.astype(np.float32)
+                rows += [(i[a:b], x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 labels.append(y[at : at + len(offsets) - 1])
         y = np.concatenate(labels) if labels else np.zeros(0)
         if len(np.unique(y)) == 2:

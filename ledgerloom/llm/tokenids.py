@@ -32,7 +32,7 @@ _FINE = _COARSE.copy()
 _FINE[[8 * 4 + 5, 8 * 4 + 6, 8 * 5 + 4, 8 * 2 + 4, 8 * 2 + 5, 8 * 2 + 6]] = True
 _MARKER = b"<|endoftext|>"
 _ONE_RUN = regex.compile(r" ?\p{L}+| ?[^\s\p{L}\p{N}]+")
-_MOST_KEPT = 3 << 19
+_MOST_KEPT = 1 << 19
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -90,7 +90,7 @@ class PieceEncoder:
         """An empty table with open addressing: key, first id in the pool and number of ids of each slot."""
         self.slots = 1 << 16
         self.keys = np.zeros(self.slots, dtype=np.uint64)
-        self.begin = np.zeros(self.slots, dtype=np.int64)
+        self.begin = np.zeros(self.slots, dtype=np.int32)
         self.length = np.zeros(self.slots, dtype=np.int32)
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = self.known = 0
@@ -146,7 +146,7 @@ class PieceEncoder:
             kept = self.keys[old], self.begin[old], self.length[old]
             while 2 * self.known > self.slots:
                 self.slots *= 2
-            self.keys, self.begin, self.length = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int64), np.zeros(self.slots, np.int32)
+            self.keys, self.begin, self.length = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
             self._place(*kept)
         self._place(keys, begin, length)
 
@@ -167,7 +167,7 @@ class PieceEncoder:
             where = missed[where]
             self._learn(data, new, starts[where], ends[where])
             at = self._find(keys)
-        length, begin = self.length[at].astype(np.int64), self.begin[at]
+        length, begin = self.length[at].astype(np.int64), self.begin[at].astype(np.int64)
         upto = np.cumsum(length)
         total = int(upto[-1])
         before = np.append(0, upto)[np.searchsorted(starts, offsets)]

@@ -241,6 +241,17 @@ def test_jaccard_entries_meet_whatever_is_frequent():
             assert np.array_equal(x, y) or len(np.intersect1d(a, b))
 
 
+def test_jaccard_signatures_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 64, int(rng.integers(1, 20_000 if _ % 10 == 0 else 300)), dtype=np.uint64))
+        kept = rng.permutation(x)[: int(rng.integers(0, len(x) + 1))]
+        y = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, int(rng.integers(1, 40)), dtype=np.uint64)]))
+        both = jaccard.shared_members(x.tobytes(), len(x), y.tobytes(), len(y))
+        assert both == len(np.intersect1d(x, y))
+        assert jaccard.most_shared(jaccard.signature(x), len(x), jaccard.signature(y), len(y)) >= both
+
+
 def test_jaccard_of_nothing_and_repeats(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
     odd = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (9, "a b c d"), (2, None)], "doc_id long, text string")

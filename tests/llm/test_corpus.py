@@ -252,6 +252,21 @@ def test_jaccard_signatures_never_rule_out_a_link():
         assert jaccard.most_shared(jaccard.signature(x), len(x), jaccard.signature(y), len(y)) >= both
 
 
+@pytest.mark.parametrize("num", [80, 90])
+def test_jaccard_part_keys_meet(num):
+    rng, met = np.random.default_rng(3), 0
+    for turn in range(600):
+        x = np.unique(rng.integers(0, 1 << 64, int(rng.integers(2, 2000 if turn % 10 == 0 else 120)), dtype=np.uint64))
+        gone = int(rng.integers(0, (100 - num) * len(x) // 100 + 1))
+        y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 1 << 64, int(rng.integers(0, (100 - num) * len(x) // 100 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if np.array_equal(x, y) or 100 * both < num * (len(x) + len(y) - both):
+            continue
+        met += 1
+        assert len(np.intersect1d(jaccard.part_keys(x, num, 100), jaccard.part_keys(y, num, 100)))
+    assert met > 100
+
+
 def test_jaccard_of_nothing_and_repeats(spark, empty):
     assert jaccard.jaccard_components(empty).count() == 0
     odd = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (9, "a b c d"), (2, None)], "doc_id long, text string")

@@ -253,18 +253,30 @@ def test_jaccard_signatures_never_rule_out_a_link():
 
 
 @pytest.mark.parametrize("num", [80, 90])
-def test_jaccard_part_keys_meet(num):
-    rng, met = np.random.default_rng(3), 0
-    for turn in range(600):
-        x = np.unique(rng.integers(0, 1 << 64, int(rng.integers(2, 2000 if turn % 10 == 0 else 120)), dtype=np.uint64))
-        gone = int(rng.integers(0, (100 - num) * len(x) // 100 + 1))
-        y = np.unique(np.concatenate([rng.permutation(x)[gone:], rng.integers(0, 1 << 64, int(rng.integers(0, (100 - num) * len(x) // 100 + 1)), dtype=np.uint64)]))
-        both = len(np.intersect1d(x, y))
-        if np.array_equal(x, y) or 100 * both < num * (len(x) + len(y) - both):
-            continue
-        met += 1
-        assert len(np.intersect1d(jaccard.part_keys(x, num, 100), jaccard.part_keys(y, num, 100)))
-    assert met > 100
+def test_jaccard_in_groups_of_edited_copies(spark, num, monkeypatch):
+    """Many copies of two texts, with so many edits that some pairs link and most do not, in entries that are all large."""
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    rng, texts = np.random.default_rng(num), []
+    for base in range(2):
+        words = [f"w{base}x{i}" for i in range(90)]
+        for _ in range(90):
+            copy = list(words)
+            for _ in range(int(rng.integers(0, 6 if num == 90 else 11))):
+                copy[int(rng.integers(0, len(copy)))] = f"e{int(rng.integers(0, 40))}"
+            texts.append(" ".join(copy[: int(rng.integers(86, 91))]))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in texts:  # labels settle in fewer rounds than there are texts
+        was = list(root)
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if root[i] != root[j] and 100 * len(x & sets[j]) >= num * len(x | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if was == root:
+            break
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(df, 3, num, 100).collect()}
+    assert got == dict(enumerate(root)) and 10 < len(set(root)) < 170
 
 
 def test_jaccard_of_nothing_and_repeats(spark, empty):

@@ -49,8 +49,12 @@ def sequence_digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, s1 long, s2 long")
 
 
-def run_rows(docs: DataFrame, window: int) -> DataFrame:
-    """From (doc_id, text, anchors): rows (run, doc_id, position) of the runs of words whose anchor is among `anchors`."""
+def run_rows(docs: DataFrame, window: int, gram: int = GRAM) -> DataFrame:
+    """From (doc_id, text, anchors): rows (run, doc_id, position) of the runs of words whose anchor is among `anchors`.
+
+    Where docs has a column `known`, an array of structs (start, stop), runs inside one of those spans are left out.
+    """
+    spans = ["known"] if "known" in docs.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,14 +67,35 @@ def run_rows(docs: DataFrame, window: int) -> DataFrame:
                 wanted = np.zeros(len(words) + 1, dtype=bool)
                 for k in range(len(offsets) - 1):
                     wanted[first[k] + np.minimum(lists[at + k].values.to_numpy(), first[k + 1] - first[k])] = True
-                picked, _ = minimiser_positions(words, GRAM, window)
+                picked, _ = minimiser_positions(words, gram, window)
                 text = np.repeat(np.arange(len(counts)), counts)
                 keep = wanted[picked[starts]]
+                if spans:
+                    keep &= ~inside_spans(batch.column(3).slice(at, len(offsets) - 1), first, window)[starts]
                 starts, text = starts[keep], text[keep]
                 hashes = gram_hashes(words, window)[starts]
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[at + text].astype(np.int64)), pa.array((starts - first[text]).astype(np.int32))], ["run", "doc_id", "position"])
 
-    return docs.select("doc_id", "text", "anchors").mapInArrow(run, "run long, doc_id long, position int")
+    return docs.select("doc_id", "text", "anchors", *spans).mapInArrow(run, "run long, doc_id long, position int")
+
+
+def inside_spans(lists: pa.Array, first: np.ndarray, window: int) -> np.ndarray:
+    """For each word of a piece, whether the run of `window` words from there lies inside one of its text's spans."""
+    turns = np.zeros(int(first[-1]) + 1, dtype=np.int32)
+    for k in range(len(lists)):
+        if lists[k].is_valid:
+            held = lists[k].values
+            start, stop = (first[k] + held.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            fits = (stop - start >= window) & (stop <= first[k + 1])
+            np.add.at(turns, start[fits], 1)
+            np.add.at(turns, stop[fits] - window + 1, -1)
+    return np.cumsum(turns[:-1]) > 0
+
+
+def earlier_runs(runs: DataFrame) -> DataFrame:
+    """Rows (run, doc_id, position, first) of the stored `runs` that stand somewhere before; first is the earliest (doc_id, position)."""
+    earliest = runs.groupBy("run").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.count("*").alias("seen")).where("seen > 1").select("run", "first")
+    return runs.join(earliest, "run").where("doc_id <> first.doc_id OR position <> first.position")
 
 
 def factors(docs: DataFrame, window: int = 20, path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -86,9 +111,7 @@ def factors(docs: DataFrame, window: int = 20, path: str | None = None) -> tuple
     texts = likely.join(anchors, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("anchors").alias("anchors")) if _repeats(digests) else likely.join(anchors, "doc_id")
     runs = run_rows(texts, window)
     runs = stored(runs, f"{path}/runs")
-    earliest = runs.groupBy("run").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.count("*").alias("seen")).where("seen > 1").select("run", "first")
-    later = runs.join(earliest, "run").where("doc_id <> first.doc_id OR position <> first.position")
-    found = later.groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("starts"))
+    found = earlier_runs(runs).groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("starts"))
     return stored(found, f"{path}/factors"), whole
 
 

@@ -5,8 +5,11 @@ the corpus. A suffix record has the hashes of the next `window` words as its key
 backwards. Records are sorted by anchor and key; neighbours in that order share the longest prefixes. A record is
 compared with the NEIGHBOURS before it and with the earliest record of its anchor so far: each pair is extended right
 along the keys and left along what precedes, and when both together span at least `window` words, the
-span of the later place is a duplicate. All spans given are exact copies of an earlier place. The one
-omission: where many edited copies of a passage compete, a span may be shorter than the longest possible.
+span of the later place is a duplicate. All spans given are exact copies of an earlier place.
+
+Copies that share little to the right of their anchor sort far apart. So every run of `window` words that selects a
+kept anchor and lies inside none of those spans is looked up by its hash: the earliest place of a run is never inside
+a span, so each later one meets it, and together exactly the words of repeated runs are covered.
 
 Hash partitions by anchor keep all comparable suffixes together; a task streams its sorted records and holds only
 a few of them, so that no group is ever collected.
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.anchors import repeated_anchors
 from ledgerloom.llm.common import maybe_member, stored, workspace
+from ledgerloom.llm.lempelziv import earlier_runs, run_rows
 from ledgerloom.llm.wordhash import gram_hashes, pieces, word_hashes
 
 GRAM, NEIGHBOURS = 8, 3
@@ -88,16 +92,23 @@ def neighbour_matches(sorted_records: DataFrame, window: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, start, stop, ref_doc_id): word spans of at least `window` words that stand somewhere before.
 
-    ref_doc_id is the smallest document that a part of the span was compared with; spans of one document do not overlap.
+    ref_doc_id is the smallest document that a part of the span was compared with or looked up in; spans of one document do not overlap.
     """
     path = workspace(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
     anchors = stored(repeated_anchors(slim, GRAM, window).select("doc_id", F.array_distinct("anchors").alias("anchors")), f"{path}/anchors")
     likely = maybe_member(slim, anchors, "doc_id").where("__maybe").select("doc_id", "text")
-    texts = likely.join(anchors, "doc_id").groupBy("doc_id").agg(F.max_by(F.struct("text", "anchors"), F.col("text")).alias("d")).select("doc_id", "d.*")
-    records = suffix_rows(texts, window).repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "position")
+
+    def texts(facts: DataFrame) -> DataFrame:
+        held = [c for c in facts.columns if c != "doc_id"]
+        return likely.join(facts, "doc_id").groupBy("doc_id").agg(F.max_by(F.struct("text", *held), F.col("text")).alias("d")).select("doc_id", "d.*")
+
+    records = suffix_rows(texts(anchors), window).repartition("anchor").sortWithinPartitions("anchor", "key", "doc_id", "position")
     matches = stored(neighbour_matches(records, window), f"{path}/matches")
-    spans = matches.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "ref_doc_id"))).alias("spans"))
+    known = matches.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("known"))
+    runs = stored(run_rows(texts(anchors.join(known, "doc_id", "left")), window, GRAM), f"{path}/runs")
+    rest = earlier_runs(runs).select("doc_id", F.col("position").alias("start"), (F.col("position") + window).alias("stop"), F.col("first.doc_id").alias("ref_doc_id"))
+    spans = matches.union(rest).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "ref_doc_id"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,stop:int,ref_doc_id:bigint>>")
     merged = F.aggregate(
         "spans",

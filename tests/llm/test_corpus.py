@@ -120,6 +120,33 @@ def test_repeated_passages(docs, rows, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_repeated_passages_are_whole(spark, docs, rows):
+    """Also where the only shared anchor is a phrase of many documents in which the passage ends."""
+    rng = random.Random(8)
+    low = [sentence(rng, 8) for _ in range(400)]
+    phrase = min(low, key=lambda t: int(suffixes.gram_hashes(suffixes.word_hashes(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0], 8)[0]))
+    texts = [f"{sentence(rng, 12)} {phrase} {sentence(rng, 60)}" for _ in range(60)]
+    texts += [f"{passage} {sentence(rng, 30)}" for passage in (f"{sentence(rng, 42)} {phrase}" for _ in range(20)) for _ in range(2)]
+    for n in (42, 45, 60, 80):
+        for _ in range(5):
+            passage = sentence(rng, n) + " " + phrase
+            texts += [f"{sentence(rng, 9)} {passage} {sentence(rng, 30)}" for _ in range(2)]
+    ending = [(k, t) for k, t in enumerate(texts)]
+    for table, given in ((docs, [r[:2] for r in rows]), (spark.createDataFrame(ending, "doc_id long, text string").repartition(3), ending)):
+        flagged, seen, want = {}, set(), {}
+        for s in suffixes.repeated_passages(table, 50).collect():
+            assert not flagged.setdefault(s.doc_id, set()) & set(range(s.start, s.stop))
+            flagged[s.doc_id].update(range(s.start, s.stop))
+        for i, t in given:
+            words = WORD.findall(t or "")
+            for p in range(len(words) - 49):
+                run = tuple(words[p : p + 50])
+                if run in seen:
+                    want.setdefault(i, set()).update(range(p, p + 50))
+                seen.add(run)
+        assert flagged == want
+
+
 def test_shards(spark, docs, empty):
     slim = docs.select("doc_id", F.col("text").alias("t"))
     got = sharding.shard(slim, 7, "doc_id", [F.col("t")]).collect()

@@ -71,40 +71,87 @@ def nearest(lines: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def pair_splits(lines: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Lines that equal the sum of two invoices of their customer; the smallest pair of ids."""
-    a = invoices.select("customer", F.col("invoice_id").alias("first_id"), F.col("amount").alias("a"))
-    b = invoices.select("customer", F.col("invoice_id").alias("second_id"), F.col("amount").alias("b"))
-    sums = a.join(b, "customer").where("first_id < second_id").withColumn("amount", F.col("a") + F.col("b"))
-    return lines.join(sums, ["customer", "amount"]).groupBy("line_id").agg(F.min(F.struct("first_id", "second_id")).alias("p")).select("line_id", "p.first_id", "p.second_id")
+    """Lines that equal the sum of two invoices of their customer; the smallest pair of ids.
 
+    Each invoice of a line's customer asks for the rest of the amount; of equal invoices the two smallest ids suffice.
+    """
+    equal = F.row_number().over(Window.partitionBy("customer", "amount").orderBy("invoice_id"))
+    few = invoices.select("customer", "invoice_id", "amount", equal.alias("r")).where("r <= 2")
+    a = few.select("customer", F.col("invoice_id").alias("a_id"), F.col("amount").alias("a"))
+    b = few.select("customer", F.col("invoice_id").alias("b_id"), F.col("amount").alias("rest"))
+    asked = lines.select("line_id", "customer", "amount").join(a, "customer").withColumn("rest", F.col("amount") - F.col("a"))
+    met = asked.join(b, ["customer", "rest"]).where("a_id < b_id")
+    return met.groupBy("line_id").agg(F.min(F.struct(F.col("a_id").alias("first_id"), F.col("b_id").alias("second_id"))).alias("p")).select("line_id", "p.first_id", "p.second_id")
+
+
+def few_items(target: int, items: list[tuple[int, int]]) -> list[int] | None:
+    """Ids of two or else three of the (id, amount) items that add up to target, found by looking up the rest; exact."""
+    held: dict[int, list[int]] = {}
+    for i, amount in sorted(items):
+        if 0 < amount < target:
+            held.setdefault(amount, []).append(i)
+    amounts = sorted(held)
+
+    def ids(*parts: int) -> list[int] | None:
+        if any(len(held.get(x, ())) < parts.count(x) for x in parts):
+            return None
+        return sorted(i for x in set(parts) for i in held[x][: parts.count(x)])
+
+    pairs = [found for x in amounts if 2 * x <= target and target - x in held and (found := ids(x, target - x))]
+    if pairs:
+        return min(pairs)
+    for k, x in enumerate(amounts):
+        for y in amounts[k:]:
+            if x + 2 * y > target:
+                break
+            if target - x - y in held and (found := ids(x, y, target - x - y)):
+                return found
+    return None
 
-def subset_sum(target: int, items: list[tuple[int, int]], most: int = 8, steps: int = 100_000) -> list[int] | None:
-    """Ids of two to `most` of the (id, amount) items that add up to target, by a bounded depth-first search."""
+
+def search(target: int, items: list[tuple[int, int]], most: int = 8, steps: int = 100_000) -> tuple[list[int] | None, bool]:
+    """(ids of two to `most` of the (id, amount) items that add up to target, whether the depth-first search came to its end)."""
     items = sorted((x for x in items if 0 < x[1] <= target), key=lambda x: (-x[1], x[0]))
-    tails = [0] * (len(items) + 1)
-    for k in range(len(items) - 1, -1, -1):
+    n = len(items)
+    tails, other = [0] * (n + 1), [n] * (n + 1)
+    for k in range(n - 1, -1, -1):
         tails[k] = tails[k + 1] + items[k][1]
+        other[k] = other[k + 1] if k + 1 < n and items[k + 1][1] == items[k][1] else k + 1
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, target, ())]
     while stack and steps:
         steps -= 1
         k, left, chosen = stack.pop()
         if left == 0:
             if len(chosen) >= 2:
-                return sorted(chosen)
+                return sorted(chosen), True
             continue
-        if k == len(items) or len(chosen) == most or tails[k] < left:
+        # the most that the places left can hold, from here on
+        if k == n or len(chosen) == most or tails[k] - tails[min(n, k + most - len(chosen))] < left:
             continue
-        stack.append((k + 1, left, chosen))
+        stack.append((other[k], left, chosen))
         if items[k][1] <= left:
             stack.append((k + 1, left - items[k][1], (*chosen, items[k][0])))
-    return None
+    return None, not stack
+
+
+def subset_sum(target: int, items: list[tuple[int, int]], most: int = 8, steps: int = 100_000) -> list[int] | None:
+    """Ids of two to `most` of the (id, amount) items that add up to target, by a bounded depth-first search."""
+    return search(target, items, most, steps)[0]
 
 
-def splits(lines: DataFrame, invoices: DataFrame, most: int = 8) -> DataFrame:
-    """Lines that equal the sum of several invoices of their customer: (line_id, invoice_ids).
+def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 100_000) -> DataFrame:
+    """Lines that equal the sum of several invoices of their customer: (line_id, invoice_ids, status).
 
-    Only lines whose customer has invoices of at least the amount in all reach the search, one customer a group.
+    A line takes its smallest pair of invoices, found by joins, if no smaller line's is in its way. Only lines
+    left, whose customer has free invoices of at least the amount in all, reach the search, one customer a group: in line_id order,
+    pairs and triples are looked up and more items searched in `steps` steps. Status is SPLIT, or EXHAUSTED without
+    invoices where the steps ran out before the search was over.
     """
+    pairs = pair_splits(lines.where("amount > 0"), invoices.where("amount > 0")).select("line_id", F.array("first_id", "second_id").alias("invoice_ids"))
+    wants = pairs.select("line_id", "invoice_ids", F.explode("invoice_ids").alias("invoice_id")).withColumn("smallest", F.min("line_id").over(Window.partitionBy("invoice_id")))
+    settled = wants.groupBy("line_id").agg(F.first("invoice_ids").alias("invoice_ids"), F.min(F.col("smallest") == F.col("line_id")).alias("free")).where("free").select("line_id", "invoice_ids").checkpoint()
+    lines = residual(lines, settled, "line_id")
+    invoices = residual(invoices, settled.select(F.explode("invoice_ids").alias("invoice_id")), "invoice_id").where("amount > 0")
     totals = invoices.groupBy("customer").agg(F.sum("amount").alias("all_amount"), F.count("*").alias("n")).where("n >= 2")
     wanted = lines.join(totals, "customer").where("amount > 0 AND all_amount >= amount").select("customer", F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
     held = invoices.join(wanted.select("customer").distinct(), "customer", "left_semi").select("customer", F.col("invoice_id").alias("id"), "amount", F.lit(False).alias("is_line"))
@@ -113,11 +160,16 @@ def splits(lines: DataFrame, invoices: DataFrame, most: int = 8) -> DataFrame:
         free = {int(r.id): int(r.amount) for r in group[~group.is_line].itertuples()}
         out = []
         for line in group[group.is_line].sort_values("id").itertuples():
-            found = subset_sum(int(line.amount), list(free.items()), most, 20_000)
+            target, items = int(line.amount), list(free.items())
+            found, over = few_items(target, items), True
+            if not found and most > 3:
+                found, over = search(target, items, most, steps)
             if found:
-                out.append((int(line.id), found))
                 for i in found:
                     free.pop(i)
-        return pd.DataFrame(out, columns=["line_id", "invoice_ids"])
+            if found or not over:
+                out.append((int(line.id), found, "SPLIT" if found else "EXHAUSTED"))
+        return pd.DataFrame(out, columns=["line_id", "invoice_ids", "status"])
 
-    return wanted.unionByName(held).groupBy("customer").applyInPandas(solve, "line_id long, invoice_ids array<long>")
+    searched = wanted.unionByName(held).groupBy("customer").applyInPandas(solve, "line_id long, invoice_ids array<long>, status string")
+    return settled.withColumn("status", F.lit("SPLIT")).unionByName(searched)

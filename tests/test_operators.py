@@ -67,6 +67,30 @@ def test_subset_sum_finds_what_there_is(amounts, target):
         assert len(found) >= 2 and sum(amounts[i] for i in found) == target
 
 
+def test_splits_of_a_customer_with_many_invoices(spark):
+    """Every line that is a sum of a few invoices is found among 60 unequal ones; a search that runs out says so."""
+    shared_checkpoints(spark)
+    rng = random.Random(4)
+    inv = [(c * 100 + k, c, 2 * rng.randrange(10**8, 10**9)) for c in range(3) for k in range(60)]
+    amount = {i: a for i, _, a in inv}
+    lines = [(c * 10 + j, c, sum(amount[c * 100 + 5 * j + k] for k in range(n))) for c in range(3) for j, n in enumerate((2, 3, 2, 3))]
+    lines += [(1000, 0, lines[0][2]), (1001, 1, 6 * 10**9 + 1), (1002, 2, -5)]
+    made = spark.createDataFrame(lines, "line_id long, customer long, amount long"), spark.createDataFrame(inv, "invoice_id long, customer long, amount long")
+    got = {r.line_id: (r.status, r.invoice_ids) for r in reconcile.splits(*made).collect()}
+    used = [i for status, ids in got.values() if status == "SPLIT" for i in ids]
+    assert len(used) == len(set(used))
+    for i, _, total in lines[:12]:
+        assert got[i][0] == "SPLIT" and sum(amount[x] for x in got[i][1]) == total
+    assert got[1001] == ("EXHAUSTED", None) and 1002 not in got
+
+
+def test_split_query_finds_every_merged_line(spark):
+    lines = {r.line_id: r.amount for r in registry.merged_lines(spark, SF).collect()}
+    amount = {r.invoice_id: r.amount for r in registry.invoices(spark, SF).collect()}
+    got = registry.QUERIES["udf_subset_sum_splits"](spark, SF).collect()
+    assert {r.line_id: sum(amount[i] for i in r.invoice_ids) for r in got if r.status == "SPLIT"} == lines and len(got) == len(lines)
+
+
 @given(st.text("abcd", max_size=8), st.text("abcd", max_size=8))
 def test_jaro_is_near_the_float_form(a, b):
     want = duckdb.connect().execute("SELECT jaro_similarity(?, ?)", [a, b]).fetchone()[0] if a and b else 0

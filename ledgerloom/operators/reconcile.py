@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import stored, workspace
+
 BUCKET = 11_000
 DAY = 86_400
 
@@ -143,17 +145,19 @@ def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 10
     """Lines that equal the sum of several invoices of their customer: (line_id, invoice_ids, status).
 
     A line takes its smallest pair of invoices, found by joins, if no smaller line's is in its way. Only lines
-    left, whose customer has free invoices of at least the amount in all, reach the search, one customer a group: in line_id order,
+    left, whose customer has free smaller invoices of at least the amount in all, reach the search, one customer a group: in line_id order,
     pairs and triples are looked up and more items searched in `steps` steps. Status is SPLIT, or EXHAUSTED without
     invoices where the steps ran out before the search was over.
     """
     pairs = pair_splits(lines.where("amount > 0"), invoices.where("amount > 0")).select("line_id", F.array("first_id", "second_id").alias("invoice_ids"))
     wants = pairs.select("line_id", "invoice_ids", F.explode("invoice_ids").alias("invoice_id")).withColumn("smallest", F.min("line_id").over(Window.partitionBy("invoice_id")))
-    settled = wants.groupBy("line_id").agg(F.first("invoice_ids").alias("invoice_ids"), F.min(F.col("smallest") == F.col("line_id")).alias("free")).where("free").select("line_id", "invoice_ids").checkpoint()
-    lines = residual(lines, settled, "line_id")
+    settled = wants.groupBy("line_id").agg(F.first("invoice_ids").alias("invoice_ids"), F.min(F.col("smallest") == F.col("line_id")).alias("free")).where("free").select("line_id", "invoice_ids")
+    settled = stored(settled, f"{workspace(lines.sparkSession)}/settled")
+    lines = residual(lines.select("line_id", "customer", "amount"), settled, "line_id")
     invoices = residual(invoices, settled.select(F.explode("invoice_ids").alias("invoice_id")), "invoice_id").where("amount > 0")
-    totals = invoices.groupBy("customer").agg(F.sum("amount").alias("all_amount"), F.count("*").alias("n")).where("n >= 2")
-    wanted = lines.join(totals, "customer").where("amount > 0 AND all_amount >= amount").select("customer", F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
+    below = invoices.select("customer", F.col("amount").alias("part"))
+    enough = lines.join(below, "customer").where("part < amount").groupBy("line_id", "customer", "amount").agg(F.sum("part").alias("all_parts"), F.count("*").alias("n")).where("n >= 2 AND all_parts >= amount")
+    wanted = enough.select("customer", F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
     held = invoices.join(wanted.select("customer").distinct(), "customer", "left_semi").select("customer", F.col("invoice_id").alias("id"), "amount", F.lit(False).alias("is_line"))
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
@@ -171,5 +175,22 @@ def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 10
                 out.append((int(line.id), found, "SPLIT" if found else "EXHAUSTED"))
         return pd.DataFrame(out, columns=["line_id", "invoice_ids", "status"])
 
-    searched = wanted.unionByName(held).groupBy("customer").applyInPandas(solve, "line_id long, invoice_ids array<long>, status string")
+    # a count of its own, as adaptive execution would put so few bytes into one task
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    searched = wanted.unionByName(held).repartition(tasks, "customer").groupBy("customer").applyInPandas(solve, "line_id long, invoice_ids array<long>, status string")
     return settled.withColumn("status", F.lit("SPLIT")).unionByName(searched)
+
+
+def composites(lines: DataFrame, invoices: DataFrame) -> DataFrame:
+    """Tier 3: lines that equal several invoices of their customer, then invoices left that equal several lines left.
+
+    Rows (line_id, invoice_id), one for each part. Where a search ran out of steps the other side is null.
+    """
+    one = splits(lines, invoices).select("line_id", F.explode_outer("invoice_ids").alias("invoice_id"))
+    one = stored(one, f"{workspace(lines.sparkSession)}/composites")
+    taken = one.where("invoice_id IS NOT NULL")
+    free_lines, free = residual(lines, taken.distinct(), "line_id"), residual(invoices, taken, "invoice_id")
+    as_lines = free.select(F.col("invoice_id").alias("line_id"), "customer", "amount")
+    as_invoices = free_lines.select(F.col("line_id").alias("invoice_id"), "customer", "amount")
+    many = splits(as_lines, as_invoices).select(F.explode_outer("invoice_ids").alias("line_id"), F.col("line_id").alias("invoice_id"))
+    return one.unionByName(many)

@@ -174,13 +174,14 @@ def _(spark, d):
 
 @query("join_three_tiers")
 def _(spark, d):
-    """Lines matched one to one by tier 1 and then by tier 2; checked against the serial walk in the tests."""
+    """Lines matched one to one by tier 1 and then by tier 2, and the rest by sums in tier 3, a row for each part; checked against the serial walk in the tests."""
     shared_checkpoints(spark)
     lines, inv = bank_lines(spark, d), invoices(spark, d)
     one = R.assign(R.exact_edges(lines, inv), [])
     rest = R.residual(lines, one, "line_id"), R.residual(inv, one, "invoice_id")
     two = R.assign(R.band_edges(*rest), ["fee", "lag"])
-    return one.withColumn("tier", F.lit(1)).union(two.withColumn("tier", F.lit(2)))
+    three = R.composites(R.residual(rest[0], two, "line_id"), R.residual(rest[1], two, "invoice_id"))
+    return one.withColumn("tier", F.lit(1)).union(two.withColumn("tier", F.lit(2))).union(three.withColumn("tier", F.lit(3)))
 
 
 MERGED = "merged AS (SELECT customer * 1000000 + 1 AS line_id, customer, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY invoice_id) AS r FROM inv) WHERE r <= 2 GROUP BY customer HAVING count(*) = 2)"

@@ -44,7 +44,7 @@ def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3) -
     """Canonical rows from (file, content): the header is the first line with at least `least` known column names.
 
     `aliases` maps ref, debit, credit, narration and date to the names a header may use. Lines after it are cut
-    with the file's delimiter; lines without an amount are continued narration and are left out here.
+    with the file's delimiter; lines without an amount continue the narration of the row before them.
     """
     known = F.array(*[F.lit(a.lower()) for names in aliases.values() for a in names])
     text = F.regexp_replace("content", "^﻿", "")
@@ -58,8 +58,18 @@ def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3) -
 
     debit, credit = amount(cell("debit")), amount(cell("credit"))
     kind = F.when(F.coalesce(credit, F.lit(0)) != 0, "credit").otherwise("debit")
-    parsed = rows.select("file", F.col("line_no").cast("long").alias("row_id"), cell("ref").alias("ref_code"), kind.alias("posting_type"), F.abs(F.when(kind == "credit", credit).otherwise(debit)).alias("amount"), cell("narration").alias("narration"), cell("date").alias("value_date"))
-    return parsed.where("amount > 0")
+    value = F.abs(F.when(kind == "credit", credit).otherwise(debit))
+    begins = debit.isNotNull() | credit.isNotNull()
+    solid = F.array_join(F.filter("cells", lambda c: c != ""), " ")
+    part = F.when(begins, cell("narration")).otherwise(F.coalesce(F.nullif(cell("narration"), F.lit("")), solid))
+    head = F.struct(F.col("line_no").cast("long").alias("row_id"), cell("ref").alias("ref_code"), kind.alias("posting_type"), value.alias("amount"), cell("date").alias("value_date"))
+    entry = F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    parsed = rows.select("file", "line_no", entry.alias("entry"), head.alias("head"), part.alias("part")).where("entry IS NOT NULL")
+    joined = parsed.groupBy("file", "entry").agg(
+        F.min_by("head", "line_no").alias("h"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("line_no", "part")))), lambda x: x["part"]), " ").alias("narration"),
+    )
+    return joined.where("h.amount > 0").select("file", "h.row_id", "h.ref_code", "h.posting_type", "h.amount", "narration", "h.value_date")
 
 
 def mt940(files: DataFrame) -> DataFrame:

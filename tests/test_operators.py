@@ -116,6 +116,37 @@ def test_statement_formats(spark):
     assert [tuple(r) for r in statements.mt940(files.where("file = 'b.sta'")).collect()] == [("b.sta", 1, "R9", "debit", 500, "one two", "20260201")]
 
 
+def test_delimited_rows_keep_continued_narrations(spark):
+    files = spark.createDataFrame([("a.csv", "Date;Ref;Debit;Credit;Text\nintro\n01/02/2026;R1;;1.000;in\nx y\n;;;;more\n\n02/02/2026;R2;(500);;out\n03/02/2026;R3;0;;none\nlost\n")], "file string, content string")
+    names = {"date": ["Date"], "ref": ["Ref"], "debit": ["Debit"], "credit": ["Credit"], "narration": ["Text"]}
+    rows = [tuple(r) for r in statements.delimited(files, names).select("row_id", "ref_code", "amount", "narration", "value_date").orderBy("row_id").collect()]
+    assert rows == [(2, "R1", 1000, "in x y more", "01/02/2026"), (6, "R2", 500, "out", "02/02/2026")]
+
+
+def test_third_tier_matches_sums_in_both_directions(spark):
+    shared_checkpoints(spark)
+    lines = spark.createDataFrame([(1, 1, 300), (2, 1, 70), (3, 1, 80), (4, 2, 300), (5, 1, 999)], "line_id long, customer long, amount long")
+    inv = spark.createDataFrame([(10, 1, 100), (11, 1, 200), (12, 1, 150), (13, 2, 100), (14, 3, 200)], "invoice_id long, customer long, amount long")
+    got = sorted(tuple(r) for r in reconcile.composites(lines, inv).select("line_id", "invoice_id").collect())
+    assert got == [(1, 10), (1, 11), (2, 12), (3, 12)]
+
+
+def test_three_tiers_use_each_side_once(spark):
+    lines = {r.line_id: r.amount for r in registry.bank_lines(spark, SF).collect()}
+    amount = {r.invoice_id: r.amount for r in registry.invoices(spark, SF).collect()}
+    got = [tuple(r) for r in registry.QUERIES["join_three_tiers"](spark, SF).select("line_id", "invoice_id", "tier").collect()]
+    single, parts = [r for r in got if r[2] < 3], [r for r in got if r[2] == 3 and None not in r]
+    for side in (0, 1):
+        ids = [r[side] for r in single]
+        assert len(ids) == len(set(ids)) and not set(ids) & {r[side] for r in parts}
+    by_line, by_inv = {}, {}
+    for a, b, _ in parts:
+        by_line.setdefault(a, []).append(b)
+        by_inv.setdefault(b, []).append(a)
+    for a, b, _ in parts:
+        assert lines[a] == sum(amount[x] for x in by_line[a]) or amount[b] == sum(lines[x] for x in by_inv[b])
+
+
 def test_sinks_round_trip(spark, tmp_path):
     lines = spark.createDataFrame([(1, "131", "D", 5), (1, "511", "C", 5)], "entry_id long, account string, side string, amount long")
     assert '"account":"131"' in sinks.vouchers_as_json(lines).first().voucher

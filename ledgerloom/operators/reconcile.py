@@ -46,18 +46,43 @@ def assign(edges: DataFrame, prefer: list[str]) -> DataFrame:
     """One invoice at most for each line and the reverse, as if lines chose in line_id order the free invoice first by `prefer`.
 
     Rows where both sides have a single edge are final at once. The rest is taken round by round: an edge is
-    final when its line is the smallest that still wants its invoice and the invoice is that line's first choice.
+    final when its line is the smallest that still wants its invoice and the invoice is that line's first choice. After
+    a few rounds lines with the same candidates in the same order are settled together, see `alike`. The smallest line is
+    settled in every round, so the rounds come to an end.
     """
-    rest, done = edges.select("line_id", "invoice_id", *prefer), None
-    for _ in range(50):
+    spark = edges.sparkSession
+    path = workspace(spark)
+    rest, done, turn = edges.select("line_id", "invoice_id", *prefer), None, 0
+    while True:
         choice = F.row_number().over(Window.partitionBy("line_id").orderBy(*prefer, "invoice_id"))
         firsts = rest.withColumn("choice", choice).withColumn("smallest", F.min("line_id").over(Window.partitionBy("invoice_id")))
-        taken = firsts.where("choice = 1 AND smallest = line_id").select("line_id", "invoice_id").checkpoint()
+        final = firsts.where("choice = 1 AND smallest = line_id").select("line_id", "invoice_id")
+        if turn >= 3:
+            final = final.union(alike(firsts)).distinct()
+        taken = stored(final, f"{path}/taken-{turn}")
         if not taken.limit(1).count():
             return done if done is not None else taken
         done = taken if done is None else done.union(taken)
-        rest = rest.join(taken.select("line_id"), "line_id", "left_anti").join(taken.select("invoice_id"), "invoice_id", "left_anti").select("line_id", "invoice_id", *prefer).checkpoint()
-    raise RuntimeError("assignment did not settle")
+        if turn % 20 == 19:
+            done = stored(done, f"{path}/done-{turn}")
+        left = rest.join(taken.select("line_id"), "line_id", "left_anti").join(taken.select("invoice_id"), "invoice_id", "left_anti").select("line_id", "invoice_id", *prefer)
+        rest = stored(left, f"{path}/rest-{turn}")
+        turn += 1
+
+
+def alike(firsts: DataFrame) -> DataFrame:
+    """Edges that the serial walk takes among lines with equal lists of candidates: the n-th line gets the n-th candidate.
+
+    This holds for the lines of such a group that are smaller than any other line that wants one of its candidates.
+    """
+    lists = firsts.groupBy("line_id").agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("choice", "invoice_id"))), lambda x: x["invoice_id"])), 256).alias("same"))
+    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("same").orderBy("line_id")))
+    held = firsts.select("line_id", "invoice_id", "choice").join(ranked, "line_id")
+    order = Window.partitionBy("invoice_id").orderBy("low")
+    lows = held.groupBy("invoice_id", "same").agg(F.min("line_id").alias("low"))
+    others = lows.withColumn("other", F.when(F.row_number().over(order) == 1, F.lead("low").over(order)).otherwise(F.min("low").over(Window.partitionBy("invoice_id"))))
+    bounds = others.groupBy("same").agg(F.min("other").alias("bound"))
+    return held.where("rank = choice").join(bounds, "same").where("bound IS NULL OR line_id < bound").select("line_id", "invoice_id")
 
 
 def residual(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:

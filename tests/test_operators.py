@@ -57,6 +57,20 @@ def test_assignment_is_the_serial_walk(spark):
     assert got == want
 
 
+def test_assignment_of_many_equal_payments(spark):
+    """Eighty equal lines and invoices of one customer, with a few lines and invoices that belong to some of them only."""
+    edges = [(x, i) for x in range(10, 90) for i in range(100, 180)] + [(5, 103), (5, 101), (95, 100), (95, 500), (40 + 100, 179), (1000, 500)]
+    want, used = {}, set()
+    for line in sorted({x for x, _ in edges}):
+        for inv in sorted(i for x, i in edges if x == line):
+            if inv not in used:
+                want[line] = inv
+                used.add(inv)
+                break
+    got = {r.line_id: r.invoice_id for r in reconcile.assign(spark.createDataFrame(edges, "line_id long, invoice_id long"), []).collect()}
+    assert got == want
+
+
 @given(st.lists(st.integers(1, 40), min_size=2, max_size=9), st.integers(2, 120))
 def test_subset_sum_finds_what_there_is(amounts, target):
     items = list(enumerate(amounts))

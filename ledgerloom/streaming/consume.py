@@ -24,13 +24,29 @@ def rolling_alerts(stream: DataFrame, floor: int, least: int = 3) -> DataFrame:
     return windows.agg(F.count("*").alias("n"), F.sum("amount").alias("total")).where((F.col("n") >= least) & (F.col("total") >= floor)).select("account", F.col("w.start").alias("start"), "n", "total")
 
 
-def consumer(handle: Callable[[DataFrame], DataFrame], done: str, dead: str, retries: int = 3) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: `handle` adds boolean `ok`; good rows are stored, bad ones after their last try are dead letters."""
+def with_retries(stream: DataFrame, retry: str) -> DataFrame:
+    """The stream together with the rows that a consumer put back into the table `retry`, which is made if absent."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(retry)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(retry))
+
+
+def consumer(handle: Callable[[DataFrame], DataFrame], done: str, dead: str, retries: int = 3, retry: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: `handle` adds boolean `ok`; good rows are stored, bad ones after their last try are dead letters.
+
+    Other bad rows, where ok is false or null, go to the table `retry` (beside `done` if not given) with one more in retry_count, from which
+    `with_retries` feeds them in again; with availableNow that is the next start.
+    """
+    again = retry or f"{done.rstrip('/')}-retry"
 
     def run(batch: DataFrame, epoch: int) -> None:
+        tries = F.coalesce(F.col("retry_count"), F.lit(0)) + 1
+        bad = ~F.coalesce(F.col("ok"), F.lit(False))
         held = handle(batch).persist()
         held.where("ok").drop("ok").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(done)
-        held.where(~F.col("ok") & (F.col("retry_count") + 1 >= retries)).drop("ok").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(dead)
+        held.where(bad & (tries >= retries)).drop("ok").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(dead)
+        back = held.where(bad & (tries < retries)).withColumn("retry_count", tries.cast(batch.schema["retry_count"].dataType)).select(*batch.columns)
+        back.write.mode("append").parquet(again)
         held.unpersist()
 
     return run

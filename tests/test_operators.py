@@ -186,3 +186,17 @@ def test_streams_run_to_their_end(spark, tmp_path):
     handle = consume.consumer(lambda df: df.withColumn("ok", F.col("key") == "a"), str(tmp_path / "done"), str(tmp_path / "dead"))
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "done")).count() == 2 and spark.read.parquet(str(tmp_path / "dead")).count() == 1
+
+
+def test_consumer_retries_until_the_last_try(spark, tmp_path):
+    from ledgerloom.streaming import consume
+
+    done, dead, retry = (str(tmp_path / x) for x in ("done", "dead", "retry"))
+    spark.createDataFrame([("good", 0), ("bad", 0), ("null", 0), ("second", 0)], "key string, retry_count int").write.parquet(str(tmp_path / "in"))
+    verdict = F.when(F.col("key") == "null", F.lit(None)).otherwise((F.col("key") == "good") | ((F.col("key") == "second") & (F.col("retry_count") == 1)))
+    handle = consume.consumer(lambda df: df.withColumn("ok", verdict.cast("boolean")), done, dead, 3, retry)
+    for _ in range(4):
+        stream = spark.readStream.schema("key string, retry_count int").parquet(str(tmp_path / "in"))
+        consume.with_retries(stream, retry).writeStream.foreachBatch(handle).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = [sorted((r.key, r.retry_count) for r in spark.read.parquet(t).collect()) for t in (done, dead)]
+    assert got == [[("good", 0), ("second", 1)], [("bad", 2), ("null", 2)]]

@@ -48,7 +48,9 @@ def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3) -
     """
     known = F.array(*[F.lit(a.lower()) for names in aliases.values() for a in names])
     text = F.regexp_replace("content", "^﻿", "")
-    lines = files.select("file", delimiter(text).alias("d"), F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
+    # the delimiter is found before the lines are dealt out, or each line would carry its whole file along
+    sources = files.select("file", delimiter(text).alias("d"), text.alias("text"))
+    lines = sources.select("file", "d", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
     cells = lines.withColumn("cells", F.transform(F.split("line", F.concat(F.lit("\\Q"), F.col("d"), F.lit("\\E"))), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))))
     header = cells.where(F.size(F.array_intersect(F.transform("cells", F.lower), known)) >= least).groupBy("file").agg(F.min(F.struct("line_no", "cells")).alias("h"))
     rows = cells.join(header.select("file", F.col("h.line_no").alias("at"), F.transform("h.cells", F.lower).alias("names")), "file").where("line_no > at")

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import stored
 from ledgerloom.llm.wordhash import inside, minimiser_positions, pieces, word_hashes
 
 
@@ -42,11 +43,11 @@ def anchor_rows(docs: DataFrame, gram: int, window: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor long, doc_id long, position int")
 
 
-def repeated_anchors(docs: DataFrame, gram: int, window: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, gram: int, window: int, path: str) -> DataFrame:
     """Rows (doc_id, anchors): the positions, ascending, of each document's anchors that occur at least twice.
 
-    Counting pre-aggregates before the shuffle, and the join back can be split where an anchor is hot.
+    Counting pre-aggregates before the shuffle; the repeated ones are stored, so that Spark can split the join where an anchor is hot.
     """
     rows = anchor_rows(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), gram, window)
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor")
+    twice = stored(rows.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), f"{path}/repeated")
     return rows.join(twice, "anchor").groupBy("doc_id").agg(F.sort_array(F.collect_list("position")).alias("anchors"))

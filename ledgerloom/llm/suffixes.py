@@ -96,7 +96,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     """
     path = workspace(docs.sparkSession)
     slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
-    anchors = stored(repeated_anchors(slim, GRAM, window).select("doc_id", F.array_distinct("anchors").alias("anchors")), f"{path}/anchors")
+    anchors = stored(repeated_anchors(slim, GRAM, window, path).select("doc_id", F.array_distinct("anchors").alias("anchors")), f"{path}/anchors")
     likely = maybe_member(slim, anchors, "doc_id").where("__maybe").select("doc_id", "text")
 
     def texts(facts: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
     matches = stored(neighbour_matches(records, window), f"{path}/matches")
     known = matches.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("known"))
     runs = stored(run_rows(texts(anchors.join(known, "doc_id", "left")), window, GRAM), f"{path}/runs")
-    rest = earlier_runs(runs).select("doc_id", F.col("position").alias("start"), (F.col("position") + window).alias("stop"), F.col("first.doc_id").alias("ref_doc_id"))
+    rest = earlier_runs(runs, path).select("doc_id", F.col("position").alias("start"), (F.col("position") + window).alias("stop"), F.col("first.doc_id").alias("ref_doc_id"))
     spans = matches.union(rest).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "stop", "ref_doc_id"))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,stop:int,ref_doc_id:bigint>>")
     merged = F.aggregate(

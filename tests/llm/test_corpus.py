@@ -244,28 +244,44 @@ def brute_components(rows, n, num, den):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("n", "num", "few", "pairs"), [(3, 90, 24, 256), (5, 80, 24, 256), (3, 90, 3, 256), (3, 90, 3, 40), (5, 80, 2, 60)])
-def test_jaccard(docs, rows, n, num, few, pairs, monkeypatch):
+@pytest.mark.parametrize(("n", "num", "few", "small"), [(3, 90, 24, 16), (5, 80, 24, 16), (3, 90, 3, 16), (5, 80, 2, 60)])
+def test_jaccard(docs, rows, n, num, few, small, monkeypatch):
     monkeypatch.setattr(jaccard, "FEW", few)
-    monkeypatch.setattr(jaccard, "PAIRS_UP_TO", pairs)
+    monkeypatch.setattr(jaccard, "SMALL", small)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, n, num, 100).collect()}
     assert got == brute_components(rows, n, num, 100)
 
 
-def test_jaccard_entries_meet_whatever_is_frequent():
-    rng = np.random.default_rng(4)
-    for _ in range(300):
-        size = int(rng.integers(2, 80))
+@pytest.mark.parametrize("num", [75, 80, 90, 97])
+def test_jaccard_entries_meet_whatever_is_frequent(num):
+    """Sets that link share an entry: all members frequent, none, or some; of equal and unequal sizes, at the very edge of the similarity."""
+    rng = np.random.default_rng(num)
+    links = 0
+    for turn in range(600):
+        size = int(rng.integers(1, 40 if turn % 3 else 400))
         x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
-        spare = len(x) - -(-80 * len(x) // 100)
-        y = np.unique(np.concatenate([rng.permutation(x)[: len(x) - int(rng.integers(0, spare + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, 3)), dtype=np.uint64)]))
+        spare = len(x) - -(-num * len(x) // 100)
+        gone, new = (int(rng.integers(0, spare + 1)), int(rng.integers(0, spare + 2))) if turn % 2 else (spare // 2, spare - spare // 2)
+        y = np.unique(np.concatenate([rng.permutation(x)[: len(x) - gone], rng.integers(0, 1 << 63, new, dtype=np.uint64)]))
         both = len(np.intersect1d(x, y))
-        if 100 * both < 80 * (len(x) + len(y) - both):
+        if 100 * both < num * (len(x) + len(y) - both):
             continue
+        links += 1
         cells = rng.integers(0, 20, 1 << jaccard.CELL_BITS).astype(np.int32)
-        for limit in (0, 5, 10, 100):
-            a, b = (jaccard.index_entries(s, cells, limit, 80, 100) for s in (x, y))
+        if turn % 4 == 0:  # what only one of them has comes anywhere in the order
+            cells[(np.setxor1d(x, y) >> np.uint64(64 - jaccard.CELL_BITS)).astype(np.int64)] = rng.integers(5, 20)
+        for limit in (0, 2, 5, 10, 100):
+            a, b = (jaccard.index_entries(s, cells, limit, num, 100)[0] for s in (x, y))
             assert np.array_equal(x, y) or len(np.intersect1d(a, b))
+    assert links > 150
+
+
+def test_jaccard_index_grows_with_the_prefix():
+    rng = np.random.default_rng(3)
+    cells = np.full(1 << jaccard.CELL_BITS, 50, dtype=np.int32)
+    for size in (20, 200, 2000):
+        x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        assert len(jaccard.index_entries(x, cells, 0, 80, 100)[0]) <= 0.9 * size + 3
 
 
 def test_jaccard_signatures_never_rule_out_a_link():
@@ -346,6 +362,37 @@ def test_substring_dedup(spark, docs, rows, empty):
     assert lempelziv.strip(empty).count() == 0
 
 
+def test_factors_are_greedy_copies_of_earlier_passages(spark, docs, rows):
+    """Each factor is a copy of the place it names, in order and without overlap; a plain parser finds the same ones."""
+    words = {i: WORD.findall(t or "") for i, t, *_ in rows}
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in lempelziv.factors(docs.select("doc_id", "text"), 20).collect()}
+    seen, first_whole = {}, {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - 19):
+            seen.setdefault(tuple(words[i][p : p + 20]), (i, p))
+    for i in sorted(words):
+        mine, want, open_ = words[i], [], None
+        whole = first_whole.setdefault(tuple(mine), i)
+        if whole != i and len(mine) >= 20:
+            want = [(0, len(mine), whole, 0)]
+        else:
+            for p in range(len(mine) - 19):
+                ref = seen[tuple(mine[p : p + 20])]
+                if ref == (i, p):
+                    open_ = None
+                elif open_ and ref == (open_[2], open_[3] + p - open_[0]):
+                    open_[1] = p + 20
+                else:
+                    start = max(p, want[-1][1][1] if want else 0)
+                    open_ = [p, p + 20, ref[0], ref[1]]
+                    want.append([start, open_, ref[0], ref[1] + start - p])
+            want = [(s, o[1], d, q) for s, o, d, q in want]
+        assert got.get(i, []) == want
+        for s, e, d, q in want:
+            assert words[d][q : q + e - s] == mine[s:e] and (d, q) < (i, s)
+        assert all(a[1] <= b[0] for a, b in zip(want, want[1:]))
+
+
 def test_pipeline_stages_keep_what_is_clean(spark):
     sf = "/root/testdata/sf0.001"
     start = docs = spark.read.parquet(f"{sf}/documents.parquet")

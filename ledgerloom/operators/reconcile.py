@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stored, workspace
+from ledgerloom.plans.storage import stored, workspace
 
 BUCKET = 11_000
 DAY = 86_400

@@ -8,6 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from ledgerloom.plans.storage import workspace
+
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once a Spark context, for clusters that do not have it installed."""
@@ -24,6 +26,5 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Iterative operators checkpoint to spark.checkpoint.dir, or to a folder of their own where it is unset."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ledgerloom-"))
+    """Iterative operators checkpoint to spark.checkpoint.dir, or to a folder of their own where it is unset and all is on one machine."""
+    workspace(spark)

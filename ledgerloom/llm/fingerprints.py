@@ -8,7 +8,8 @@ smallest `SKETCH` distinct anchor hashes in hexadecimal, and two fingerprints ar
 likeness that their smallest hashes estimate.
 
 Defined cases: a null text counts as empty; a text without units has an empty fingerprint, which is like only another
-empty one; a text of fewer than K units has the hashes of its single units as anchors.
+empty one; a text of fewer than K units has the hashes of its single units as anchors. Rows with a null id come first, in the order of a hash
+of their texts; repeated rows follow each other like any; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import block_of
+
 UNIT, K, S, SKETCH = 4, 4, 2, 64
 #: K - S + 1 = 3 inner windows: the smallest lies at an edge unless the middle one is smaller than both.
 assert K - S == 2
@@ -56,27 +59,25 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, id_col: str, ties: list[str], prepare: Callable[[DataFrame], DataFrame], columns: list[str], rows_per_block: int = 256) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, tie: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str], rows_per_block: int = 256) -> DataFrame:
     """docs, what `prepare` adds, and under `next` the `columns` of the document that follows in ascending id (after the last: the first).
 
-    The id range is cut into blocks; the first document of each block also goes, as a guest, to the block
-    before it, so that one shuffle by block holds every pair. Only one (id, block) row a block is broadcast.
-    `prepare` runs after the shuffle, so what it adds is not moved.
+    Rows of null ids come first, in the order of a hash of `tie`. Rows are dealt into blocks of about as many rows (see block_of); the first
+    row of each block also goes, as a guest, to the block before it, so that one shuffle by block holds every pair. Only one row a
+    block is broadcast, of ids and hashes. `prepare` runs after the shuffle, so what it adds is not moved.
     """
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count("*")).first()
-    blocks = max(1, min(1 << 16, n // rows_per_block))
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) / blocks)
-    block = F.coalesce(F.floor((F.col(id_col).cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(-1)).cast("long")
-    placed = docs.withColumn("__block", block)
-    firsts = placed.groupBy("__block").agg(F.min(id_col).alias("__first"))
+    n = docs.count()
+    placed = docs.withColumn("__block", block_of(docs, id_col, F.col(tie), max(rows_per_block, n >> 16))).withColumn("__tie", F.xxhash64(tie))
+    place = F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("__tie").alias("tie"))
+    firsts = placed.groupBy("__block").agg(F.min(place).alias("__first"))
     host = F.coalesce(F.lag("__block").over(Window.orderBy("__block")), F.max("__block").over(Window.partitionBy(F.lit(0))))
-    hosted = placed.join(F.broadcast(firsts.select("__first", host.alias("__host"))), F.col(id_col).eqNullSafe(F.col("__first")), "left")
+    hosted = placed.join(F.broadcast(firsts.select(F.col("__block").alias("__of"), "__first", host.alias("__host"))), (F.col("__block") == F.col("__of")) & (place == F.col("__first")), "left")
     at_home = F.struct(F.col("__block").alias("block"), F.lit(0).alias("guest"))
     abroad = F.when(F.col("__host").isNotNull(), F.struct(F.col("__host").alias("block"), F.lit(1).alias("guest")))
     dealt = hosted.withColumn("__stay", F.explode(F.array_compact(F.array(at_home, abroad)))).withColumn("__to", F.col("__stay.block")).withColumn("__guest", F.col("__stay.guest"))
-    there = prepare(dealt.drop("__block", "__first", "__host", "__stay").repartition("__to"))
-    order = Window.partitionBy("__to").orderBy("__guest", F.col(id_col).asc_nulls_first(), *ties)
-    return there.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("__guest = 0").drop("__to", "__guest")
+    there = prepare(dealt.drop("__block", "__of", "__first", "__host", "__stay").repartition("__to"))
+    order = Window.partitionBy("__to").orderBy("__guest", F.col(id_col).asc_nulls_first(), "__tie", tie)
+    return there.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("__guest = 0").drop("__to", "__guest", "__tie")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,7 +87,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     next document in ascending id, after the last the first; a document alone in its table follows itself.
     """
     own = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    paired = with_next(own, "doc_id", ["text"], lambda df: with_sketch(df, "text", "sketch"), ["text", "sketch"])
+    paired = with_next(own, "doc_id", "text", lambda df: with_sketch(df, "text", "sketch"), ["text", "sketch"])
     sized = paired.withColumn("n_chars", F.length("text").cast("long")).withColumn("quarter", F.expr("CAST(length(text) DIV 4 AS INT)"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.col("quarter")).cast("int"))
     edited = sized.select("doc_id", "n_chars", "sketch", F.col("next.sketch").alias("next_sketch"), F.concat(kept, F.substring(F.col("next.text"), F.lit(1), F.col("quarter"))).alias("edited"))

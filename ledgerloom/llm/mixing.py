@@ -9,7 +9,9 @@ Sizes count the characters of all documents. Without stated weights, a source's
 
 Defined cases: a null source is a source of its own; a source without any character, or a stated weight
 for a source that is absent, leaves its documents at rate 1 or has no effect; a source without a stated weight
-gets weight 0 and goes; equal doc_ids share their counts; an empty table gives no rows; other columns are kept.
+gets weight 0 and goes; rows of equal doc_ids (a null one counts as empty) with equal sources share their counts; a tiny source with a
+large target weight is repeated as often as that asks for, without a bound; an empty table gives no rows; other columns are kept, but a
+column named replica gives way to the new one.
 """
 
 from __future__ import annotations
@@ -57,18 +59,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, sourc
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The columns of docs and `replica` (int from 0), one row per copy, in a global random order."""
     table = rates(docs, weights, alpha, source_col, text_col)
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("__id"), docs[source_col].alias("__source"))
+    held = [docs[c] for c in docs.columns if c.lower() != "replica"]
+    whole = docs.select(F.struct(*held).alias("__row"), F.xxhash64(docs[id_col], docs[source_col], docs[text_col]).alias("__salt_of"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("__id"), docs[source_col].alias("__source"))
     if table.count() <= BROADCAST_SOURCES:
         rated = whole.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("source")), "left")
     else:
         # a hot source meets SALTS copies of its rate instead of one
         salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = whole.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+        own = whole.withColumn("__salt", F.pmod(F.col("__salt_of"), F.lit(SALTS)).cast("int"))
         rated = own.join(salted, (own["__salt"] == salted["__salt"]) & own["__source"].eqNullSafe(salted["source"]), "left")
     draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(F.lit(seed), F.col("__id"), j))
     count = F.aggregate(draws, F.lit(0), lambda acc, u: acc + F.size(F.filter("cdf", lambda c: c <= u)))
     copies = rated.withColumn("__count", count).where("__count > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__count") - 1)))
-    order = F.xxhash64(F.lit(seed), "__id", "replica")
+    order = F.xxhash64(F.lit(seed), "__id", "replica", "__salt_of")
     spread = copies.select("__row", "replica", order.alias("__order")).repartition("__order").sortWithinPartitions("__order")
     return spread.select("__row.*", "replica")
 
@@ -76,7 +79,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
 def mix_sql(alpha: float = 0.5, seed: int = 0) -> str:
     """The same rows in DuckDB."""
     return f"""
-    WITH RECURSIVE sizes AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source),
+    WITH RECURSIVE numbered AS (SELECT *, row_number() OVER () AS rid FROM documents),
+    sizes AS (SELECT source, CAST(sum(coalesce(length(text), 0)) AS DOUBLE) AS size FROM documents GROUP BY source),
     weighed AS (SELECT *, pow(size, {alpha}) AS weight FROM sizes),
     rated AS (SELECT source, CASE WHEN size > 0 THEN (SELECT sum(size) FROM weighed) * (weight / (SELECT sum(weight) FROM weighed)) / size ELSE 1.0 END AS rate FROM weighed),
     parted AS (SELECT source, greatest(1, ceil(rate / {PART}))::INT AS parts, rate / greatest(1, ceil(rate / {PART})) AS mean FROM rated),
@@ -85,9 +89,9 @@ def mix_sql(alpha: float = 0.5, seed: int = 0) -> str:
         UNION ALL SELECT source, parts, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < ceil(mean + 12 * sqrt(mean) + 20)
     ),
     draws AS (
-        SELECT d.doc_id, d.source, ('0x' || substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j), 1, 13))::BIGINT / CAST({1 << 52} AS DOUBLE) AS u
-        FROM documents d JOIN parted r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(1, r.parts + 1)) AS j)
+        SELECT d.rid, d.source, ('0x' || substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || j), 1, 13))::BIGINT / CAST({1 << 52} AS DOUBLE) AS u
+        FROM numbered d JOIN parted r ON d.source IS NOT DISTINCT FROM r.source, LATERAL (SELECT unnest(range(1, r.parts + 1)) AS j)
     ),
-    counts AS (SELECT doc_id, count(*) AS n FROM draws JOIN cdf ON draws.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY doc_id)
-    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(unnest(range(0, n)) AS INT) AS replica FROM documents d JOIN counts USING (doc_id)
+    counts AS (SELECT rid, count(*) AS n FROM draws JOIN cdf ON draws.source IS NOT DISTINCT FROM cdf.source AND c <= u GROUP BY rid)
+    SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(unnest(range(0, n)) AS INT) AS replica FROM numbered d JOIN counts USING (rid)
     """

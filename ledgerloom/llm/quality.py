@@ -16,19 +16,20 @@ scored and count as held out only by the remainder rule on the empty string; oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerloom.llm.common import small_batches
 from ledgerloom.llm.wordhash import _LOWER, mix64, pieces, span_hashes
 
 BITS, EXTRA = 18, 8
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-4, 3
-MAX_TRAIN = 8_000
+MAX_TRAIN = 12_000
 
 #: Classes of bytes: 0 white space, 1 part of a word, then one class for each other ASCII sign.
 _KIND = np.ones(256, dtype=np.uint8)
@@ -149,8 +150,25 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             rest = [batch.column(k) for k in range(2, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out)), *rest], ["doc_id", "score", "keep"][: 2 + len(rest)])
 
-    schema = "doc_id long, score double" + (f", keep {slim.schema['keep'].dataType.simpleString()}" if keep is not None else "")
-    return slim.mapInArrow(run, schema)
+    schema = StructType().add("doc_id", "long").add("score", "double")
+    return slim.mapInArrow(run, StructType([*schema, slim.schema["keep"]]) if keep is not None else schema)
+
+
+def cross_scores(examples: DataFrame, weights_of: Callable[[DataFrame], np.ndarray] = None, folds: int = 2) -> DataFrame:
+    """Rows (score, label) of the training sample itself, each scored with weights from the other folds only."""
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds))
+    made = None
+    for k in range(folds):
+        weights = (weights_of or train)(examples.where(fold != k))
+        part = score(examples.where(fold == k), weights, keep=F.col("label").cast("int")).select("score", F.col("keep").alias("label"))
+        made = part if made is None else made.union(part)
+    return made
+
+
+def threshold(scored: DataFrame, lose: float) -> float:
+    """The score below which at most the share `lose` of the good rows (label 1) of (score, label) lies, and never above one half."""
+    at = scored.where("label = 1").approxQuantile("score", [lose], 0.0)
+    return min(0.5, at[0]) if at else 0.5
 
 
 def remainder(id_: Column) -> Column:

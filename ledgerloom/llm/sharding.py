@@ -5,7 +5,8 @@ most one row and slots have no gaps. Shard and slot of any row number can be com
 permutation works on a * b >= N with a, b near the root of N, and walks on while it is outside N.
 
 Defined cases: a null key sorts first; a null text counts as empty; repeated rows are rows of their own, and equal
-ones are told apart only by their place among each other; an empty table gives no rows; extra columns are kept.
+ones are told apart only by their place among each other; an empty table gives no rows; extra columns are kept, but
+for columns named shard or slot, which give way to the new ones.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import numbered
+from ledgerloom.llm.common import free_name, numbered
 
 ROUNDS = 6
 #: Outside points are at most sqrt(N) of N, so a walk of up to 64 steps ends for all N below 4000 surely, and else but for odds below N**-31.
@@ -55,5 +56,7 @@ def permuted(number: Column, n: int, seed: int) -> Column:
 def shard(rows: DataFrame, n_shards: int, key: str, ties: list[Column], seed: int = 0) -> DataFrame:
     """rows with columns shard (int) and slot (long)."""
     n = rows.count()
-    spots = numbered(rows, key, ties, "__number").withColumn("__spot", permuted(F.col("__number"), n, seed))
-    return spots.withColumn("shard", (F.col("__spot") % n_shards).cast("int")).withColumn("slot", F.expr(f"__spot DIV {n_shards}")).drop("__number", "__spot")
+    number, spot = free_name(rows, "number"), free_name(rows, "spot")
+    spots = numbered(rows, key, ties, number).withColumn(spot, permuted(F.col(number), n, seed))
+    held = [F.col(c) for c in rows.columns if c.lower() not in ("shard", "slot")]
+    return spots.select(*held, (F.col(spot) % n_shards).cast("int").alias("shard"), F.expr(f"`{spot}` DIV {n_shards}").alias("slot"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import fingerprints, jaccard, lempelziv, mixing, packing, quality, repair, sharding, suffixes, tokenids, topk
+from ledgerloom.llm import common, fingerprints, jaccard, lempelziv, mixing, packing, quality, repair, sharding, suffixes, tokenids, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, __row string"
@@ -393,6 +393,77 @@ def test_factors_are_greedy_copies_of_earlier_passages(spark, docs, rows):
         assert all(a[1] <= b[0] for a, b in zip(want, want[1:]))
 
 
+STAGE_ROWS = "doc_id long, text string, lang string, source string, n_chars long, `a b` map<string,int>, kept string, replica int, maybe string"
+
+
+def stage_rows():
+    """Documents with null and repeated ids, copies, passages that repeat and columns of clashing names."""
+    rng = random.Random(21)
+    rows = [(i, t, "en", s, n, {"k": 1}, "k", 7, "m") for i, t, _, s, n, *_ in corpus()]
+    rows += [(None, sentence(rng, 40), None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    return [*rows, rows[20], rows[20], (rows[20][0], "quite another text", *rows[20][2:])]
+
+
+def key(r):
+    return str(tuple(r))
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    rows = stage_rows()
+    docs = spark.createDataFrame(rows, STAGE_ROWS).repartition(3)
+    labels = spark.createDataFrame([(3 * k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    for stage in list(stages.values())[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+    # 1: the rows at or over the threshold, as they are
+    sample = quality.labelled(docs, labels)
+    scores = quality.score(docs, quality.train(sample), keep=F.struct(*[docs[c] for c in docs.columns])).collect()
+    bar = quality.threshold(quality.cross_scores(sample), corpus_pipeline.LOSE)
+    got = stages["quality_classifier"](spark, docs, str(tmp_path)).collect()
+    assert sorted(map(key, got)) == sorted(key(r.keep) for r in scores if r.score >= bar) and 0 <= bar <= 0.5
+
+    # 2: the first document of each component
+    want = brute_components([r for r in rows if r[0] is not None and r[1] != "quite another text"], 5, 80, 100)
+    stay = {i for i, (_, c) in want.items() if i == c}
+    got = stages["ngram_jaccard_join"](spark, docs, str(tmp_path)).collect()
+    assert sorted(map(key, got)) == sorted(key(r) for r in docs.collect() if r.doc_id is None or r.doc_id in stay)
+
+    # 3: texts without words that an earlier run of 20 covers; rows of one id and other texts follow the greatest
+    plain = [r for r in rows if r[1] != "quite another text"]
+    clean = spark.createDataFrame(plain, STAGE_ROWS)
+    seen, out, by_id = {}, [], {}
+    for i, t in sorted({(r[0], r[1]) for r in plain if r[0] is not None}, key=lambda x: x[0]):
+        words, gone = WORD.findall(t or ""), set()
+        for p in range(len(words) - 19):
+            if seen.setdefault(tuple(words[p : p + 20]), (i, p)) != (i, p):
+                gone.update(range(p, p + 20))
+        by_id[i] = t if not gone else " ".join(w for k, w in enumerate(words) if k not in gone)
+    for r in plain:
+        left = r[1] if r[0] is None else by_id[r[0]]
+        if left or not WORD.findall(r[1] or ""):
+            out.append((r[0], left, None if left is None else len(left)))
+    got = stages["substring_dedup"](spark, clean, str(tmp_path)).collect()
+    assert sorted(str((r.doc_id, r.text, r.n_chars)) for r in got) == sorted(map(str, out))
+    assert {r.maybe for r in got} == {"m", None} and {r.kept for r in got} == {"k", None}
+
+    # 4: the counts that the rates give, by hand
+    rates = {r.source: r.rate for r in mixing.rates(docs, None, 0.5, "source", "text").collect()}
+    want = []
+    for r in docs.collect():
+        u = int(hashlib.md5(f"0:{'' if r.doc_id is None else r.doc_id}:1".encode()).hexdigest()[:13], 16) / (1 << 52)
+        k, p = 0, np.exp(-rates[r.source])
+        total = p
+        while total <= u:
+            k += 1
+            p *= rates[r.source] / k
+            total += p
+        want += [key(r)] * k
+    got = stages["mix_sources"](spark, docs, str(tmp_path)).collect()
+    assert sorted(map(key, got)) == sorted(want) and max(rates.values()) < 200
+
+
 def test_pipeline_stages_keep_what_is_clean(spark):
     sf = "/root/testdata/sf0.001"
     start = docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -400,3 +471,201 @@ def test_pipeline_stages_keep_what_is_clean(spark):
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), start.schema)
         assert docs.columns == start.columns and docs.count() > 0, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_any_stretch_of_ids_is_read_alone(spark, docs, rows, ids, tmp_path, monkeypatch):
+    monkeypatch.setattr(repair, "SHARD_IDS", 700)
+    path = f"{tmp_path}/files"
+    repair.write_token_files(docs, path, tokenids.vocabulary_path())
+    whole = [i for _, t, *_ in rows for i in ids(t)]
+    rng = random.Random(3)
+    asked = [(f"r{k}", a, min(len(whole), a + rng.randrange(1, 2000))) for k, a in enumerate(rng.randrange(len(whole)) for _ in range(20))] + [("none", 5, 5), ("all", 0, len(whole))]
+    found = {}
+    for r in repair.read_ranges(spark, path, spark.createDataFrame(asked, "name string, start long, stop long")).collect():
+        found.setdefault(r.name, []).append((r.at, r.ids))
+    for name, a, b in asked:
+        assert np.frombuffer(b"".join(x for _, x in sorted(found.get(name, []))), "<u4").tolist() == whole[a:b]
+
+
+def test_ids_are_the_librarys(ids):
+    """Runs of white space, blank lines, blanks outside ASCII, special tokens and long texts, whatever stands beside them."""
+    rng = random.Random(1)
+    signs = [" ", "  ", "\n", "\n\n", "\t", "\u00a0", "\u3000", "\u2003", "\x1c", "\x85", "\u180e", "\u200b", "\ufeff", "a", "K", "'s", "'", "!", "<|endoftext|>", "é", "漢字", "7", "12", ".", "-", "\r\n", "\0", "🙂"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(0, 14))) for _ in range(5000)]
+    texts += ["First paragraph.\n\nSecond paragraph.", "a\n\nK", "x:\n\n- item", " ", "", "w" * 300_000, sentence(rng, 400_000)]
+    coder = tokenids.encoder(tokenids.vocabulary_path())
+    for at in range(0, len(texts), 50):
+        got = coder.ids(texts[at : at + 50])
+        for t, g in zip(texts[at : at + 50], got, strict=True):
+            assert [*np.frombuffer(g, "<u4").tolist(), 0] == ids(t), t[:80]
+
+
+def plain_features(text):
+    """The features of one text as {place: value}, word by word."""
+    from ledgerloom.llm.wordhash import mix64, span_hashes
+
+    def hashed(b):
+        return int(span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0])
+
+    def mixed(v):
+        return int(mix64(np.array([v & (1 << 64) - 1], dtype=np.uint64))[0])
+
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|([!-/:-@[-`{-~\x00-\x08\x0e-\x1f\x7f])\1*", text) and [m.group(0) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+|([!-/:-@[-`{-~\x00-\x08\x0e-\x1f\x7f])\1*", text)]
+    sign = [not re.match(rb"[0-9A-Za-z\x80-\xff]", w) for w in words]
+    loud = [len(w) > 1 and w.isalpha() and w.isupper() and all(c < 128 for c in w) for w in words]
+    h = [hashed((w[:3] if s else w).lower() if all(c < 128 for c in w) else bytes(c + 32 if 65 <= c <= 90 else c for c in w)) for w, s in zip(words, sign)]
+    shape = [x if s else 1 if u else 2 for x, s, u in zip(h, sign, loud)]
+    keys = set(h)
+    keys |= {mixed(a * 0x9E3779B97F4A7C15 + b) for a, b in zip(h, h[1:])} | {mixed(a * 0xD6E8FEB86659FD93 + b + 7) for a, b in zip(shape, shape[1:])}
+    places = {k >> 64 - quality.BITS for k in keys}
+    n, size = max(1, len(words)), max(1, len(text))
+    distinct = len({x >> 24 for x in h}) / n
+    extra = [1, distinct, sum(sign) / n, sum(loud) / n, np.log1p(size) / 10, np.log1p(n) / 10, distinct**2, sum(65 <= c <= 90 for c in text) / size]
+    return {p: len(places) ** -0.5 for p in places} | {(1 << quality.BITS) + k: v for k, v in enumerate(extra)}
+
+
+def test_features_and_updates_against_plain_versions():
+    rng = random.Random(9)
+    texts = [t.encode() for t in ["", "a", "WOW such WOW!!!! é É ok", "x,,, y -- Z9 $$$$$ $$", sentence(rng, 60), sentence(rng, 25).upper()]]
+    offsets = np.cumsum([0, *map(len, texts)])
+    i, x, first = quality.features(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    made = [dict(zip(i[a:b].tolist(), x[a:b].tolist())) for a, b in zip(first, first[1:])]
+    for got, t in zip(made, texts):
+        want = plain_features(t)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    labels = [1, 0, 1, 0, 1, 0]
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[k] - np.sign(z[k]) * quality.L1) / ((quality.BETA + n[k] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for f, y in zip(made, labels):
+            p = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in f.items())))
+            step = {k: ((p - y) * v, weight(k)) for k, v in f.items()}
+            for k, (g, w) in step.items():
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / quality.ALPHA * w
+                n[k] = n.get(k, 0.0) + g * g
+    got = quality.ftrl([(i[a:b], x[a:b]) for a, b in zip(first, first[1:])], np.array(labels))
+    assert np.count_nonzero(got) > 50 and all(abs(got[k] - weight(k)) < 1e-5 for k in z)
+
+
+AWKWARD = "doc_id long, text string, block string, __block string, `n words` int"
+
+
+def awkward(spark, n=600):
+    """Null and repeated ids, one id far from all others, a third of the rows without an id."""
+    rng = random.Random(12)
+    ids = [None if k % 3 == 0 else k // 2 if k % 5 == 0 else k for k in range(n - 1)] + [1 << 62]
+    return spark.createDataFrame([(i, sentence(rng, rng.randrange(0, 9)), "b", "c", 1) for i in ids], AWKWARD).repartition(4)
+
+
+def test_numbers_follow_the_key_whatever_its_values(spark):
+    df = awkward(spark)
+    got = common.numbered(df, "doc_id", [F.col("text")], "number", rows_per_block=20).collect()
+    assert sorted(r.number for r in got) == list(range(600)) and got[0].asDict().keys() == {*df.columns, "number"}
+    ordered = [r.doc_id for r in sorted(got, key=lambda r: r.number)]
+    assert ordered == [None] * 200 + sorted(i for i in ordered if i is not None)
+    sizes = df.withColumn("b", common.block_of(df, "doc_id", F.col("text"), 20)).groupBy("b").count().collect()
+    assert max(r["count"] for r in sizes) < 60 and len(sizes) > 15
+
+
+def test_next_document_with_awkward_ids(spark):
+    df = awkward(spark).select("doc_id", "text")
+    got = fingerprints.with_next(df, "doc_id", "text", lambda d: d, ["doc_id", "text"], rows_per_block=20).collect()
+    assert len(got) == 600
+    known = sorted((r.doc_id, r.text, r.next.doc_id) for r in got if r.doc_id is not None)
+    ids = [i for i, *_ in known]
+    for k, (i, _, after) in enumerate(known[:-1]):
+        assert after in (i, ids[k + 1]) or after == min(j for j in ids if j > i)
+    assert known[-1][2] is None and sum(r.next.doc_id is None for r in got) == 200
+    alone = fingerprints.with_next(df.where("doc_id = 1"), "doc_id", "text", lambda d: d, ["doc_id"]).collect()
+    assert [r.next.doc_id for r in alone] == [1]
+
+
+def plain_permutation(number, n, seed):
+    """The Feistel walk of one row number in plain Python."""
+    import math
+
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+
+    def once(p):
+        left, right = divmod(p, b)
+        for turn in range(sharding.ROUNDS):
+            key = (turn * 104729 + (seed * 7919) % 2147483647) % 2147483647
+            x = ((right if turn % 2 == 0 else left) % 2147483647 * 48271 + key) % 2147483647
+            x = (x ^ x >> 15) * 40503 % 2147483647
+            x ^= x >> 13
+            left, right = ((left + x) % a, right) if turn % 2 == 0 else (left, (right + x) % b)
+        return left * b + right
+
+    p = once(number)
+    while p >= n:
+        p = once(p)
+    return p
+
+
+def test_shard_and_slot_can_be_computed_alone(spark):
+    df = awkward(spark).withColumn("shard", F.lit("x"))
+    got = sharding.shard(df, 7, "doc_id", [F.col("text")], seed=5).collect()
+    numbers = {p % 7 * 1000 + p // 7 for p in (plain_permutation(k, 600, 5) for k in range(600))}
+    assert {r["shard"] * 1000 + r["slot"] for r in got} == numbers and got[0]["block"] == "b" and len(got) == 600
+    largest = next(r for r in got if r.doc_id == 1 << 62)
+    assert divmod(plain_permutation(599, 600, 5), 7) == (largest["slot"], largest["shard"])
+
+
+def plain_sketch(spark, text):
+    """Closed syncmers of one text in plain Python, with Spark's hash of single values looked up."""
+    units = re.findall(r"\S{1,4}", text)
+    h = [r[0] for r in spark.createDataFrame([(u,) for u in units], "u string").select(F.xxhash64("u")).collect()] if units else []
+
+    def pairs(values):
+        return [r[0] for r in spark.createDataFrame(values, "a long, b long").select(F.xxhash64("a", "b")).collect()] if values else []
+
+    inner = pairs([(h[i], h[i + 1]) for i in range(len(h) - 1)]) if len(h) >= 4 else []
+    if len(inner) >= 3:
+        spots = [i for i in range(len(inner) - 2) if min(inner[i : i + 3]) != inner[i + 1] or inner[i + 1] in (inner[i], inner[i + 2])]
+        anchors = pairs([(inner[i], inner[i + 2]) for i in spots])
+    else:
+        anchors = h
+    return sorted(set(anchors))[: fingerprints.SKETCH]
+
+
+def test_fingerprints_and_likeness_by_hand(spark):
+    rng = random.Random(4)
+    texts = ["", "a", "ab cd", "one two three", sentence(rng, 30), sentence(rng, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(df).collect()}
+    sketches = [plain_sketch(spark, t) for t in texts]
+    for k, s in enumerate(sketches):
+        assert got[k].fingerprint == "".join(f"{h & (1 << 64) - 1:016X}" for h in s)
+        after = sketches[(k + 1) % len(texts)]
+        either = sorted({*s, *after})[: fingerprints.SKETCH]
+        want = len({*s} & {*after} & {*either}) / len(either) if either else 1
+        assert abs(got[k].near_next - want) < 1e-12
+
+
+def test_top_k_is_exact_at_any_size(spark):
+    rng = np.random.default_rng(3)
+    big = [(i, [int(v) for v in rng.integers(-(1 << 30), 1 << 30, 6)]) for i in range(60)] + [(60, [5, 5]), (61, []), (7, [1 << 30] * 6)]
+    df = spark.createDataFrame(big, "vec_id long, x array<long>")
+    got = [tuple(r) for r in topk.top_k(df.where("vec_id % 20 = 0"), df, 4).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, x in big:
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in big if i != q)[:4]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_top_k_stops_reading_where_scores_are_peaked():
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.normal(size=(2000, 16)) ** 7 * 5)
+    left, read = topk.candidates_left(x[:64], np.arange(64), x, np.arange(2000), 5)
+    full = x[:64] @ x.T
+    np.fill_diagonal(full, -np.inf)
+    assert all(left[q][np.argsort(-full[q])[:5]].all() for q in range(64)) and not left[np.arange(64), np.arange(64)].any()
+    assert read < 0.4 * 64 * x.size and left.sum() < 64 * 100

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-# The precomposed letters with marks and what they become.
-MARKED = "ÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚÝĂĐĨŨƠƯàáâãèéêìíòóôõùúýăđĩũơưçñöüäëïÇÑÖÜÄ"
-PLAIN = "AAAAEEEIIOOOOUUYADIUOUaaaaeeeiioooouuyadiuoucnouaeiCNOUA"
-# The forms of companies that say nothing about which company it is.
-LEGAL_FORMS = ["JOINT STOCK COMPANY", "CO LTD", "COMPANY", "GROUP", "BANK", "JSC", "LTD"]
+def _unmarked() -> dict[str, str]:
+    """Every precomposed Latin letter with marks and its plain letter, by the decomposition that Unicode states, and the stroked d."""
+    made = {"đ": "d", "Đ": "D"}
+    for at in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        base = unicodedata.normalize("NFD", chr(at))
+        if len(base) > 1 and base[0].isascii() and all(unicodedata.combining(c) for c in base[1:]):
+            made[chr(at)] = base[0]
+    return made
+
+
+MARKED, PLAIN = ("".join(x) for x in zip(*_unmarked().items(), strict=True))
+# The forms of companies that say nothing about which company it is; phrases first.
+LEGAL_PHRASES = ["JOINT STOCK COMPANY", "CONG TY CO PHAN", "CONG TY TNHH MTV", "CONG TY TNHH", "CONG TY", "TAP DOAN", "CO PHAN", "CO LTD"]
+LEGAL_TOKENS = ["COMPANY", "GROUP", "BANK", "JSC", "LTD", "CTY", "TNHH", "CP", "MTV", "TM", "DV", "XNK"]
 
 
 def unmarked_upper(x: Column) -> Column:
-    return F.upper(F.translate(x, MARKED, PLAIN))
+    """Letters without marks, precomposed or not, in upper case."""
+    return F.upper(F.translate(F.regexp_replace(x, r"\p{M}", ""), MARKED, PLAIN))
 
 
 def bare_ref(x: Column) -> Column:
@@ -30,11 +42,18 @@ def refs_in(x: Column, pattern: str = r"([A-Z]{2,3}-?[0-9]{3,})") -> Column:
     return F.regexp_extract_all(x, F.lit(pattern), F.lit(1))
 
 
+def core_tokens(x: Column) -> Column:
+    """The words of a name without marks and without company forms, which go as whole words only."""
+    out = F.concat(F.lit(" "), F.regexp_replace(unmarked_upper(x), "[^A-Z0-9]+", " "), F.lit(" "))
+    for form in LEGAL_PHRASES:
+        out = F.regexp_replace(out, f" {form}(?= )", "")
+    return F.filter(F.split(F.trim(out), " +"), lambda w: (w != "") & ~w.isin(LEGAL_TOKENS))
+
+
 def core_name(x: Column) -> Column:
-    out = unmarked_upper(x)
-    for form in LEGAL_FORMS:
-        out = F.replace(out, F.lit(form), F.lit(""))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    """core_tokens in one string; a name of nothing but forms keeps all its words."""
+    kept = F.array_join(core_tokens(x), " ")
+    return F.when(kept == "", F.trim(F.regexp_replace(unmarked_upper(x), "[^A-Z0-9]+", " "))).otherwise(kept)
 
 
 def containment_bps(words: Column, whole: Column) -> Column:

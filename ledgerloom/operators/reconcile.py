@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.names import party_similarity
 from ledgerloom.plans.storage import stored, workspace
 
 BUCKET = 11_000
@@ -219,3 +220,17 @@ def composites(lines: DataFrame, invoices: DataFrame) -> DataFrame:
     as_invoices = free_lines.select(F.col("line_id").alias("invoice_id"), "customer", "amount")
     many = splits(as_lines, as_invoices).select(F.explode_outer("invoice_ids").alias("line_id"), F.col("line_id").alias("invoice_id"))
     return one.unionByName(many)
+
+
+def scored_band(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, seconds: int = 3 * DAY, floor: float = 0.85) -> DataFrame:
+    """Tier 2 with scores: for each line the best invoice in the band whose party is alike (`floor`) and whose score reaches it.
+
+    Half the score is the amount (1 if equal, 0.95 with a fee), two fifths the party, a tenth the date, which loses a tenth
+    over the band. Names are compared once for each distinct pair. Ties go to the smaller invoice.
+    """
+    met = band_edges(lines, invoices, most, seconds).join(lines.select("line_id", F.col("party").alias("paid_by")), "line_id").join(invoices.select("invoice_id", F.col("party").alias("billed")), "invoice_id")
+    alike = met.select("paid_by", "billed").distinct().withColumn("likeness", party_similarity(F.col("paid_by"), F.col("billed"))).where(F.col("likeness") >= floor)
+    score = 0.5 * F.when(F.col("fee") == 0, 1.0).otherwise(0.95) + 0.4 * F.col("likeness") + 0.1 * (1 - F.col("lag") / seconds * 0.1)
+    scored = met.join(alike, ["paid_by", "billed"]).withColumn("score", score).where(F.col("score") >= floor)
+    best = scored.groupBy("line_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "invoice_id", "score")).alias("b"))
+    return best.select("line_id", "b.invoice_id", "b.score")

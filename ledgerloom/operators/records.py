@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 
 def upsert(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of `held` with those of `new` put in their place or added; columns of `held`."""
+    """Rows of `held` with those of `new` put in their place or added, nulls included; columns of `held`."""
     values = [c for c in held.columns if c != key]
-    both = held.alias("h").join(new.alias("n"), key, "full")
-    return both.select(key, *[F.when(F.col(f"n.{values[0]}").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"h.{c}")).alias(c) for c in values])
+    old = held.select(key, F.struct(*values).alias("__old"))
+    both = old.join(new.select(key, F.struct(*values).alias("__new")), key, "full")
+    return both.select(key, F.coalesce("__new", "__old").alias("__row")).select(key, "__row.*")
+
+
+def insert_or_ignore(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """`held` and those rows of `new` whose key it lacks."""
+    return held.unionByName(new.join(held.select(key), key, "left_anti").select(*held.columns))
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

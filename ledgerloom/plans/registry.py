@@ -513,7 +513,7 @@ def _(spark, d):
 # --- scalar functions ---------------------------------------------------------------------------------------------------------------
 
 
-@query("txt_core_names", f"SELECT s_suppkey, upper(translate(s_name, '{T.MARKED}', '{T.PLAIN}')) AS core FROM supplier")
+@query("txt_core_names", "SELECT s_suppkey, trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) AS core FROM supplier")
 def _(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", T.core_name(F.col("s_name")).alias("core"))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANONICAL = ["file", "row_id", "ref_code", "posting_type", "amount", "narration", "value_date"]
+from ledgerloom.functions.money import parse_amount
+
+CANONICAL = ["file", "row_id", "ref_code", "posting_type", "amount", "balance_after", "narration", "value_date"]
 
 
 def container_format(name: Column, content: Column) -> Column:
@@ -33,48 +35,122 @@ def delimiter(content: Column) -> Column:
     return out
 
 
-def amount(text: Column) -> Column:
-    """Whole minor units from text with thousand dots or commas; brackets or a leading minus are negative, rubbish is null."""
-    bare = F.regexp_replace(text, r"[\s.,()+-]", "")
-    value = bare.try_cast("long")
-    return F.when(text.rlike(r"^\s*(\(|-)"), -value).otherwise(value)
+DELIMITERS = (";", "\t", "|", ",")
+
+
+def quoted_cells(line: Column, delimiter: Column) -> Column:
+    """The cells of a line, cut at the delimiter outside double quotes; quotes around a cell go and doubled ones in it are one."""
+    out = F.array().cast("array<string>")
+    for d in DELIMITERS:
+        found = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(rf'\Q{d}\E((?:\s*"(?:[^"]|"")*"\s*)?[^\Q{d}\E]*)'), F.lit(1))
+        out = F.when(delimiter == d, found).otherwise(out)
+    bare = F.transform(out, lambda c: F.trim(c))
+    return F.transform(bare, lambda c: F.when(c.rlike('(?s)^".*"$') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def quoted_delimiter(content: Column, lines: int = 15) -> Column:
+    """The delimiter that most evenly cuts the first lines: its count outside quotes, times the share of lines that have it, times one and how even they are."""
+    first = F.filter(F.slice(F.split(content, "\r?\n"), 1, lines), lambda x: F.trim(x) != "")
+    bare = F.transform(first, lambda x: F.regexp_replace(x, '"(?:[^"]|"")*"', ""))
+    def score(d: str) -> Column:
+        counts = F.transform(bare, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d))))
+        having = F.filter(counts, lambda n: n > 0)
+        usual = F.size(F.filter(having, lambda n: n == F.element_at(having, 1)))
+        total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
+        return F.when(F.size(having) > 0, total * (F.size(having) / F.size(bare)) * (1 + usual / F.size(having))).otherwise(F.lit(0.0))
+
+    best, most = F.lit(","), F.lit(0.0)
+    for d in reversed(DELIMITERS):
+        best, most = F.when((score(d) >= most) & (score(d) > 0), F.lit(d)).otherwise(best), F.greatest(score(d), most)
+    return best
+
+
+def metadata(files: DataFrame, patterns: dict[str, str], first_lines: int = 20) -> DataFrame:
+    """(file, a column for each pattern): the first group of each pattern in the first lines, or null."""
+    head = F.array_join(F.slice(F.split("content", "\r?\n"), 1, first_lines), "\n")
+    return files.select("file", *[F.nullif(F.trim(F.regexp_extract(head, p, 1)), F.lit("")).alias(name) for name, p in patterns.items()])
+
+
+def signature_scores(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """(file, bank, score): 5 for the bank's mark in the file name and 1 for each keyword in the first 8 KiB; the best bank, ties to the first name.
+
+    `rules` has (bank, mark, keywords); a handful of rows, broadcast.
+    """
+    head, name = F.upper(F.substring("content", 1, 8192)), F.upper("file")
+    score = F.when(F.contains(name, F.upper("mark")), 5).otherwise(0) + F.size(F.filter("keywords", lambda k: F.contains(head, F.upper(k))))
+    met = files.crossJoin(F.broadcast(rules)).select("file", "bank", score.alias("score")).where("score > 0")
+    return met.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "bank")).alias("b")).select("file", "b.bank", (-F.col("b.s")).alias("score"))
+
+
+# What begins a line of totals.
+TOTALS = r"(?i)^\s*(tổng|tong|cộng|cong phat sinh|total|sum|số dư cuối)"
 
 
-def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3) -> DataFrame:
+def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, places: int = 0, stop: str = TOTALS) -> DataFrame:
     """Canonical rows from (file, content): the header is the first line with at least `least` known column names.
 
-    `aliases` maps ref, debit, credit, narration and date to the names a header may use. Lines after it are cut
-    with the file's delimiter; lines without an amount continue the narration of the row before them.
+    `aliases` maps ref, debit, credit, narration and date, or `amount` for one signed column, to the names a header may use. Lines
+    after the header up to the first whose first filled cell matches `stop` are cut with the file's delimiter, quotes respected; lines
+    without an amount continue the narration of the row before them. Amounts have `places` digits of minor units.
     """
     known = F.array(*[F.lit(a.lower()) for names in aliases.values() for a in names])
-    text = F.regexp_replace("content", "^﻿", "")
+    text = F.regexp_replace("content", "^\ufeff", "")
     # the delimiter is found before the lines are dealt out, or each line would carry its whole file along
     sources = files.select("file", delimiter(text).alias("d"), text.alias("text"))
     lines = sources.select("file", "d", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line"))
-    cells = lines.withColumn("cells", F.transform(F.split("line", F.concat(F.lit("\\Q"), F.col("d"), F.lit("\\E"))), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))))
+    cells = lines.withColumn("cells", quoted_cells(F.col("line"), F.col("d")))
     header = cells.where(F.size(F.array_intersect(F.transform("cells", F.lower), known)) >= least).groupBy("file").agg(F.min(F.struct("line_no", "cells")).alias("h"))
     rows = cells.join(header.select("file", F.col("h.line_no").alias("at"), F.transform("h.cells", F.lower).alias("names")), "file").where("line_no > at")
+    order = Window.partitionBy("file").orderBy("line_no")
+    ended = F.coalesce(F.get(F.filter("cells", lambda c: c != ""), F.lit(0)).rlike(stop), F.lit(False))
+    rows = rows.withColumn("over", F.max(ended).over(order)).where("NOT over")
 
     def cell(what: str) -> Column:
-        return F.coalesce(*[F.get("cells", F.nullif(F.array_position("names", F.lit(n.lower())), F.lit(0)).cast("int") - 1) for n in aliases[what]])
+        spots = [F.get("cells", F.nullif(F.array_position("names", F.lit(n.lower())), F.lit(0)).cast("int") - 1) for n in aliases.get(what, [])]
+        return F.coalesce(*spots) if spots else F.lit(None).cast("string")
+
+    def money(what: str) -> Column:
+        return F.when(cell(what).rlike("[0-9]") & ~cell(what).rlike(r"[\p{L}&&[^VNDCR]]"), parse_amount(cell(what), places))
 
-    debit, credit = amount(cell("debit")), amount(cell("credit"))
+    signed = money("amount")
+    debit, credit = F.coalesce(money("debit"), F.when(signed < 0, -signed)), F.coalesce(money("credit"), F.when(signed > 0, signed))
     kind = F.when(F.coalesce(credit, F.lit(0)) != 0, "credit").otherwise("debit")
     value = F.abs(F.when(kind == "credit", credit).otherwise(debit))
     begins = debit.isNotNull() | credit.isNotNull()
     solid = F.array_join(F.filter("cells", lambda c: c != ""), " ")
     part = F.when(begins, cell("narration")).otherwise(F.coalesce(F.nullif(cell("narration"), F.lit("")), solid))
-    head = F.struct(F.col("line_no").cast("long").alias("row_id"), cell("ref").alias("ref_code"), kind.alias("posting_type"), value.alias("amount"), cell("date").alias("value_date"))
-    entry = F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    balance = money("balance")
+    head = F.struct(F.col("line_no").cast("long").alias("row_id"), cell("ref").alias("ref_code"), kind.alias("posting_type"), value.alias("amount"), balance.alias("balance_after"), cell("date").alias("value_date"))
+    entry = F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(order)
     parsed = rows.select("file", "line_no", entry.alias("entry"), head.alias("head"), part.alias("part")).where("entry IS NOT NULL")
     joined = parsed.groupBy("file", "entry").agg(
         F.min_by("head", "line_no").alias("h"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("line_no", "part")))), lambda x: x["part"]), " ").alias("narration"),
     )
-    return joined.where("h.amount > 0").select("file", "h.row_id", "h.ref_code", "h.posting_type", "h.amount", "narration", "h.value_date")
+    return joined.where("h.amount > 0").select("file", "h.row_id", "h.ref_code", "h.posting_type", "h.amount", "h.balance_after", "narration", "h.value_date")
+
+
+def ledger_text(files: DataFrame, aliases: dict[str, list[str]], places: int = 0) -> DataFrame:
+    """(file, row_id, doc_no, entry_type, amount, date, partner): receivables are CREDIT and payables DEBIT entries of a ledger in the form of `delimited`."""
+    rows = delimited(files, {"ref": aliases["doc_no"], "credit": aliases["receivable"], "debit": aliases["payable"], "narration": aliases["partner"], "date": aliases["date"]}, places=places)
+    return rows.select("file", "row_id", F.col("ref_code").alias("doc_no"), F.upper("posting_type").alias("entry_type"), "amount", F.col("value_date").alias("date"), F.col("narration").alias("partner"))
+
+
+def fixed_point(text: Column, places: int) -> Column:
+    """Minor units from digits with an optional decimal dot or comma."""
+    return parse_amount(F.translate(text, ",", "."), places, "none", ".")
+
 
+def mt940_balances(files: DataFrame, places: int = 0) -> DataFrame:
+    """(file, account, opening, closing) from :25:, :60F: or :60M:, and :62F: or :62M:; a debit balance is negative."""
+    def balance(tag: str) -> Column:
+        kind, text = (F.regexp_extract("content", rf"(?m)^:{tag}[FM]:([CD])\d{{6}}[A-Z]{{3}}([0-9,]+)", g) for g in (1, 2))
+        return F.when(text != "", F.when(kind == "D", -fixed_point(text, places)).otherwise(fixed_point(text, places)))
 
-def mt940(files: DataFrame) -> DataFrame:
+    return files.select("file", F.nullif(F.trim(F.regexp_extract("content", r"(?m)^:25:(.*)$", 1)), F.lit("")).alias("account"), balance("60").alias("opening"), balance("62").alias("closing"))
+
+
+def mt940(files: DataFrame, places: int = 0) -> DataFrame:
     """Canonical rows from (file, content): a :61: line, and the :86: lines up to the next tag as its narration."""
     lines = files.select("file", F.posexplode(F.split("content", "\r?\n")).alias("line_no", "line"))
     order = Window.partitionBy("file").orderBy("line_no")
@@ -92,15 +168,28 @@ def mt940(files: DataFrame) -> DataFrame:
         F.col("entry").cast("long").alias("row_id"),
         F.trim(F.regexp_extract("head", pattern, 6)).alias("ref_code"),
         F.when(F.regexp_extract("head", pattern, 3).endswith("C"), "credit").otherwise("debit").alias("posting_type"),
-        F.regexp_extract("head", pattern, 4).try_cast("long").alias("amount"),
+        fixed_point(F.concat(F.regexp_extract("head", pattern, 4), F.lit("."), F.regexp_extract("head", pattern, 5)), places).alias("amount"),
         "narration",
         F.concat(F.lit("20"), F.regexp_extract("head", pattern, 1)).alias("value_date"),
     )
 
 
-def camt053(files: DataFrame) -> DataFrame:
+def camt053_balances(files: DataFrame, places: int = 0) -> DataFrame:
+    """(file, account, opening, closing) from the balances with codes OPBD or PRCD and CLBD or ITBD; a debit balance is negative."""
+    parts = F.regexp_extract_all("content", F.lit(r"(?s)<Bal(?:\s[^>]*)?>(.*?)</Bal>"), F.lit(1))
+
+    def balance(codes: str) -> Column:
+        mine = F.get(F.filter(parts, lambda b: b.rlike(rf"<Cd>\s*({codes})\s*</Cd>")), F.lit(0))
+        value = fixed_point(F.regexp_extract(mine, r"<Amt[^>]*>\s*([0-9.]+)", 1), places)
+        return F.when(mine.isNotNull(), F.when(mine.rlike(r"<CdtDbtInd>\s*DBIT"), -value).otherwise(value))
+
+    account = F.regexp_extract("content", r"(?s)<Acct(?:\s[^>]*)?>.*?<(?:IBAN|Id)>\s*([^<\s][^<]*)<", 1)
+    return files.select("file", F.nullif(F.trim(account), F.lit("")).alias("account"), balance("OPBD|PRCD").alias("opening"), balance("CLBD|ITBD").alias("closing"))
+
+
+def camt053(files: DataFrame, places: int = 0) -> DataFrame:
     """Canonical rows from (file, content): one for each Ntry element."""
-    entries = files.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<Ntry>(.*?)</Ntry>"), F.lit(1))).alias("at", "e"))
+    entries = files.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)<Ntry(?:\s[^>]*)?>(.*?)</Ntry>"), F.lit(1))).alias("at", "e"))
 
     def inner(name: str) -> Column:
         return F.regexp_extract("e", rf"(?s)<{name}[^>]*>([^<]*)</{name}>", 1)
@@ -110,7 +199,7 @@ def camt053(files: DataFrame) -> DataFrame:
         (F.col("at") + 1).cast("long").alias("row_id"),
         inner("NtryRef").alias("ref_code"),
         F.when(inner("CdtDbtInd") == "CRDT", "credit").otherwise("debit").alias("posting_type"),
-        F.regexp_extract(inner("Amt"), r"^([0-9]+)", 1).try_cast("long").alias("amount"),
+        fixed_point(F.trim(inner("Amt")), places).alias("amount"),
         inner("Ustrd").alias("narration"),
         inner("Dt").alias("value_date"),
     )

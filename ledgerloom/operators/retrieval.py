@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,98 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, steps: int = 3, dampin
         moved = p.where("p > 1e-7").join(shares, p["node"] == shares["source"]).groupBy(F.col("target").alias("node")).agg((F.sum(F.col("p") * F.col("share")) * damping).alias("m"))
         p = moved.join(start, "node", "full").select("node", (F.coalesce("m", F.lit(0.0)) + (1 - damping) * F.coalesce("s", F.lit(0.0))).alias("p"))
     return p.where("p > 1e-6").select("node", F.round("p", 6).alias("p"))
+
+
+def prefix_hits(docs: DataFrame, query: str) -> DataFrame:
+    """(doc_id) of the documents in which every term of the query begins some term; a query without terms finds nothing."""
+    asked = [t for t in re.split(r"[^\w]+", query.lower()) if t]
+    t = terms(F.coalesce("text", F.lit("")))
+    keep = F.lit(bool(asked))
+    for word in asked:
+        keep = keep & _begins(t, word)
+    return docs.where(keep).select("doc_id")
+
+
+def _begins(tokens: Column, word: str) -> Column:
+    return F.exists(tokens, lambda x: F.startswith(x, F.lit(word)))
+
+
+def two_stage(scored: DataFrame, key: str, rerank: Column, penalty: Column, k: int) -> DataFrame:
+    """(key, place): first the max(3 k, 10) best by `score`, all rows if fewer than that score above 0; these by `rerank`, and last by their
+    rank plus three times a penalty in [0, 1]; the first k. Ties keep the order before."""
+    wanted = max(3 * k, 10)
+    hits = scored.where("score > 0").limit(wanted).count()
+    first = scored if hits < wanted else scored.orderBy(F.col("score").desc(), key).limit(wanted)
+    again = first.withColumn("r1", rerank).withColumn("penalty", F.least(F.greatest(penalty, F.lit(0.0)), F.lit(1.0)))
+    # a penalty moves a row by three places at most, so what lies beyond k + 3 cannot come in
+    top = again.orderBy(F.col("r1").desc(), F.col("score").desc(), key).limit(k + 3)
+    ranked_ = top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("r1").desc(), F.col("score").desc(), key)) - 1)
+    mixed = ranked_.withColumn("mixed", F.col("rank") + 3 * F.col("penalty")).orderBy("mixed", "rank").limit(k)
+    return mixed.select(key, F.row_number().over(Window.orderBy("mixed", "rank")).alias("place"))
+
+
+def reinforced(memories: DataFrame, accesses: DataFrame, key: str) -> DataFrame:
+    """memories with access_count and last_ts brought up to date from an access log (key, ts)."""
+    seen = accesses.groupBy(key).agg(F.count("*").alias("__n"), F.max("ts").alias("__last"))
+    met = memories.join(seen, key, "left")
+    return met.withColumn("access_count", F.col("access_count") + F.coalesce("__n", F.lit(0))).withColumn("last_ts", F.greatest("last_ts", "__last")).drop("__n", "__last")
+
+
+def edge_upsert(edges: DataFrame, new: DataFrame, both_ways: bool = True) -> DataFrame:
+    """Edges (source, target, relation, weight, ts) with the latest weight of each (source, target, relation), new ones in both directions if asked."""
+    back = new.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation", "weight", "ts")
+    all_ = edges.unionByName(new.unionByName(back) if both_ways else new)
+    return all_.groupBy("source", "target", "relation").agg(F.max(F.struct("ts", "weight")).alias("e")).select("source", "target", "relation", "e.weight", "e.ts")
+
+
+def transition_shares(edges: DataFrame) -> DataFrame:
+    """(source, target, share): weights below 0 count 0, and a source whose weights add up to 0 goes to its targets alike."""
+    w = F.greatest("weight", F.lit(0.0))
+    sums = edges.groupBy("source").agg(F.sum(w).alias("total"), F.count("*").alias("n"))
+    return edges.join(sums, "source").select("source", "target", F.when(F.col("total") > 0, w / F.col("total")).otherwise(F.lit(1.0) / F.col("n")).alias("share"))
+
+
+def live_edges(edges: DataFrame) -> DataFrame:
+    """Edges that are not obsolete, in both directions."""
+    held = edges.where("obsolete = 0").select("source", "target", "weight")
+    return held.union(held.select("target", "source", "weight"))
+
+
+def recall_update(strength: Column, right: Column) -> Column:
+    """Memory strength after an answer: half as much again up to 10, or a fifth less down to 1."""
+    return F.when(right, F.least(strength * 1.5, F.lit(10.0))).otherwise(F.greatest(strength * 0.8, F.lit(1.0)))
+
+
+def due(now: Column, last: Column, strength: Column, interval: int) -> Column:
+    return now - last >= interval * strength
+
+
+def penalties(signals: DataFrame, kinds: dict[str, float], group: str) -> DataFrame:
+    """(group, penalty): t / (t + 2) of weights of kind times evidence (confirmed 1, refuted 0, else one half) over distinct merge keys and rows without one."""
+    weight = F.lit(0.0)
+    for kind, w in kinds.items():
+        weight = F.when(F.col("kind") == kind, F.lit(w)).otherwise(weight)
+    proof = F.when(F.col("evidence") == "confirmed", 1.0).when(F.col("evidence") == "refuted", 0.0).otherwise(0.5)
+    tally = signals.groupBy(group, "kind", "evidence").agg((F.count_distinct("merge_key") + F.count_if(F.col("merge_key").isNull())).alias("n"))
+    total = tally.groupBy(group).agg(F.sum(weight * proof * F.col("n")).alias("t"))
+    return total.select(group, F.round(F.when(F.col("t") > 0, F.col("t") / (F.col("t") + 2)).otherwise(0.0), 9).alias("penalty"))
+
+
+def tokens_per_second(tokens: Column, ms: Column) -> Column:
+    return F.when(ms > 0, F.round(tokens * 1000 / ms, 6)).otherwise(F.lit(0.0))
+
+
+def mean_pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors whose mask is 1, at length 1; zeros if there is none."""
+    pairs = F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda p: p["m"] == 1)
+    zero = F.transform(F.get(vectors, F.lit(0)), lambda _: F.lit(0.0))
+    total = F.aggregate(pairs, zero, lambda acc, p: F.zip_with(acc, p["v"], lambda x, y: x + y.cast("double")))
+    mean = F.transform(total, lambda x: x / F.greatest(F.size(pairs), F.lit(1)))
+    norm = F.sqrt(F.aggregate(mean, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.when(norm > 0, F.transform(mean, lambda x: x / norm)).otherwise(mean)
+
+
+def margins(vector: Column, one: Column, two: Column, least: float) -> tuple[Column, Column, Column]:
+    """(similarity to one, to two, class) of a unit vector and two unit centroids; a margin below `least` is UNSURE."""
+    a, b = dot(vector, one), dot(vector, two)
+    return a, b, F.when(F.abs(a - b) < least, "UNSURE").when(a > b, "ONE").otherwise("TWO")

@@ -1,7 +1,7 @@
 """Three-tier matching of bank lines (line_id, ref, customer, party, amount, ts) to invoices (invoice_id, doc_ref, ...).
 
-Tiers give candidate edges by joins; the walk in input order that picks one invoice for each line then runs inside the connected
-components of the edges, each small, so it is exact and distributed.
+Tiers give candidate edges by joins; the walk in input order that picks one invoice for each line then runs as rounds over those edges
+(see `assign`), so it is exact and distributed.
 """
 
 from __future__ import annotations
@@ -10,22 +10,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.names import party_similarity
+from ledgerloom.functions.names import narration_refs, party_similarity
+from ledgerloom.functions.text import doc_ref, unmarked_upper
 from ledgerloom.plans.storage import stored, workspace
 
 BUCKET = 11_000
 DAY = 86_400
 
 
-def plain_ref(ref: Column) -> Column:
-    """Letters and digits in upper case, without zeros after a known document prefix."""
-    return F.regexp_replace(F.regexp_replace(F.upper(ref), "[^A-Z0-9]", ""), "^(HD|INV)0+", "$1")
-
-
 def exact_edges(lines: DataFrame, invoices: DataFrame, seconds: int = DAY) -> DataFrame:
     """Tier 1: equal amount and reference, at most a day apart."""
-    left = lines.where("ref <> ''").withColumn("key", plain_ref(F.col("ref")))
-    right = invoices.select("invoice_id", F.col("amount").alias("inv_amount"), F.col("ts").alias("inv_ts"), plain_ref(F.col("doc_ref")).alias("key"))
+    left = lines.where("ref <> ''").withColumn("key", doc_ref(F.col("ref")))
+    right = invoices.select("invoice_id", F.col("amount").alias("inv_amount"), F.col("ts").alias("inv_ts"), doc_ref(F.col("doc_ref")).alias("key"))
     met = left.join(right, (left["key"] == right["key"]) & (left["amount"] == right["inv_amount"]))
     return met.where(F.abs(F.col("ts") - F.col("inv_ts")) <= seconds).select("line_id", "invoice_id")
 
@@ -91,11 +87,21 @@ def residual(rows: DataFrame, matched: DataFrame, key: str) -> DataFrame:
 
 
 def nearest(lines: DataFrame, invoices: DataFrame) -> DataFrame:
-    """For each line the invoice of the same customer with the nearest amount, ties to the smaller id."""
-    inv = invoices.select("customer", "invoice_id", F.col("amount").alias("inv_amount"))
-    met = lines.join(inv, "customer")
-    distance = F.abs(F.col("amount") - F.col("inv_amount"))
-    return met.groupBy("line_id").agg(F.min(F.struct(distance.alias("distance"), "invoice_id")).alias("m")).select("line_id", "m.invoice_id", "m.distance")
+    """For each line the invoice of the same customer with the nearest amount, ties to the smaller id.
+
+    Lines and the smallest invoice of each amount are sorted together by amount; the nearest are the last before and the first after.
+    """
+    inv = invoices.groupBy("customer", "amount").agg(F.min("invoice_id").alias("invoice_id"))
+    both = lines.select("customer", "amount", "line_id", F.lit(None).cast("struct<amount:bigint,id:bigint>").alias("i")).unionByName(inv.select("customer", "amount", F.lit(None).cast("long").alias("line_id"), F.struct("amount", F.col("invoice_id").alias("id")).alias("i")))
+    order = Window.partitionBy("customer").orderBy("amount")
+    below = F.last("i", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first("i", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+
+    def choice(c: Column) -> Column:
+        return F.when(c.isNotNull(), F.struct(F.abs(c["amount"] - F.col("amount")).alias("distance"), c["id"].alias("invoice_id")))
+
+    met = both.withColumn("m", F.least(choice(below), choice(above))).where("line_id IS NOT NULL AND m IS NOT NULL")
+    return met.select("line_id", "m.invoice_id", "m.distance")
 
 
 def pair_splits(lines: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -234,3 +240,50 @@ def scored_band(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, secon
     scored = met.join(alike, ["paid_by", "billed"]).withColumn("score", score).where(F.col("score") >= floor)
     best = scored.groupBy("line_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "invoice_id", "score")).alias("b"))
     return best.select("line_id", "b.invoice_id", "b.score")
+
+
+def cited(lines: DataFrame) -> DataFrame:
+    """lines with `keys`: the normal forms of their own reference and of all references in their narration."""
+    own = F.when(F.coalesce("ref", F.lit("")) != "", F.array(doc_ref(F.col("ref")))).otherwise(F.array().cast("array<string>"))
+    return lines.withColumn("keys", F.array_distinct(F.concat(own, F.transform(narration_refs(F.coalesce("narration", F.lit(""))), lambda r: doc_ref(r)))))
+
+
+def yearless(key: Column) -> Column:
+    """A normal reference without a year after its prefix and zeros behind that: HD20260088 is HD88."""
+    return F.regexp_replace(key, r"^([A-Z]+)20\d\d0*(\d+)$", "$1$2")
+
+
+def cited_edges(lines: DataFrame, entries: DataFrame, seconds: int = DAY, without_year: bool = False) -> DataFrame:
+    """(line_id, entry_id): equal amount and direction, a reference of the line's or of its narration's, and times at most `seconds` apart.
+
+    Lines have (line_id, ref, narration, direction, amount, ts), entries (entry_id, doc_no, direction, amount, ts). With `without_year`
+    references also agree without their year, and a common calendar day is near enough.
+    """
+    forms = (lambda k: F.array(k, yearless(k))) if without_year else (lambda k: F.array(k))
+    left = cited(lines).select("line_id", "direction", "amount", "ts", F.explode(F.array_distinct(F.flatten(F.transform("keys", forms)))).alias("key"))
+    right = entries.select("entry_id", "direction", "amount", F.col("ts").alias("e_ts"), F.explode(F.array_distinct(forms(doc_ref(F.col("doc_no"))))).alias("key")).where("key <> ''")
+    near = F.abs(F.col("ts") - F.col("e_ts")) <= seconds
+    if without_year:
+        near = near | (F.expr(f"ts DIV {DAY}") == F.expr(f"e_ts DIV {DAY}"))
+    return left.join(right, ["amount", "direction", "key"]).where(near).select("line_id", "entry_id").distinct()
+
+
+def remark_links(lines: DataFrame, entries: DataFrame) -> DataFrame:
+    """(line_id, entry_id, score): the entry that a narration most likely speaks of: 0.85 for its document number, 0.40 for the partner's whole name or
+    0.25 for two of its words; at most 0.99 and at least 0.50, ties to the smaller entry.
+
+    As the partner alone gives less than 0.50, only entries whose document number is cited are candidates.
+    """
+    left = cited(lines).select("line_id", F.explode("keys").alias("key"), F.lower(unmarked_upper(F.col("narration"))).alias("said"))
+    right = entries.select("entry_id", doc_ref(F.col("doc_no")).alias("key"), F.lower(unmarked_upper(F.col("partner"))).alias("who")).where("key <> ''")
+    met = left.join(right, "key").select("line_id", "entry_id", "said", "who").distinct()
+    telling = F.filter(F.split("who", r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin("cong", "ty"))
+    two = F.size(F.filter(telling, lambda w: F.contains(F.col("said"), w))) >= 2
+    score = F.least(F.lit(0.85) + F.when((F.col("who") != "") & F.contains("said", F.col("who")), 0.40).when(two, 0.25).otherwise(0.0), F.lit(0.99))
+    return met.withColumn("score", score).groupBy("line_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry_id")).alias("b")).select("line_id", "b.entry_id", (-F.col("b.s")).alias("score"))
+
+
+def settled(rows: DataFrame, matches: DataFrame, key: str) -> DataFrame:
+    """rows with status MATCHED where a match names their key, else what they had: a join instead of an update in place."""
+    taken = matches.select(key).distinct().withColumn("__taken", F.lit(True))
+    return rows.join(taken, key, "left").withColumn("status", F.when(F.col("__taken"), "MATCHED").otherwise(F.col("status"))).drop("__taken")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.storage import stored, workspace
+
 
 def upsert(held: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of `held` with those of `new` put in their place or added, nulls included; columns of `held`."""
@@ -87,12 +88,56 @@ def merkle_root(leaves: list[bytes]) -> str:
     return node(0, len(leaves)).hex()
 
 
-def merkle_roots(rows: DataFrame, group: str, order: str, leaf: str) -> DataFrame:
-    """One root for each group, such as a statement or a day; a group is as large as its audit unit."""
-
-    def root(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("o")
-        return pd.DataFrame({"g": [ordered.g.iloc[0]], "n": [len(ordered)], "root": [merkle_root([x.encode() for x in ordered.leaf])]})
+def merkle_levels(rows: DataFrame, group: str, order: str, leaf: str, path: str) -> list[DataFrame]:
+    """The trees of all groups, one stored table (g, at, h) a level: leaves first, then each pair's parent, a last single node going up as it is.
 
+    A level has half the rows of the one below, so a group of n leaves takes about log2(n) grouped joins and no group is ever in one place.
+    """
     slim = rows.select(F.col(group).cast("string").alias("g"), F.col(order).alias("o"), F.col(leaf).cast("string").alias("leaf"))
-    return slim.groupBy("g").applyInPandas(root, "g string, n long, root string")
+    at = F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long") - 1
+    hashed = F.unhex(F.sha2(F.concat(F.lit(bytes([0])), F.encode("leaf", "UTF-8")), 256))
+    levels = [stored(slim.select("g", at.alias("at"), hashed.alias("h")), f"{path}/level-0")]
+    while levels[-1].where("at > 0").limit(1).count():
+        low, high = F.max(F.when(F.col("at") % 2 == 0, F.col("h"))), F.max(F.when(F.col("at") % 2 == 1, F.col("h")))
+        pairs = levels[-1].groupBy("g", F.expr("at DIV 2").alias("at")).agg(low.alias("l"), high.alias("r"))
+        parent = F.unhex(F.sha2(F.concat(F.lit(bytes([1])), "l", "r"), 256))
+        levels.append(stored(pairs.select("g", "at", F.coalesce(parent, F.col("l")).alias("h")), f"{path}/level-{len(levels)}"))
+    return levels
+
+
+def merkle_roots(rows: DataFrame, group: str, order: str, leaf: str) -> DataFrame:
+    """(g, n, root): one root for each group, such as a statement or a day."""
+    levels = merkle_levels(rows, group, order, leaf, workspace(rows.sparkSession))
+    n = levels[0].groupBy("g").agg(F.count("*").alias("n"))
+    return n.join(levels[-1].select("g", F.lower(F.hex("h")).alias("root")), "g")
+
+
+def merkle_proofs(rows: DataFrame, group: str, order: str, leaf: str) -> DataFrame:
+    """(g, at, proof): for each leaf the hashes (level, side, h) that lead from it to the root; a level where a node goes up alone has none."""
+    levels = merkle_levels(rows, group, order, leaf, workspace(rows.sparkSession))
+    out = levels[0].select("g", "at", F.array().cast("array<struct<level:int,side:string,h:string>>").alias("proof"))
+    for k, nodes in enumerate(levels[:-1]):
+        spot = F.call_function("div", F.col("at"), F.lit(1 << k).cast("long"))
+        beside = F.when(spot % 2 == 0, spot + 1).otherwise(spot - 1)
+        held = nodes.select(F.col("g").alias("_g"), F.col("at").alias("_at"), F.lower(F.hex("h")).alias("_h"))
+        met = out.withColumn("_spot", spot).join(held, (F.col("g") == F.col("_g")) & (beside == F.col("_at")), "left")
+        step = F.struct(F.lit(k).alias("level"), F.when(F.col("_spot") % 2 == 0, "right").otherwise("left").alias("side"), F.col("_h").alias("h"))
+        out = met.select("g", "at", F.when(F.col("_h").isNotNull(), F.concat("proof", F.array(step))).otherwise(F.col("proof")).alias("proof"))
+    return out
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """HMAC of a binary column in lower-case hexadecimal, from two hashes."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))), 256)
+
+
+def chain_records(rows: DataFrame, key: bytes) -> DataFrame:
+    """rows (seq_id, prev_hash, ts, actor, event, payload, record_hash) with `sound`: whether the record hash is that of the row's own fields.
+
+    Together with `chain_breaks`, which compares prev_hash with the record before, a chain is verified.
+    """
+    digest = F.sha2(F.encode("payload", "UTF-8"), 256)
+    body = F.encode(F.concat("prev_hash", F.col("ts").cast("string"), "actor", "event", digest), "UTF-8")
+    return rows.withColumn("sound", F.col("record_hash") == hmac_sha256(key, body))

@@ -1,6 +1,6 @@
 """Surveillance rules over transactions (tx_id, account, amount, ts, is_credit, narration).
 
-Every window rule partitions by account and orders by (ts, tx_id), so one shuffle serves them all.
+Every window rule partitions by account and orders by ts. `enhanced_scores` computes those it needs in one pass over the accounts.
 """
 
 from __future__ import annotations
@@ -89,21 +89,42 @@ def mule_pairs(tx: DataFrame, floor: int = 2_000, seconds: int = HOUR, ratio_bps
     return met.groupBy("account", "in_id", "in_amount").agg(F.min_by("out_id", F.struct("out_ts", "out_id")).alias("out_id"))
 
 
-def median_and_mad(tx: DataFrame) -> DataFrame:
-    """Integer median and median absolute deviation of amounts; the middle pair's mean is cut off.
+def ranked_value(counts: DataFrame, value: str, rank: int, buckets: int = 1 << 14) -> int | None:
+    """The value at a 1-based rank of whole numbers given as (value, k), without one task that sees them all.
 
-    Ranks come from counts of distinct amounts, so the sorted window runs over those and not over rows.
+    The range that holds the rank is cut into equal buckets again and again, and only the bucket counts are looked at, until a bucket is one value.
     """
+    low, high = counts.agg(F.min(value), F.max(value)).first()
+    while low is not None and low < high:
+        width = (high - low) // buckets + 1
+        inside = counts.where(F.col(value).between(low, high)).groupBy(F.expr(f"({value} - ({low})) DIV {width}").alias("b")).agg(F.sum("k").alias("k"))
+        upto = F.sum("k").over(Window.orderBy("b"))  # at most `buckets` + 1 rows
+        hit = inside.withColumn("upto", upto).where(F.col("upto") >= rank).orderBy("b").first()
+        rank -= hit["upto"] - hit["k"]
+        low, high = low + hit["b"] * width, min(high, low + hit["b"] * width + width - 1)
+    return low
+
+
+def integer_median(rows: DataFrame, value: Column) -> int | None:
+    """The median of whole numbers; the middle pair's mean is cut off."""
+    # kept on executors between passes, and made again from its source where one is lost
+    counts = rows.groupBy(value.alias("v")).agg(F.count("*").alias("k")).persist()
+    n = counts.agg(F.sum("k")).first()[0]
+    if not n:
+        counts.unpersist()
+        return None
+    one = ranked_value(counts, "v", (n + 1) // 2)
+    two = one if n % 2 else ranked_value(counts, "v", n // 2 + 1)
+    counts.unpersist()
+    return int((one + two) / 2) if abs(one + two) < 1 << 53 else (one + two) // 2
 
-    def middle(df: DataFrame, value: str, name: str) -> DataFrame:
-        counts = df.groupBy(value).agg(F.count("*").alias("k"))
-        upto = counts.withColumn("upto", F.sum("k").over(Window.orderBy(value))).withColumn("n", F.sum("k").over(Window.partitionBy(F.lit(0))))
-        low, high = F.expr("(n + 1) DIV 2"), F.expr("n DIV 2 + 1")
-        return upto.agg(F.min(F.when(F.col("upto") >= low, F.col(value))).alias("low"), F.min(F.when(F.col("upto") >= high, F.col(value))).alias("high")).select(F.expr("(low + high) DIV 2").alias(name))
 
-    center = middle(tx, "amount", "median")
-    spread = tx.crossJoin(F.broadcast(center)).select(F.abs(F.col("amount") - F.col("median")).alias("dev"))
-    return center.crossJoin(middle(spread, "dev", "mad"))
+def median_and_mad(tx: DataFrame) -> DataFrame:
+    """One row of the integer median and median absolute deviation of amounts; no row for no amounts."""
+    rows = tx.select("amount").where("amount IS NOT NULL")
+    median = integer_median(rows, F.col("amount"))
+    made = [] if median is None else [(median, integer_median(rows, F.abs(F.col("amount") - median)))]
+    return tx.sparkSession.createDataFrame(made, "median long, mad long")
 
 
 def outliers(tx: DataFrame, limit_bps: int = 35_000) -> DataFrame:
@@ -118,21 +139,66 @@ def daily_structuring(tx: DataFrame, low: int = 2_000, high: int = 20_000, least
     return day.agg(F.count("*").alias("n"), F.sum("amount").alias("total")).where((F.col("n") >= least) & (F.col("total") >= high))
 
 
-def enhanced_scores(tx: DataFrame) -> DataFrame:
-    """Fused score in basis points: statutory hit, burst, surge, night amounts and outliers, each capped, at most 10000."""
-    statutory = statutory_screen(tx).groupBy("tx_id").agg(F.min("ordinal").alias("first_rule"))
+def enhanced_scores(tx: DataFrame, low: int = 2_000, high: int = 20_000) -> DataFrame:
+    """Fused score in basis points: statutory hit, burst, surge, night amounts and outliers, each capped, at most 10000.
+
+    All window flags come from one shuffle by account; only the inflows of transit pairs are joined to them.
+    """
+    by = Window.partitionBy("account").orderBy("ts")
+    exact, whole = Window.partitionBy("account").orderBy("ts", "tx_id"), Window.partitionBy("account")
+    part = (F.col("amount") >= low) & (F.col("amount") < high)
+    mid, dark = F.when(part, F.col("amount")), at_night(F.col("ts"))
+    near = F.least(F.col("ts") - F.lag("ts").over(exact), F.lead("ts").over(exact) - F.col("ts"))
     flags = (
-        tx.join(statutory, "tx_id", "left")
-        .join(bursts(tx).select("tx_id", F.lit(1).alias("burst")), "tx_id", "left")
-        .join(surges(tx).select("tx_id", F.lit(1).alias("surge")), "tx_id", "left")
-        .join(outliers(tx).select("tx_id", "z_bps"), "tx_id", "left")
+        tx.withColumn("gap", near)
+        .withColumn("hour_n", F.count("*").over(by.rangeBetween(-HOUR, 0)))
+        .withColumn("n", F.count(mid).over(by.rangeBetween(-DAY, 0)))
+        .withColumn("total", F.sum(mid).over(by.rangeBetween(-DAY, 0)))
+        .withColumn("surge", F.max("hour_n").over(by.rangeBetween(0, HOUR)) >= 3)
+        .withColumn("nights", F.struct(F.count(F.when(dark, 1)).over(whole).alias("n"), F.sum(F.when(dark, F.col("amount"))).over(whole).alias("total"), F.min(F.when(dark, F.struct("ts", "tx_id"))).over(whole).alias("first")))
     )
-    base = F.when(F.col("first_rule") == 1, 3500).when(F.col("first_rule") == 2, 2500).when(F.col("first_rule") == 3, 1500).when(F.col("first_rule") == 4, 500).otherwise(0)
-    speed = F.least(F.lit(2500), F.when(F.col("burst") == 1, 1500).otherwise(0) + F.when(F.col("surge") == 1, 2000).otherwise(0) + F.when(at_night(F.col("ts")) & (F.col("amount") >= 10_000), 2000).otherwise(0))
-    size = F.when(F.col("z_bps") > 70_000, 2500).when(F.col("z_bps").isNotNull(), 2000).otherwise(0)
+    mules = mule_pairs(tx).select(F.col("in_id").alias("tx_id"), F.lit(True).alias("mule")).distinct()
+    burst = F.coalesce(F.col("gap") < 60, F.lit(False))
+    structured = part & (F.col("n") >= 3) & (F.col("total") >= high)
+    first_dark = ((F.col("nights.n") >= 3) | (F.col("nights.total") >= 20_000)) & (F.col("nights.first.tx_id") == F.col("tx_id"))
+    base = F.when(F.col("amount") >= high, 3500).when(structured, 2500).when(F.col("mule"), 1500).when(first_dark, 500).otherwise(0)
+    speed = F.least(F.lit(2500), F.when(burst, 1500).otherwise(0) + F.when(F.col("surge"), 2000).otherwise(0) + F.when(dark & (F.col("amount") >= 10_000), 2000).otherwise(0))
+    z = F.expr("6745 * abs(amount - median) DIV greatest(1, mad)")
+    size = F.when(F.col("z_bps") > 70_000, 2500).when(F.col("z_bps") > 35_000, 2000).otherwise(0)
+    scored = flags.join(mules, "tx_id", "left").join(F.broadcast(median_and_mad(tx)), how="cross").withColumn("z_bps", z)
+    reasons = F.array_compact(F.array(F.when(base > 0, F.lit("statutory")), F.when(burst, F.lit("burst")), F.when(F.col("surge"), F.lit("surge")), F.when(F.col("z_bps") > 35_000, F.lit("outlier"))))
     score = F.least(F.lit(10_000), base + speed + size)
-    reasons = F.array_compact(F.array(F.when(base > 0, F.lit("statutory")), F.when(F.col("burst") == 1, F.lit("burst")), F.when(F.col("surge") == 1, F.lit("surge")), F.when(F.col("z_bps").isNotNull(), F.lit("outlier"))))
-    return flags.withColumn("score", score.cast("int")).where("score > 0").select("tx_id", "account", "score", F.array_join(reasons, ",").alias("reasons"))
+    return scored.select("tx_id", "account", score.cast("int").alias("score"), F.array_join(reasons, ",").alias("reasons")).where("score > 0")
+
+
+def risk_profile(score: Column) -> Column:
+    """The class of a fused score in basis points."""
+    return F.when(score >= 7_000, "CRITICAL").when(score >= 5_000, "HIGH").when(score >= 2_500, "MEDIUM").otherwise("LOW")
+
+
+def any_account_pairs(tx: DataFrame, floor: int = 2_000, seconds: int = 900, share: int = 95) -> DataFrame:
+    """Every (in_id, out_id): an outflow of at least `share` per cent of an inflow within `seconds`, on any account; the floor of the share is cut to whole units."""
+    bucket = F.expr(f"ts DIV {seconds}")
+    into = tx.where(F.col("is_credit") & (F.col("amount") >= floor)).select(F.col("tx_id").alias("in_id"), F.col("ts").alias("in_ts"), F.expr(f"amount * {share} DIV 100").alias("least"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    out = tx.where(~F.col("is_credit")).select(F.col("tx_id").alias("out_id"), F.col("ts").alias("out_ts"), F.col("amount").alias("out_amount"), bucket.alias("bucket"))
+    return into.join(out, "bucket").where((F.col("out_ts") >= F.col("in_ts")) & (F.col("out_ts") - F.col("in_ts") <= seconds) & (F.col("out_amount") >= F.col("least"))).select("in_id", "out_id")
+
+
+def plain_screen(tx: DataFrame, high: int = 20_000, critical: int = 30_000) -> DataFrame:
+    """(tx_id, rule, severity) of the other rule set: high value, forward structuring windows of 72 hours, and pass-through on any account, keyed on the outflow of each pair."""
+    value = tx.where(F.col("amount") >= high).select("tx_id", F.lit("HIGH_VALUE").alias("rule"), F.when(F.col("amount") >= critical, "CRITICAL").otherwise("HIGH").alias("severity"))
+    windows = forward_window(tx.where(F.col("amount") < high)).select("tx_id", F.lit("STRUCTURING"), F.lit("HIGH"))
+    through = any_account_pairs(tx).select(F.col("out_id"), F.lit("PASS_THROUGH"), F.lit("CRITICAL"))
+    return value.union(windows).union(through)
+
+
+def plain_report(alerts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """(key, alerts, risk_score, action) for every key: 40 for each critical and 20 for each high alert, at most 100."""
+    sums = alerts.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.when(F.col("severity") == "CRITICAL", 40).otherwise(20)).alias("s"), F.max(F.col("severity") == "CRITICAL").alias("any_critical"))
+    met = keys.join(sums, key, "left")
+    score = F.least(F.coalesce("s", F.lit(0)), F.lit(100)).cast("int")
+    action = F.when((score >= 70) | F.coalesce("any_critical", F.lit(False)), "FILE_REPORT").when(score >= 40, "COMPLIANCE_HOLD").when(F.col("n") > 0, "ENHANCED_DUE_DILIGENCE").otherwise("NORMAL")
+    return met.select(key, F.coalesce("n", F.lit(0).cast("long")).alias("alerts"), score.alias("risk_score"), action.alias("action"))
 
 
 def keyword_hits(tx: DataFrame, keywords: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 _CUT = re.compile("(?<=[^\\s\u180e\u200b\u2060\ufeff]) ")
 _BLANK_AFTER_BLANK = re.compile("[\\s\u180e\u200b\u2060\ufeff] ")
 #: Parts that a worker keeps at most.
-_MOST_KEPT = 1 << 19
+_MOST_KEPT = 1 << 18
 _encoders: dict[str, PartEncoder] = {}
 
 

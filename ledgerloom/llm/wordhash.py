@@ -33,7 +33,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept up to four million entries."""
+    """base**i and base**-i modulo 2**64 for i < n; kept up to a million entries."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
@@ -45,7 +45,7 @@ def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
                 filled *= 2
             made.append(out)
         have = (made[0], made[1])
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = have
     return have
 

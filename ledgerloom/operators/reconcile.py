@@ -6,7 +6,9 @@ Tiers give candidate edges by joins; the walk in input order that picks one invo
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,24 +194,42 @@ def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 10
     wanted = enough.select("customer", F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
     held = invoices.join(wanted.select("customer").distinct(), "customer", "left_semi").select("customer", F.col("invoice_id").alias("id"), "amount", F.lit(False).alias("is_line"))
 
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        free = {int(r.id): int(r.amount) for r in group[~group.is_line].itertuples()}
-        out = []
-        for line in group[group.is_line].sort_values("id").itertuples():
-            target, items = int(line.amount), list(free.items())
+    def solve(targets: list[tuple[int, int]], free: dict[int, int]) -> Iterator[tuple[int, list[int] | None, str]]:
+        for line, target in sorted(targets):
+            items = list(free.items())
             found, over = few_items(target, items), True
-            if not found and most > 3:
+            if not found and most > 3 and len(items) > 3:
                 found, over = search(target, items, most, steps)
-            if found:
-                for i in found:
-                    free.pop(i)
+            for i in found or []:
+                free.pop(i)
             if found or not over:
-                out.append((int(line.id), found, "SPLIT" if found else "EXHAUSTED"))
-        return pd.DataFrame(out, columns=["line_id", "invoice_ids", "status"])
+                yield line, found, "SPLIT" if found else "EXHAUSTED"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Customers stand together; one is held at a time."""
+        customer, targets, free = None, [], {}
+
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            lists = list(zip(*out, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lists, (pa.int64(), pa.list_(pa.int64()), pa.string()), strict=True)], ["line_id", "invoice_ids", "status"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for who, key, amount, is_line in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                if who != customer:
+                    out += solve(targets, free)
+                    customer, targets, free = who, [], {}
+                if is_line:
+                    targets.append((key, amount))
+                else:
+                    free[key] = amount
+            yield made(out)
+        yield made(list(solve(targets, free)))
 
     # a count of its own, as adaptive execution would put so few bytes into one task
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    searched = wanted.unionByName(held).repartition(tasks, "customer").groupBy("customer").applyInPandas(solve, "line_id long, invoice_ids array<long>, status string")
+    together = wanted.unionByName(held).select("customer", "id", "amount", "is_line").repartition(tasks, "customer").sortWithinPartitions("customer")
+    searched = together.mapInArrow(run, "line_id long, invoice_ids array<long>, status string")
     return settled.withColumn("status", F.lit("SPLIT")).unionByName(searched)
 
 

@@ -100,3 +100,18 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
+
+
+def positional_matches(docs: DataFrame, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, ref_doc, shift, n): n anchors of a document, `least` or more, stand in the same order and distance in an earlier one.
+
+    Each anchor is looked up under the first (doc_id, position) that has it; anchors that agree in document and shift, how many units later
+    they stand here, are counted. So every document meets the first place of each anchor only, however many share it. Rows without an id
+    take no part; of repeated ids all rows count together; an empty table gives no rows.
+    """
+    own = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    anchors = with_anchors(own, "text", "a").select("doc_id", F.inline(F.array_distinct("a")))
+    first = anchors.groupBy("hash").agg(F.min(F.struct("doc_id", "position")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("hash", "first")
+    met = anchors.join(first, "hash").where("doc_id > first.doc_id")
+    counted = met.groupBy("doc_id", F.col("first.doc_id").alias("ref_doc"), (F.col("position") - F.col("first.position")).alias("shift")).agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= least)

@@ -19,6 +19,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_places: dict[int, np.ndarray] = {}
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -97,12 +98,26 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return span_hashes(_LOWER[data] if lower else data, starts, ends), first
 
 
+def _coefficients(n: int) -> np.ndarray:
+    """n fixed random numbers, one for each place in a word; 65536 are kept, more are made for a longer word."""
+    held = _places.get(0)
+    if held is None:
+        held = _places[0] = mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(_BYTE_BASE))
+    return held[:n] if n <= len(held) else mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_BYTE_BASE))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span data[start:end]."""
-    up, down = _power_tables(_BYTE_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte span data[start:end]; spans ascend and have a byte at least.
+
+    A byte is multiplied by a random number of its place, so that no family of texts is known whose hashes agree.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    size = ends - starts
+    upto = np.cumsum(size)
+    place = np.arange(int(upto[-1])) - np.repeat(upto - size, size)
+    held = (data[place + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)) * _coefficients(int(size.max()))[place]
+    return mix64(np.add.reduceat(held, upto - size) + size.astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -669,3 +669,24 @@ def test_top_k_stops_reading_where_scores_are_peaked():
     np.fill_diagonal(full, -np.inf)
     assert all(left[q][np.argsort(-full[q])[:5]].all() for q in range(64)) and not left[np.arange(64), np.arange(64)].any()
     assert read < 0.4 * 64 * x.size and left.sum() < 64 * 100
+
+
+def test_anchors_match_by_position(spark):
+    rng = random.Random(6)
+    shared, other = sentence(rng, 80), sentence(rng, 80)
+    texts = [(1, shared), (2, sentence(rng, 12) + " " + shared), (3, other), (4, sentence(rng, 90)), (None, shared), (5, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = fingerprints.positional_matches(df).collect()
+    shift = len(re.findall(r"\S{1,4}", texts[1][1])) - len(re.findall(r"\S{1,4}", shared))
+    assert [(r.doc_id, r.ref_doc, r["shift"]) for r in got] == [(2, 1, shift)] and got[0].n > 30
+    assert fingerprints.positional_matches(df.limit(0)).count() == 0
+
+
+def test_words_in_binary_sequences_hash_apart():
+    """Sequences on which sums over powers modulo 2**64 agree."""
+    from ledgerloom.llm.wordhash import span_hashes
+
+    one = bytes(b"ab"[bin(k).count("1") % 2] for k in range(4096))
+    two = bytes(b"ba"[bin(k).count("1") % 2] for k in range(4096))
+    got = span_hashes(np.frombuffer(one + two, np.uint8), np.array([0, 4096]), np.array([4096, 8192]))
+    assert got[0] != got[1]

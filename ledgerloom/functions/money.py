@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def div(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("long") if isinstance(b, int) else b)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_amount(text: Column, places: int = 0, thousand: str = "auto", decimal: str = "auto", strip: list[str] | None = None) -> Column:
     """Minor units from a text, with `places` digits behind the decimal sign; digits beyond them are cut.
 
@@ -26,24 +33,24 @@ def parse_amount(text: Column, places: int = 0, thousand: str = "auto", decimal:
     clean = F.trim(text)
     for token in strip or []:
         clean = F.replace(clean, F.lit(token))
-    clean = F.trim(clean)
-    negative = clean.rlike(r"^(-|CR|DR)|(-|CR|DR)$|^\(.*\)$")
-    bare = F.regexp_replace(F.regexp_replace(clean, "[^0-9., ]", ""), "^ +| +$", "")
-    if decimal == "none":
-        whole, part = F.regexp_replace(bare, "[ .,]" if thousand == "auto" else f"[ {thousand}]", ""), F.lit("")
-    elif "auto" not in (thousand, decimal):
-        whole, part = F.regexp_replace(F.split_part(bare, F.lit(decimal), F.lit(1)), f"[ {thousand}]" if thousand != "none" else " ", ""), F.split_part(bare, F.lit(decimal), F.lit(2))
-    else:
-        by_dot = bare.rlike(r",.*\.[^,]*$") | bare.rlike(r"^[^.,]*\.\d{1,2}$")
-        by_comma = bare.rlike(r"\..*,[^.]*$") | bare.rlike(r"^[^.,]*,\d{1,2}$")
-        sign = F.when(by_dot, F.lit(".")).when(by_comma, F.lit(","))
-        whole = F.regexp_replace(F.when(sign.isNotNull(), F.split_part(bare, sign, F.lit(1))).otherwise(bare), "[., ]", "")
-        part = F.coalesce(F.split_part(bare, sign, F.lit(2)), F.lit(""))
-    scale = 10**places
-    units = F.try_multiply(F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")).try_cast("long"), F.lit(scale).cast("long"))
-    cents = F.coalesce(F.rpad(F.substring(part, 1, places), places, "0").try_cast("long"), F.lit(0).cast("long")) if places else F.lit(0).cast("long")
-    value = F.try_add(units, cents)
-    return F.when(F.regexp_replace(clean, "[^0-9]", "") == "", F.lit(0).cast("long")).when(negative, -value).otherwise(value)
+
+    def parsed(clean: Column, bare: Column) -> Column:
+        negative = clean.rlike(r"^(-|CR|DR)|(-|CR|DR)$|^\(.*\)$")
+        if decimal == "none":
+            whole, part = F.regexp_replace(bare, "[ .,]" if thousand == "auto" else f"[ {thousand}]", ""), F.lit("")
+        elif "auto" not in (thousand, decimal):
+            whole, part = F.regexp_replace(F.split_part(bare, F.lit(decimal), F.lit(1)), f"[ {thousand}]" if thousand != "none" else " ", ""), F.split_part(bare, F.lit(decimal), F.lit(2))
+        else:
+            by_dot = bare.rlike(r",.*\.[^,]*$|^[^.,]*\.\d{1,2}$")
+            by_comma = bare.rlike(r"\..*,[^.]*$|^[^.,]*,\d{1,2}$")
+            sign = F.when(by_dot, F.lit(".")).when(by_comma, F.lit(",")).otherwise("!")
+            whole, part = F.regexp_replace(F.split_part(bare, sign, F.lit(1)), "[., ]", ""), F.split_part(bare, sign, F.lit(2))
+        scale = 10**places
+        units = F.try_multiply(F.coalesce(F.nullif(whole, F.lit("")), F.lit("0")).try_cast("long"), F.lit(scale).cast("long"))
+        cents = F.coalesce(F.rpad(F.substring(part, 1, places), places, "0").try_cast("long"), F.lit(0).cast("long")) if places else F.lit(0).cast("long")
+        return F.when(~bare.rlike("[0-9]"), F.lit(0).cast("long")).otherwise(F.try_add(units, cents) * F.when(negative, -1).otherwise(1))
+
+    return let(F.trim(clean), lambda c: let(F.regexp_replace(F.regexp_replace(c, "[^0-9., ]", ""), "^ +| +$", ""), lambda bare: parsed(c, bare)))
 
 
 def checked(kind: str, a: Column, b: Column, currency_a: Column, currency_b: Column) -> Column:
@@ -89,3 +96,20 @@ def split_fee(gross: Column, narration: Column) -> Column:
     """The fee part of a gross amount: all of it for a pure fee, else a known fee that the narration states after `phi`; principal + fee = gross."""
     stated = F.regexp_extract(F.lower(narration), r"\bphi ([0-9]+)\b", 1).try_cast("long")
     return F.when(F.lower(narration).rlike(r"^(thu )?phi\b") | gross.isin(FEES), gross).when(stated.isin(FEES) & (stated < gross), stated).otherwise(F.lit(0).cast("long"))
+
+
+# The words that may stand beside an amount.
+CURRENCY_WORDS = ["VND", "VNĐ", "Đ", "DONG", "ĐỒNG", "USD", "EUR", "CR", "DR", "D", "C"]
+
+
+def parse_strict(text: Column, signed: bool = False) -> Column:
+    """Whole units from a text that is an amount and nothing else, else null: no date, path, time, other words or signs; decimals are cut.
+
+    Only a leading minus or one pair of brackets may mark a negative, whose sign is dropped unless `signed`.
+    """
+    clean = F.trim(F.regexp_replace(F.trim(text), r"""^["']+|["']+$""", ""))
+    words_ok = F.forall(F.regexp_extract_all(F.upper(clean), F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.isin(CURRENCY_WORDS))
+    shape = clean.rlike(r"^(\(\s*-?[^()-]*\)[^()-]*|-?[^()-]*)$") & clean.rlike(r"[0-9]") & ~clean.rlike(r"[^0-9.,()+\s\p{L}-]")
+    value = F.abs(parse_amount(F.regexp_replace(clean, r"[^0-9.,]", ""), 0))
+    negative = clean.rlike(r"^-|^\(.*\)$") if signed else F.lit(False)
+    return F.when(shape & words_ok, F.when(negative, -value).otherwise(value))

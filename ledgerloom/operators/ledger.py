@@ -141,3 +141,30 @@ def approval_tier(amount: Column, bounds: tuple[int, ...] = (5_000_000, 20_000_0
     for k in range(len(bounds) - 1, -1, -1):
         tier = F.when(amount < bounds[k], k).otherwise(tier)
     return tier
+
+
+def chart_faults(accounts: DataFrame) -> DataFrame:
+    """(code, fault) of a chart (code, parent, kind): DUPLICATE, MISSING_PARENT, OTHER_KIND than its parent's, or CYCLE.
+
+    Cycles are what is left when accounts that lead to a top are taken away, doubling the way at each step.
+    """
+    known = accounts.select("code", "parent", "kind")
+    double = known.groupBy("code").count().where("count > 1").select("code", F.lit("DUPLICATE").alias("fault"))
+    up = known.select(F.col("code").alias("p"), F.col("kind").alias("p_kind")).dropDuplicates(["p"])
+    met = known.where("parent IS NOT NULL").join(up, F.col("parent") == F.col("p"), "left")
+    missing = met.where("p IS NULL").select("code", F.lit("MISSING_PARENT"))
+    other = met.where("p_kind <> kind").select("code", F.lit("OTHER_KIND"))
+    steps = met.where("p IS NOT NULL").select("code", F.col("parent").alias("to")).dropDuplicates(["code"])
+    n, hop = steps.count(), 1
+    while hop <= n:  # after more steps than there are accounts only those on or below a cycle still lead on
+        steps = steps.alias("a").join(steps.alias("b"), F.col("a.to") == F.col("b.code")).select(F.col("a.code"), F.col("b.to"))
+        hop *= 2
+    return double.union(missing).union(other).union(steps.select("code", F.lit("CYCLE")))
+
+
+def cash_flow_sections(flows: DataFrame, opening: int = 0) -> DataFrame:
+    """(period, operating, investing, financing, net, closing) from (period, section, inflow, outflow); one row a period, so the running sum is bounded by the calendar."""
+    net = F.col("inflow") - F.col("outflow")
+    sums = flows.groupBy("period").agg(*[F.sum(F.when(F.col("section") == s, net).otherwise(0)).alias(s) for s in ("operating", "investing", "financing")])
+    total = sums.withColumn("net", F.col("operating") + F.col("investing") + F.col("financing"))
+    return total.withColumn("closing", F.lit(opening) + F.sum("net").over(Window.orderBy("period")))

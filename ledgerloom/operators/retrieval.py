@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,3 +166,49 @@ def margins(vector: Column, one: Column, two: Column, least: float) -> tuple[Col
     """(similarity to one, to two, class) of a unit vector and two unit centroids; a margin below `least` is UNSURE."""
     a, b = dot(vector, one), dot(vector, two)
     return a, b, F.when(F.abs(a - b) < least, "UNSURE").when(a > b, "ONE").otherwise("TWO")
+
+
+#: Vectors of a block in a search of many queries.
+BLOCK_ROWS, QUERY_ROWS = 4096, 1024
+
+
+def _blocks(rows: DataFrame, n: int, columns: list[str], prefix: str) -> DataFrame:
+    """Rows (block, a list for each column) of about equal size, dealt by a hash of the id."""
+    grouped = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("r"))
+    return grouped.select(F.col("block").alias(f"{prefix}_block"), *[(F.flatten(f"r.{c}") if c == "embedding" else F.col(f"r.{c}")).alias(f"{prefix}_{c}") for c in columns])
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query vector the k rows of vectors (vec_id, embedding, weight) of largest max(0, cosine) * weight, itself left out.
+
+    Vectors have unit length and one size; `weight` carries decay, and filters belong on the inputs. Blocks of queries meet blocks of vectors in a
+    grid of cells, each a matrix product, of which k rows a query are kept; ties go to the smaller id after rounding to six digits.
+    """
+    dim = (vectors.select(F.size("embedding")).first() or [0])[0]
+    n, m = (max(1, -(-df.count() // size)) for df, size in ((vectors, BLOCK_ROWS), (queries, QUERY_ROWS)))
+    tall = _blocks(vectors, n, ["vec_id", "embedding", "weight"], "v").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    broad = _blocks(queries, m, ["vec_id", "embedding"], "q").withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, flat, weight, asked, asked_flat = (batch.column(c)[r].values.to_numpy() for c in ("v_vec_id", "v_embedding", "v_weight", "q_vec_id", "q_embedding"))
+                scores = np.round(np.maximum(asked_flat.astype(np.float64).reshape(-1, dim) @ flat.astype(np.float64).reshape(-1, dim).T, 0) * weight, 6)
+                scores[asked[:, None] == ids[None, :]] = -1
+                for q, row in enumerate(scores):
+                    best = np.lexsort((ids, -row))[:k]
+                    best = best[row[best] >= 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), asked[q])), pa.array(ids[best]), pa.array(row[best])], ["query_id", "vec_id", "score"])
+
+    cells = tall.join(broad, ["v_block", "q_block"]).repartition(min(n * m, 10_000), "v_block", "q_block")
+    found = cells.mapInArrow(run, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def merged_ranks(dense: DataFrame, sparse: DataFrame, key: str, weights: tuple[float, float], k: int, fields: list[str]) -> DataFrame:
+    """(key, fields, score): ranked lists merged by weights over 60 and the rank; a row's fields come from the dense list where it has one; the k best."""
+    parts = dense.select(key, *fields, "rank", F.lit(0).alias("side")).unionByName(sparse.select(key, *fields, "rank", F.lit(1).alias("side")))
+    share = F.when(F.col("side") == 0, weights[0]).otherwise(weights[1]) / (RRF_K + F.col("rank"))
+    merged = parts.groupBy(key).agg(F.round(F.sum(share), 9).alias("score"), F.min_by(F.struct(*fields), "side").alias("f"))
+    return merged.select(key, "f.*", "score").orderBy(F.col("score").desc(), key).limit(k)

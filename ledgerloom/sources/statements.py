@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.money import parse_amount
+from ledgerloom.functions.money import let, parse_amount
+from ledgerloom.functions.text import unmarked_upper
 
 CANONICAL = ["file", "row_id", "ref_code", "posting_type", "amount", "balance_after", "narration", "value_date"]
 
@@ -52,17 +53,26 @@ def quoted_delimiter(content: Column, lines: int = 15) -> Column:
     """The delimiter that most evenly cuts the first lines: its count outside quotes, times the share of lines that have it, times one and how even they are."""
     first = F.filter(F.slice(F.split(content, "\r?\n"), 1, lines), lambda x: F.trim(x) != "")
     bare = F.transform(first, lambda x: F.regexp_replace(x, '"(?:[^"]|"")*"', ""))
-    def score(d: str) -> Column:
-        counts = F.transform(bare, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d))))
-        having = F.filter(counts, lambda n: n > 0)
-        usual = F.size(F.filter(having, lambda n: n == F.element_at(having, 1)))
-        total = F.aggregate(counts, F.lit(0), lambda a, n: a + n)
-        return F.when(F.size(having) > 0, total * (F.size(having) / F.size(bare)) * (1 + usual / F.size(having))).otherwise(F.lit(0.0))
+    def best(bare: Column) -> Column:
+        scores = []
+        for place, d in enumerate(DELIMITERS):
+            counts = F.transform(bare, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d))))
+            scores.append(_evenness(counts, place, d))
+        return F.array_max(F.array(*scores))
 
-    best, most = F.lit(","), F.lit(0.0)
-    for d in reversed(DELIMITERS):
-        best, most = F.when((score(d) >= most) & (score(d) > 0), F.lit(d)).otherwise(best), F.greatest(score(d), most)
-    return best
+    return let(bare, lambda b: F.when(best(b)["score"] > 0, best(b)["d"]).otherwise(","))
+
+
+def _evenness(counts: Column, place: int, d: str) -> Column:
+    """(score, an order for ties, delimiter) of one delimiter's counts in the lines."""
+
+    def rated(n: Column) -> Column:
+        having = F.filter(n, lambda x: x > 0)
+        usual = F.size(F.filter(having, lambda x: x == F.element_at(having, 1)))
+        total = F.aggregate(n, F.lit(0), lambda a, x: a + x)
+        return F.when(F.size(having) > 0, total * (F.size(having) / F.size(n)) * (1 + usual / F.size(having))).otherwise(F.lit(0.0))
+
+    return F.struct(let(counts, rated).alias("score"), F.lit(-place).alias("order"), F.lit(d).alias("d"))
 
 
 def metadata(files: DataFrame, patterns: dict[str, str], first_lines: int = 20) -> DataFrame:
@@ -82,6 +92,72 @@ def signature_scores(files: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "bank")).alias("b")).select("file", "b.bank", (-F.col("b.s")).alias("score"))
 
 
+# What a column is, by patterns of its head in lower case without marks, in the order in which they are tried, and what finding it is worth.
+ROLES = [
+    ("date", r"^(ngay|date|transaction date|ngay giao dich|ngay gd)", 30),
+    ("debit", r"(ghi no|debit|rut ra|chi ra|^no$)", 25),
+    ("credit", r"(ghi co|credit|gui vao|thu vao|^co$)", 25),
+    ("balance", r"(so du|balance)", 15),
+    ("amount", r"(so tien|amount|gia tri)", 20),
+    ("code", r"(ma gd|so but toan|reference|^ref|so ct)", 15),
+    ("narration", r"(noi dung|dien giai|narration|description|mo ta)", 20),
+    ("counterparty", r"(doi tac|counterparty|partner|nguoi thu huong)", 10),
+]
+
+
+def column_role(head: Column) -> Column:
+    """The role of a column head, or null."""
+    plain, out = F.lower(unmarked_upper(F.trim(head))), F.lit(None).cast("string")
+    for role, pattern, _ in reversed(ROLES):
+        out = F.when(plain.rlike(pattern), role).otherwise(out)
+    return out
+
+
+def best_header(files: DataFrame, most_lines: int = 15) -> DataFrame:
+    """(file, line_no, score, roles) of the first of the first lines with the highest sum of worth of its roles, each counted once; a date and an amount, debit or credit are needed."""
+    cut = files.select("file", quoted_delimiter(F.col("content")).alias("d"), F.slice(F.split("content", "\r?\n"), 1, most_lines).alias("lines"))
+    lines = cut.select("file", "d", F.posexplode("lines").alias("line_no", "line"))
+    roles = lines.withColumn("roles", F.transform(quoted_cells(F.col("line"), F.col("d")), column_role))
+    distinct = F.array_distinct(F.array_compact("roles"))
+    worth = F.aggregate(distinct, F.lit(0), lambda acc, r: acc + F.element_at(F.create_map(*[x for role, _, w in ROLES for x in (F.lit(role), F.lit(w))]), r))
+    usable = F.array_contains(distinct, "date") & F.arrays_overlap(distinct, F.array(*[F.lit(x) for x in ("amount", "debit", "credit")]))
+    scored = roles.where(usable).withColumn("score", worth)
+    return scored.groupBy("file").agg(F.max_by(F.struct("line_no", "score", "roles"), F.struct("score", -F.col("line_no"))).alias("h")).select("file", "h.line_no", "h.score", "h.roles")
+
+
+def table_rows(files: DataFrame, places: int = 0) -> DataFrame:
+    """(file, line_no, date, debit, credit, balance, narration) of the lines behind each file's best header, whatever its columns are called.
+
+    A missing date is the one above; one signed amount is a debit if negative; a balance that is not stated is the sum of all so far.
+    """
+    head = best_header(files)
+    sources = files.select("file", quoted_delimiter(F.col("content")).alias("d"), F.regexp_replace("content", "^\ufeff", "").alias("text"))
+    lines = sources.select("file", "d", F.posexplode(F.split("text", "\r?\n")).alias("no", "line"))
+    rows = lines.join(head, "file").where("no > line_no AND trim(line) <> ''").withColumn("cells", quoted_cells(F.col("line"), F.col("d")))
+
+    def cell(role: str) -> Column:
+        return F.nullif(F.get("cells", F.nullif(F.array_position("roles", F.lit(role)), F.lit(0)).cast("int") - 1), F.lit(""))
+
+    def money(role: str) -> Column:
+        return F.when(cell(role).rlike("[0-9]"), parse_amount(cell(role), places))
+
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumns({"m_debit": money("debit"), "m_credit": money("credit"), "m_amount": money("amount")})
+    signed = F.col("m_amount")
+    debit, credit = F.coalesce("m_debit", F.when(signed < 0, -signed), zero), F.coalesce("m_credit", F.when(signed > 0, signed), zero)
+    order = Window.partitionBy("file").orderBy("no")
+    filled = rows.select("file", F.col("no").alias("line_no"), F.last(cell("date"), ignorenulls=True).over(order).alias("date"), debit.alias("debit"), credit.alias("credit"), money("balance").alias("said"), cell("narration").alias("narration"))
+    return filled.select("file", "line_no", "date", "debit", "credit", F.coalesce("said", F.sum(F.col("credit") - F.col("debit")).over(Window.partitionBy("file").orderBy("line_no"))).alias("balance"), "narration")
+
+
+def synthetic_lines(spark: SparkSession, n: int, seed: int = 0, banks: int = 5) -> DataFrame:
+    """(line_id, bank, amount, kind, ts) of a repeatable test load: of a thousand lines 900 are exact, 75 short of a fee, 23 split and 2 without an invoice."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1000))
+    kind = F.when(draw < 900, "EXACT").when(draw < 975, "FUZZY").when(draw < 998, "SPLIT").otherwise("UNRESOLVED")
+    amount = F.lit(1_000_000) + F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(9_000_000)) - F.when(kind == "FUZZY", 11_000).otherwise(0)
+    return spark.range(n).select(F.col("id").alias("line_id"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(banks)).alias("bank"), amount.alias("amount"), kind.alias("kind"), (F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"))
+
+
 # What begins a line of totals.
 TOTALS = r"(?i)^\s*(tổng|tong|cộng|cong phat sinh|total|sum|số dư cuối)"
 
@@ -112,14 +188,15 @@ def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, p
     def money(what: str) -> Column:
         return F.when(cell(what).rlike("[0-9]") & ~cell(what).rlike(r"[\p{L}&&[^VNDCR]]"), parse_amount(cell(what), places))
 
-    signed = money("amount")
-    debit, credit = F.coalesce(money("debit"), F.when(signed < 0, -signed)), F.coalesce(money("credit"), F.when(signed > 0, signed))
+    rows = rows.withColumns({"m_debit": money("debit"), "m_credit": money("credit"), "m_amount": money("amount"), "m_balance": money("balance")})
+    signed = F.col("m_amount")
+    debit, credit = F.coalesce("m_debit", F.when(signed < 0, -signed)), F.coalesce("m_credit", F.when(signed > 0, signed))
     kind = F.when(F.coalesce(credit, F.lit(0)) != 0, "credit").otherwise("debit")
     value = F.abs(F.when(kind == "credit", credit).otherwise(debit))
     begins = debit.isNotNull() | credit.isNotNull()
     solid = F.array_join(F.filter("cells", lambda c: c != ""), " ")
     part = F.when(begins, cell("narration")).otherwise(F.coalesce(F.nullif(cell("narration"), F.lit("")), solid))
-    balance = money("balance")
+    balance = F.col("m_balance")
     head = F.struct(F.col("line_no").cast("long").alias("row_id"), cell("ref").alias("ref_code"), kind.alias("posting_type"), value.alias("amount"), balance.alias("balance_after"), cell("date").alias("value_date"))
     entry = F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(order)
     parsed = rows.select("file", "line_no", entry.alias("entry"), head.alias("head"), part.alias("part")).where("entry IS NOT NULL")

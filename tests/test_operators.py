@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import jaro_micro, jaro_winkler_bps
 from ledgerloom.operators import ledger, reconcile, records
-from ledgerloom.plans import metric_queries, money_queries, party_queries, registry, voucher_queries  # noqa: F401  they register their queries
+from ledgerloom.plans import metric_queries, money_queries, party_queries, registry, source_queries, voucher_queries  # noqa: F401  they register their queries
 from ledgerloom.plans.session import shared_checkpoints
 from ledgerloom.sources import sinks, statements
 

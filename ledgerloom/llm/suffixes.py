@@ -11,8 +11,8 @@ Copies that share little to the right of their anchor sort far apart, and those
 kept anchor and lies inside none of those spans is looked up by its hash: the earliest place of a run is never inside
 a span, so each later one meets it, and together exactly the words of repeated runs are covered.
 
-Partitions go by anchor, the word behind it, and a salt of the document, so that neither a common phrase nor a passage of a third of
-all documents is one task's; a task streams its sorted records and holds only a few of them, so that no group is ever collected.
+Partitions are ranges of the sorted records, so neither a common phrase nor a passage of a third of all documents is one task's, and
+only neighbours across a border do not meet; a task streams its records and holds only a few of them, so that no group is ever collected.
 
 Defined cases: null or short texts have no suffix; null doc_ids take no part; repeated rows of a doc_id count as one
 document when their texts are equal and otherwise the greatest text stands for it; an empty table gives no rows.
@@ -32,7 +32,7 @@ from ledgerloom.llm.common import maybe_member, stored, workspace
 from ledgerloom.llm.lempelziv import earlier_runs, run_rows
 from ledgerloom.llm.wordhash import gram_hashes, pieces, word_hashes
 
-GRAM, NEIGHBOURS, SALTS = 8, 3, 16
+GRAM, NEIGHBOURS = 8, 3
 RECORD = "anchor long, key binary, before binary, doc_id long, position int"
 
 
@@ -103,9 +103,8 @@ def repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id",
         held = [c for c in facts.columns if c != "doc_id"]
         return likely.join(facts, "doc_id").groupBy("doc_id").agg(F.max_by(F.struct("text", *held), F.col("text")).alias("d")).select("doc_id", "d.*")
 
-    # the key's first GRAM words are the anchor itself
-    behind, salt = F.substring("key", 4 * GRAM + 1, 4), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-    records = suffix_rows(texts(anchors), window).repartition("anchor", behind, salt).sortWithinPartitions("anchor", "key", "doc_id", "position")
+    order = ["anchor", "key", "doc_id", "position"]
+    records = suffix_rows(texts(anchors), window).repartitionByRange(*order).sortWithinPartitions(*order)
     matches = stored(neighbour_matches(records, window), f"{path}/matches")
     known = matches.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("known"))
     runs = stored(run_rows(texts(anchors.join(known, "doc_id", "left")), window, GRAM), f"{path}/runs")

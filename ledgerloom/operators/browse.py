@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.storage import stored, workspace
+
 
 def matching(rows: DataFrame, equal: dict[str, object] | None = None, at_least: dict[str, object] | None = None, below: dict[str, object] | None = None) -> DataFrame:
     """Rows that meet every stated condition; a value of None states nothing, and without any all rows stay."""
@@ -69,8 +71,9 @@ def bounded_queues(rows: DataFrame, key: str, order: list[str], most: int) -> Da
 def version_chains(heads: DataFrame, versions: DataFrame, most: int = 1000) -> DataFrame:
     """(item, version, place): from each item's current version along its parents, until there is none, one was met before, or `most` are listed.
 
-    Spine paths double in length each round, so a chain of `most` versions takes about log2(most) joins.
+    Ways double in length each round, so a chain of `most` versions takes about log2(most) rounds; each is stored, or plans would double too.
     """
+    path = workspace(heads.sparkSession)
     steps = versions.select(F.col("version").alias("from_version"), F.col("parent").alias("to_version"))
     jumps, hop = steps.where("to_version IS NOT NULL"), 1
     reached = heads.join(versions.select("version"), F.col("current") == F.col("version")).select("item", "version", F.lit(0).cast("long").alias("place"))
@@ -78,9 +81,11 @@ def version_chains(heads: DataFrame, versions: DataFrame, most: int = 1000) -> D
         onward = reached.join(jumps, reached["version"] == jumps["from_version"]).select("item", F.col("to_version").alias("version"), (F.col("place") + hop).alias("place"))
         onward = onward.join(versions.select("version"), "version", "left_semi").select("item", "version", "place")
         # a version met again keeps its first place
-        reached = reached.union(onward).groupBy("item", "version").agg(F.min("place").alias("place"))
+        reached = stored(reached.union(onward).groupBy("item", "version").agg(F.min("place").alias("place")), f"{path}/reached-{hop}")
         double = jumps.alias("a").join(jumps.alias("b"), F.col("a.to_version") == F.col("b.from_version")).select(F.col("a.from_version"), F.col("b.to_version"))
-        jumps, hop = double, 2 * hop
+        jumps, hop = stored(double, f"{path}/jumps-{hop}"), 2 * hop
+        if not jumps.limit(1).count():
+            break
     return reached.where(F.col("place") < most)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.storage import stored, workspace
+
 #: A chart of accounts: (code, parent, kind, normal side).
 CHART = [
     ("1", None, "ASSET", "D"),
@@ -55,7 +57,7 @@ def roll_up(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Balance of every account with all below it: each code meets its ancestors level by level, as deep as the chart."""
     closure = accounts.select("code", F.col("code").alias("ancestor"))
     level, out = closure, closure
-    for _ in range(len(CHART)):
+    for _ in range(accounts.count()):
         up = accounts.select(F.col("code").alias("ancestor"), "parent").where("parent IS NOT NULL")
         level = level.join(up, "ancestor").select("code", F.col("parent").alias("ancestor"))
         out = out.union(level)
@@ -155,10 +157,10 @@ def chart_faults(accounts: DataFrame) -> DataFrame:
     missing = met.where("p IS NULL").select("code", F.lit("MISSING_PARENT"))
     other = met.where("p_kind <> kind").select("code", F.lit("OTHER_KIND"))
     steps = met.where("p IS NOT NULL").select("code", F.col("parent").alias("to")).dropDuplicates(["code"])
-    n, hop = steps.count(), 1
+    n, hop, path = steps.count(), 1, workspace(accounts.sparkSession)
     while hop <= n:  # after more steps than there are accounts only those on or below a cycle still lead on
-        steps = steps.alias("a").join(steps.alias("b"), F.col("a.to") == F.col("b.code")).select(F.col("a.code"), F.col("b.to"))
-        hop *= 2
+        steps = stored(steps.alias("a").join(steps.alias("b"), F.col("a.to") == F.col("b.code")).select(F.col("a.code"), F.col("b.to")), f"{path}/steps-{hop}")
+        hop = 2 * hop if steps.limit(1).count() else n + 1
     return double.union(missing).union(other).union(steps.select("code", F.lit("CYCLE")))
 
 

@@ -208,7 +208,7 @@ def _(spark, d):
 
 # --- statements -------------------------------------------------------------------------------------------------------------------
 
-QUOTED = f"{BANK} SELECT 'f' || (customer % 20) AS file, ref AS ref_code, CASE WHEN line_id % 2 = 0 THEN 'credit' ELSE 'debit' END AS posting_type, amount, amount + 5 AS balance_after, CASE WHEN line_id % 3 = 0 THEN 'paid; \"in full\" and more' ELSE 'paid; \"in full\"' END AS narration FROM bank WHERE amount > 0"
+QUOTED = f"{BANK} SELECT 'f' || customer AS file, ref AS ref_code, CASE WHEN line_id % 2 = 0 THEN 'credit' ELSE 'debit' END AS posting_type, amount, amount + 5 AS balance_after, CASE WHEN line_id % 3 = 0 THEN 'paid; \"in full\" and more' ELSE 'paid; \"in full\"' END AS narration FROM bank WHERE amount > 0"
 
 
 def _money(cents) -> F.Column:
@@ -216,14 +216,14 @@ def _money(cents) -> F.Column:
 
 
 def quoted_files(spark, d) -> DataFrame:
-    """A file for each twentieth of the customers: quoted cells with the delimiter and quotes in them, decimals, continued narrations, totals."""
+    """A file for each customer: quoted cells with the delimiter and quotes in them, decimals, continued narrations, totals."""
     value, balance = _money(F.col("amount")), F.concat(F.lit('"'), (F.col("amount") + 5).cast("string"), F.lit(',00"'))
     even = F.col("line_id") % 2 == 0
     row = F.concat(F.lit('2024-01-01;"'), "ref", F.lit('";'), F.when(even, "").otherwise(value), F.lit(";"), F.when(even, value).otherwise(""), F.lit(';"'), ((F.col("amount") + 5) / 100).cast("decimal(18,2)").cast("string"), F.lit('";"paid; ""in full"""'))
     row = F.concat(row, F.when(F.col("line_id") % 3 == 0, "\n;;;;;and more").otherwise(""))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", row.alias("r")))), lambda x: x["r"]), "\n")
     head = "\ufeffNgân hàng X\nSố tài khoản: 0071;\nSố dư đầu kỳ: 1.000,50\nDate;Ref;Debit;Credit;Balance;Narration\n"
-    return bank_lines(spark, d).where("amount > 0").groupBy((F.col("customer") % 20).alias("k")).agg(F.concat(F.lit(head), body, F.lit("\nTổng cộng;;1.000,00;2.000,00;;\nafter;x;1;1;1;y\n")).alias("content")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), "content")
+    return bank_lines(spark, d).where("amount > 0").groupBy(F.col("customer").alias("k")).agg(F.concat(F.lit(head), body, F.lit("\nTổng cộng;;1.000,00;2.000,00;;\nafter;x;1;1;1;y\n")).alias("content")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), "content")
 
 
 COLUMNS = {"date": ["Date"], "ref": ["Ref"], "debit": ["Debit"], "credit": ["Credit"], "balance": ["Balance"], "narration": ["Narration"]}
@@ -235,7 +235,7 @@ def _(spark, d):
     return rows.select("file", "ref_code", "posting_type", "amount", "balance_after", "narration")
 
 
-@query("io_statement_metadata", f"{BANK} SELECT DISTINCT 'f' || (customer % 20) AS file, ';' AS delimiter, '0071' AS account, '1.000,50' AS opening, NULL::VARCHAR AS closing, 'X' AS bank, CAST(1 AS INT) AS score FROM bank WHERE amount > 0")
+@query("io_statement_metadata", f"{BANK} SELECT DISTINCT 'f' || customer AS file, ';' AS delimiter, '0071' AS account, '1.000,50' AS opening, NULL::VARCHAR AS closing, 'X' AS bank, CAST(1 AS INT) AS score FROM bank WHERE amount > 0")
 def _(spark, d):
     files = quoted_files(spark, d)
     rules = spark.createDataFrame([("X", "xbank", ["NGÂN HÀNG X"]), ("Y", "ybank", ["NGÂN HÀNG Y", "ZZZ"])], "bank string, mark string, keywords array<string>")
@@ -244,18 +244,18 @@ def _(spark, d):
     return found.join(sniffed, "file").join(P.signature_scores(files, rules), "file")
 
 
-@query("io_ledger_text", f"{BANK} SELECT 'f' || (customer % 20) AS file, ref AS doc_no, CASE WHEN line_id % 2 = 0 THEN 'CREDIT' ELSE 'DEBIT' END AS entry_type, amount FROM bank WHERE amount > 0")
+@query("io_ledger_text", f"{BANK} SELECT 'f' || customer AS file, ref AS doc_no, CASE WHEN line_id % 2 = 0 THEN 'CREDIT' ELSE 'DEBIT' END AS entry_type, amount FROM bank WHERE amount > 0")
 def _(spark, d):
     return P.ledger_text(quoted_files(spark, d), {"doc_no": ["Ref"], "receivable": ["Credit"], "payable": ["Debit"], "partner": ["Narration"], "date": ["Date"]}, places=2).select("file", "doc_no", "entry_type", "amount")
 
 
 def tagged_files(spark, d, row, head: str, tail) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", row.alias("r")))), lambda x: x["r"]), "\n")
-    return bank_lines(spark, d).groupBy((F.col("customer") % 20).alias("k")).agg(F.concat(F.lit(head), body, tail).alias("content")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), "content")
+    return bank_lines(spark, d).groupBy(F.col("customer").alias("k")).agg(F.concat(F.lit(head), body, tail).alias("content")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), "content")
 
 
-CENTS = f"{BANK} SELECT 'f' || (customer % 20) AS file, ref AS ref_code, amount FROM bank"
-ENDS = f"{BANK} SELECT 'f' || (customer % 20) AS file, 'ACC-7' AS account, 50025 AS opening, CAST(-sum(amount) AS BIGINT) AS closing FROM bank GROUP BY customer % 20"
+CENTS = f"{BANK} SELECT 'f' || customer AS file, ref AS ref_code, amount FROM bank"
+ENDS = f"{BANK} SELECT 'f' || customer AS file, 'ACC-7' AS account, 50025 AS opening, CAST(-sum(amount) AS BIGINT) AS closing FROM bank GROUP BY customer"
 
 
 def _dec(x, sign: str) -> F.Column:

@@ -16,24 +16,24 @@ SHEET = "Sổ phụ ngân hàng|x\nNgày GD|Số tiền|Nội dung|Số dư\n"
 
 
 def sheets(spark, d):
-    """A file for each twentieth of the customers: one signed amount, dates only where they change, balances only on some lines."""
+    """A file for each customer: one signed amount, dates only where they change, balances only on some lines."""
     k = F.col("line_id")
     row = F.concat_ws("|", F.when(k % 3 == 0, F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).otherwise(""), F.concat(F.when(k % 2 == 0, "-").otherwise(""), F.col("amount").cast("string")), F.lit("said"), F.when(k % 5 == 0, "777").otherwise(""))
     lines = bank_lines(spark, d).where("amount > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_id", row.alias("r")))), lambda x: x["r"]), "\n")
-    return lines.groupBy((F.col("customer") % 20).alias("k")).agg(F.concat(F.lit(SHEET), body).alias("content")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), "content")
+    return lines.groupBy(F.col("customer").alias("k")).agg(F.concat(F.lit(SHEET), body).alias("content")).select(F.concat(F.lit("f"), F.col("k").cast("string")).alias("file"), "content")
 
 
 @query(
     "io_table_rows",
-    f"""{BANK}, r AS (SELECT 'f' || (customer % 20) AS file, row_number() OVER (PARTITION BY customer % 20 ORDER BY line_id) + 1 AS line_no, CASE WHEN line_id % 3 = 0 THEN '2024-01-' || lpad(CAST(line_id % 28 + 1 AS VARCHAR), 2, '0') END AS date, CASE WHEN line_id % 2 = 0 THEN amount ELSE 0 END AS debit, CASE WHEN line_id % 2 = 0 THEN 0 ELSE amount END AS credit, CASE WHEN line_id % 5 = 0 THEN 777 END AS said FROM bank WHERE amount > 0)
+    f"""{BANK}, r AS (SELECT 'f' || customer AS file, row_number() OVER (PARTITION BY customer ORDER BY line_id) + 1 AS line_no, CASE WHEN line_id % 3 = 0 THEN '2024-01-' || lpad(CAST(line_id % 28 + 1 AS VARCHAR), 2, '0') END AS date, CASE WHEN line_id % 2 = 0 THEN amount ELSE 0 END AS debit, CASE WHEN line_id % 2 = 0 THEN 0 ELSE amount END AS credit, CASE WHEN line_id % 5 = 0 THEN 777 END AS said FROM bank WHERE amount > 0)
     SELECT file, CAST(line_no AS INT) AS line_no, last_value(date IGNORE NULLS) OVER w AS date, debit, credit, CAST(coalesce(said, sum(credit - debit) OVER w) AS BIGINT) AS balance FROM r WINDOW w AS (PARTITION BY file ORDER BY line_no)""",
 )
 def _(spark, d):
     return P.table_rows(sheets(spark, d)).drop("narration")
 
 
-@query("io_best_header", f"{BANK} SELECT DISTINCT 'f' || (customer % 20) AS file, CAST(1 AS INT) AS line_no, CAST(85 AS INT) AS score, 'date,amount,narration,balance' AS roles FROM bank WHERE amount > 0")
+@query("io_best_header", f"{BANK} SELECT DISTINCT 'f' || customer AS file, CAST(1 AS INT) AS line_no, CAST(85 AS INT) AS score, 'date,amount,narration,balance' AS roles FROM bank WHERE amount > 0")
 def _(spark, d):
     return P.best_header(sheets(spark, d)).withColumn("roles", F.array_join("roles", ","))
 

@@ -43,8 +43,9 @@ def consumer(handle: Callable[[DataFrame], DataFrame], done: str, dead: str, ret
         tries = F.coalesce(F.col("retry_count"), F.lit(0)) + 1
         bad = ~F.coalesce(F.col("ok"), F.lit(False))
         held = handle(batch).persist()
-        held.where("ok").drop("ok").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(done)
-        held.where(bad & (tries >= retries)).drop("ok").withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(dead)
+        # an epoch that is run again replaces what it wrote before
+        held.where("ok").drop("ok").write.mode("overwrite").parquet(f"{done.rstrip('/')}/epoch={epoch}")
+        held.where(bad & (tries >= retries)).drop("ok").write.mode("overwrite").parquet(f"{dead.rstrip('/')}/epoch={epoch}")
         back = held.where(bad & (tries < retries)).withColumn("retry_count", tries.cast(batch.schema["retry_count"].dataType)).select(*batch.columns)
         back.write.mode("append").parquet(again)
         held.unpersist()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import fingerprints, jaccard, lempelziv, mixing, packing, quality, repair, sharding, suffixes, topk
+from ledgerloom.llm import audit, fingerprints, jaccard, lempelziv, mixing, packing, quality, repair, sharding, simhash, spelling, suffixes, topk
 from ledgerloom.llm.tokenids import vocabulary_path
 from ledgerloom.plans.session import ship_package
 
@@ -80,11 +80,28 @@ def op10_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lempelziv.strip(docs, 20).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+def op11_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of every text and components of those at two or fewer differing bits."""
+    found = simhash.simhash_components(table(spark, sf_dir, "documents"), n=3, within=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its more frequent near word and the end of that chain; runs lose a sign by their hash."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_length=6, min_n=5, ratio=5, lose_every=199)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, by source, for all orders of them."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     ops = [op1_syncmer_fingerprints, op2_poisson_mix, op3_repeated_passages, op4_feistel_shards, op5_quality_scores]
     ops += [op6_repair_token_files, op7_concat_and_cut, op8_ngram_jaccard, op9_exact_top_k, op10_relative_lempel_ziv]
+    ops += [op11_simhash_pigeonring, op12_spelling_variants, op13_filter_audit]
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -131,8 +148,33 @@ FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
 
+OP13_SQL = rf"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS.format("text")} AS ws FROM documents),
+f AS (
+    SELECT doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+        regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails FROM w
+),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, fails
+),
+k AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM k a, k b, k c, k d, k e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, k.i AS step, o[1 : k.i - 1] AS earlier, o[k.i] AS own FROM o, k),
+t AS (SELECT part, filter_order, step, n, good, toxic, fails[own] AS hit, len(list_filter(earlier, lambda i: fails[i])) > 0 AS out, len(list_filter(fails, lambda x: x)) AS n_fails, own FROM m, s),
+r AS (
+    SELECT part, filter_order, step, any_value(own) AS own, sum(n) FILTER (WHERE NOT out AND NOT hit) AS kept, sum(n) FILTER (WHERE NOT out AND hit) AS removed, sum(n) FILTER (WHERE out AND hit) AS redundant,
+        sum(n) FILTER (WHERE hit AND n_fails = 1) AS unique_fails, sum(good) FILTER (WHERE NOT out AND hit) AS good_lost, sum(toxic) FILTER (WHERE NOT out AND hit) AS toxic_lost
+    FROM t GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+    CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    made = {"op2_poisson_mix": mixing.mix_sql(), "op8_ngram_jaccard": OP8_SQL, "op9_exact_top_k": OP9_SQL, "op10_relative_lempel_ziv": OP10_SQL}
+    made = {"op2_poisson_mix": mixing.mix_sql(), "op8_ngram_jaccard": OP8_SQL, "op9_exact_top_k": OP9_SQL, "op10_relative_lempel_ziv": OP10_SQL, "op13_filter_audit": OP13_SQL}
     return made | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -88,22 +88,59 @@ RELATIONS = [
     ("capital_of", [" là thủ đô của ", " là thủ đô nước ", " is the capital of "]),
     ("part_of", [" thuộc về ", " là một phần của ", " belongs to ", " is part of "]),
     ("likes", [" thích ", " yêu thích ", " đam mê ", " likes ", " loves "]),
+    ("created", [" tạo ra ", " phát triển ", " sáng lập ", " created ", " founded ", " developed "]),
+    ("is_a", [" là ", " is a ", " is an ", " is "]),
 ]
+# Phrases that may stand before what is spoken of, and words that name nothing.
+OPENINGS = [
+    "đúng vậy", "chính xác", "vâng", "ừ", "tất nhiên", "và ", "còn ", "nhưng ", "mà ", "and ", "but ", "tôi nghĩ rằng", "tôi biết rằng", "thực ra", "bạn có biết", "theo như tôi biết",
+    "nói chung", "thực tế", "i think that", "actually", "as you know", "in fact", "yes", "yeah", "sure", "right", "well",
+]
+PRONOUNS = [
+    "tôi", "tao", "mình", "bạn", "cậu", "anh", "chị", "em", "chúng tôi", "chúng nó", "nó", "họ", "đây", "đó", "kia", "gì", "ai", "nào", "sao",
+    "i", "me", "you", "he", "she", "it", "we", "they", "this", "that", "what", "who",
+]
+TRIPLE = "struct<subject:string,relation:string,object:string>"
+#: Every phrase with its relation, in order.
+PHRASES = [(r, p) for r, phrases in RELATIONS for p in phrases]
+#: Patterns without flags, so that any engine can state its own.
+OPENING, EDGE, LINK, CLAUSE_END, ROLE = f"^(?:(?:{'|'.join(OPENINGS)})\\s*)+", "^[\"'`()\\[\\],:]+|[\"'`()\\[\\],:]+$", r"\[\[(.*?)\]\]", r"[.!?;,\n]", r"^\s*(user|assistant)\s*:"
+
+
+def cleaned(x: Column) -> Column:
+    """What a clause speaks of, without openings, brackets and quotes."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), f"(?iu){OPENING}", "")), EDGE, ""))
+
+
+def named(x: Column) -> Column:
+    """Whether a cleaned text names something: 2 to 80 signs, one of them a letter or digit, and no pronoun."""
+    return F.length(x).between(2, 80) & ~F.lower(x).isin(PRONOUNS) & x.rlike(r"[\p{L}\p{N}]")
 
 
 def triples(text: Column) -> Column:
-    """An array of (subject, relation, object): neighbours among [[links]], then the first stated relation of each clause; without repeats."""
-    links = F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
-    beside = F.when(F.size(links) > 1, F.transform(F.sequence(F.lit(1), F.size(links) - 1), lambda i: F.struct(F.element_at(links, i).alias("subject"), F.lit("related_to").alias("relation"), F.element_at(links, i + 1).alias("object"))))
-    clauses = F.filter(F.transform(F.split(F.regexp_replace(text, r"(?im)^\s*(user|assistant)\s*:", ""), r"[.!?;,\n]"), lambda c: F.trim(c)), lambda c: F.length(c) >= 5)
+    """An array of (subject, relation, object): neighbours among [[links]], then the first stated relation of each clause that is new; without repeats.
+
+    Phrases are found in any case of letters. A phrase whose sides name nothing, or the same, or give what was there before, leaves the clause to the next one.
+    """
+    links = F.transform(F.regexp_extract_all(text, F.lit(f"(?s){LINK}"), F.lit(1)), lambda x: F.trim(F.split_part(x, F.lit("|"), F.lit(1))))
+    links = F.transform(F.filter(links, lambda x: F.octet_length(x).between(1, 80)), cleaned)
+    none = F.array().cast(f"array<{TRIPLE}>")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(links) - 1, F.lit(1))), lambda i: F.struct(F.get(links, i - 1).alias("subject"), F.lit("links_to").alias("relation"), F.get(links, i).alias("object")))
+    beside = F.array_distinct(F.filter(pairs, lambda t: t["subject"] != t["object"]))
+    clauses = F.filter(F.transform(F.split(F.regexp_replace(text, f"(?im){ROLE}", ""), CLAUSE_END), lambda c: F.trim(c)), lambda c: F.octet_length(c) >= 5)
+    phrases = F.array(*[F.struct(F.lit(r).alias("relation"), F.lit(p).alias("phrase")) for r, p in PHRASES])
+
+    def sides(clause: Column, p: Column) -> Column:
+        at = F.instr(F.lower(clause), p["phrase"])
+        return F.struct(cleaned(F.substring(clause, F.lit(1), at - 1)).alias("subject"), p["relation"].alias("relation"), cleaned(F.substring(clause, at + F.length(p["phrase"]), F.length(clause))).alias("object"))
 
     def stated(clause: Column) -> Column:
-        found = F.lit(None).cast("struct<subject:string,relation:string,object:string>")
-        for relation, phrases in reversed(RELATIONS):
-            for phrase in reversed(phrases):
-                left, right = F.trim(F.substring_index(clause, phrase, 1)), F.trim(F.substring(clause, F.instr(clause, phrase) + len(phrase), F.length(clause)))
-                found = F.when(F.contains(clause, F.lit(phrase)) & (left != "") & (right != ""), F.struct(left.alias("subject"), F.lit(relation).alias("relation"), right.alias("object"))).otherwise(found)
-        return found
-
-    empty = F.array().cast("array<struct<subject:string,relation:string,object:string>>")
-    return F.array_distinct(F.concat(F.coalesce(beside, empty), F.array_compact(F.transform(clauses, stated))))
+        there = F.filter(phrases, lambda p: F.contains(F.lower(clause), p["phrase"]))
+        return F.filter(F.transform(there, lambda p: sides(clause, p)), lambda t: named(t["subject"]) & named(t["object"]) & (F.lower(t["subject"]) != F.lower(t["object"])))
+
+    def with_new(found: Column, told: Column) -> Column:
+        new = F.filter(told, lambda t: ~F.array_contains(found, t))
+        return F.concat(found, F.slice(new, 1, 1))
+
+    telling = F.filter(F.transform(clauses, stated), lambda told: F.size(told) > 0)
+    return F.aggregate(telling, F.coalesce(beside.cast(f"array<{TRIPLE}>"), none), with_new)

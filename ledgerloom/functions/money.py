@@ -60,14 +60,17 @@ def checked(kind: str, a: Column, b: Column, currency_a: Column, currency_b: Col
 
 
 def times_ratio(amount: Column, numerator: Column, denominator: Column) -> Column:
-    """amount * numerator / denominator, halves to the even neighbour, over 128-bit products; null for a zero denominator."""
+    """amount * numerator / denominator, halves to the even neighbour, over 128-bit products; null for a zero denominator or a result beyond 64 bits."""
     wide = amount.cast("decimal(19,0)") * numerator.cast("decimal(19,0)")
-    size, over = F.abs(wide), F.abs(denominator.cast("decimal(19,0)"))
-    whole = F.call_function("div", size, F.nullif(over, F.lit(0).cast("decimal(19,0)")))
-    rest = (size - whole.cast("decimal(19,0)") * over) * 2
-    up = (rest > over) | ((rest == over) & (whole % 2 == 1))
-    made = whole + F.when(up, 1).otherwise(0)
-    return F.when((wide < 0) != (denominator < 0), -made).otherwise(made).cast("long")
+    size, over = F.abs(wide), F.nullif(F.abs(denominator.cast("decimal(19,0)")), F.lit(0).cast("decimal(19,0)"))
+
+    def rounded(rest: Column) -> Column:
+        whole = F.try_divide(size - rest, over).cast("decimal(38,0)")  # without a rest, and null where it has more digits than a long
+        up = (rest * 2 > over) | ((rest * 2 == over) & (whole % 2 == 1))
+        made = whole + F.when(up, 1).otherwise(0)
+        return F.when((wide < 0) != (denominator < 0), -made).otherwise(made).try_cast("long")
+
+    return let(size % over, rounded)
 
 
 def unbundled(gross: Column, rate_bps: int) -> tuple[Column, Column]:

@@ -1,6 +1,6 @@
 """Surveillance rules over transactions (tx_id, account, amount, ts, is_credit, narration).
 
-Every window rule partitions by account and orders by ts. `enhanced_scores` computes those it needs in one pass over the accounts.
+Every window rule partitions by account and orders by ts.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ def high_value(tx: DataFrame, floor: int = 20_000) -> DataFrame:
 
 
 def structuring(tx: DataFrame, low: int = 2_000, high: int = 20_000, seconds: int = DAY, least: int = 3) -> DataFrame:
-    """Rows ending a trailing window in which several amounts below the threshold add up to it."""
+    """Rows ending a trailing window in which several amounts below the threshold add up to it; first_id is the first row of the window."""
     trailing = Window.partitionBy("account").orderBy("ts").rangeBetween(-seconds, 0)
     inside = tx.where((F.col("amount") >= low) & (F.col("amount") < high))
-    counted = inside.withColumn("n", F.count("*").over(trailing)).withColumn("total", F.sum("amount").over(trailing))
+    counted = inside.withColumn("n", F.count("*").over(trailing)).withColumn("total", F.sum("amount").over(trailing)).withColumn("first_id", F.min(F.struct("ts", "tx_id")).over(trailing)["tx_id"])
     return counted.where((F.col("n") >= least) & (F.col("total") >= high))
 
 
@@ -40,18 +40,21 @@ def night_activity(tx: DataFrame, least: int = 3, floor: int = 20_000) -> DataFr
     return grouped.where((F.col("n") >= least) | (F.col("total") >= floor))
 
 
-def statutory_screen(tx: DataFrame) -> DataFrame:
-    """The statutory rules as one table of alerts, in rule order."""
-    tagged = [
-        high_value(tx),
-        structuring(tx).select("tx_id", "account", F.lit("STRUCTURING").alias("rule"), F.lit(2).alias("ordinal")),
-        mule_pairs(tx).select(F.col("in_id").alias("tx_id"), "account", F.lit("TRANSIT_MULE").alias("rule"), F.lit(3).alias("ordinal")),
-        night_activity(tx).select("tx_id", "account", F.lit("NIGHT").alias("rule"), F.lit(4).alias("ordinal")),
-    ]
-    out = tagged[0]
-    for df in tagged[1:]:
-        out = out.unionByName(df)
-    return out
+def statutory_screen(tx: DataFrame, listed: DataFrame | None = None, high: int = 20_000, critical: int = 30_000) -> DataFrame:
+    """The statutory rules as one table of alerts (tx_id, account, rule, ordinal, severity), in rule order.
+
+    A structuring window alerts on its first row, once for each row that ends one. `listed` has watchlist alerts (tx_id, account, list).
+    """
+
+    def alerts(rows: DataFrame, tx_id: str, rule: str, ordinal: int, severity: Column) -> DataFrame:
+        return rows.select(F.col(tx_id).alias("tx_id"), "account", F.lit(rule).alias("rule"), F.lit(ordinal).alias("ordinal"), severity.alias("severity"))
+
+    worst, bad = F.lit("CRITICAL"), F.lit("HIGH")
+    out = alerts(tx.where(F.col("amount") >= high), "tx_id", "HIGH_VALUE", 1, F.when(F.col("amount") >= critical, worst).otherwise(bad))
+    out = out.union(alerts(structuring(tx, high=high), "first_id", "STRUCTURING", 2, worst))
+    out = out.union(alerts(mule_pairs(tx), "in_id", "TRANSIT_MULE", 3, worst))
+    out = out.union(alerts(night_activity(tx), "tx_id", "NIGHT", 4, bad))
+    return out if listed is None else out.union(alerts(listed, "tx_id", "WATCHLIST", 5, F.when(F.col("list") == "KEYWORD", bad).otherwise(worst)))
 
 
 def bursts(tx: DataFrame, gap: int = 60) -> DataFrame:
@@ -89,42 +92,55 @@ def mule_pairs(tx: DataFrame, floor: int = 2_000, seconds: int = HOUR, ratio_bps
     return met.groupBy("account", "in_id", "in_amount").agg(F.min_by("out_id", F.struct("out_ts", "out_id")).alias("out_id"))
 
 
-def ranked_value(counts: DataFrame, value: str, rank: int, buckets: int = 1 << 14) -> int | None:
-    """The value at a 1-based rank of whole numbers given as (value, k), without one task that sees them all.
+def ranked_values(counts: DataFrame, value: Column, ranks: list[int], low: int, high: int, buckets: int = 1 << 14) -> list[int]:
+    """The values at 1-based ranks of whole numbers between low and high, given as `value` of rows that each count k times.
 
-    The range that holds the rank is cut into equal buckets again and again, and only the bucket counts are looked at, until a bucket is one value.
+    Each rank's range is cut into equal buckets again and again, until a bucket is one value. A pass over the rows serves all ranks, and only
+    bucket counts come to the driver, at most `buckets` for each rank.
     """
-    low, high = counts.agg(F.min(value), F.max(value)).first()
-    while low is not None and low < high:
-        width = (high - low) // buckets + 1
-        inside = counts.where(F.col(value).between(low, high)).groupBy(F.expr(f"({value} - ({low})) DIV {width}").alias("b")).agg(F.sum("k").alias("k"))
-        upto = F.sum("k").over(Window.orderBy("b"))  # at most `buckets` + 1 rows
-        hit = inside.withColumn("upto", upto).where(F.col("upto") >= rank).orderBy("b").first()
-        rank -= hit["upto"] - hit["k"]
-        low, high = low + hit["b"] * width, min(high, low + hit["b"] * width + width - 1)
-    return low
-
-
-def integer_median(rows: DataFrame, value: Column) -> int | None:
-    """The median of whole numbers; the middle pair's mean is cut off."""
-    # kept on executors between passes, and made again from its source where one is lost
-    counts = rows.groupBy(value.alias("v")).agg(F.count("*").alias("k")).persist()
-    n = counts.agg(F.sum("k")).first()[0]
-    if not n:
-        counts.unpersist()
-        return None
-    one = ranked_value(counts, "v", (n + 1) // 2)
-    two = one if n % 2 else ranked_value(counts, "v", n // 2 + 1)
-    counts.unpersist()
-    return int((one + two) / 2) if abs(one + two) < 1 << 53 else (one + two) // 2
+    spans = [(low, high, rank) for rank in ranks]
+    while any(a < b for a, b, _ in spans):
+        ranges = sorted({(a, b) for a, b, _ in spans if a < b})
+        widths = [(b - a) // buckets + 1 for a, b in ranges]
+        at = F.array_compact(F.array(*[F.when(value.between(a, b), F.struct(F.lit(i).alias("range"), F.call_function("div", value - F.lit(a), F.lit(w).cast("long")).alias("bucket"))) for i, ((a, b), w) in enumerate(zip(ranges, widths, strict=True))]))
+        seen = counts.select(F.explode(at).alias("at"), "k").groupBy("at.range", "at.bucket").agg(F.sum("k").alias("k")).collect()
+        held = [sorted((r["bucket"], r["k"]) for r in seen if r["range"] == i) for i in range(len(ranges))]
+        new = []
+        for a, b, rank in spans:
+            if a < b:
+                i = ranges.index((a, b))
+                for bucket, k in held[i]:
+                    if rank <= k:
+                        start = a + bucket * widths[i]
+                        a, b = start, min(b, start + widths[i] - 1)
+                        break
+                    rank -= k
+            new.append((a, b, rank))
+        spans = new
+    return [a for a, _, _ in spans]
+
+
+def middle(counts: DataFrame, value: Column, n: int, low: int, high: int) -> int:
+    """The median of n whole numbers; the middle pair's mean is cut off."""
+    one, two = ranked_values(counts, value, [(n + 1) // 2, n // 2 + 1], low, high)
+    total = one + two
+    return -(-total // 2) if total < 0 else total // 2
 
 
 def median_and_mad(tx: DataFrame) -> DataFrame:
-    """One row of the integer median and median absolute deviation of amounts; no row for no amounts."""
-    rows = tx.select("amount").where("amount IS NOT NULL")
-    median = integer_median(rows, F.col("amount"))
-    made = [] if median is None else [(median, integer_median(rows, F.abs(F.col("amount") - median)))]
-    return tx.sparkSession.createDataFrame(made, "median long, mad long")
+    """One row of the integer median and median absolute deviation of amounts, and their number; no row for no amounts.
+
+    The rows are read once: deviations are those of the counted values.
+    """
+    # kept on executors between passes, and made again from its source where one is lost
+    counts = tx.where("amount IS NOT NULL").groupBy(F.col("amount").alias("v")).agg(F.count("*").alias("k")).persist()
+    n, low, high = counts.agg(F.sum("k"), F.min("v"), F.max("v")).first()
+    made = []
+    if n:
+        median = middle(counts, F.col("v"), n, low, high)
+        made.append((median, middle(counts, F.abs(F.col("v") - median), n, 0, max(high - median, median - low)), n))
+    counts.unpersist()
+    return tx.sparkSession.createDataFrame(made, "median long, mad long, sample long")
 
 
 def outliers(tx: DataFrame, limit_bps: int = 35_000) -> DataFrame:
@@ -139,36 +155,39 @@ def daily_structuring(tx: DataFrame, low: int = 2_000, high: int = 20_000, least
     return day.agg(F.count("*").alias("n"), F.sum("amount").alias("total")).where((F.col("n") >= least) & (F.col("total") >= high))
 
 
-def enhanced_scores(tx: DataFrame, low: int = 2_000, high: int = 20_000) -> DataFrame:
-    """Fused score in basis points: statutory hit, burst, surge, night amounts and outliers, each capped, at most 10000.
+#: What an alert of each severity adds to a fused score, in basis points.
+SEVERITY_BPS = {"CRITICAL": 3_500, "HIGH": 2_500, "MEDIUM": 1_500, "LOW": 500}
+
 
-    All window flags come from one shuffle by account; only the inflows of transit pairs are joined to them.
+def enhanced_scores(tx: DataFrame, listed: DataFrame | None = None, risks: DataFrame | None = None, high: int = 20_000, band: tuple[int, int] = (19_000, 19_999), dark_floor: int = 10_000) -> DataFrame:
+    """(tx_id, account, score, reasons): the fused score in basis points of every row that has one, at most 10000.
+
+    Statutory alerts add up by severity. To them come speed (bursts, surges, money at night, at most 2500), size (the band just below the threshold and
+    outliers, at most 3000; outliers need five amounts and a deviation) and the narration's risk (a quarter of it from 8200 on). `listed` has watchlist alerts and
+    `risks` (tx_id, bps). Window flags come from one shuffle by account.
     """
-    by = Window.partitionBy("account").orderBy("ts")
-    exact, whole = Window.partitionBy("account").orderBy("ts", "tx_id"), Window.partitionBy("account")
-    part = (F.col("amount") >= low) & (F.col("amount") < high)
-    mid, dark = F.when(part, F.col("amount")), at_night(F.col("ts"))
+    by, exact = Window.partitionBy("account").orderBy("ts"), Window.partitionBy("account").orderBy("ts", "tx_id")
     near = F.least(F.col("ts") - F.lag("ts").over(exact), F.lead("ts").over(exact) - F.col("ts"))
-    flags = (
-        tx.withColumn("gap", near)
-        .withColumn("hour_n", F.count("*").over(by.rangeBetween(-HOUR, 0)))
-        .withColumn("n", F.count(mid).over(by.rangeBetween(-DAY, 0)))
-        .withColumn("total", F.sum(mid).over(by.rangeBetween(-DAY, 0)))
-        .withColumn("surge", F.max("hour_n").over(by.rangeBetween(0, HOUR)) >= 3)
-        .withColumn("nights", F.struct(F.count(F.when(dark, 1)).over(whole).alias("n"), F.sum(F.when(dark, F.col("amount"))).over(whole).alias("total"), F.min(F.when(dark, F.struct("ts", "tx_id"))).over(whole).alias("first")))
-    )
-    mules = mule_pairs(tx).select(F.col("in_id").alias("tx_id"), F.lit(True).alias("mule")).distinct()
-    burst = F.coalesce(F.col("gap") < 60, F.lit(False))
-    structured = part & (F.col("n") >= 3) & (F.col("total") >= high)
-    first_dark = ((F.col("nights.n") >= 3) | (F.col("nights.total") >= 20_000)) & (F.col("nights.first.tx_id") == F.col("tx_id"))
-    base = F.when(F.col("amount") >= high, 3500).when(structured, 2500).when(F.col("mule"), 1500).when(first_dark, 500).otherwise(0)
-    speed = F.least(F.lit(2500), F.when(burst, 1500).otherwise(0) + F.when(F.col("surge"), 2000).otherwise(0) + F.when(dark & (F.col("amount") >= 10_000), 2000).otherwise(0))
-    z = F.expr("6745 * abs(amount - median) DIV greatest(1, mad)")
-    size = F.when(F.col("z_bps") > 70_000, 2500).when(F.col("z_bps") > 35_000, 2000).otherwise(0)
-    scored = flags.join(mules, "tx_id", "left").join(F.broadcast(median_and_mad(tx)), how="cross").withColumn("z_bps", z)
-    reasons = F.array_compact(F.array(F.when(base > 0, F.lit("statutory")), F.when(burst, F.lit("burst")), F.when(F.col("surge"), F.lit("surge")), F.when(F.col("z_bps") > 35_000, F.lit("outlier"))))
-    score = F.least(F.lit(10_000), base + speed + size)
-    return scored.select("tx_id", "account", score.cast("int").alias("score"), F.array_join(reasons, ",").alias("reasons")).where("score > 0")
+    flags = tx.withColumn("gap", near).withColumn("hour_n", F.count("*").over(by.rangeBetween(-HOUR, 0))).withColumn("surge", F.max("hour_n").over(by.rangeBetween(0, HOUR)) >= 3)
+    severity = F.lit(0)
+    for name, bps in SEVERITY_BPS.items():
+        severity = F.when(F.col("severity") == name, bps).otherwise(severity)
+    alerts = statutory_screen(tx, listed, high).groupBy("tx_id").agg(F.sum(severity).alias("base"))
+    extra = alerts if risks is None else alerts.join(risks.where("bps >= 8200").select("tx_id", "bps"), "tx_id", "full")
+    extra = extra.withColumn("bps", F.lit(0)) if risks is None else extra
+    scored = flags.join(extra, "tx_id", "left").join(F.broadcast(median_and_mad(tx)), how="cross").withColumn("z_bps", F.expr("CASE WHEN sample >= 5 AND mad > 0 THEN 6745 * abs(amount - median) DIV mad ELSE 0 END"))
+    base, burst, risk = F.coalesce("base", F.lit(0)), F.coalesce(F.col("gap") < 60, F.lit(False)), F.coalesce("bps", F.lit(0))
+    dark, smurf = at_night(F.col("ts")) & (F.col("amount") >= dark_floor), F.col("amount").between(*band)
+
+    def adds(hit: Column, bps: int) -> Column:
+        return F.when(hit, bps).otherwise(0)
+
+    speed = F.least(F.lit(2_500), adds(burst, 1_500) + adds(F.col("surge"), 2_000) + adds(dark, 2_000))
+    size = F.least(F.lit(3_000), adds(smurf, 2_500) + F.when(F.col("z_bps") > 50_000, 2_500).when(F.col("z_bps") > 35_000, 2_000).otherwise(0))
+    reasons = {"statutory": base > 0, "burst": burst, "surge": F.col("surge"), "night": dark, "band": smurf, "outlier": F.col("z_bps") > 35_000, "narration": risk > 0}
+    told = F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in reasons.items()]))
+    score = F.least(F.lit(10_000), base + speed + size + F.call_function("div", (risk * 2_500).cast("long"), F.lit(10_000).cast("long")))
+    return scored.select("tx_id", "account", score.cast("int").alias("score"), F.array_join(told, ",").alias("reasons")).where("score > 0")
 
 
 def risk_profile(score: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.names import winkler_bps
+from ledgerloom.functions.names import winkler_bps, with_bonus
 from ledgerloom.functions.text import unmarked_upper
 
-#: Entries of a list that is broadcast at most; a longer one meets the distinct names it shares a first letter and about a length with.
+#: Entries of a list whose index is broadcast at most.
 MOST_BROADCAST = 10_000
 # The words among suspicious ones that weigh more.
 STRONG_WORDS = ["USDT", "BINANCE", "P2P", "OKX", "BYBIT"]
@@ -29,23 +29,54 @@ def account_alerts(rows: DataFrame, listed: DataFrame) -> DataFrame:
     return met.groupBy("tx_id").agg(F.min_by("entry", "position").alias("entry")).select("tx_id", F.lit("ACCOUNT").alias("list"), F.col("entry").cast("string"))
 
 
-def name_alerts(rows: DataFrame, listed: DataFrame, least_bps: int = 9_000) -> DataFrame:
-    """(tx_id, list, entry): the first listed name (position, name) that a counterparty's name is like.
+def least_jaro(least_bps: int, same: int) -> int:
+    """The least Jaro similarity in basis points that reaches least_bps with `same` equal first letters."""
+    return next((j for j in range(10_001) if with_bonus(j, same) >= least_bps), 10_001)
+
+
+def lettered(df: DataFrame, name: str, least: int) -> DataFrame:
+    """df with `tokens`, a name's letters numbered by how often each came before, and `prefix`, those that a partner must share one of.
+
+    With Jaro from `least` on, shared letters m meet m / |a| + m / |b| >= (3 least - 10000) / 10000 = 1 + r. As m <= |b|, also m >= r |a|, so of
+    any fixed order the first |a| - ceil(r |a|) + 1 tokens of either name hold a shared one. The order puts later repeats, and letters late in the
+    alphabet, first, as these are rare.
+    """
+    letters = F.array_sort(F.filter(F.split(F.col(name), ""), lambda x: x != ""))
+    numbered = F.transform(letters, lambda x, i: F.struct((i - F.array_position(letters, x) + 1).alias("k"), x.alias("x")))
+    tokens = F.transform(F.sort_array(numbered, asc=False), lambda t: F.concat(t["x"], t["k"].cast("string")))
+    least_shared = F.greatest(F.lit(1), F.ceil(F.length(name) * max(0, 3 * least - 20_000) / 10_000))
+    return df.withColumn("tokens", tokens).withColumn("prefix", F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.length(name) - least_shared + 1).cast("int")))
+
 
-    Only distinct names are compared. A similarity from 9000 on needs lengths that differ by less than a third, so a list too long to broadcast is
-    joined by length within such bands instead.
+def similar_names(names: DataFrame, listed: DataFrame, least_bps: int) -> DataFrame:
+    """Rows (name, entry, position) for each distinct `name` and listed (position, entry, other) whose Jaro-Winkler similarity is least_bps or more.
+
+    Candidates share a letter of their prefixes (see `lettered`); of those the numbers of shared letters, which bound the similarity for the
+    first letters that agree, leave few for the comparison itself. Nothing at or over the threshold is ruled out.
     """
-    names = rows.where("counterparty <> ''").select(unmarked_upper(F.col("counterparty")).alias("name")).distinct()
+    needs = [least_jaro(least_bps, same) for same in range(5)]
+    own = lettered(names.where("name <> ''"), "name", min(needs))
+    index = lettered(listed.where("other <> ''"), "other", min(needs)).withColumnRenamed("tokens", "other_tokens")
+    index = index.withColumn("token", F.explode("prefix")).drop("prefix")
+    if listed.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        index = F.broadcast(index)
+    met = own.withColumn("token", F.explode("prefix")).join(index, "token").select("name", "tokens", "position", "entry", "other", "other_tokens")
+    x, y = F.length("name").cast("long"), F.length("other").cast("long")
+    need = F.lit(needs[0])
+    for same in range(1, 5):
+        need = F.when(F.substring("name", 1, same) == F.substring("other", 1, same), needs[same]).otherwise(need)
+    shared = F.size(F.array_intersect("tokens", "other_tokens"))
+    pairs = met.where(shared * (x + y) * 10_000 >= (3 * need - 10_000) * x * y).select("name", "position", "entry", "other").distinct()
+    return pairs.where(winkler_bps("name", "other") >= least_bps).select("name", "entry", "position")
+
+
+def name_alerts(rows: DataFrame, listed: DataFrame, least_bps: int = 9_000) -> DataFrame:
+    """(tx_id, list, entry): the first listed name (position, name) that a counterparty's name is like. Only distinct names are compared."""
+    own = unmarked_upper(F.col("counterparty"))
+    names = rows.where("counterparty <> ''").select(own.alias("name")).distinct()
     entries = listed.select("position", F.col("name").alias("entry"), unmarked_upper(F.col("name")).alias("other"))
-    near = (F.length("name") * 10 >= F.length("other") * 7) & (F.length("other") * 10 >= F.length("name") * 7)
-    if listed.count() <= MOST_BROADCAST:
-        pairs = names.crossJoin(F.broadcast(entries)).where(near)
-    else:
-        band = F.floor(F.log(F.length("other").cast("double")) / F.log(F.lit(10 / 7)))
-        own = F.floor(F.log(F.length("name").cast("double")) / F.log(F.lit(10 / 7)))
-        pairs = names.withColumn("band", F.explode(F.array(own - 1, own, own + 1))).join(entries.withColumn("band", band), "band").where(near)
-    hits = pairs.withColumn("bps", winkler_bps("name", "other")).where(F.col("bps") >= least_bps).groupBy("name").agg(F.min_by("entry", "position").alias("entry"))
-    return rows.join(hits, unmarked_upper(F.col("counterparty")) == F.col("name")).select("tx_id", F.lit("NAME").alias("list"), "entry")
+    hits = similar_names(names, entries, least_bps).groupBy("name").agg(F.min_by("entry", "position").alias("entry"))
+    return rows.join(hits, own == F.col("name")).select("tx_id", F.lit("NAME").alias("list"), "entry")
 
 
 def watchlist(rows: DataFrame, keywords: list[str], accounts: DataFrame, names: DataFrame) -> DataFrame:
@@ -71,9 +102,15 @@ def resembling(rows: DataFrame, clusters: dict[str, list[str]], least_bps: int =
     """(tx_id, bps, category): 8300 where a word of more than four letters resembles a single listed word of more than four."""
     spark = rows.sparkSession
     single = [(k, c, w) for k, (c, w) in enumerate((c, w) for c, ws in clusters.items() for w in ws) if " " not in w and len(w) > 4]
-    listed = spark.createDataFrame(single, "position int, category string, word string").withColumn("other", unmarked_upper(F.col("word")))
+    listed = spark.createDataFrame(single, "position int, entry string, word string").withColumn("other", unmarked_upper(F.col("word")))
     words = rows.select("tx_id", F.explode(F.array_distinct(F.split(unmarked_upper(F.col("narration")), r"\s+"))).alias("name")).where("length(name) > 4")
-    near = F.abs(F.length("name") - F.length("other")) <= F.length("other") / 3
-    hits = words.select("name").distinct().crossJoin(F.broadcast(listed)).where(near).withColumn("bps", winkler_bps("name", "other")).where(F.col("bps") >= least_bps)
-    first = hits.groupBy("name").agg(F.min(F.struct("position", "category")).alias("h"))
+    first = similar_names(words.select("name").distinct(), listed, least_bps).groupBy("name").agg(F.min(F.struct("position", F.col("entry").alias("category"))).alias("h"))
     return words.join(first, "name").groupBy("tx_id").agg(F.min("h").alias("h")).select("tx_id", F.lit(8_300).alias("bps"), "h.category")
+
+
+def whole_risk(rows: DataFrame, clusters: dict[str, list[str]]) -> DataFrame:
+    """(tx_id, bps, category) of every row's narration: the greater of narration_risk and resembling."""
+    like = resembling(rows, clusters).select("tx_id", F.col("bps").alias("l_bps"), F.col("category").alias("l_category"))
+    met = rows.select("tx_id", narration_risk(F.col("narration"), clusters).alias("r")).join(like, "tx_id", "left")
+    less = F.coalesce(F.col("l_bps") > F.col("r.bps"), F.lit(False))
+    return met.select("tx_id", F.when(less, F.col("l_bps")).otherwise(F.col("r.bps")).alias("bps"), F.when(less, F.col("l_category")).otherwise(F.col("r.category")).alias("category"))

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import masks, names
 from ledgerloom.functions import text as T
 from ledgerloom.operators import reconcile as R
+from ledgerloom.operators import surveillance as S
 from ledgerloom.operators import watchlist as W
-from ledgerloom.plans.registry import BANK, TXN, query
+from ledgerloom.plans.registry import BANK, BURST, HOUR, MEDIAN, MULE, NIGHT, STRUCT, SURGE, TXN, query
 from ledgerloom.sources import statements as P
 from ledgerloom.sources.adapters import bank_lines, invoices, table, transactions
 
@@ -168,7 +169,21 @@ def _(spark, d):
 
 KEYS, CLUSTERS = ["danh bac", "USDT"], {"CRYPTO": ["USDT", "BINANCE", "P2P"], "GAMBLING": ["danh bac", "casino"]}
 ACCOUNTS, LISTED = [(0, 7), (1, 11)], [(0, "Tran Thi Ngoc"), (1, "Hai Dang May Bon")]
-WATCH = f"watched AS (SELECT tx_id, account, account * 3 % 17 AS counter_account, {NAMES!r}[tx_id % 12 + 1] AS counterparty, {NOTES!r}[tx_id * 7 % 13 + 1] AS narration FROM txn)"
+#: Payers whose names are short or long forms of listed ones, which only their first letters bring over the threshold, or miss it by little.
+PAYERS = [*NAMES, "TRAN THI NGOC LAN HUONG", "Trần Thị", "Tran T", "HAI DANG MAY BON QUANG NINH", "Hai Dan", "NGOC THI TRAN", "TRANG THI NGA", "Hoi Dong May Ban"]
+WATCH = f"watched AS (SELECT tx_id, account, amount, ts, is_credit, account * 3 % 17 AS counter_account, {PAYERS!r}[tx_id % 20 + 1] AS counterparty, {NOTES!r}[tx_id * 7 % 13 + 1] AS narration FROM txn)"
+LIKE = "jaro_winkler_similarity({0}, '{1}') >= 0.9"
+HIT_1, HIT_2 = (LIKE.format(UP.format("counterparty"), n.upper()) for _, n in LISTED)
+ALERTS = f"""SELECT tx_id, account, 'KEYWORD' AS list, CASE WHEN contains({UP.format('narration')}, 'DANH BAC') THEN 'danh bac' ELSE 'USDT' END AS entry FROM watched WHERE contains({UP.format('narration')}, 'DANH BAC') OR contains({UP.format('narration')}, 'USDT')
+    UNION ALL SELECT tx_id, account, 'ACCOUNT', CASE WHEN account = 7 OR counter_account = 7 THEN 7 ELSE 11 END::VARCHAR FROM watched WHERE account IN (7, 11) OR counter_account IN (7, 11)
+    UNION ALL SELECT tx_id, account, 'NAME', CASE WHEN {HIT_1} THEN 'Tran Thi Ngoc' ELSE 'Hai Dang May Bon' END FROM watched WHERE counterparty <> '' AND ({HIT_1} OR {HIT_2})"""
+RISKS = f"""SELECT tx_id, CASE WHEN contains(t, 'DANH BAC') THEN 9500 WHEN contains(t, 'USDT') OR contains(t, 'BINANCE') OR contains(' ' || t || ' ', ' P2P ') THEN 9200 WHEN contains(t, 'CASINO') THEN 8600 WHEN contains(t, 'BINANSE') THEN 8300 ELSE 0 END AS bps,
+    CASE WHEN contains(t, 'DANH BAC') THEN 'GAMBLING' WHEN contains(t, 'USDT') OR contains(t, 'BINANCE') OR contains(' ' || t || ' ', ' P2P ') THEN 'CRYPTO' WHEN contains(t, 'CASINO') THEN 'GAMBLING' WHEN contains(t, 'BINANSE') THEN 'CRYPTO' END AS category
+    FROM (SELECT tx_id, {UP.format('narration')} AS t FROM watched)"""
+# a structuring window alerts on its first row
+SCREEN = f"""SELECT tx_id, account, 'HIGH_VALUE' AS rule, 1 AS ordinal, CASE WHEN amount >= 30000 THEN 'CRITICAL' ELSE 'HIGH' END AS severity FROM txn WHERE amount >= 20000
+    UNION ALL SELECT opened[2], account, 'STRUCTURING', 2, 'CRITICAL' FROM ({STRUCT}) UNION ALL SELECT in_id, account, 'TRANSIT_MULE', 3, 'CRITICAL' FROM ({MULE})
+    UNION ALL SELECT tx_id, account, 'NIGHT', 4, 'HIGH' FROM ({NIGHT}) UNION ALL SELECT tx_id, account, 'WATCHLIST', 5, CASE list WHEN 'KEYWORD' THEN 'HIGH' ELSE 'CRITICAL' END FROM ({ALERTS})"""
 
 
 def watched(spark, d) -> DataFrame:
@@ -176,34 +191,45 @@ def watched(spark, d) -> DataFrame:
         return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
 
     k = F.col("tx_id")
-    return transactions(spark, d).select("tx_id", "account", (F.col("account") * 3 % 17).alias("counter_account"), pick(NAMES, k % 12).alias("counterparty"), pick(NOTES, k * 7 % 13).alias("narration"))
+    return transactions(spark, d).select("tx_id", "account", "amount", "ts", "is_credit", (F.col("account") * 3 % 17).alias("counter_account"), pick(PAYERS, k % 20).alias("counterparty"), pick(NOTES, k * 7 % 13).alias("narration"))
 
 
-@query(
-    "aml_watchlist",
-    f"""{TXN}, {WATCH} SELECT tx_id, 'KEYWORD' AS list, CASE WHEN contains({UP.format('narration')}, 'DANH BAC') THEN 'danh bac' ELSE 'USDT' END AS entry FROM watched WHERE contains({UP.format('narration')}, 'DANH BAC') OR contains({UP.format('narration')}, 'USDT')
-    UNION ALL SELECT tx_id, 'ACCOUNT', CASE WHEN account = 7 OR counter_account = 7 THEN 7 ELSE 11 END::VARCHAR FROM watched WHERE account IN (7, 11) OR counter_account IN (7, 11)
-    UNION ALL SELECT tx_id, 'NAME', CASE WHEN jaro_winkler_similarity({UP.format('counterparty')}, 'TRAN THI NGOC') >= 0.9 THEN 'Tran Thi Ngoc' ELSE 'Hai Dang May Bon' END FROM watched WHERE counterparty <> '' AND greatest(jaro_winkler_similarity({UP.format('counterparty')}, 'TRAN THI NGOC'), jaro_winkler_similarity({UP.format('counterparty')}, 'HAI DANG MAY BON')) >= 0.9""",
-)
+def alerts_of(rows: DataFrame) -> DataFrame:
+    spark = rows.sparkSession
+    return W.watchlist(rows, KEYS, spark.createDataFrame(ACCOUNTS, "position int, account long"), spark.createDataFrame(LISTED, "position int, name string"))
+
+
+@query("aml_watchlist", f"{TXN}, {WATCH} SELECT tx_id, list, entry FROM ({ALERTS})")
 def _(spark, d):
-    accounts = spark.createDataFrame(ACCOUNTS, "position int, account long")
-    found = W.watchlist(watched(spark, d), KEYS, accounts, spark.createDataFrame(LISTED, "position int, name string"))
-    return found.select("tx_id", "list", F.col("entry").cast("string").alias("entry"))
+    return alerts_of(watched(spark, d))
+
+
+@query("txt_narration_risk", f"{TXN}, {WATCH} {RISKS}")
+def _(spark, d):
+    return W.whole_risk(watched(spark, d), CLUSTERS)
+
+
+@query("aml_statutory_screen", f"{TXN}, {WATCH} {SCREEN}")
+def _(spark, d):
+    rows = watched(spark, d)
+    return S.statutory_screen(rows, alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id"))
 
 
 @query(
-    "txt_narration_risk",
-    f"""{TXN}, {WATCH}, p AS (SELECT tx_id, {UP.format('narration')} AS t FROM watched)
-    SELECT tx_id, CASE WHEN contains(t, 'DANH BAC') THEN 9500 WHEN contains(t, 'USDT') OR contains(t, 'BINANCE') OR contains(' ' || t || ' ', ' P2P ') THEN 9200 WHEN contains(t, 'CASINO') THEN 8600 WHEN contains(t, 'BINANSE') THEN 8300 ELSE 0 END AS bps,
-    CASE WHEN contains(t, 'DANH BAC') THEN 'GAMBLING' WHEN contains(t, 'USDT') OR contains(t, 'BINANCE') OR contains(' ' || t || ' ', ' P2P ') THEN 'CRYPTO' WHEN contains(t, 'CASINO') THEN 'GAMBLING' WHEN contains(t, 'BINANSE') THEN 'CRYPTO' END AS category FROM p""",
+    "aml_enhanced_scores",
+    f"""{TXN}, {WATCH}, {MEDIAN}, st AS (SELECT tx_id, sum(CASE severity WHEN 'CRITICAL' THEN 3500 ELSE 2500 END) AS base FROM ({SCREEN}) GROUP BY tx_id), bu AS ({BURST}), su AS ({SURGE}), ri AS ({RISKS}),
+    f AS (SELECT t.*, coalesce(base, 0) AS base, bu.tx_id IS NOT NULL AS burst, su.tx_id IS NOT NULL AS surge, CASE WHEN mad > 0 THEN 6745 * abs(amount - median) // mad ELSE 0 END AS z, ({HOUR} >= 23 OR {HOUR} < 5) AND amount >= 10000 AS night,
+        amount BETWEEN 19000 AND 19999 AS band, CASE WHEN bps >= 8200 THEN bps ELSE 0 END AS bps
+        FROM txn t CROSS JOIN mads LEFT JOIN st USING (tx_id) LEFT JOIN bu ON bu.tx_id = t.tx_id LEFT JOIN su ON su.tx_id = t.tx_id LEFT JOIN ri ON ri.tx_id = t.tx_id),
+    s AS (SELECT *, least(10000, base + least(2500, CASE WHEN burst THEN 1500 ELSE 0 END + CASE WHEN surge THEN 2000 ELSE 0 END + CASE WHEN night THEN 2000 ELSE 0 END)
+        + least(3000, CASE WHEN band THEN 2500 ELSE 0 END + CASE WHEN z > 50000 THEN 2500 WHEN z > 35000 THEN 2000 ELSE 0 END) + bps * 2500 // 10000) AS score FROM f)
+    SELECT tx_id, account, CAST(score AS INT) AS score, concat_ws(',', CASE WHEN base > 0 THEN 'statutory' END, CASE WHEN burst THEN 'burst' END, CASE WHEN surge THEN 'surge' END, CASE WHEN night THEN 'night' END, CASE WHEN band THEN 'band' END,
+        CASE WHEN z > 35000 THEN 'outlier' END, CASE WHEN bps > 0 THEN 'narration' END) AS reasons FROM s WHERE score > 0""",
 )
 def _(spark, d):
     rows = watched(spark, d)
-    sure = rows.select("tx_id", W.narration_risk(F.col("narration"), CLUSTERS).alias("r"))
-    like = W.resembling(rows, CLUSTERS).select("tx_id", F.col("bps").alias("l_bps"), F.col("category").alias("l_category"))
-    met = sure.join(like, "tx_id", "left")
-    less = F.coalesce(F.col("l_bps") > F.col("r.bps"), F.lit(False))
-    return met.select("tx_id", F.when(less, F.col("l_bps")).otherwise(F.col("r.bps")).alias("bps"), F.when(less, F.col("l_category")).otherwise(F.col("r.category")).alias("category"))
+    listed = alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id")
+    return S.enhanced_scores(rows, listed, W.whole_risk(rows, CLUSTERS))
 
 
 # --- statements -------------------------------------------------------------------------------------------------------------------

@@ -39,15 +39,13 @@ def query(name: str, sql: str | None = None) -> Callable:
 # --- surveillance ---------------------------------------------------------------------------------------------------
 
 HIGH = "SELECT tx_id, account, 'HIGH_VALUE' AS rule, 1 AS ordinal FROM txn WHERE amount >= 20000"
-STRUCT = """SELECT * FROM (SELECT *, count(*) OVER w AS n, sum(amount) OVER w AS total FROM txn WHERE amount >= 2000 AND amount < 20000
+STRUCT = """SELECT * FROM (SELECT *, count(*) OVER w AS n, sum(amount) OVER w AS total, min((ts, tx_id)) OVER w AS opened FROM txn WHERE amount >= 2000 AND amount < 20000
     WINDOW w AS (PARTITION BY account ORDER BY ts RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)) WHERE n >= 3 AND total >= 20000"""
 HOUR = "(((ts + 25200) % 86400 + 86400) % 86400) // 3600"
 NIGHT = f"""SELECT account, count(*) AS n, sum(amount) AS total, arg_min(tx_id, (ts, tx_id)) AS tx_id FROM txn WHERE {HOUR} >= 23 OR {HOUR} < 5
     GROUP BY account HAVING count(*) >= 3 OR sum(amount) >= 20000"""
 MULE = """SELECT i.account, i.tx_id AS in_id, i.amount AS in_amount, arg_min(o.tx_id, (o.ts, o.tx_id)) AS out_id FROM txn i JOIN txn o ON i.account = o.account AND i.is_credit AND NOT o.is_credit
     AND i.amount >= 2000 AND o.ts BETWEEN i.ts AND i.ts + 3600 AND o.amount * 10000 >= i.amount * 9500 GROUP BY 1, 2, 3"""
-SCREEN = f"""{HIGH} UNION ALL SELECT tx_id, account, 'STRUCTURING', 2 FROM ({STRUCT}) UNION ALL SELECT in_id, account, 'TRANSIT_MULE', 3 FROM ({MULE})
-    UNION ALL SELECT tx_id, account, 'NIGHT', 4 FROM ({NIGHT})"""
 BURST = """SELECT tx_id, account FROM (SELECT *, ts - lag(ts) OVER w AS back, lead(ts) OVER w - ts AS ahead FROM txn WINDOW w AS (PARTITION BY account ORDER BY ts, tx_id)) WHERE back < 60 OR ahead < 60"""
 SURGE = """SELECT tx_id, account, most FROM (SELECT *, max(n) OVER (PARTITION BY account ORDER BY ts RANGE BETWEEN CURRENT ROW AND 3600 FOLLOWING) AS most FROM
     (SELECT *, count(*) OVER (PARTITION BY account ORDER BY ts RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM txn)) WHERE most >= 3"""
@@ -56,11 +54,6 @@ MEDIAN = """med AS (SELECT CAST(sum(amount) // count(*) AS BIGINT) AS median FRO
 OUTLIER = "SELECT tx_id, account, CAST(6745 * abs(amount - median) // greatest(1, mad) AS BIGINT) AS z_bps FROM txn, mads WHERE 6745 * abs(amount - median) // greatest(1, mad) > 35000"
 
 
-@query("aml_statutory_screen", f"{TXN} {SCREEN}")
-def _(spark, d):
-    return S.statutory_screen(transactions(spark, d))
-
-
 @query("aml_high_value", f"{TXN} {HIGH}")
 def _(spark, d):
     return S.high_value(transactions(spark, d))
@@ -103,7 +96,7 @@ def _(spark, d):
 
 @query("agg_median_mad", f"{TXN}, {MEDIAN} SELECT median, mad FROM mads")
 def _(spark, d):
-    return S.median_and_mad(transactions(spark, d))
+    return S.median_and_mad(transactions(spark, d)).select("median", "mad")
 
 
 @query("aml_outliers", f"{TXN}, {MEDIAN} {OUTLIER}")
@@ -116,21 +109,6 @@ def _(spark, d):
     return S.daily_structuring(transactions(spark, d))
 
 
-@query(
-    "aml_enhanced_scores",
-    f"""{TXN}, {MEDIAN}, st AS (SELECT tx_id, min(ordinal) AS first_rule FROM ({SCREEN}) GROUP BY tx_id), bu AS ({BURST}), su AS ({SURGE}), ou AS ({OUTLIER}),
-    f AS (SELECT t.*, first_rule, bu.tx_id IS NOT NULL AS burst, su.tx_id IS NOT NULL AS surge, z_bps, ({HOUR} >= 23 OR {HOUR} < 5) AND amount >= 10000 AS night
-        FROM txn t LEFT JOIN st USING (tx_id) LEFT JOIN bu ON bu.tx_id = t.tx_id LEFT JOIN su ON su.tx_id = t.tx_id LEFT JOIN ou ON ou.tx_id = t.tx_id),
-    s AS (SELECT *, least(10000, CASE first_rule WHEN 1 THEN 3500 WHEN 2 THEN 2500 WHEN 3 THEN 1500 WHEN 4 THEN 500 ELSE 0 END
-        + least(2500, CASE WHEN burst THEN 1500 ELSE 0 END + CASE WHEN surge THEN 2000 ELSE 0 END + CASE WHEN night THEN 2000 ELSE 0 END)
-        + CASE WHEN z_bps > 70000 THEN 2500 WHEN z_bps IS NOT NULL THEN 2000 ELSE 0 END) AS score FROM f)
-    SELECT tx_id, account, CAST(score AS INT) AS score, concat_ws(',', CASE WHEN first_rule IS NOT NULL THEN 'statutory' END, CASE WHEN burst THEN 'burst' END, CASE WHEN surge THEN 'surge' END, CASE WHEN z_bps IS NOT NULL THEN 'outlier' END) AS reasons
-    FROM s WHERE score > 0""",
-)
-def _(spark, d):
-    return S.enhanced_scores(transactions(spark, d))
-
-
 @query("join_keyword_hits", f"{TXN} SELECT tx_id, keyword FROM (SELECT tx_id, CASE WHEN contains(lower(narration), 'error') THEN 'error' WHEN contains(lower(narration), 'signup') THEN 'signup' END AS keyword FROM txn) WHERE keyword IS NOT NULL")
 def _(spark, d):
     return S.keyword_hits(transactions(spark, d), ["error", "signup"])

@@ -185,14 +185,38 @@ def _(spark, d):
     return transactions(spark, d).select("tx_id", J.canonical_json(text).alias("canonical"), J.hide_keys(text).alias("hidden"), ok.alias("fits"))
 
 
-FACTS = ["Anna works at Acme Corp. She likes tea", "see [[A]] and [[B|b]] then [[C]]", "user: Hà Nội là thủ đô của Việt Nam!", "nothing here", "Bob lives in Rome, Bob lives in Rome"]
-FOUND = [[("Anna", "works_at", "Acme Corp"), ("She", "likes", "tea")], [("A", "related_to", "B"), ("B", "related_to", "C")], [("Hà Nội", "capital_of", "Việt Nam")], [], [("Bob", "located_in", "Rome")]]
-FACT_SQL = " UNION ALL ".join(f"SELECT s_suppkey AS id, '{s}' AS subject, '{r}' AS relation, '{o}' AS object FROM supplier WHERE s_suppkey % 5 = {k}" for k, held in enumerate(FOUND) for s, r, o in held)
+def _clean(x: str) -> str:
+    edge = J.EDGE.replace("'", "''")
+    return f"trim(regexp_replace(trim(regexp_replace(trim({x}), '{J.OPENING}', '', 'i')), '{edge}', '', 'g'))"
+
+
+def _named(x: str) -> str:
+    return f"(length({x}) BETWEEN 2 AND 80 AND NOT list_contains({J.PRONOUNS!r}, lower({x})) AND regexp_matches({x}, '[\\p{{L}}\\p{{N}}]'))"
+
+
+TOLD = "[" + ", ".join(f"{{'relation': '{r}', 'phrase': '{p}'}}" for r, p in J.PHRASES) + "]"
+#: Each third turn is given a link and a stated fact, as the invented prose states few.
+SPOKEN = "CASE WHEN conv_id % 3 = 0 THEN text || chr(10) || 'User: see [[Node ' || conv_id % 7 || ']] and [[B|b]], yes, Anna works at (Acme ' || turn || '). Well Ha Noi is the capital of Viet Nam; she IS a friend of it' ELSE text END"
+FACT_SQL = f"""WITH c AS (SELECT conv_id, turn, {SPOKEN} AS text FROM conversations),
+    l AS (SELECT conv_id, turn, text, list_transform(list_filter(list_transform(regexp_extract_all(text, '(?s){J.LINK}', 1), lambda x: trim(split_part(x, '|', 1))), lambda x: strlen(x) BETWEEN 1 AND 80), lambda x: {_clean("x")}) AS links,
+        list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '(?im){J.ROLE}', '', 'g'), '{J.CLAUSE_END}'), lambda x: trim(x)), lambda x: strlen(x) >= 5) AS clauses FROM c),
+    s AS (SELECT *, list_filter(list_transform(clauses, lambda c: list_filter(list_transform(list_filter({TOLD}, lambda p: contains(lower(c), p.phrase)),
+            lambda p: {{'subject': {_clean("c[1 : instr(lower(c), p.phrase) - 1]")}, 'relation': p.relation, 'object': {_clean("c[instr(lower(c), p.phrase) + length(p.phrase) :]")}}}),
+            lambda t: {_named("t.subject")} AND {_named("t.object")} AND lower(t.subject) <> lower(t.object))), lambda told: len(told) > 0) AS told,
+        list_distinct(list_filter(list_transform(range(1, len(links)), lambda i: {{'subject': links[i], 'relation': 'links_to', 'object': links[i + 1]}}), lambda t: t.subject <> t.object)) AS beside FROM l),
+    f AS (SELECT conv_id, turn, unnest(list_reduce(list_prepend(beside, told), lambda found, new: list_concat(found, list_filter(new, lambda t: NOT list_contains(found, t))[1:1]))) AS t FROM s)
+    SELECT conv_id, turn, t.subject AS subject, t.relation AS relation, t.object AS object FROM f"""
+
+
+def facts(spark, d) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.expr(SPOKEN).alias("text"))
+    return turns.select("conv_id", "turn", F.inline(J.triples(F.col("text"))))
 
 
 @query("graph_triples", FACT_SQL)
 def _(spark, d):
-    text = F.element_at(F.array(*[F.lit(x) for x in FACTS]), (F.col("s_suppkey") % 5 + 1).cast("int"))
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.inline(J.triples(text)))
+    """Links and stated facts of every turn of every conversation."""
+    return facts(spark, d)
+
 
 

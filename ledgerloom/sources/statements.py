@@ -158,17 +158,12 @@ def synthetic_lines(spark: SparkSession, n: int, seed: int = 0, banks: int = 5)
     return spark.range(n).select(F.col("id").alias("line_id"), F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(banks)).alias("bank"), amount.alias("amount"), kind.alias("kind"), (F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"))
 
 
-# What begins a line of totals.
-TOTALS = r"(?i)^\s*(tổng|tong|cộng|cong phat sinh|total|sum|số dư cuối)"
+# What begins a line of totals, as whole words.
+TOTALS = r"(?iu)^\s*(tổng|tong|cộng|cong phat sinh|totals?|sum|số dư cuối)(?![\p{L}\p{N}])"
 
 
-def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, places: int = 0, stop: str = TOTALS) -> DataFrame:
-    """Canonical rows from (file, content): the header is the first line with at least `least` known column names.
-
-    `aliases` maps ref, debit, credit, narration and date, or `amount` for one signed column, to the names a header may use. Lines
-    after the header up to the first whose first filled cell matches `stop` are cut with the file's delimiter, quotes respected; lines
-    without an amount continue the narration of the row before them. Amounts have `places` digits of minor units.
-    """
+def below_header(files: DataFrame, aliases: dict[str, list[str]], least: int, stop: str) -> DataFrame:
+    """Rows (file, d, line_no, line, cells, at, names, ended) of the lines after each file's header."""
     known = F.array(*[F.lit(a.lower()) for names in aliases.values() for a in names])
     text = F.regexp_replace("content", "^\ufeff", "")
     # the delimiter is found before the lines are dealt out, or each line would carry its whole file along
@@ -177,10 +172,26 @@ def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, p
     cells = lines.withColumn("cells", quoted_cells(F.col("line"), F.col("d")))
     header = cells.where(F.size(F.array_intersect(F.transform("cells", F.lower), known)) >= least).groupBy("file").agg(F.min(F.struct("line_no", "cells")).alias("h"))
     rows = cells.join(header.select("file", F.col("h.line_no").alias("at"), F.transform("h.cells", F.lower).alias("names")), "file").where("line_no > at")
-    order = Window.partitionBy("file").orderBy("line_no")
-    ended = F.coalesce(F.get(F.filter("cells", lambda c: c != ""), F.lit(0)).rlike(stop), F.lit(False))
-    rows = rows.withColumn("over", F.max(ended).over(order)).where("NOT over")
+    return rows.withColumn("ended", F.coalesce(F.get(F.filter("cells", lambda c: c != ""), F.lit(0)).rlike(stop), F.lit(False)))
+
+
+def ends(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, stop: str = TOTALS) -> DataFrame:
+    """(file, line_no, lines_after): the line of totals at which the rows of a file end, if one does, and how many filled lines follow it."""
+    rows = below_header(files, aliases, least, stop).where("exists(cells, c -> c <> '')")
+    last = rows.groupBy("file").agg(F.min(F.when(F.col("ended"), F.col("line_no"))).alias("line_no"), F.collect_list("line_no").alias("lines"))
+    return last.where("line_no IS NOT NULL").select("file", F.col("line_no").cast("long").alias("line_no"), F.expr("size(filter(lines, l -> l > line_no))").cast("long").alias("lines_after"))
 
+
+def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, places: int = 0, stop: str = TOTALS) -> DataFrame:
+    """Canonical rows from (file, content): the header is the first line with at least `least` known column names.
+
+    `aliases` maps ref, debit, credit, narration and date, or `amount` for one signed column, to the names a header may use. Lines
+    after the header up to the first whose first filled cell matches `stop` (see `ends`) are cut with the file's delimiter, quotes respected; lines
+    without an amount continue the narration of the row before them. Amounts have `places` digits of minor units.
+    """
+    rows = below_header(files, aliases, least, stop)
+    order = Window.partitionBy("file").orderBy("line_no")
+    rows = rows.withColumn("over", F.max("ended").over(order)).where("NOT over")
     def cell(what: str) -> Column:
         spots = [F.get("cells", F.nullif(F.array_position("names", F.lit(n.lower())), F.lit(0)).cast("int") - 1) for n in aliases.get(what, [])]
         return F.coalesce(*spots) if spots else F.lit(None).cast("string")
@@ -234,7 +245,7 @@ def mt940(files: DataFrame, places: int = 0) -> DataFrame:
     tag = F.nullif(F.regexp_extract("line", r"^:([0-9]{2}[A-Z]?):", 1), F.lit(""))
     tagged = lines.withColumn("tag", F.last(tag, ignorenulls=True).over(order)).withColumn("entry", F.sum(F.when(tag == "61", 1).otherwise(0)).over(order))
     body = F.regexp_replace("line", r"^:[0-9]{2}[A-Z]?:", "")
-    parts = tagged.where("entry > 0 AND tag IN ('61', '86')").withColumn("body", body)
+    parts = tagged.where("entry > 0 AND tag IN ('61', '86')").withColumn("body", body).where("tag = '61' OR trim(body) <> ''")
     joined = parts.groupBy("file", "entry").agg(
         F.min_by(F.when(F.col("tag") == "61", F.col("body")), "line_no").alias("head"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "86", F.struct("line_no", "body")))), lambda x: x["body"]), " ").alias("narration"),

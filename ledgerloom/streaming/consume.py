@@ -28,7 +28,7 @@ def with_retries(stream: DataFrame, retry: str) -> DataFrame:
     """The stream together with the rows that a consumer put back into the table `retry`, which is made if absent."""
     spark = stream.sparkSession
     spark.createDataFrame([], stream.schema).write.mode("append").parquet(retry)
-    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(retry))
+    return stream.unionByName(spark.readStream.schema(stream.schema).option("recursiveFileLookup", "true").parquet(retry))
 
 
 def consumer(handle: Callable[[DataFrame], DataFrame], done: str, dead: str, retries: int = 3, retry: str | None = None) -> Callable[[DataFrame, int], None]:
@@ -47,7 +47,7 @@ def consumer(handle: Callable[[DataFrame], DataFrame], done: str, dead: str, ret
         held.where("ok").drop("ok").write.mode("overwrite").parquet(f"{done.rstrip('/')}/epoch={epoch}")
         held.where(bad & (tries >= retries)).drop("ok").write.mode("overwrite").parquet(f"{dead.rstrip('/')}/epoch={epoch}")
         back = held.where(bad & (tries < retries)).withColumn("retry_count", tries.cast(batch.schema["retry_count"].dataType)).select(*batch.columns)
-        back.write.mode("append").parquet(again)
+        back.write.mode("overwrite").parquet(f"{again.rstrip('/')}/epoch={epoch}")
         held.unpersist()
 
     return run

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import let
+
 # The secrets and numbers that are replaced, in this order: pattern, replacement.
 SCRUBS = [
     (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
@@ -23,9 +27,8 @@ SCRUBS = [
     (r"\b0\d{11}\b", "[REDACTED_CCCD]"),
     (r"(?:\+84|\b0)(?:3|5|7|8|9)\d{8}\b", "[REDACTED_PHONE]"),
 ]
-# What marks a firm or an institution, and the family names of persons.
+# What marks a firm or an institution, the family names of persons, and words before account numbers.
 CORPORATE = ["CONG TY", "CÔNG TY", "TNHH", "CO PHAN", "CỔ PHẦN", "DOANH NGHIEP", "DOANH NGHIỆP", "NGAN HANG", "NGÂN HÀNG", "TRUONG DAI HOC", "TRƯỜNG ĐẠI HỌC", "BENH VIEN", "BỆNH VIỆN", "DNTN", "CHI NHANH", "CHI NHÁNH", "TAP DOAN", "TẬP ĐOÀN"]
-LEGAL_WORDS = ["JSC", "LTD", "CORP", "INC", "UBND", "VIETCOMBANK", "TECHCOMBANK", "BIDV", "AGRIBANK", "VIETINBANK", "MBBANK"]
 FAMILY_NAMES = ["NGUYEN", "NGUYỄN", "TRAN", "TRẦN", "LE", "LÊ", "PHAM", "PHẠM", "HOANG", "HOÀNG", "VU", "VŨ", "DANG", "ĐẶNG", "BUI", "BÙI", "DO", "ĐỖ", "TRUONG", "TRƯƠNG", "DINH", "ĐINH", "NGO", "NGÔ", "PHAN", "HUYNH", "HUỲNH", "VO", "VÕ", "DUONG", "DƯƠNG", "LY", "LÝ", "HA", "HÀ", "DOAN", "ĐOÀN"]
 ACCOUNT_WORDS = ["stk ", "tk ", "account ", "so tk ", "so tai khoan "]
 
@@ -66,8 +69,69 @@ def mask_party(x: Column) -> Column:
     return F.when(bare == "", "").when(is_corporate(bare), bare).when(_person(bare), "[REDACTED_NAME]").otherwise(mask_person(bare))
 
 
+# What marks a legal entity in the stricter rule, and what it hides in a text.
+LEGAL_PARTS = [
+    "CONG TY", "CÔNG TY", "TNHH", " CỔ PHẦN", " CO PHAN", " CP ", "DOANH NGHIEP", "DOANH NGHIỆP", "DNTN", "CHI NHANH", "CHI NHÁNH", "NGAN HANG", "NGÂN HÀNG", "UBND", "TRUONG HOC", "TRƯỜNG HỌC", "TRUONG DAI HOC", "TRƯỜNG ĐẠI HỌC",
+    "TRUONG CAO DANG", "TRƯỜNG CAO ĐẲNG", "TRUONG THPT", "TRƯỜNG THPT", "TRUONG THCS", "TRƯỜNG THCS", "TRUONG TIEU HOC", "TRƯỜNG TIỂU HỌC", "TRUONG MAM NON", "TRƯỜNG MẦM NON", "BENH VIEN", "BỆNH VIỆN", "TAP DOAN", "TẬP ĐOÀN",
+    "VIETCOMBANK", "TECHCOMBANK", "BIDV", "AGRIBANK", "VIETINBANK", "MBBANK", "JSC", "LTD", "CORP", "INC",
+]
+LEGAL_ENTITY = "|".join(LEGAL_PARTS) + "| CP$|^CP "
+TEXT_SCRUBS = [
+    (r"(?i)((?:password|secret|token|api[_-]?key|bearer)\s*[:=]\s*['\x22]?)([a-zA-Z0-9_\-\.]{8,})(['\x22]?)", "$1[REDACTED_SECRET]$3"),
+    (r"sk-[a-zA-Z0-9]{20,}", "[REDACTED_API_KEY]"),
+    (r"\b0\d{11}\b", "[REDACTED_CCCD]"),
+    (r"(?iu)(\b(?:so\s+tai\s+khoan|số\s+tài\s+khoản|so\s+tk|số\s+tk|account|stk|acc|tk)[:\s]+)([0-9]{8,16})\b", "$1[REDACTED_ACCOUNT]"),
+    (r"(?:\+84[.\-\s]?|\b0)[35789](?:[.\-\s]?\d){8}\b", "[REDACTED_PHONE]"),
+]
+NAMED_AFTER = (
+    r"(?iu)\b(?:chu\s+tk|chủ\s+tk|nguoi\s+gui|người\s+gửi|nguoi\s+nhan|người\s+nhận|khach\s+hang|khách\s+hàng|chu\s+tai\s+khoan|chủ\s+tài\s+khoản|chu\s+so\s+huu|chủ\s+sở\s+hữu|ten\s+kh|tên\s+kh|doi\s+tac|đối\s+tác|ben\s+huong|bên\s+hưởng|ben\s+gui|bên\s+gửi|nguoi\s+nop|người\s+nộp)"
+    r"[:\s]+([A-Za-zÀ-ỹ\s]{2,30})\b"
+)
+SURNAMES = [
+    "Nguyen", "Tran", "Le", "Pham", "Hoang", "Huynh", "Phan", "Vu", "Vo", "Dang", "Bui", "Do", "Ho", "Ngo", "Duong", "Ly", "Dinh", "Dao", "Doan", "Mai", "Trinh", "Cao", "Luong", "Truong", "Ha", "Ta", "Chu", "Phung", "Van", "Trieu", "Quach", "Bach", "Luu", "Tong", "Kieu", "Lam", "Diep",
+    "Nguyễn", "Trần", "Lê", "Phạm", "Hoàng", "Huỳnh", "Vũ", "Võ", "Đặng", "Bùi", "Đỗ", "Hồ", "Ngô", "Dương", "Lý", "Đinh", "Đào", "Đoàn", "Trịnh", "Lương", "Trương", "Hà", "Tạ", "Phùng", "Đình", "Văn", "Triệu", "Quách", "Bạch", "Lưu", "Tống", "Kiều", "Lâm", "Diệp",
+]
+FULL_NAME = rf"(?iu)\b({'|'.join(SURNAMES)})\s+([A-Za-zÀ-ỹ]+(?:\s+[A-Za-zÀ-ỹ]+){{1,3}})\b"
+AFTER_FIRM = r"(CONG TY|CÔNG TY|TNHH|DOANH NGHIEP|DOANH NGHIỆP|CP|CO PHAN|CỔ PHẦN)$"
+
+
+def is_legal(x: Column) -> Column:
+    return F.upper(x).rlike(LEGAL_ENTITY)
+
+
 def mask_unless_legal(x: Column) -> Column:
-    """The stricter rule: whatever is no legal entity goes as a whole."""
-    bare, upper = F.trim(x), F.upper(F.trim(x))
-    legal = is_corporate(bare) | upper.rlike(r"( |^)CP( |$)") | upper.rlike("|".join(LEGAL_WORDS))
-    return F.when(bare == "", "").when(legal, bare).otherwise("[REDACTED_NAME]")
+    """A counterparty by the stricter rule: whatever is no legal entity goes as a whole."""
+    bare = F.trim(x)
+    return F.when(bare == "", "").when(is_legal(bare), bare).otherwise("[REDACTED_NAME]")
+
+
+def each_match(x: Column, pattern: str, new: Callable[[Column, Column], Column]) -> Column:
+    """x with every match of the pattern replaced by new(match, the text just before it, from the match before on)."""
+
+    def rebuilt(held: Column) -> Column:
+        gaps, found = held["gaps"], held["found"]
+
+        def made(match: Column, i: Column) -> Column:
+            before = F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i))
+            return F.concat(F.get(gaps, i), new(match, before))
+
+        return F.concat(F.array_join(F.transform(found, made), ""), F.element_at(gaps, -1))
+
+    return let(x, lambda v: let(F.struct(F.split(v, pattern, -1).alias("gaps"), F.regexp_extract_all(v, F.lit(pattern), F.lit(0)).alias("found")), rebuilt))
+
+
+def mask_text_unless_legal(x: Column) -> Column:
+    """A text by the stricter rule: secrets, identity, account and phone numbers, names after words such as `chu tk`, and full names with a known
+    family name go; names of legal entities, and what follows the word for a firm, stay."""
+    for pattern, new in TEXT_SCRUBS:
+        x = F.regexp_replace(x, pattern, new)
+
+    def after_word(match: Column, _: Column) -> Column:
+        name = F.trim(F.regexp_extract(match, NAMED_AFTER, 1))
+        return F.when((name == "") | is_legal(name), match).otherwise(F.replace(match, name, F.lit("[REDACTED_NAME]")))
+
+    def full(match: Column, before: Column) -> Column:
+        firm = F.upper(F.rtrim(before)).rlike(AFTER_FIRM)
+        return F.when(firm | is_legal(match), match).otherwise("[REDACTED_NAME]")
+
+    return each_match(each_match(x, NAMED_AFTER, after_word), FULL_NAME, full)

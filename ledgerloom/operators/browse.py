@@ -120,3 +120,10 @@ def resolve_contacts(asked: DataFrame, contacts: DataFrame) -> DataFrame:
     out = asked.join(best, "ask", "left")
     status = F.when(F.col("b").isNull(), "NOT_FOUND").when(F.col("b.n") == 1, "FOUND").otherwise("AMBIGUOUS")
     return out.select("ask", status.alias("status"), F.when(F.col("b.n") == 1, F.col("b.contact")).alias("contact"))
+
+
+def channel_flags(accounts: DataFrame, chosen: list[str]) -> DataFrame:
+    """(id, active, breached, displayed) of accounts (id, status, bank, channel, balance, reserve): a balance below a stated reserve breaches it, and an account is displayed whose
+    bank or channel is chosen, or any if ALL is."""
+    shown = F.lit(True) if "ALL" in chosen else F.col("bank").isin(chosen) | F.col("channel").isin(chosen)
+    return accounts.select("id", (F.col("status") == "ACTIVE").alias("active"), F.coalesce(F.col("balance") < F.col("reserve"), F.lit(False)).alias("breached"), F.coalesce(shown, F.lit(False)).alias("displayed"))

@@ -106,27 +106,39 @@ def nearest(lines: DataFrame, invoices: DataFrame) -> DataFrame:
     return met.select("line_id", "m.invoice_id", "m.distance")
 
 
+def octave(amount: Column) -> Column:
+    """The place of the highest bit of a positive amount."""
+    return (F.length(F.bin(amount)) - 1).cast("int")
+
+
 def pair_splits(lines: DataFrame, invoices: DataFrame) -> DataFrame:
     """Lines that equal the sum of two invoices of their customer; the smallest pair of ids.
 
-    Each invoice of a line's customer asks for the rest of the amount; of equal invoices the two smallest ids suffice.
+    The larger part is at least half of the line, so only invoices of the line's octave and the one below ask for the rest of the amount; of equal
+    invoices the two smallest ids suffice.
     """
     equal = F.row_number().over(Window.partitionBy("customer", "amount").orderBy("invoice_id"))
-    few = invoices.select("customer", "invoice_id", "amount", equal.alias("r")).where("r <= 2")
-    a = few.select("customer", F.col("invoice_id").alias("a_id"), F.col("amount").alias("a"))
+    few = invoices.where("amount > 0").select("customer", "invoice_id", "amount", equal.alias("r")).where("r <= 2")
+    a = few.select("customer", F.col("invoice_id").alias("a_id"), F.col("amount").alias("a"), octave(F.col("amount")).alias("octave"))
     b = few.select("customer", F.col("invoice_id").alias("b_id"), F.col("amount").alias("rest"))
-    asked = lines.select("line_id", "customer", "amount").join(a, "customer").withColumn("rest", F.col("amount") - F.col("a"))
-    met = asked.join(b, ["customer", "rest"]).where("a_id < b_id")
-    return met.groupBy("line_id").agg(F.min(F.struct(F.col("a_id").alias("first_id"), F.col("b_id").alias("second_id"))).alias("p")).select("line_id", "p.first_id", "p.second_id")
+    near = lines.where("amount > 0").select("line_id", "customer", "amount", F.explode(F.array(octave(F.col("amount")), octave(F.col("amount")) - 1)).alias("octave"))
+    asked = near.join(a, ["customer", "octave"]).where("2 * a >= amount AND a < amount").withColumn("rest", F.col("amount") - F.col("a"))
+    met = asked.join(b, ["customer", "rest"]).where("a_id <> b_id")
+    pair = F.struct(F.least("a_id", "b_id").alias("first_id"), F.greatest("a_id", "b_id").alias("second_id"))
+    return met.groupBy("line_id").agg(F.min(pair).alias("p")).select("line_id", "p.first_id", "p.second_id")
+
 
+#: Triples that are looked up for a line at most; beyond that the search with its steps goes on, and says so where it ends.
+MOST_TRIPLES = 4_000_000
 
-def few_items(target: int, items: list[tuple[int, int]]) -> list[int] | None:
-    """Ids of two or else three of the (id, amount) items that add up to target, found by looking up the rest; exact."""
+
+def few_items(target: int, items: list[tuple[int, int]]) -> tuple[list[int] | None, bool]:
+    """(ids of two or else three of the (id, amount) items that add up to target, whether all triples were looked at), found by looking up the rest."""
     held: dict[int, list[int]] = {}
     for i, amount in sorted(items):
         if 0 < amount < target:
             held.setdefault(amount, []).append(i)
-    amounts = sorted(held)
+    amounts, left = sorted(held), MOST_TRIPLES
 
     def ids(*parts: int) -> list[int] | None:
         if any(len(held.get(x, ())) < parts.count(x) for x in parts):
@@ -135,14 +147,17 @@ def few_items(target: int, items: list[tuple[int, int]]) -> list[int] | None:
 
     pairs = [found for x in amounts if 2 * x <= target and target - x in held and (found := ids(x, target - x))]
     if pairs:
-        return min(pairs)
+        return min(pairs), True
     for k, x in enumerate(amounts):
         for y in amounts[k:]:
             if x + 2 * y > target:
                 break
+            left -= 1
+            if not left:
+                return None, False
             if target - x - y in held and (found := ids(x, y, target - x - y)):
-                return found
-    return None
+                return found, True
+    return None, True
 
 
 def search(target: int, items: list[tuple[int, int]], most: int = 8, steps: int = 100_000) -> tuple[list[int] | None, bool]:
@@ -175,30 +190,31 @@ def subset_sum(target: int, items: list[tuple[int, int]], most: int = 8, steps:
     return search(target, items, most, steps)[0]
 
 
-def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 100_000) -> DataFrame:
-    """Lines that equal the sum of several invoices of their customer: (line_id, invoice_ids, status).
+#: Lines of a customer that are searched one after another in a task.
+LINES_PER_BLOCK = 256
+
+
+def hopeful(lines: DataFrame, invoices: DataFrame) -> DataFrame:
+    """The lines whose customer has at least two free invoices, and enough money in those up to the line's octave: no line that could be a sum is left out."""
+    sums = invoices.groupBy("customer", octave(F.col("amount")).alias("octave")).agg(F.sum("amount").alias("s"), F.count("*").alias("n"))
+    upto = Window.partitionBy("customer").orderBy("octave")  # sixty-three rows a customer at most
+    known = sums.select("customer", "octave", F.sum("s").over(upto).alias("all_parts"), F.sum("n").over(upto).alias("n"), (F.lead("octave").over(upto) - 1).alias("last"))
+    spans = known.select("customer", F.explode(F.sequence("octave", F.coalesce("last", F.lit(63)))).alias("octave"), "all_parts", "n")
+    return lines.withColumn("octave", octave(F.col("amount"))).join(spans, ["customer", "octave"]).where("n >= 2 AND all_parts >= amount").select("line_id", "customer", "amount")
 
-    A line takes its smallest pair of invoices, found by joins, if no smaller line's is in its way. Only lines
-    left, whose customer has free smaller invoices of at least the amount in all, reach the search, one customer a group: in line_id order,
-    pairs and triples are looked up and more items searched in `steps` steps. Status is SPLIT, or EXHAUSTED without
-    invoices where the steps ran out before the search was over.
-    """
-    pairs = pair_splits(lines.where("amount > 0"), invoices.where("amount > 0")).select("line_id", F.array("first_id", "second_id").alias("invoice_ids"))
-    wants = pairs.select("line_id", "invoice_ids", F.explode("invoice_ids").alias("invoice_id")).withColumn("smallest", F.min("line_id").over(Window.partitionBy("invoice_id")))
-    settled = wants.groupBy("line_id").agg(F.first("invoice_ids").alias("invoice_ids"), F.min(F.col("smallest") == F.col("line_id")).alias("free")).where("free").select("line_id", "invoice_ids")
-    settled = stored(settled, f"{workspace(lines.sparkSession)}/settled")
-    lines = residual(lines.select("line_id", "customer", "amount"), settled, "line_id")
-    invoices = residual(invoices, settled.select(F.explode("invoice_ids").alias("invoice_id")), "invoice_id").where("amount > 0")
-    below = invoices.select("customer", F.col("amount").alias("part"))
-    enough = lines.join(below, "customer").where("part < amount").groupBy("line_id", "customer", "amount").agg(F.sum("part").alias("all_parts"), F.count("*").alias("n")).where("n >= 2 AND all_parts >= amount")
-    wanted = enough.select("customer", F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
-    held = invoices.join(wanted.select("customer").distinct(), "customer", "left_semi").select("customer", F.col("invoice_id").alias("id"), "amount", F.lit(False).alias("is_line"))
+
+def searched(lines: DataFrame, invoices: DataFrame, most: int, steps: int) -> DataFrame:
+    """(line_id, invoice_ids, status) of one search for each line; see `splits`. Lines of one block find different invoices, those of different blocks may not."""
+    blocks = lines.groupBy("customer").agg(F.expr(f"(count(*) + {LINES_PER_BLOCK - 1}) DIV {LINES_PER_BLOCK}").alias("blocks"))
+    mine = F.pmod(F.xxhash64("line_id"), F.col("blocks"))
+    wanted = lines.join(blocks, "customer").select("customer", mine.alias("block"), F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
+    held = invoices.join(blocks, "customer").select("customer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("invoice_id").alias("id"), "amount", F.lit(False).alias("is_line"))
 
     def solve(targets: list[tuple[int, int]], free: dict[int, int]) -> Iterator[tuple[int, list[int] | None, str]]:
         for line, target in sorted(targets):
             items = list(free.items())
-            found, over = few_items(target, items), True
-            if not found and most > 3 and len(items) > 3:
+            found, over = few_items(target, items)
+            if not found and (most > 3 and len(items) > 3 or not over):
                 found, over = search(target, items, most, steps)
             for i in found or []:
                 free.pop(i)
@@ -206,8 +222,8 @@ def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 10
                 yield line, found, "SPLIT" if found else "EXHAUSTED"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Customers stand together; one is held at a time."""
-        customer, targets, free = None, [], {}
+        """Blocks stand together; one is held at a time."""
+        here, targets, free = None, [], {}
 
         def made(out: list[tuple]) -> pa.RecordBatch:
             lists = list(zip(*out, strict=True)) or [[], [], []]
@@ -215,10 +231,10 @@ def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 10
 
         for batch in batches:
             out: list[tuple] = []
-            for who, key, amount, is_line in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                if who != customer:
+            for who, block, key, amount, is_line in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if (who, block) != here:
                     out += solve(targets, free)
-                    customer, targets, free = who, [], {}
+                    here, targets, free = (who, block), [], {}
                 if is_line:
                     targets.append((key, amount))
                 else:
@@ -228,9 +244,40 @@ def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 10
 
     # a count of its own, as adaptive execution would put so few bytes into one task
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = wanted.unionByName(held).select("customer", "id", "amount", "is_line").repartition(tasks, "customer").sortWithinPartitions("customer")
-    searched = together.mapInArrow(run, "line_id long, invoice_ids array<long>, status string")
-    return settled.withColumn("status", F.lit("SPLIT")).unionByName(searched)
+    together = wanted.unionByName(held).select("customer", "block", "id", "amount", "is_line").repartition(tasks, "customer", "block").sortWithinPartitions("customer", "block")
+    return together.mapInArrow(run, "line_id long, invoice_ids array<long>, status string")
+
+
+def splits(lines: DataFrame, invoices: DataFrame, most: int = 8, steps: int = 100_000) -> DataFrame:
+    """Lines that equal the sum of several invoices of their customer: (line_id, invoice_ids, status).
+
+    A line takes its smallest pair of invoices, found by joins, if no smaller line's is in its way. Only lines left that could be a sum (`hopeful`) reach the search: pairs and triples
+    are looked up and more items searched in `steps` steps, in line_id order. A customer with many lines has them dealt into blocks over the tasks, each with all
+    the customer's free invoices; where blocks take the same invoice the smallest line keeps it, and the others search again in a further round, until none is left. Status is SPLIT,
+    or EXHAUSTED without invoices where the steps ran out before the search was over.
+    """
+    path = workspace(lines.sparkSession)
+    pairs = pair_splits(lines, invoices).select("line_id", F.array("first_id", "second_id").alias("invoice_ids"))
+
+    def kept(found: DataFrame) -> DataFrame:
+        """Those whose invoices no smaller line wants too."""
+        wants = found.select("line_id", F.explode("invoice_ids").alias("invoice_id"))
+        first = wants.groupBy("invoice_id").agg(F.min("line_id").alias("smallest"))
+        lost = wants.join(first, "invoice_id").where("smallest < line_id").select("line_id").distinct()
+        return found.join(lost, "line_id", "left_anti")
+
+    done = stored(kept(pairs).withColumn("status", F.lit("SPLIT")), f"{path}/pairs")
+    rest = residual(lines.where("amount > 0").select("line_id", "customer", "amount"), done, "line_id")
+    free, taken, turn = invoices.where("amount > 0").select("invoice_id", "customer", "amount"), done, 0
+    while True:
+        free = stored(residual(free, taken.where("status = 'SPLIT'").select(F.explode("invoice_ids").alias("invoice_id")), "invoice_id"), f"{path}/free-{turn}")
+        rest = stored(hopeful(rest, free), f"{path}/rest-{turn}")
+        found = stored(searched(rest, free, most, steps), f"{path}/found-{turn}")
+        taken = stored(kept(found.where("status = 'SPLIT'")).unionByName(found.where("status <> 'SPLIT'")), f"{path}/taken-{turn}")
+        done, rest = done.unionByName(taken), found.select("line_id").join(taken, "line_id", "left_anti").join(rest, "line_id")
+        if not rest.limit(1).count():
+            return done
+        turn += 1
 
 
 def composites(lines: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -248,20 +295,37 @@ def composites(lines: DataFrame, invoices: DataFrame) -> DataFrame:
     return one.unionByName(many)
 
 
-def scored_band(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, seconds: int = 3 * DAY, floor: float = 0.85) -> DataFrame:
-    """Tier 2 with scores: for each line the best invoice in the band whose party is alike (`floor`) and whose score reaches it.
+def scored_edges(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, seconds: int = 3 * DAY, floor: float = 0.85) -> DataFrame:
+    """Tier 2 with scores: (line_id, invoice_id, fee, lag, score) of the edges in the band whose party is alike (`floor`) and whose score reaches it.
 
     Half the score is the amount (1 if equal, 0.95 with a fee), two fifths the party, a tenth the date, which loses a tenth
-    over the band. Names are compared once for each distinct pair. Ties go to the smaller invoice.
+    over the band. Names are compared once for each distinct pair.
     """
     met = band_edges(lines, invoices, most, seconds).join(lines.select("line_id", F.col("party").alias("paid_by")), "line_id").join(invoices.select("invoice_id", F.col("party").alias("billed")), "invoice_id")
     alike = met.select("paid_by", "billed").distinct().withColumn("likeness", party_similarity(F.col("paid_by"), F.col("billed"))).where(F.col("likeness") >= floor)
     score = 0.5 * F.when(F.col("fee") == 0, 1.0).otherwise(0.95) + 0.4 * F.col("likeness") + 0.1 * (1 - F.col("lag") / seconds * 0.1)
-    scored = met.join(alike, ["paid_by", "billed"]).withColumn("score", score).where(F.col("score") >= floor)
+    return met.join(alike, ["paid_by", "billed"]).withColumn("score", score).where(F.col("score") >= floor).select("line_id", "invoice_id", "fee", "lag", "score")
+
+
+def scored_band(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, seconds: int = 3 * DAY, floor: float = 0.85) -> DataFrame:
+    """The best edge of each line by score; ties go to the smaller invoice."""
+    scored = scored_edges(lines, invoices, most, seconds, floor)
     best = scored.groupBy("line_id").agg(F.min(F.struct((-F.round("score", 9)).alias("s"), "invoice_id", "score")).alias("b"))
     return best.select("line_id", "b.invoice_id", "b.score")
 
 
+def three_tiers(lines: DataFrame, invoices: DataFrame) -> DataFrame:
+    """(line_id, invoice_id, tier): lines (with narration and direction) matched one to one by a reference of their own or cited in the narration, then by the scored band, best score first, and the
+    rest by sums, a row for each part."""
+    entries = invoices.select(F.col("invoice_id").alias("entry_id"), F.col("doc_ref").alias("doc_no"), F.lit("CREDIT").alias("direction"), "amount", "ts")
+    one = assign(cited_edges(lines, entries).withColumnRenamed("entry_id", "invoice_id"), [])
+    left, free = residual(lines, one, "line_id"), residual(invoices, one, "invoice_id")
+    ranked = scored_edges(left, free).withColumn("far", -F.round("score", 9))
+    two = assign(ranked.select("line_id", "invoice_id", "far", "lag"), ["far", "lag"])
+    three = composites(residual(left, two, "line_id"), residual(free, two, "invoice_id"))
+    return one.withColumn("tier", F.lit(1)).union(two.withColumn("tier", F.lit(2))).union(three.withColumn("tier", F.lit(3)))
+
+
 def cited(lines: DataFrame) -> DataFrame:
     """lines with `keys`: the normal forms of their own reference and of all references in their narration."""
     own = F.when(F.coalesce("ref", F.lit("")) != "", F.array(doc_ref(F.col("ref")))).otherwise(F.array().cast("array<string>"))

@@ -150,16 +150,17 @@ def _(spark, d):
     return R.nearest(bank_lines(spark, d), invoices(spark, d))
 
 
+def cited_bank_lines(spark, d):
+    """Bank lines of which every second one without a reference of its own cites its invoice in the narration."""
+    narration = F.when((F.col("ref") == "") & (F.col("line_id") % 2 == 0), F.concat(F.lit("TT TIEN HANG HD "), F.lpad(F.col("line_id").cast("string"), 8, "0"), F.lit(" CK"))).otherwise("ck")
+    return bank_lines(spark, d).select("*", narration.alias("narration"), F.lit("CREDIT").alias("direction"))
+
+
 @query("join_three_tiers")
 def _(spark, d):
     """Lines matched one to one by tier 1 and then by tier 2, and the rest by sums in tier 3, a row for each part; checked against the serial walk in the tests."""
     shared_checkpoints(spark)
-    lines, inv = bank_lines(spark, d), invoices(spark, d)
-    one = R.assign(R.exact_edges(lines, inv), [])
-    rest = R.residual(lines, one, "line_id"), R.residual(inv, one, "invoice_id")
-    two = R.assign(R.band_edges(*rest), ["fee", "lag"])
-    three = R.composites(R.residual(rest[0], two, "line_id"), R.residual(rest[1], two, "invoice_id"))
-    return one.withColumn("tier", F.lit(1)).union(two.withColumn("tier", F.lit(2))).union(three.withColumn("tier", F.lit(3)))
+    return R.three_tiers(cited_bank_lines(spark, d), invoices(spark, d))
 
 
 MERGED = "merged AS (SELECT customer * 1000000 + 1 AS line_id, customer, CAST(sum(amount) AS BIGINT) AS amount FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY invoice_id) AS r FROM inv) WHERE r <= 2 GROUP BY customer HAVING count(*) = 2)"
@@ -186,6 +187,23 @@ def _(spark, d):
     return R.splits(merged_lines(spark, d), invoices(spark, d))
 
 
+def wide_lines(spark, d):
+    """Lines that are the sum of the first three to eight invoices of their customer, by the customer's number; a third of all invoices belong to one customer."""
+    hot = invoices(spark, d).withColumn("customer", F.when(F.col("invoice_id") % 3 == 0, 0).otherwise(F.col("customer") + 1))
+    first = F.row_number().over(Window.partitionBy("customer").orderBy("invoice_id"))
+    some = hot.where("customer > 0").withColumn("r", first).where("r <= 3 + customer % 6").groupBy("customer").agg(F.sum("amount").alias("amount"))
+    many = hot.where("customer = 0").groupBy(F.expr("invoice_id DIV 3000").alias("k")).agg(F.sum(F.when(F.col("invoice_id") % 3000 < 15, F.col("amount"))).alias("amount"))
+    lines = some.select((F.col("customer") * 1_000_000 + 1).alias("line_id"), "customer", "amount").union(many.where("amount > 0").select("k", F.lit(0).cast("long"), "amount"))
+    return lines, hot
+
+
+@query("join_wide_splits")
+def _(spark, d):
+    """Sums of up to eight invoices, a third of them of one customer."""
+    shared_checkpoints(spark)
+    return R.splits(*wide_lines(spark, d))
+
+
 @query("agg_match_counters", f"{BANK}, e AS ({EXACT}), b2 AS ({BAND}) SELECT CASE WHEN line_id IN (SELECT line_id FROM e) THEN 'EXACT' WHEN line_id IN (SELECT line_id FROM b2) THEN 'BAND' ELSE 'NONE' END AS status, count(*) AS n, CAST(sum(amount) AS BIGINT) AS total FROM bank GROUP BY 1")
 def _(spark, d):
     lines, inv = bank_lines(spark, d), invoices(spark, d)

@@ -98,6 +98,35 @@ def test_splits_of_a_customer_with_many_invoices(spark):
     assert got[1001] == ("EXHAUSTED", None) and 1002 not in got
 
 
+def test_blocks_of_a_hot_customer_agree(spark, monkeypatch):
+    """Many lines of one customer, searched in many blocks that want the same invoices: each is used once, and nothing is left that one block would find."""
+    monkeypatch.setattr(reconcile, "LINES_PER_BLOCK", 2)
+    shared_checkpoints(spark)
+    rng = random.Random(5)
+    inv = [(k, 7, rng.choice([100, 200, 300, rng.randrange(1, 10**6)])) for k in range(40)]
+    lines = [(k, 7, sum(inv[i][2] for i in rng.sample(range(40), rng.randrange(2, 7)))) for k in range(30)] + [(99, 8, 5), (98, 7, 10**12)]
+    made = spark.createDataFrame(lines, "line_id long, customer long, amount long"), spark.createDataFrame(inv, "invoice_id long, customer long, amount long")
+    got = {r.line_id: (r.status, r.invoice_ids) for r in reconcile.splits(*made).collect()}
+    amount, total = {i: a for i, _, a in inv}, {i: a for i, _, a in lines}
+    used = [i for status, ids in got.values() if status == "SPLIT" for i in ids]
+    assert len(used) == len(set(used)) and 99 not in got and 98 not in got
+    assert all(sum(amount[i] for i in ids) == total[k] for k, (status, ids) in got.items() if status == "SPLIT")
+    free = [(i, a) for i, a in amount.items() if i not in set(used)]
+    for k, t in total.items():
+        if k not in got:
+            assert reconcile.few_items(t, free)[0] is None and reconcile.subset_sum(t, free) is None
+
+
+def test_wide_split_query(spark):
+    lines, inv = registry.wide_lines(spark, SF)
+    total, amount = {r.line_id: r.amount for r in lines.collect()}, {r.invoice_id: r.amount for r in inv.collect()}
+    got = registry.QUERIES["join_wide_splits"](spark, SF).collect()
+    assert {r.line_id: sum(amount[i] for i in r.invoice_ids) for r in got if r.status == "SPLIT"}.items() <= total.items()
+    assert sum(r.status == "SPLIT" for r in got) > 0.9 * len(total)
+    used = [i for r in got for i in r.invoice_ids or []]
+    assert len(used) == len(set(used))
+
+
 def test_split_query_finds_every_merged_line(spark):
     lines = {r.line_id: r.amount for r in registry.merged_lines(spark, SF).collect()}
     amount = {r.invoice_id: r.amount for r in registry.invoices(spark, SF).collect()}

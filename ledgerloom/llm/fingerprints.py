@@ -3,9 +3,10 @@
 A text becomes short units: each run of up to UNIT signs inside a word. Every K consecutive units form a k-mer, every S
 a smaller window inside it. A k-mer is kept (a closed syncmer) when the smallest hash among its inner windows lies
 at its first or last place, which depends on nothing outside the k-mer; so equal passages yield equal anchors
-wherever they stand. `anchors` gives hash and position of each; `fingerprint` is the sorted set of the
-smallest `SKETCH` distinct anchor hashes in hexadecimal, and two fingerprints are compared by the Jaccard
-likeness that their smallest hashes estimate.
+wherever they stand. A fingerprint holds the smallest `SKETCH` distinct anchor hashes, ascending, each with the first place it stands at.
+Two fingerprints are compared by position: of the smallest hashes of either, those in both are matched, and a match counts if it stands at the
+same place in both, or if another match is moved by as many units; so passages count that keep their order and distances, and single anchors
+that agree by chance do not.
 
 Defined cases: a null text counts as empty; a text without units has an empty fingerprint, which is like only another
 empty one; a text of fewer than K units has the hashes of its single units as anchors. Rows with a null id come first, in the order of a hash
@@ -19,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.money import let
 from ledgerloom.llm.common import block_of
 
 UNIT, K, S, SKETCH = 4, 4, 2, 64
@@ -43,20 +45,30 @@ def with_anchors(df: DataFrame, text_col: str, name: str) -> DataFrame:
 
 
 def with_sketch(df: DataFrame, text_col: str, name: str) -> DataFrame:
-    """df with array column `name`: the smallest SKETCH distinct anchor hashes, ascending."""
+    """df with array column `name` of (hash, position): the smallest SKETCH distinct anchor hashes, ascending, with their first positions."""
     anchors = f"__{name}_anchors"
-    return with_anchors(df, text_col, anchors).withColumn(name, F.slice(F.sort_array(F.array_distinct(F.col(anchors)["hash"])), 1, SKETCH)).drop(anchors)
+    ordered = F.sort_array(F.transform(F.col(anchors), lambda a: F.struct(a["hash"].alias("hash"), a["position"].alias("position"))))
+    first = let(ordered, lambda held: F.filter(held, lambda a, i: (i == 0) | (F.get(held, i - 1)["hash"] != a["hash"])))
+    return with_anchors(df, text_col, anchors).withColumn(name, F.slice(first, 1, SKETCH)).drop(anchors)
 
 
 def likeness(one: Column, two: Column) -> Column:
-    """Jaccard likeness from two sketches: the share of both in the smallest SKETCH hashes of either."""
-    either = F.slice(F.sort_array(F.array_union(one, two)), 1, SKETCH)
-    both = F.size(F.array_intersect(either, F.array_intersect(one, two)))
-    return F.when((F.size(one) == 0) & (F.size(two) == 0), F.lit(1.0)).otherwise(both / F.size(either))
+    """The share of matches by position among the smallest SKETCH hashes of either sketch; 1 for two empty ones."""
+
+    def compared(held: Column) -> Column:
+        a, b = held["a"], held["b"]
+        either = F.slice(F.sort_array(F.array_union(a["hash"], b["hash"])), 1, SKETCH)
+        spots = F.transform(a, lambda x: F.struct(x["hash"].alias("hash"), x["position"].alias("position"), F.array_position(b["hash"], x["hash"]).cast("int").alias("at")))
+        moved = let(F.struct(spots.alias("spots"), F.element_at(either, -1).alias("last")), lambda m: F.transform(F.filter(m["spots"], lambda x: (x["at"] > 0) & (x["hash"] <= m["last"])), lambda x: F.get(b, x["at"] - 1)["position"] - x["position"]))
+        agree = let(moved, lambda shifts: F.size(F.filter(shifts, lambda s: (s == 0) | (F.size(F.filter(shifts, lambda t: t == s)) > 1))))
+        return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(agree / F.size(either))
+
+    return let(F.struct(one.alias("a"), two.alias("b")), compared)
 
 
 def as_text(sketch: Column) -> Column:
-    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+    """Each hash in sixteen hexadecimal digits, and its position in as many as it takes, between a colon and a comma."""
+    return F.array_join(F.transform(sketch, lambda a: F.concat(F.lpad(F.hex(a["hash"]), 16, "0"), F.lit(":"), F.hex(a["position"].cast("long")))), ",")
 
 
 def with_next(docs: DataFrame, id_col: str, tie: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str], rows_per_block: int = 256) -> DataFrame:

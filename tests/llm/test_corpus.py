@@ -65,6 +65,24 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def test_likeness_is_by_position(spark):
+    """Against plain Python over sketches of real and made texts; moved passages count, scattered single anchors do not."""
+    rng = random.Random(21)
+    passage, words = sentence(rng, 80), sentence(rng, 200).split(" ")
+    pairs = [(passage, sentence(rng, 9) + " " + passage), (" ".join(words), " ".join(rng.sample(words, len(words)))), (passage, passage), ("", ""), ("", passage), ("ab", "ab"), ("ab cd ef", "xx ab"), (passage, sentence(rng, 90))]
+    made = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    held = fingerprints.with_sketch(fingerprints.with_sketch(made, "a", "x"), "b", "y")
+    got = {r.k: r for r in held.select("k", "x", "y", fingerprints.likeness(F.col("x"), F.col("y")).alias("like")).collect()}
+    for r in got.values():
+        x, y = (dict(tuple(v) for v in s) for s in (r.x, r.y))
+        assert list(x) == sorted(x) and len(x) == len(r.x) <= fingerprints.SKETCH
+        either = sorted({*x, *y})[: fingerprints.SKETCH]
+        moved = [y[h] - x[h] for h in either if h in x and h in y]
+        want = sum(s == 0 or moved.count(s) > 1 for s in moved) / len(either) if either else 1.0
+        assert r.like == pytest.approx(want)
+    assert got[0].like > 0.6 and got[1].like < 0.1 and got[2].like == got[3].like == got[5].like == 1 and got[4].like == 0 and got[7].like < 0.05
+
+
 def test_syncmers_are_context_free(spark):
     rng = random.Random(1)
     shared = sentence(rng, 60)
@@ -629,10 +647,11 @@ def plain_sketch(spark, text):
     inner = pairs([(h[i], h[i + 1]) for i in range(len(h) - 1)]) if len(h) >= 4 else []
     if len(inner) >= 3:
         spots = [i for i in range(len(inner) - 2) if min(inner[i : i + 3]) != inner[i + 1] or inner[i + 1] in (inner[i], inner[i + 2])]
-        anchors = pairs([(inner[i], inner[i + 2]) for i in spots])
+        anchors = list(zip(pairs([(inner[i], inner[i + 2]) for i in spots]), spots, strict=True))
     else:
-        anchors = h
-    return sorted(set(anchors))[: fingerprints.SKETCH]
+        anchors = list(zip(h, range(len(h)), strict=True))
+    first = {h: p for h, p in reversed(anchors)}
+    return dict(sorted(first.items())[: fingerprints.SKETCH])
 
 
 def test_fingerprints_and_likeness_by_hand(spark):
@@ -642,10 +661,11 @@ def test_fingerprints_and_likeness_by_hand(spark):
     got = {r.doc_id: r for r in fingerprints.fingerprint_edits(df).collect()}
     sketches = [plain_sketch(spark, t) for t in texts]
     for k, s in enumerate(sketches):
-        assert got[k].fingerprint == "".join(f"{h & (1 << 64) - 1:016X}" for h in s)
+        assert got[k].fingerprint == ",".join(f"{h & (1 << 64) - 1:016X}:{p:X}" for h, p in s.items())
         after = sketches[(k + 1) % len(texts)]
         either = sorted({*s, *after})[: fingerprints.SKETCH]
-        want = len({*s} & {*after} & {*either}) / len(either) if either else 1
+        moved = [after[h] - s[h] for h in either if h in s and h in after]
+        want = sum(m == 0 or moved.count(m) > 1 for m in moved) / len(either) if either else 1
         assert abs(got[k].near_next - want) < 1e-12
 
 

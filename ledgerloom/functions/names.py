@@ -71,8 +71,9 @@ def winkler_bps(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def party_similarity(a: Column, b: Column) -> Column:
-    """How alike two parties are: 1 for equal names or cores, 0.88 and more where the words or the letters of one core lie in the other,
+    """How alike two parties are, without the phrases of transfers around them: 1 for equal names or cores, 0.88 and more where the words or the letters of one core lie in the other,
     else Jaro-Winkler of the cores, which counts at most 0.65 if they share no word."""
+    a, b = without_boilerplate(a), without_boilerplate(b)
     one, two = core_tokens(a), core_tokens(b)
     x, y = F.array_join(one, " "), F.array_join(two, " ")
     set_x, set_y = F.array_distinct(one), F.array_distinct(two)
@@ -82,7 +83,7 @@ def party_similarity(a: Column, b: Column) -> Column:
     letters = winkler(x, y)
     telling = F.exists(one, lambda w: (F.length(w) >= 4) & F.array_contains(set_y, w))
     rest = F.greatest(letters, held * 0.85)
-    plain_a, plain_b = unmarked_upper(F.trim(a)), unmarked_upper(F.trim(b))
+    plain_a, plain_b = F.trim(a), F.trim(b)
     return (
         F.when(plain_a == plain_b, F.lit(1.0))
         .when((plain_a == "") | (plain_b == ""), F.lit(0.0))

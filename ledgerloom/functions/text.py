@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -115,22 +116,30 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler_bps(x, y) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+def alignment(reference: list[str], spoken: list[str]) -> tuple[int, int, int]:
+    """(substitutions, deletions, insertions) of a shortest alignment of words; of several the one with fewest substitutions, then deletions.
+
+    A row of the table is worked on at once: a cell holds its cost and both counts in one whole number, whose order is theirs, and insertions along a row are a
+    running minimum.
+    """
+    codes: dict[str, int] = {}
+    r, h = (np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64) for words in (reference, spoken))
+    bits = 20 if max(len(r), len(h)) < 1 << 20 else 40
+    kind = np.int64 if bits == 20 else object
+    cost, step = 1 << (2 * bits + 2), 1 << (bits + 1)
+    along = np.arange(len(h) + 1).astype(kind) * cost
+    line = along.copy()
+    for x in r.tolist():
+        new = line + (cost + 1)
+        new[1:] = np.minimum(new[1:], line[:-1] + np.where(h == x, 0, cost + step).astype(kind))
+        line = np.minimum.accumulate(new - along) + along
+    last = int(line[-1])
+    substitutions, deletions = last % cost // step, last % step
+    return substitutions, deletions, last // cost - substitutions - deletions
+
+
 @F.pandas_udf(StructType([StructField(n, IntegerType()) for n in ("substitutions", "deletions", "insertions")]))
 def word_errors(reference: pd.Series, spoken: pd.Series) -> pd.DataFrame:
-    """Word-level edit operations from reference to what was recognised, by the shortest alignment."""
-    rows = []
-    for ref, hyp in zip(reference, spoken, strict=True):
-        r, h = (ref or "").lower().split(), (hyp or "").lower().split()
-        line = [(k, 0, 0, k) for k in range(len(h) + 1)]
-        for i, x in enumerate(r, 1):
-            new = [(i, 0, i, 0)]
-            for k, y in enumerate(h, 1):
-                d = line[k - 1]
-                if x == y:
-                    new.append(d)
-                else:
-                    up, left = line[k], new[k - 1]
-                    new.append(min((d[0] + 1, d[1] + 1, d[2], d[3]), (up[0] + 1, up[1], up[2] + 1, up[3]), (left[0] + 1, left[1], left[2], left[3] + 1)))
-            line = new
-        rows.append(line[-1][1:])
+    """Word-level edit operations from reference to what was recognised, in lower case; a null text has no words."""
+    rows = [alignment((ref or "").lower().split(), (hyp or "").lower().split()) for ref, hyp in zip(reference, spoken, strict=True)]
     return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])

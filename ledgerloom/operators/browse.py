@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.storage import stored, workspace
+from ledgerloom.plans.storage import if_small, stored, workspace
 
 
 def matching(rows: DataFrame, equal: dict[str, object] | None = None, at_least: dict[str, object] | None = None, below: dict[str, object] | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def rule_hits(rows: DataFrame, rules: list[dict]) -> DataFrame:
 
 def allowed(requests: DataFrame, permissions: DataFrame) -> DataFrame:
     """Requests (role, tool, maker, checker) that the role table (role, tool) permits and whose maker does not check their own work."""
-    return requests.join(F.broadcast(permissions), ["role", "tool"], "left_semi").where("maker <> checker")
+    return requests.join(if_small(permissions), ["role", "tool"], "left_semi").where("maker <> checker")
 
 
 def oldest_first(rows: DataFrame, order: list[str], n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.storage import stored, workspace
+from ledgerloom.plans.storage import if_small, stored, workspace
 
 #: A chart of accounts: (code, parent, kind, normal side).
 CHART = [
@@ -38,18 +38,20 @@ def signed(debit_normal: Column) -> Column:
     return F.when(same, F.col("amount")).otherwise(-F.col("amount"))
 
 
-def entry_checks(lines: DataFrame) -> DataFrame:
-    """Per entry: number of lines, debit, credit, and whether it is a valid balanced entry."""
+def entry_checks(lines: DataFrame, currency: str | None = None) -> DataFrame:
+    """Per entry: number of lines, debit, credit, and whether it is a valid balanced entry; with a column of currencies also `currencies`, of which a valid entry has one."""
     debit = F.sum(F.when(F.col("side") == "D", F.col("amount")).otherwise(0))
     credit = F.sum(F.when(F.col("side") == "C", F.col("amount")).otherwise(0))
-    sums = lines.groupBy("entry_id").agg(F.count("*").alias("n_lines"), debit.alias("debit"), credit.alias("credit"), F.min("amount").alias("least"))
-    return sums.select("entry_id", "n_lines", "debit", "credit", ((F.col("n_lines") >= 2) & (F.col("least") > 0) & (F.col("debit") == F.col("credit"))).alias("balanced"))
+    kinds = F.count_distinct(currency) if currency else F.lit(1).cast("long")
+    sums = lines.groupBy("entry_id").agg(F.count("*").alias("n_lines"), debit.alias("debit"), credit.alias("credit"), F.min("amount").alias("least"), kinds.alias("currencies"))
+    valid = (F.col("n_lines") >= 2) & (F.col("least") > 0) & (F.col("debit") == F.col("credit")) & (F.col("currencies") == 1)
+    return sums.select("entry_id", "n_lines", "debit", "credit", *(["currencies"] if currency else []), valid.alias("balanced"))
 
 
 def balances(lines: DataFrame, accounts: DataFrame) -> DataFrame:
     """Balance by normal side; lines are summed by account before they meet the chart."""
     sums = lines.groupBy("account", "side").agg(F.sum("amount").alias("amount"))
-    joined = sums.join(F.broadcast(accounts), sums.account == accounts.code)
+    joined = sums.join(if_small(accounts), sums.account == accounts.code)
     return joined.groupBy("code", "kind").agg(F.sum(signed(F.col("normal") == "D")).alias("balance"))
 
 
@@ -64,7 +66,7 @@ def roll_up(lines: DataFrame, accounts: DataFrame) -> DataFrame:
         if not level.limit(1).count():
             break
     leaf = balances(lines, accounts).select("code", "balance")
-    return leaf.join(F.broadcast(out), "code").groupBy(F.col("ancestor").alias("code")).agg(F.sum("balance").alias("balance"))
+    return leaf.join(if_small(out), "code").groupBy(F.col("ancestor").alias("code")).agg(F.sum("balance").alias("balance"))
 
 
 def trial_balance(lines: DataFrame) -> DataFrame:
@@ -74,11 +76,22 @@ def trial_balance(lines: DataFrame) -> DataFrame:
     return lines.rollup("account").agg(debit, credit).select(F.coalesce("account", F.lit("TOTAL")).alias("account"), "debit", "credit")
 
 
-def equation(lines: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Assets and expenses against liabilities, equity and revenue."""
+def _sides() -> list[Column]:
     left = F.sum(F.when(F.col("kind").isin("ASSET", "EXPENSE"), F.col("balance")).otherwise(0)).alias("left_side")
     right = F.sum(F.when(F.col("kind").isin("LIABILITY", "EQUITY", "REVENUE"), F.col("balance")).otherwise(0)).alias("right_side")
-    return balances(lines, accounts).agg(left, right).withColumn("holds", F.col("left_side") == F.col("right_side"))
+    return [left, right]
+
+
+def equation(lines: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Assets and expenses against liabilities, equity and revenue."""
+    return balances(lines, accounts).agg(*_sides()).withColumn("holds", F.col("left_side") == F.col("right_side"))
+
+
+def equation_by_currency(lines: DataFrame, accounts: DataFrame, currency: str = "currency") -> DataFrame:
+    """The same for each currency; money of different ones never adds up."""
+    sums = lines.groupBy(currency, "account", "side").agg(F.sum("amount").alias("amount"))
+    joined = sums.join(if_small(accounts), sums.account == accounts.code).groupBy(currency, "code", "kind").agg(F.sum(signed(F.col("normal") == "D")).alias("balance"))
+    return joined.groupBy(currency).agg(*_sides()).withColumn("holds", F.col("left_side") == F.col("right_side"))
 
 
 def income_statement(months: DataFrame, tax_bps: int = 2_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import div
+from ledgerloom.operators.ranking import ranked_counts
 
 
 def since(rows: DataFrame, time: str, start: int | None) -> DataFrame:
@@ -29,11 +30,9 @@ def telemetry(turns: DataFrame, start: int | None = None) -> DataFrame:
 def by_index(rows: DataFrame, group: str, value: str, shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """(group, n, p50, p95 ..): of each group's ascending values the one at place floor(n * share), from 0 and at most the last.
 
-    Ranks run over the counts of distinct values, so equal values are one row of the sort.
+    Ranks run over the counts of distinct values, sorted by ranges, so no group is in one place.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k"))
-    whole = Window.partitionBy(group)
-    upto = counts.withColumn("upto", F.sum("k").over(whole.orderBy(value))).withColumn("n", F.sum("k").over(whole))
+    upto = ranked_counts(rows, group, value)
     picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value))).alias(f"p{round(q * 100)}") for q in shares]
     return upto.groupBy(group).agg(F.max("n").alias("n"), *picks)
 

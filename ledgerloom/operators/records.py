@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.ranking import ranked_counts, running_totals
 from ledgerloom.plans.storage import stored, workspace
 
 
@@ -49,9 +50,12 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> D
 
 
 def nearest_rank(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Nearest-rank percentiles, mean and population deviation."""
-    pct = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(q * 100)}") for q in (0.5, 0.95)]
-    return rows.groupBy(group).agg(F.count("*").alias("n"), *pct, F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_pop(value), 4).alias("deviation"))
+    """Nearest-rank percentiles, mean and population deviation; ranks run over the counts of distinct values, sorted by ranges."""
+    upto = ranked_counts(rows, group, value)
+    picks = [F.min(F.when(F.col("upto") >= F.col("n") * q, F.col(value))).cast("double").alias(f"p{int(q * 100)}") for q in (0.5, 0.95)]
+    ranks = upto.groupBy(F.col(group).alias("__g")).agg(*picks)
+    plain = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 4).alias("mean"), F.round(F.stddev_pop(value), 4).alias("deviation"))
+    return plain.join(ranks, F.col(group).eqNullSafe(F.col("__g")), "left").select(group, "n", "p50", "p95", "low", "high", "mean", "deviation")
 
 
 def classification(rows: DataFrame, truth: str, said: str) -> DataFrame:
@@ -94,9 +98,9 @@ def merkle_levels(rows: DataFrame, group: str, order: str, leaf: str, path: str)
     A level has half the rows of the one below, so a group of n leaves takes about log2(n) grouped joins and no group is ever in one place.
     """
     slim = rows.select(F.col(group).cast("string").alias("g"), F.col(order).alias("o"), F.col(leaf).cast("string").alias("leaf"))
-    at = F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("long") - 1
     hashed = F.unhex(F.sha2(F.concat(F.lit(bytes([0])), F.encode("leaf", "UTF-8")), 256))
-    levels = [stored(slim.select("g", at.alias("at"), hashed.alias("h")), f"{path}/level-0")]
+    numbered = running_totals(slim, "g", "o", F.lit(1).cast("long"), "upto")
+    levels = [stored(numbered.select("g", (F.col("upto") - 1).alias("at"), hashed.alias("h")), f"{path}/level-0")]
     while levels[-1].where("at > 0").limit(1).count():
         low, high = F.max(F.when(F.col("at") % 2 == 0, F.col("h"))), F.max(F.when(F.col("at") % 2 == 1, F.col("h")))
         pairs = levels[-1].groupBy("g", F.expr("at DIV 2").alias("at")).agg(low.alias("l"), high.alias("r"))

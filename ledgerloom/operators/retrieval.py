@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.storage import if_small
+
 RRF_K = 60
 
 
@@ -39,7 +41,7 @@ def bm25(docs: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) ->
     corpus = counted.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
     hits = sized.where("tf > 0")
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    joined = hits.join(F.broadcast(frequency), "term").crossJoin(F.broadcast(corpus))
+    joined = hits.join(if_small(frequency), "term").crossJoin(F.broadcast(corpus))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return joined.groupBy("doc_id").agg(F.round(F.sum(idf * weight), 6).alias("score"))

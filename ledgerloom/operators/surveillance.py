@@ -155,6 +155,20 @@ def daily_structuring(tx: DataFrame, low: int = 2_000, high: int = 20_000, least
     return day.agg(F.count("*").alias("n"), F.sum("amount").alias("total")).where((F.col("n") >= least) & (F.col("total") >= high))
 
 
+def daily_members(tx: DataFrame, low: int = 2_000, high: int = 20_000, least: int = 3) -> DataFrame:
+    """(day, account, tx_id): every transaction of daily_structuring's days and accounts, one a row, as a day of an account may have any number."""
+    inside = tx.where((F.col("amount") >= low) & (F.col("amount") < high)).withColumn("day", F.expr(f"ts DIV {DAY}"))
+    return inside.join(daily_structuring(tx, low, high, least).select("day", "account"), ["day", "account"]).select("day", "account", "tx_id")
+
+
+def volume_surges(tx: DataFrame, factor: int = 3) -> DataFrame:
+    """(account, day, total, baseline): days on which an account moved more than `factor` times its baseline, the mean of its other days with a transaction, cut to whole units."""
+    days = tx.groupBy("account", F.expr(f"ts DIV {DAY}").alias("day")).agg(F.sum("amount").alias("total"))
+    whole = days.groupBy("account").agg(F.sum("total").alias("all_days"), F.count("*").alias("n")).where("n > 1")
+    met = days.join(whole, "account").withColumn("baseline", F.expr("(all_days - total) DIV (n - 1)"))
+    return met.where(F.col("total") > factor * F.col("baseline")).select("account", "day", "total", "baseline")
+
+
 #: What an alert of each severity adds to a fused score, in basis points.
 SEVERITY_BPS = {"CRITICAL": 3_500, "HIGH": 2_500, "MEDIUM": 1_500, "LOW": 500}
 

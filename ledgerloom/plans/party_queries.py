@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import names
 from ledgerloom.functions import text as T
+from ledgerloom.operators import credit as K
 from ledgerloom.operators import reconcile as R
 from ledgerloom.operators import surveillance as S
 from ledgerloom.operators import watchlist as W
@@ -191,23 +192,42 @@ def _(spark, d):
     return S.statutory_screen(rows, alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id"))
 
 
-@query(
-    "aml_enhanced_scores",
-    f"""{TXN}, {WATCH}, {MEDIAN}, st AS (SELECT tx_id, sum(CASE severity WHEN 'CRITICAL' THEN 3500 ELSE 2500 END) AS base FROM ({SCREEN}) GROUP BY tx_id), bu AS ({BURST}), su AS ({SURGE}), ri AS ({RISKS}),
+ENHANCED = f"""{TXN}, {WATCH}, {MEDIAN}, st AS (SELECT tx_id, sum(CASE severity WHEN 'CRITICAL' THEN 3500 ELSE 2500 END) AS base FROM ({SCREEN}) GROUP BY tx_id), bu AS ({BURST}), su AS ({SURGE}), ri AS ({RISKS}),
     f AS (SELECT t.*, coalesce(base, 0) AS base, bu.tx_id IS NOT NULL AS burst, su.tx_id IS NOT NULL AS surge, CASE WHEN mad > 0 THEN 6745 * abs(amount - median) // mad ELSE 0 END AS z, ({HOUR} >= 23 OR {HOUR} < 5) AND amount >= 10000 AS night,
         amount BETWEEN 19000 AND 19999 AS band, CASE WHEN bps >= 8200 THEN bps ELSE 0 END AS bps
         FROM txn t CROSS JOIN mads LEFT JOIN st USING (tx_id) LEFT JOIN bu ON bu.tx_id = t.tx_id LEFT JOIN su ON su.tx_id = t.tx_id LEFT JOIN ri ON ri.tx_id = t.tx_id),
     s AS (SELECT *, least(10000, base + least(2500, CASE WHEN burst THEN 1500 ELSE 0 END + CASE WHEN surge THEN 2000 ELSE 0 END + CASE WHEN night THEN 2000 ELSE 0 END)
         + least(3000, CASE WHEN band THEN 2500 ELSE 0 END + CASE WHEN z > 50000 THEN 2500 WHEN z > 35000 THEN 2000 ELSE 0 END) + bps * 2500 // 10000) AS score FROM f)
     SELECT tx_id, account, CAST(score AS INT) AS score, concat_ws(',', CASE WHEN base > 0 THEN 'statutory' END, CASE WHEN burst THEN 'burst' END, CASE WHEN surge THEN 'surge' END, CASE WHEN night THEN 'night' END, CASE WHEN band THEN 'band' END,
-        CASE WHEN z > 35000 THEN 'outlier' END, CASE WHEN bps > 0 THEN 'narration' END) AS reasons FROM s WHERE score > 0""",
-)
+        CASE WHEN z > 35000 THEN 'outlier' END, CASE WHEN bps > 0 THEN 'narration' END) AS reasons FROM s WHERE score > 0"""
+
+
+@query("aml_enhanced_scores", ENHANCED)
 def _(spark, d):
     rows = watched(spark, d)
     listed = alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id")
     return S.enhanced_scores(rows, listed, W.whole_risk(rows, CLUSTERS))
 
 
+@query(
+    "aml_alert_actions",
+    f"{TXN}, {WATCH}, a AS ({SCREEN}) SELECT tx_id, rule, CASE severity WHEN 'CRITICAL' THEN 85 ELSE 60 END AS score, CASE severity WHEN 'CRITICAL' THEN 'FILE_REPORT' ELSE 'COMPLIANCE_HOLD' END AS action FROM a",
+)
+def _(spark, d):
+    """The report score and action of every statutory alert."""
+    rows = watched(spark, d)
+    score, action = K.report_action(F.col("severity"), {"CRITICAL": 85, "HIGH": 60, "MEDIUM": 35})
+    return S.statutory_screen(rows, alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id")).select("tx_id", "rule", score.alias("score"), action.alias("action"))
+
+
+@query("aml_fused_profiles", f"WITH s AS ({ENHANCED}) SELECT tx_id, CASE WHEN score >= 7000 THEN 'CRITICAL' WHEN score >= 5000 THEN 'HIGH' WHEN score >= 2500 THEN 'MEDIUM' ELSE 'LOW' END AS profile FROM s")
+def _(spark, d):
+    """The risk class of every fused score."""
+    rows = watched(spark, d)
+    listed = alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id")
+    return S.enhanced_scores(rows, listed, W.whole_risk(rows, CLUSTERS)).select("tx_id", S.risk_profile(F.col("score")).alias("profile"))
+
+
 # --- statements -------------------------------------------------------------------------------------------------------------------
 
 QUOTED = f"{BANK} SELECT 'f' || customer AS file, ref AS ref_code, CASE WHEN line_id % 2 = 0 THEN 'credit' ELSE 'debit' END AS posting_type, amount, amount + 5 AS balance_after, CASE WHEN line_id % 3 = 0 THEN 'paid; \"in full\" and more' ELSE 'paid; \"in full\"' END AS narration FROM bank WHERE amount > 0"

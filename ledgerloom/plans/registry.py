@@ -114,11 +114,20 @@ def _(spark, d):
     return S.keyword_hits(transactions(spark, d), ["error", "signup"])
 
 
-@query("agg_volume_surge", f"{TXN}, v AS (SELECT ts // 86400 AS day, sum(amount) AS total FROM txn GROUP BY 1) SELECT day, CAST(total AS BIGINT) AS total FROM v WHERE total * 10 > 11 * (SELECT sum(total) // count(*) FROM v)")
+@query(
+    "agg_volume_surge",
+    f"{TXN}, v AS (SELECT account, ts // 86400 AS day, CAST(sum(amount) AS BIGINT) AS total FROM txn GROUP BY 1, 2), w AS (SELECT *, sum(total) OVER (PARTITION BY account) AS all_days, count(*) OVER (PARTITION BY account) AS n FROM v), b AS (SELECT account, day, total, CAST((all_days - total) // (n - 1) AS BIGINT) AS baseline FROM w WHERE n > 1) SELECT * FROM b WHERE total > 3 * baseline",
+)
 def _(spark, d):
-    days = transactions(spark, d).groupBy(F.expr("ts DIV 86400").alias("day")).agg(F.sum("amount").alias("total"))
-    base = days.agg(F.expr("sum(total) DIV count(*)").alias("base"))
-    return days.crossJoin(F.broadcast(base)).where("total * 10 > 11 * base").select("day", "total")
+    return S.volume_surges(transactions(spark, d))
+
+
+@query(
+    "agg_daily_structuring_members",
+    f"{TXN}, i AS (SELECT ts // 86400 AS day, account, tx_id, amount FROM txn WHERE amount >= 2000 AND amount < 20000) SELECT day, account, tx_id FROM i QUALIFY count(*) OVER (PARTITION BY day, account) >= 3 AND sum(amount) OVER (PARTITION BY day, account) >= 20000",
+)
+def _(spark, d):
+    return S.daily_members(transactions(spark, d))
 
 
 # --- reconciliation ---------------------------------------------------------------------------------------------------
@@ -244,6 +253,23 @@ def _(spark, d):
     return L.entry_checks(journal_lines(spark, d))
 
 
+CURRENCY = "CASE WHEN entry_id % 10 = 3 AND account = '511' OR entry_id % 4 = 1 THEN 'USD' ELSE 'VND' END"
+
+
+@query("agg_entry_currency_checks", f"{JL}, c AS (SELECT *, {CURRENCY} AS currency FROM jl) SELECT entry_id, n_lines, debit, credit, currencies, n_lines >= 2 AND least > 0 AND debit = credit AND currencies = 1 AS balanced FROM (SELECT entry_id, count(*) AS n_lines, {SUMS}, min(amount) AS least, count(DISTINCT currency) AS currencies FROM c GROUP BY 1)")
+def _(spark, d):
+    return L.entry_checks(journal_lines(spark, d).withColumn("currency", F.expr(CURRENCY)), "currency")
+
+
+@query(
+    "agg_equation_by_currency",
+    f"""{JL}, {L.chart_sql()}, c AS (SELECT currency, kind, CASE WHEN (normal = 'D') = (side = 'D') THEN amount ELSE -amount END AS v FROM (SELECT *, {CURRENCY} AS currency FROM jl) JOIN chart ON account = code),
+    t AS (SELECT currency, CAST(sum(CASE WHEN kind IN ('ASSET', 'EXPENSE') THEN v ELSE 0 END) AS BIGINT) AS left_side, CAST(sum(CASE WHEN kind IN ('LIABILITY', 'EQUITY', 'REVENUE') THEN v ELSE 0 END) AS BIGINT) AS right_side FROM c GROUP BY currency) SELECT *, left_side = right_side AS holds FROM t""",
+)
+def _(spark, d):
+    return L.equation_by_currency(journal_lines(spark, d).withColumn("currency", F.expr(CURRENCY)), L.chart(spark))
+
+
 @query("agg_account_balances", f"{JL}, {L.chart_sql()} {BALANCES}")
 def _(spark, d):
     return L.balances(journal_lines(spark, d), L.chart(spark))
@@ -506,6 +532,16 @@ def _(spark, d):
     return rows.select("conv_id", "turn", T.word_errors("text", "next").alias("e")).select("conv_id", "turn", "e.*")
 
 
+@query("agg_word_error_rate")
+def _(spark, d):
+    """One row: all operations between neighbouring turns, all words of the first ones, and their rate in basis points."""
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, d, "conversations").withColumn("next", F.lead("text").over(by)).where("next IS NOT NULL")
+    counted = rows.select(F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("words"), T.word_errors("text", "next").alias("e"))
+    sums = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("words", "words"), ("substitutions", "e.substitutions"), ("deletions", "e.deletions"), ("insertions", "e.insertions"))])
+    return sums.withColumn("rate_bps", F.expr("CASE WHEN words > 0 THEN (substitutions + deletions + insertions) * 10000 DIV words END"))
+
+
 # --- scalar functions ---------------------------------------------------------------------------------------------------------------
 
 

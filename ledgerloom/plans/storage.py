@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def workspace(spark: SparkSession) -> str:
@@ -27,6 +28,15 @@ def workspace(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
+#: Rows of a table that is broadcast by `if_small` at most.
+SMALL = 100_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it has no more than so many rows; beyond that the join is Spark's to choose."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write a table and read it back, which cuts its lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

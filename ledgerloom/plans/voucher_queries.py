@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import documents as J
 from ledgerloom.operators import reconcile as R
 from ledgerloom.operators import records as C
+from ledgerloom.operators import retrieval as V
 from ledgerloom.operators import surveillance as S
 from ledgerloom.operators import vouchers as W
 from ledgerloom.plans.registry import BANK, EXACT, TXN, query
@@ -158,7 +159,11 @@ def _(spark, d):
     return transactions(spark, d).select("tx_id", C.hmac_sha256(KEY, F.encode("narration", "UTF-8")).alias("mac"))
 
 
-@query("win_chain_records", f"{TXN} SELECT tx_id AS seq_id, tx_id % 10 <> 0 AS sound FROM txn")
+def _mac(payload: str) -> str:
+    return f"sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode('p' || ts || 'ae' || sha256(encode({payload}))))))"
+
+
+@query("win_chain_records", f"{TXN} SELECT tx_id AS seq_id, {_mac('narration')} = {_mac('CASE WHEN tx_id % 10 = 0 THEN $$other$$ ELSE narration END')} AS sound FROM txn")
 def _(spark, d):
     """Records whose hash was made over other fields are found."""
     tx = transactions(spark, d)
@@ -220,3 +225,14 @@ def _(spark, d):
 
 
 
+
+
+@query(
+    "graph_fact_edges",
+    f"""WITH said AS ({FACT_SQL}), e AS (SELECT subject AS source, object AS target, relation, 1.0 / (turn + 1) AS weight, conv_id * 1000 + turn AS ts FROM said),
+    b AS (SELECT * FROM e UNION ALL SELECT target, source, relation, weight, ts FROM e) SELECT source, target, relation, round(arg_max(weight, (ts, weight)), 9) AS weight, max(ts) AS ts FROM b GROUP BY 1, 2, 3""",
+)
+def _(spark, d):
+    """The facts of all turns as edges both ways; what is said last of a pair and relation counts."""
+    new = facts(spark, d).select(F.col("subject").alias("source"), F.col("object").alias("target"), "relation", (1 / (F.col("turn") + 1)).alias("weight"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ts"))
+    return V.edge_upsert(new.limit(0), new).withColumn("weight", F.round("weight", 9))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import let, parse_amount
 from ledgerloom.functions.text import unmarked_upper
+from ledgerloom.plans.storage import if_small
 
 CANONICAL = ["file", "row_id", "ref_code", "posting_type", "amount", "balance_after", "narration", "value_date"]
 
@@ -88,7 +89,7 @@ def signature_scores(files: DataFrame, rules: DataFrame) -> DataFrame:
     """
     head, name = F.upper(F.substring("content", 1, 8192)), F.upper("file")
     score = F.when(F.contains(name, F.upper("mark")), 5).otherwise(0) + F.size(F.filter("keywords", lambda k: F.contains(head, F.upper(k))))
-    met = files.crossJoin(F.broadcast(rules)).select("file", "bank", score.alias("score")).where("score > 0")
+    met = files.crossJoin(if_small(rules, 1_000)).select("file", "bank", score.alias("score")).where("score > 0")
     return met.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "bank")).alias("b")).select("file", "b.bank", (-F.col("b.s")).alias("score"))
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.names import narration_refs, party_similarity
+from ledgerloom.functions.names import narration_refs, party_similarity, plain_party_similarity, without_boilerplate
 from ledgerloom.functions.text import doc_ref, unmarked_upper
 from ledgerloom.plans.storage import stored, workspace
 
@@ -314,6 +314,28 @@ def scored_band(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, secon
     return best.select("line_id", "b.invoice_id", "b.score")
 
 
+def stepped_edges(lines: DataFrame, entries: DataFrame, most: int = BUCKET, seconds: int = 3 * DAY, floor: float = 0.85) -> DataFrame:
+    """(line_id, entry_id, fee, lag, score) by the simpler score: lines (line_id, direction, party, narration, amount, ts) and entries (entry_id, direction, partner, amount, ts).
+
+    Amounts are equal or 1100 to `most` apart either way, whoever the customer; the party is the better of the line's own and of its narration without
+    phrases, without a floor of its own, and the date counts 1, 0.95 or 0.88 up to one, two or more days; a common calendar day is near enough. Names are compared once for each distinct triple.
+    """
+    bucket = F.expr(f"amount DIV {most}")
+    left = lines.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    right = entries.select("entry_id", "direction", F.col("partner").alias("billed"), F.col("amount").alias("e_amount"), F.col("ts").alias("e_ts"), bucket.alias("bucket"))
+    fee, lag = F.abs(F.col("e_amount") - F.col("amount")), F.abs(F.col("ts") - F.col("e_ts"))
+    near = (lag <= seconds) | (F.expr(f"ts DIV {DAY}") == F.expr(f"e_ts DIV {DAY}"))
+    met = left.join(right, ["direction", "bucket"]).where(((fee == 0) | fee.between(1_100, most)) & near).select("line_id", "entry_id", "party", "narration", "billed", fee.alias("fee"), lag.alias("lag"))
+    names = met.select("party", "narration", "billed").distinct()
+    alike = F.greatest(plain_party_similarity(F.col("billed"), F.coalesce("party", F.lit(""))), plain_party_similarity(F.col("billed"), without_boilerplate(F.coalesce("narration", F.lit("")))))
+    compared = names.withColumn("likeness", F.coalesce(alike, F.lit(0.0)))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("party", "narration", "billed")]
+    day = F.when(F.col("lag") <= DAY, 1.0).when(F.col("lag") <= 2 * DAY, 0.95).otherwise(0.88)
+    score = 0.5 * F.when(F.col("fee") == 0, 1.0).otherwise(0.92) + 0.4 * F.col("likeness") + 0.1 * day
+    scored = met.alias("m").join(compared.alias("n"), same[0] & same[1] & same[2]).withColumn("score", score)
+    return scored.where(F.col("score") >= floor).select("line_id", "entry_id", "fee", "lag", "score")
+
+
 def three_tiers(lines: DataFrame, invoices: DataFrame) -> DataFrame:
     """(line_id, invoice_id, tier): lines (with narration and direction) matched one to one by a reference of their own or cited in the narration, then by the scored band, best score first, and the
     rest by sums, a row for each part."""

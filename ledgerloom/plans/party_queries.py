@@ -140,7 +140,18 @@ def _(spark, d):
     return best.select("line_id", "invoice_id", F.round("score", 6).alias("score"))
 
 
-# --- masks ------------------------------------------------------------------------------------------------------------------------
+@query(
+    "join_stepped_edges",
+    f"""{BANK}, m AS (SELECT line_id, invoice_id AS entry_id, abs(i.amount - b.amount) AS fee, abs(b.ts - i.ts) AS lag, CASE WHEN b.party = i.party THEN 1.0 ELSE jaro_winkler_similarity(lower(b.party), lower(i.party)) END AS likeness FROM bank b JOIN inv i
+        ON (i.amount = b.amount OR abs(i.amount - b.amount) BETWEEN 1100 AND 11000) AND (abs(b.ts - i.ts) <= 259200 OR b.ts // 86400 = i.ts // 86400)),
+    s AS (SELECT *, 0.5 * (CASE WHEN fee = 0 THEN 1 ELSE 0.92 END) + 0.4 * likeness + 0.1 * (CASE WHEN lag <= 86400 THEN 1 WHEN lag <= 172800 THEN 0.95 ELSE 0.88 END) AS score FROM m) SELECT line_id, entry_id, fee, CAST(round(score, 6) AS DOUBLE) AS score FROM s WHERE score >= 0.85""",
+)
+def _(spark, d):
+    """Edges of the simpler score, over all customers."""
+    lines = bank_lines(spark, d).withColumn("direction", F.lit("CREDIT")).withColumn("narration", F.lit("ck"))
+    entries = invoices(spark, d).select(F.col("invoice_id").alias("entry_id"), F.lit("CREDIT").alias("direction"), F.col("party").alias("partner"), "amount", "ts")
+    return R.stepped_edges(lines, entries).select("line_id", "entry_id", "fee", F.round("score", 6).alias("score"))
+
 
 # --- watchlists -------------------------------------------------------------------------------------------------------------------
 

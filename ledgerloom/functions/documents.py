@@ -33,10 +33,9 @@ def hide_keys(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _as_json(t, lambda v: json.dumps(_walk(v), ensure_ascii=False)))
 
 
-@F.pandas_udf(StringType())
-def canonical_json(texts: pd.Series) -> pd.Series:
-    """JSON without blanks and with sorted keys; null for no JSON."""
-    return texts.map(lambda t: _as_json(t, lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":"))))
+def canonical_json(text: Column) -> Column:
+    """JSON without blanks and with sorted keys, as a variant keeps them; null for no JSON."""
+    return F.to_json(F.try_parse_json(text))
 
 
 def _as_json(text: str | None, use) -> str | None:

@@ -86,8 +86,9 @@ def workbook_of(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
-#: A row's own day, which a second row of two has from the row before.
-ROW = F.concat_ws("|", F.concat(F.lit("day "), (F.col("line_id") % 28).cast("string")), F.col("ref"), F.col("amount").cast("string"), F.col("party"))
+def row_cells() -> Column:
+    """A line as four cells; of its day, which a second row of two has from the row before, only the first stays in the workbook."""
+    return F.concat_ws("|", F.concat(F.lit("day "), (F.col("line_id") % 28).cast("string")), F.col("ref"), F.col("amount").cast("string"), F.col("party"))
 
 
 @query(
@@ -97,7 +98,7 @@ ROW = F.concat_ws("|", F.concat(F.lit("day "), (F.col("line_id") % 28).cast("str
 )
 def _(spark, d):
     """All rows of workbooks, merged cells filled."""
-    books = filed(spark, d, ROW).select("file", workbook_of("lines").alias("content"))
+    books = filed(spark, d, row_cells()).select("file", workbook_of("lines").alias("content"))
     return sheets.workbooks(books).where("fault IS NULL").select("file", "sheet", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
@@ -108,7 +109,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """The tables of statements in HTML."""
-    row = F.concat(F.lit("<tr><td class='d'>"), F.array_join(F.split(ROW, r"\|"), "</td>\n<td>"), F.lit("</td></tr>"))
+    row = F.concat(F.lit("<tr><td class='d'>"), F.array_join(F.split(row_cells(), r"\|"), "</td>\n<td>"), F.lit("</td></tr>"))
     head = "<html><!-- <table><tr><td>no</td></tr></table> --><TABLE border=0><tr><td>a&nbsp;<b>b</b><td>c</tr></TABLE><table><tr><th>Day<th>Ref &lt;no&gt;</th><th>Amount</th><th>Party</th></tr>"
     pages = filed(spark, d, row).select("file", F.concat(F.lit(head), F.array_join("lines", "\n"), F.lit("</table></html>")).alias("html"))
     return sheets.html_rows(pages, "file", "html").withColumn("cells", F.array_join("cells", "|"))

@@ -136,3 +136,18 @@ def _(spark, d):
 def _(spark, d):
     """Every text and turn by the stricter rule. Its word bounds know all letters, which the other engine's do not; the tests state it plainly."""
     return told(texts(spark, d, PEOPLE), masks.mask_text_unless_legal(F.col("text")))
+
+
+# the first nine of them dealt to the suppliers by their keys, and what each mask makes of them
+NAMED = PEOPLE[:9]
+NAME = "[REDACTED_NAME]"
+BY_WORD = [NAME, "Công ty TNHH X call [REDACTED_PHONE] now", "pay stk [REDACTED_ACCOUNT] today", "id [REDACTED_CCCD] ok", NAME, "John Smith", "", "Acme Ltd", "CP Thép"]
+BY_PARTY = [NAME, NAMED[1], *BY_WORD[2:]]
+BY_LAW = [NAME, NAMED[1], NAME, NAME, NAME, NAME, "", "Acme Ltd", "CP Thép"]
+
+
+@query("pii_persons", f"SELECT s_suppkey AS id, {BY_WORD!r}[s_suppkey % 9 + 1] AS text, {BY_PARTY!r}[s_suppkey % 9 + 1] AS party, {BY_LAW!r}[s_suppkey % 9 + 1] AS strict FROM supplier")
+def _(spark, d):
+    """The three masks of persons side by side."""
+    text = F.element_at(F.array(*[F.lit(x) for x in NAMED]), (F.col("s_suppkey") % 9 + 1).cast("int"))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), masks.mask_person(text).alias("text"), masks.mask_party(text).alias("party"), masks.mask_unless_legal(text).alias("strict"))

@@ -45,12 +45,13 @@ def later_drains(tx: DataFrame, floor: int = 2_000, least_percent: int = 90, mos
     asked = into.where("low <= high").select("pos", F.explode(_spans(F.col("low"), F.col("high"), levels)).alias("span")).select("span.*", "pos")
     block = F.expr(f"pos DIV {BLOCK}").alias("block")
     both = debits.select("level", "at", block, "pos", F.col("pos").alias("out")).union(asked.select("level", "at", block, "pos", F.lit(None).cast("long")))
-    ahead = Window.partitionBy("level", "at", "block").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    # from the last place backwards: a frame that only grows is worked on once, one that shrinks is read again for each row
+    ahead = Window.partitionBy("level", "at", "block").orderBy(-F.col("pos")).rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("next", F.min("out").over(ahead)).where("out IS NULL")
     # spans without a debit in the rest of the block: the first one of the blocks after it
     firsts = debits.groupBy("level", "at", block).agg(F.min("pos").alias("first"))
     open_ = near.where("next IS NULL").select("level", "at", "block").distinct().withColumn("first", F.lit(None).cast("long"))
-    later = Window.partitionBy("level", "at").orderBy("block").rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("level", "at").orderBy(-F.col("block")).rangeBetween(Window.unboundedPreceding, -1)
     far = firsts.withColumn("asks", F.lit(False)).union(open_.withColumn("asks", F.lit(True))).withColumn("far", F.min("first").over(later)).where("asks").select("level", "at", "block", "far")
     found = near.join(far, ["level", "at", "block"], "left").select(F.col("pos").alias("in_id"), F.coalesce("next", "far").alias("out_id"))
     return found.where("out_id IS NOT NULL").groupBy("in_id").agg(F.min("out_id").alias("out_id"))

@@ -97,7 +97,8 @@ def nearest(lines: DataFrame, invoices: DataFrame) -> DataFrame:
     both = lines.select("customer", "amount", "line_id", F.lit(None).cast("struct<amount:bigint,id:bigint>").alias("i")).unionByName(inv.select("customer", "amount", F.lit(None).cast("long").alias("line_id"), F.struct("amount", F.col("invoice_id").alias("id")).alias("i")))
     order = Window.partitionBy("customer").orderBy("amount")
     below = F.last("i", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("i", ignorenulls=True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    # backwards, as a frame that shrinks is read again for each row
+    above = F.last("i", ignorenulls=True).over(Window.partitionBy("customer").orderBy(-F.col("amount")).rangeBetween(Window.unboundedPreceding, 0))
 
     def choice(c: Column) -> Column:
         return F.when(c.isNotNull(), F.struct(F.abs(c["amount"] - F.col("amount")).alias("distance"), c["id"].alias("invoice_id")))

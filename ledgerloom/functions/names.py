@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from math import isqrt
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 from ledgerloom.functions.text import core_tokens, unmarked_upper, words
+from ledgerloom.plans.storage import SMALL
 
 # Short names of firms in narrations, and what they stand for.
 KNOWN_SHORT = [
@@ -17,6 +22,9 @@ KNOWN_SHORT = [
 # Words of transfers that say nothing about the parties.
 FILLER = ["CK", "TT", "TIEN", "CHUYEN", "KHOAN", "THANH", "TOAN", "NAPAS", "VIETQR", "IBFT", "DA", "TRU", "PHI", "DON", "HANG", "THEO", "XIN", "CAM", "ON", "CONG", "TY", "TNHH", "CP", "CO", "PHAN", "MTV", "TAP", "DOAN", "CTY"]
 
+#: What separates words, as Spark's patterns read white space.
+BLANK = r"[ \t\n\x0b\f\r]"
+
 
 def _matching(a: str, b: str) -> tuple[int, int]:
     """(equal letters within reach, half of those out of order)."""
@@ -105,6 +113,17 @@ def plain_party_similarity(a: Column, b: Column) -> Column:
     return F.when((x == "") | (y == ""), F.lit(0.0)).when(x == y, F.lit(1.0)).when(F.contains(x, y) | F.contains(y, x), F.lit(0.95)).when(share >= 0.6, F.lit(0.90)).otherwise(winkler(x, y))
 
 
+def once_each(rows: DataFrame, one: str, two: str, made: dict[str, Column]) -> DataFrame:
+    """rows with the columns `made` from the texts of columns `one` and `two`, worked out once for each distinct pair of texts.
+
+    The pairs are dealt over tasks anew, however few files the rows come from.
+    """
+    pairs = rows.select(one, two).distinct()
+    compared = pairs.select(F.col(one).alias("__one"), F.col(two).alias("__two"), *[c.alias(n) for n, c in made.items()])
+    compared = F.broadcast(compared) if pairs.limit(SMALL + 1).count() <= SMALL else compared
+    return rows.join(compared, F.col(one).eqNullSafe(F.col("__one")) & F.col(two).eqNullSafe(F.col("__two"))).drop("__one", "__two")
+
+
 def initials(tokens: Column) -> Column:
     return F.array_join(F.transform(tokens, lambda w: F.substring(w, 1, 1)), "")
 
@@ -132,31 +151,32 @@ def core_coverage_bps(party: Column, narration: Column) -> Column:
     return F.when(F.size(p) == 0, 0).when(covered == F.size(p), F.greatest(ratio, F.lit(9_200))).otherwise(ratio)
 
 
-def token_cosine_bps(a: Column, b: Column) -> Column:
-    """Cosine of two texts over words, each worth 10, and pairs of neighbouring letters, each worth 3, in whole basis points.
-
-    Sums are whole numbers below 2**53, so the root is exact but for a step that is checked.
-    """
-
-    def terms(x: Column) -> Column:
-        bare = F.regexp_replace(x, r"\s+", "")
-        pairs = F.when(F.length(bare) > 1, F.transform(F.sequence(F.lit(1), F.length(bare) - 1), lambda i: F.substring(bare, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-        return words(F.regexp_replace(x, r"\s", " ")), pairs
+def token_cosine(a: str, b: str) -> int:
+    """Cosine of two texts over words, each worth 10, and pairs of neighbouring letters, each worth 3, in whole basis points."""
+    if not a or not b:
+        return 0
+    if a == b:
+        return 10_000
 
-    def weight(held: tuple[Column, Column], term: Column) -> Column:
-        return F.size(F.filter(held[0], lambda w: w == term)) * 10 + F.size(F.filter(held[1], lambda w: w == term)) * 3
+    def weights(x: str) -> Counter[str]:
+        held, bare = Counter(), re.sub(BLANK, "", x)
+        for word in re.split(BLANK, x):
+            held[word] += 10
+        for k in range(len(bare) - 1):
+            held[bare[k : k + 2]] += 3
+        del held[""]
+        return held
 
-    one, two = terms(a), terms(b)
-    all_one, all_two = F.array_distinct(F.concat(*one)), F.array_distinct(F.concat(*two))
+    one, two = weights(a), weights(b)
+    dot = sum(w * two[t] for t, w in one.items() if t in two)
+    product = sum(w * w for w in one.values()) * sum(w * w for w in two.values())
+    return min(10_000, dot * 10_000 // max(1, isqrt(product)))
 
-    def summed(keys: Column, x: tuple[Column, Column], y: tuple[Column, Column]) -> Column:
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc + weight(x, k) * weight(y, k))
 
-    dot, product = summed(F.array_intersect(all_one, all_two), one, two), summed(all_one, one, one) * summed(all_two, two, two)
-    guess = F.floor(F.sqrt(product.cast("double")))
-    root = F.when(guess * guess > product, guess - 1).when((guess + 1) * (guess + 1) <= product, guess + 1).otherwise(guess)
-    found = F.least(F.call_function("div", dot * 10_000, F.greatest(root, F.lit(1).cast("long"))), F.lit(10_000).cast("long")).cast("int")
-    return F.when((a == "") | (b == ""), 0).when(a == b, 10_000).when(dot == 0, 0).otherwise(found)
+@F.pandas_udf(IntegerType())
+def token_cosine_bps(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Arrow form of token_cosine; a null gives 0. As an expression its terms would be made again for each term."""
+    return pd.Series([token_cosine(x, y) if x is not None and y is not None else 0 for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
 def semantic_bps(party: Column, narration: Column) -> Column:

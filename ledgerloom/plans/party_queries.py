@@ -78,7 +78,8 @@ PARTY = f"""c AS (SELECT *, {core_sql('name')} AS one, {core_sql('other')} AS tw
 
 @query("txt_party_similarity", f"WITH {PAIR_SQL}, {PARTY} SELECT id, CAST(round(similarity, 8) AS DOUBLE) AS similarity FROM g")
 def _(spark, d):
-    return pairs(spark, d).select("id", F.round(names.party_similarity(F.col("name"), F.col("other")), 8).cast("double").alias("similarity"))
+    like = F.round(names.party_similarity(F.col("name"), F.col("other")), 8).cast("double")
+    return names.once_each(pairs(spark, d), "name", "other", {"similarity": like}).select("id", "similarity")
 
 
 @query(
@@ -87,7 +88,8 @@ def _(spark, d):
     SELECT id, CAST(round(CASE WHEN x = '' OR y = '' THEN 0 WHEN x = y THEN 1 WHEN contains(x, y) OR contains(y, x) THEN 0.95 WHEN len(list_intersect(one, two)) >= 0.6 * least(len(one), len(two)) THEN 0.90 ELSE jaro_winkler_similarity(x, y) END, 8) AS DOUBLE) AS similarity FROM e""",
 )
 def _(spark, d):
-    return pairs(spark, d).select("id", F.round(names.plain_party_similarity(F.col("name"), F.col("other")), 8).alias("similarity"))
+    like = F.round(names.plain_party_similarity(F.col("name"), F.col("other")), 8)
+    return names.once_each(pairs(spark, d), "name", "other", {"similarity": like}).select("id", "similarity")
 
 
 FILL = names.FILLER
@@ -109,7 +111,8 @@ SEMANTIC = f"""u AS (SELECT id, upper(name) AS p, upper(note) AS n FROM pairs),
 @query("txt_semantic_parts", f"WITH {PAIR_SQL}, {SEMANTIC} SELECT id, short_bps, CAST(core_bps AS INT) AS core_bps, CAST(cosine_bps AS INT) AS cosine_bps, CAST(CASE WHEN p = '' OR n = '' THEN 0 WHEN p = n THEN 10000 ELSE greatest(short_bps, core_bps, cosine_bps) END AS INT) AS semantic_bps FROM cosine")
 def _(spark, d):
     p, n = F.upper("name"), F.upper("note")
-    return pairs(spark, d).select("id", names.short_name_bps(p, n).alias("short_bps"), names.core_coverage_bps(p, n).cast("int").alias("core_bps"), names.token_cosine_bps(p, n).cast("int").alias("cosine_bps"), names.semantic_bps(p, n).cast("int").alias("semantic_bps"))
+    parts = {"short_bps": names.short_name_bps(p, n), "core_bps": names.core_coverage_bps(p, n).cast("int"), "cosine_bps": names.token_cosine_bps(p, n), "semantic_bps": names.semantic_bps(p, n).cast("int")}
+    return names.once_each(pairs(spark, d), "name", "note", parts).select("id", *parts)
 
 
 @query(

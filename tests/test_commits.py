@@ -89,3 +89,25 @@ def test_entities_by_hand(spark):
     assert {r.t: (r.e.invoices, r.e.tax_codes, r.e.phones, r.e.traces) for r in rows} == cases
     said = spark.createDataFrame([("tt tien hang",), ("luong T3",), ("xyz",)], "t string").select("t", remarks.expanded(F.col("t")).alias("x")).select("t", "x", remarks.intent(F.col("x")).alias("i")).collect()
     assert {r.t: (r.x, r.i.intent) for r in said} == {"tt tien hang": ("thanh toán tien hang", "PAYMENT"), "luong T3": ("luong t3", "PAYROLL"), "xyz": ("xyz", "OTHER")}
+
+
+def test_words_are_counted_without_a_shuffle():
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([7, 8, 9, 10]), pa.array([["a", "b", "a"], [], None, ["b"]])], ["doc_id", "t"])
+    got = sorted(tuple(r.values()) for b in index.count_terms(iter([rows])) for r in b.to_pylist())
+    assert got == [("a", 7, 2), ("b", 7, 1), ("b", 10, 1)]
+
+
+def test_no_pair_of_query_and_document_is_shuffled(spark, tmp_path, monkeypatch):
+    """Three documents of each block come out for each query, however many share its words; the answer is that of all pairs."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("red "), F.repeat(F.lit("blue "), (F.col("id") % 7).cast("int"))).alias("text"), F.lit("a").alias("kind"))
+    base = f"file://{tmp_path}/words"
+    index.build(spark, base, 1, docs, spark.createDataFrame([], "doc_id long, embedding array<float>"), ["kind"])
+    asked = spark.range(5).select(F.col("id").alias("query_id"), F.array(F.lit("red"), F.lit("blue")).alias("terms"))
+    monkeypatch.setattr(index, "BLOCK_DOCS", 16, raising=False)
+    found = index.sparse_search(spark, base, asked, 3)
+    assert "hashpartitioning(query_id, doc_id" not in found._jdf.queryExecution().toString() and "query_id#" in found._jdf.queryExecution().toString()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan.split("MapInArrow")[0] and "MapInArrow" in plan
+    assert {(r.query_id, r["rank"], r.doc_id) for r in found.collect()} == {(q, k + 1, 6 + 7 * k) for q in range(5) for k in range(3)}

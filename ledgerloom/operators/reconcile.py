@@ -6,8 +6,9 @@ Tiers give candidate edges by joins; the walk in input order that picks one invo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,42 +134,73 @@ def pair_splits(lines: DataFrame, invoices: DataFrame) -> DataFrame:
 MOST_TRIPLES = 4_000_000
 
 
-def few_items(target: int, items: list[tuple[int, int]]) -> tuple[list[int] | None, bool]:
-    """(ids of two or else three of the (id, amount) items that add up to target, whether all triples were looked at), found by looking up the rest."""
-    held: dict[int, list[int]] = {}
-    for i, amount in sorted(items):
-        if 0 < amount < target:
-            held.setdefault(amount, []).append(i)
-    amounts, left = sorted(held), MOST_TRIPLES
+class Parts:
+    """The (id, amount) items of a customer, by amount and id in arrays that lines after one another take from."""
+
+    def __init__(self, items: Iterable[tuple[int, int]]) -> None:
+        rows = np.array([x for x in items if x[1] > 0], dtype=np.int64).reshape(-1, 2)
+        self.ids, self.amounts = rows[np.lexsort((rows[:, 0], rows[:, 1]))].T
+        self.down = np.lexsort((self.ids, -self.amounts))
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def drop(self, gone: list[int]) -> None:
+        stay = ~np.isin(self.ids, gone)
+        self.ids, self.amounts = self.ids[stay], self.amounts[stay]
+        self.down = np.lexsort((self.ids, -self.amounts))
 
-    def ids(*parts: int) -> list[int] | None:
-        if any(len(held.get(x, ())) < parts.count(x) for x in parts):
-            return None
-        return sorted(i for x in set(parts) for i in held[x][: parts.count(x)])
 
-    pairs = [found for x in amounts if 2 * x <= target and target - x in held and (found := ids(x, target - x))]
+def few_items(target: int, items: Parts | list[tuple[int, int]]) -> tuple[list[int] | None, bool]:
+    """(ids of two or else three of the (id, amount) items that add up to target, whether all triples were looked at), found by looking up the rest.
+
+    Of the triples only those are looked at whose third part lies between the second and the greatest amount.
+    """
+    held = items if isinstance(items, Parts) else Parts(items)
+    below = held.amounts[: np.searchsorted(held.amounts, target)]
+    amounts, left = below[np.append(True, below[1:] != below[:-1])] if len(below) else below, MOST_TRIPLES
+    if not len(amounts):
+        return None, True
+
+    def ids(*parts: int) -> list[int] | None:
+        taken: list[int] = []
+        for x in set(parts):
+            at, n = int(np.searchsorted(below, x)), parts.count(x)
+            if at + n > len(below) or below[at + n - 1] != x:
+                return None
+            taken += held.ids[at : at + n].tolist()
+        return sorted(taken)
+
+    def there(rest: np.ndarray) -> np.ndarray:
+        return amounts[np.minimum(np.searchsorted(amounts, rest), len(amounts) - 1)] == rest
+
+    small = amounts[: np.searchsorted(amounts, target // 2, side="right")]
+    pairs = [found for x in small[there(target - small)].tolist() if (found := ids(x, target - x))]
     if pairs:
         return min(pairs), True
-    for k, x in enumerate(amounts):
-        for y in amounts[k:]:
-            if x + 2 * y > target:
-                break
-            left -= 1
-            if not left:
-                return None, False
-            if target - x - y in held and (found := ids(x, y, target - x - y)):
+    most = int(amounts[-1])
+    for k in range(int(np.searchsorted(amounts, target - 2 * most)), int(np.searchsorted(amounts, target // 3, side="right"))):
+        x = int(amounts[k])
+        low, high = max(k, int(np.searchsorted(amounts, target - x - most))), int(np.searchsorted(amounts, (target - x) // 2, side="right"))
+        seconds = amounts[low : min(high, low + left)]
+        for y in seconds[there(target - x - seconds)].tolist():
+            if found := ids(x, y, target - x - y):
                 return found, True
+        left -= max(0, high - low)
+        if left < 0:
+            return None, False
     return None, True
 
 
-def search(target: int, items: list[tuple[int, int]], most: int = 8, steps: int = 100_000) -> tuple[list[int] | None, bool]:
+def search(target: int, items: Parts | list[tuple[int, int]], most: int = 8, steps: int = 100_000) -> tuple[list[int] | None, bool]:
     """(ids of two to `most` of the (id, amount) items that add up to target, whether the depth-first search came to its end)."""
-    items = sorted((x for x in items if 0 < x[1] <= target), key=lambda x: (-x[1], x[0]))
-    n = len(items)
-    tails, other = [0] * (n + 1), [n] * (n + 1)
-    for k in range(n - 1, -1, -1):
-        tails[k] = tails[k + 1] + items[k][1]
-        other[k] = other[k + 1] if k + 1 < n and items[k + 1][1] == items[k][1] else k + 1
+    held = items if isinstance(items, Parts) else Parts(items)
+    down = held.down[len(held) - int(np.searchsorted(held.amounts, target, side="right")) :]
+    n, sizes = len(down), held.amounts[down]
+    ids, amounts = held.ids[down].tolist(), sizes.tolist()
+    tails = [*np.cumsum(sizes[::-1])[::-1].tolist(), 0]
+    # where the next smaller amount begins
+    other = (n - np.searchsorted(sizes[::-1], sizes)).tolist()
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, target, ())]
     while stack and steps:
         steps -= 1
@@ -181,8 +213,8 @@ def search(target: int, items: list[tuple[int, int]], most: int = 8, steps: int
         if k == n or len(chosen) == most or tails[k] - tails[min(n, k + most - len(chosen))] < left:
             continue
         stack.append((other[k], left, chosen))
-        if items[k][1] <= left:
-            stack.append((k + 1, left - items[k][1], (*chosen, items[k][0])))
+        if amounts[k] <= left:
+            stack.append((k + 1, left - amounts[k], (*chosen, ids[k])))
     return None, not stack
 
 
@@ -212,13 +244,13 @@ def searched(lines: DataFrame, invoices: DataFrame, most: int, steps: int) -> Da
     held = invoices.join(blocks, "customer").select("customer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("invoice_id").alias("id"), "amount", F.lit(False).alias("is_line"))
 
     def solve(targets: list[tuple[int, int]], free: dict[int, int]) -> Iterator[tuple[int, list[int] | None, str]]:
+        items = Parts(free.items())
         for line, target in sorted(targets):
-            items = list(free.items())
             found, over = few_items(target, items)
             if not found and (most > 3 and len(items) > 3 or not over):
                 found, over = search(target, items, most, steps)
-            for i in found or []:
-                free.pop(i)
+            if found:
+                items.drop(found)
             if found or not over:
                 yield line, found, "SPLIT" if found else "EXHAUSTED"
 

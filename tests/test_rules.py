@@ -148,3 +148,11 @@ def test_json_helpers(spark):
 
 def test_all_new_queries_have_rows(spark):
     assert len(entry.queries()) > 150 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_triples_are_found_behind_any_number_of_impossible_pairs():
+    items = [*enumerate(range(2, 6_002, 2)), (9_000, 1_000_001), (9_001, 1_000_003), (9_002, 1_000_007)]
+    assert reconcile.few_items(3_000_011, items) == ([9_000, 9_001, 9_002], True)
+    held = reconcile.Parts(items)
+    held.drop([9_001])
+    assert reconcile.few_items(3_000_011, held) == (None, True)

@@ -139,7 +139,7 @@ def _(spark, d):
 )
 def _(spark, d):
     tx = transactions(spark, d)
-    alerts = S.plain_screen(tx).join(tx.select("tx_id", "account"), "tx_id")
+    alerts = S.plain_counts(tx).join(tx.select("tx_id", "account"), "tx_id")
     return S.plain_report(alerts, tx.select("account").distinct(), "account")
 
 

@@ -156,3 +156,20 @@ def test_triples_are_found_behind_any_number_of_impossible_pairs():
     held = reconcile.Parts(items)
     held.drop([9_001])
     assert reconcile.few_items(3_000_011, held) == (None, True)
+
+
+def test_counts_of_any_account_pairs_are_those_of_the_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, i % 5, rng.choice([1_999, 2_000, 2_001, rng.randrange(1_800, 4_200), None, -5]), rng.choice([-900, 0, 899, 900, rng.randrange(-2_000, 4_000)]), rng.random() < 0.5, "") for i in range(400)]
+    tx = spark.createDataFrame(rows, "tx_id long, account long, amount long, ts long, is_credit boolean, narration string")
+    want = {}
+    for _, _, a, t, credit, _ in rows:
+        for o, _, b, u, back, _ in rows:
+            if credit and not back and a is not None and b is not None and a >= 2_000 and 0 <= u - t <= 900 and b >= a * 95 // 100:
+                want[o] = want.get(o, 0) + 1
+    assert {r.out_id: r.n for r in surveillance.any_account_counts(tx).collect()} == want
+    assert surveillance.any_account_counts(tx.where("is_credit")).count() == 0
+    plan = surveillance.plain_counts(tx)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

@@ -16,7 +16,10 @@ _DETAIL = f"struct<Refs:struct<EndToEndId:string,TxId:string,AcctSvcrRef:string>
 _ENTRY = f"struct<NtryRef:string,Amt:{_AMOUNT},CdtDbtInd:string,BookgDt:{_DAY},ValDt:{_DAY},AcctSvcrRef:string,NtryDtls:struct<TxDtls:array<{_DETAIL}>>,AddtlNtryInf:string>"
 _BALANCE = f"struct<Tp:struct<CdOrPrtry:struct<Cd:string>>,Amt:{_AMOUNT},CdtDbtInd:string>"
 _TRANSFER = f"struct<PmtId:struct<EndToEndId:string,TxId:string>,IntrBkSttlmAmt:{_AMOUNT},InstdAmt:{_AMOUNT},IntrBkSttlmDt:string,Dbtr:{_PARTY},DbtrAcct:{_ACCOUNT},Cdtr:{_PARTY},CdtrAcct:{_ACCOUNT},RmtInf:{_NOTE}>"
-SCHEMA = f"BkToCstmrStmt struct<Stmt:array<struct<Acct:{_ACCOUNT},Bal:array<{_BALANCE}>,Ntry:array<{_ENTRY}>>>>, FIToFICstmrCdtTrf struct<GrpHdr:struct<SttlmInf:struct<ClrSys:struct<Prtry:string>>>,CdtTrfTxInf:array<{_TRANSFER}>>"
+STATEMENTS = f"BkToCstmrStmt struct<Stmt:array<struct<Acct:{_ACCOUNT},Bal:array<{_BALANCE}>,Ntry:array<{_ENTRY}>>>>"
+BALANCES = f"BkToCstmrStmt struct<Stmt:array<struct<Acct:{_ACCOUNT},Bal:array<{_BALANCE}>>>>"
+TRANSFERS = f"FIToFICstmrCdtTrf struct<GrpHdr:struct<SttlmInf:struct<ClrSys:struct<Prtry:string>>>,CdtTrfTxInf:array<{_TRANSFER}>>"
+SCHEMA = f"{STATEMENTS}, {TRANSFERS}"
 
 
 def channel(file: Column, content: Column) -> Column:
@@ -27,12 +30,21 @@ def channel(file: Column, content: Column) -> Column:
     return F.when(swift, "SWIFT").when(napas, "NAPAS").when(F.contains(name, F.lit("BILATERAL")) | text.rlike("NOSTRO|VOSTRO"), "BILATERAL").otherwise("CITAD")
 
 
-def messages(files: DataFrame) -> DataFrame:
-    """(file, channel, m): each text as a message of SCHEMA; m is null for what is no XML."""
-    read = F.from_xml(F.trim("content"), SCHEMA, {"rowTag": "Document", "ignoreNamespace": "true", "mode": "PERMISSIVE"})
+def messages(files: DataFrame, schema: str = SCHEMA) -> DataFrame:
+    """(file, channel, m): each text as a message of `schema`; m is null for what is no XML."""
+    read = F.from_xml(F.trim("content"), schema, {"rowTag": "Document", "ignoreNamespace": "true", "mode": "PERMISSIVE"})
     return files.select("file", channel(F.col("file"), F.col("content")).alias("channel"), read.alias("m"))
 
 
+def listed(files: DataFrame, schema: str, within: str, name: str) -> DataFrame:
+    """(file, channel, at, s): the elements `within.name` of messages that have some; only texts that name the message are read, and each of them once.
+
+    Places come from an outer explosion: for a plain one Spark puts a condition on the list before it, which reads the text again.
+    """
+    read = messages(files.where(F.contains("content", F.lit(within))), schema)
+    return read.select("file", "channel", F.posexplode_outer(F.col(f"m.{within}.{name}")).alias("at", "s")).where("at IS NOT NULL")
+
+
 def account_id(account: Column) -> Column:
     return F.coalesce(account["Id"]["IBAN"], account["Id"]["Othr"]["Id"])
 
@@ -51,8 +63,7 @@ def rows(files: DataFrame, places: int = 0) -> DataFrame:
     The reference is the end-to-end id, then the transaction's and the bank's. An entry has the first of its details; its counterparty is the debtor of a credit
     and the creditor of a debit. A transfer is a credit from its debtor.
     """
-    read = messages(files)
-    statements = read.select("file", "channel", F.explode("m.BkToCstmrStmt.Stmt").alias("s"))
+    statements = listed(files, STATEMENTS, "BkToCstmrStmt", "Stmt")
     entries = statements.select("file", "channel", account_id(F.col("s.Acct")).alias("account"), F.posexplode("s.Ntry").alias("at", "e"))
     detail = F.get(F.col("e.NtryDtls.TxDtls"), F.lit(0))
     credit = F.upper(F.col("e.CdtDbtInd")) != "DBIT"
@@ -66,7 +77,7 @@ def rows(files: DataFrame, places: int = 0) -> DataFrame:
         F.when(credit, account_id(parties["DbtrAcct"])).otherwise(account_id(parties["CdtrAcct"])).alias("counterparty_account"),
         F.coalesce(F.array_join(detail["RmtInf"]["Ustrd"], " "), F.col("e.AddtlNtryInf")).alias("narration"),
     )
-    transfers = read.select("file", "channel", F.posexplode("m.FIToFICstmrCdtTrf.CdtTrfTxInf").alias("at", "t"))
+    transfers = listed(files, TRANSFERS, "FIToFICstmrCdtTrf", "CdtTrfTxInf").withColumnRenamed("s", "t")
     two = transfers.select(
         "file", "channel", F.lit("pacs.008").alias("kind"), account_id(F.col("t.CdtrAcct")).alias("account"), (F.col("at") + 1).cast("long").alias("row_id"),
         first_filled(F.col("t.PmtId.EndToEndId"), F.col("t.PmtId.TxId")).alias("ref_code"), F.lit("credit").alias("posting_type"), amount_of(F.coalesce("t.IntrBkSttlmAmt._VALUE", "t.InstdAmt._VALUE"), places).alias("amount"),
@@ -77,7 +88,7 @@ def rows(files: DataFrame, places: int = 0) -> DataFrame:
 
 def balances(files: DataFrame, places: int = 0) -> DataFrame:
     """(file, account, opening, closing) of statements: the last balance with code OPBD or PRCD, and with CLBD or CLAV; a debit balance is negative."""
-    s = messages(files).select("file", F.explode("m.BkToCstmrStmt.Stmt").alias("s"))
+    s = listed(files, BALANCES, "BkToCstmrStmt", "Stmt")
 
     def balance(codes: list[str]) -> Column:
         mine = F.try_element_at(F.filter("s.Bal", lambda b: F.upper(b["Tp"]["CdOrPrtry"]["Cd"]).isin(codes)), F.lit(-1))

@@ -100,3 +100,14 @@ def test_no_frame_of_later_drains_shrinks(spark):
     """Frames up to the last row are read again for each row, which took a time quadratic in a block."""
     tx = spark.createDataFrame([(1, 100, 0, True, ""), (2, 95, 0, False, "")], "tx_id long, amount long, ts long, is_credit boolean, narration string")
     assert "unboundedfollowing" not in passthrough.later_drains(tx, floor=5)._jdf.queryExecution().toString().lower()
+
+
+def test_xml_is_read_once_for_a_kind_of_message(spark):
+    """Each text is parsed by one expression of the branch that its kind belongs to; texts of both kinds and of none are right."""
+    both = "<Document><BkToCstmrStmt><Stmt><Acct><Id><IBAN>A</IBAN></Id></Acct><Ntry><Amt>1.00</Amt></Ntry></Stmt><Stmt><Acct><Id><IBAN>B</IBAN></Id></Acct></Stmt></BkToCstmrStmt><FIToFICstmrCdtTrf><CdtTrfTxInf><InstdAmt>2.00</InstdAmt></CdtTrfTxInf></FIToFICstmrCdtTrf></Document>"
+    files = spark.createDataFrame([("a", both), ("b", "no BkToCstmrStmt <xml"), ("c", None), ("d", "<Document><BkToCstmrStmt/></Document>")], "file string, content string")
+    got = iso20022.rows(files, places=2)
+    assert sorted((r.file, r.kind, r.account or "", r.row_id, r.amount) for r in got.collect()) == [("a", "camt.053", "A", 1, 100), ("a", "pacs.008", "", 1, 200)]
+    assert sorted((r.file, r.account) for r in iso20022.balances(files, places=2).collect()) == [("a", "A"), ("a", "B")]
+    for made, kinds in ((got, 2), (iso20022.balances(files, places=2), 1)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == kinds

@@ -173,3 +173,23 @@ def test_counts_of_any_account_pairs_are_those_of_the_pairs(spark):
     assert surveillance.any_account_counts(tx.where("is_credit")).count() == 0
     plan = surveillance.plain_counts(tx)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_stepped_edges_meet_by_amount_and_time(spark):
+    import random
+
+    rng = random.Random(3)
+    lines = [(i, "CREDIT", "An Phat", "ck", 1_000_000 + rng.choice([0, 1_100, 11_000, 500]), rng.randrange(-400_000, 400_000)) for i in range(60)]
+    entries = [(i, "CREDIT", "An Phat", 1_000_000 + rng.choice([0, 1_100, -1_100]), rng.choice([-86_399, 86_399, -172_800, rng.randrange(-400_000, 400_000)])) for i in range(60)]
+    made = spark.createDataFrame(lines, "line_id long, direction string, party string, narration string, amount long, ts long"), spark.createDataFrame(entries, "entry_id long, direction string, partner string, amount long, ts long")
+    for seconds in (100, 3 * 86_400):
+        want = set()
+        for i, _, _, _, a, t in lines:
+            for j, _, _, b, u in entries:
+                fee, lag = abs(a - b), abs(t - u)
+                same_day = int(t / 86_400) == int(u / 86_400)
+                if (fee == 0 or 1_100 <= fee <= 11_000) and (lag <= seconds or same_day):
+                    want.add((i, j, fee, lag))
+        got = reconcile.stepped_edges(*made, seconds=seconds, floor=0.0)
+        assert {(r.line_id, r.entry_id, r.fee, r.lag) for r in got.collect()} == want
+    assert "span" in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)

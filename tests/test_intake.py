@@ -111,3 +111,17 @@ def test_xml_is_read_once_for_a_kind_of_message(spark):
     assert sorted((r.file, r.account) for r in iso20022.balances(files, places=2).collect()) == [("a", "A"), ("a", "B")]
     for made, kinds in ((got, 2), (iso20022.balances(files, places=2), 1)):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("from_xml") == kinds
+
+
+def test_small_sheets_are_parsed_whole_and_large_ones_as_streams(spark, monkeypatch):
+    """Both ways give the same rows, merged cells and faults, and rows of many small files share a batch."""
+    rows = [["a", None, "c"], [None, "x", None], ["d", "e", "f"]]
+    book = sheets.workbook_bytes("S", rows, ["A1:B2", "C1:C3"])
+    whole = list(sheets.workbook_rows(book))
+    passes = []
+    real = sheets.ElementTree.iterparse
+    monkeypatch.setattr(sheets.ElementTree, "iterparse", lambda held: passes.append(1) or real(held))
+    assert list(sheets.workbook_rows(book)) == whole and not passes
+    monkeypatch.setattr(sheets, "WHOLE", 0)
+    assert list(sheets.workbook_rows(book)) == whole and passes
+    assert whole == [("S", 1, ["a", "a", "c"]), ("S", 2, ["a", "x", "c"]), ("S", 3, ["d", "e", "f"])]

@@ -51,6 +51,18 @@ def test_index_replaces_documents(spark, tmp_path):
     assert [(r.doc_id, r.score) for r in index.dense_search(spark, base, query, 5).orderBy("rank").collect()] == [(2, 0.8), (1, 0.6)]
 
 
+def test_index_keeps_vectors_without_a_document(spark, tmp_path):
+    base = str(tmp_path / "v")
+    docs = spark.createDataFrame([(1, "red", "a"), (2, "blue", "a")], "doc_id long, text string, kind string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (7, [0.6, 0.8])], "doc_id long, embedding array<double>")
+    index.build(spark, base, 1, docs, vectors, ["kind"])
+    index.build(spark, base, 2, docs.where("doc_id = 2"), vectors.where("doc_id = 9"), ["kind"])
+    query = spark.createDataFrame([(9, [0.6, 0.8])], "vec_id long, embedding array<double>")
+    assert [r.doc_id for r in index.dense_search(spark, base, query, 5).orderBy("rank").collect()] == [7, 1]
+    asked = spark.createDataFrame([(9, None, [0.6, 0.8])], "query_id long, terms array<string>, embedding array<double>")
+    assert [r.doc_id for r in index.hybrid_search(spark, base, asked, 5).orderBy("rank").collect()] == [7, 1]
+
+
 def test_dispatch_goes_on_where_a_parse_does_not_add_up(spark):
     table = spark.createDataFrame([(0, "liar", ["CSV"], [".csv"], [], [("any", "x", 9)]), (1, "true", [], [], [], [("full_text", "zz", 1)]), (2, "none", ["PDF"], [], [], [])], templates.TEMPLATE)
 

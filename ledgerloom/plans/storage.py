@@ -37,7 +37,17 @@ def if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Whether Spark removes the shuffle files of a job when it ends; they stay else until the driver happens to collect its garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a table and read it back, which cuts its lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(path)
+    """Write a table and read it back, which cuts its lineage and survives lost executors; shuffle files of the write go with it."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,14 @@
 """Batches that die between two writes, templates that mislead, dictionaries in parts."""
 
 import random
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import remarks
 from ledgerloom.operators import index
+from ledgerloom.plans import storage
 from ledgerloom.sources import commits, templates
 from ledgerloom.sources.templates import Parser
 
@@ -51,6 +54,23 @@ def test_index_replaces_documents(spark, tmp_path):
     assert [(r.doc_id, r.score) for r in index.dense_search(spark, base, query, 5).orderBy("rank").collect()] == [(2, 0.8), (1, 0.6)]
 
 
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    folders = [Path(str(f)) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def files():
+        return {f for d in folders for f in d.rglob("shuffle_*")}
+
+    before = files()
+    rows = spark.range(20_000).groupBy((F.col("id") % 9_973).alias("k")).count()
+    made = storage.stored(rows, f"{tmp_path}/t")
+    for _ in range(50):  # they are removed in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(storage.CLEAN_UP) == "false"
+    assert made.count() == 9_973
+
+
 def test_index_keeps_vectors_without_a_document(spark, tmp_path):
     base = str(tmp_path / "v")
     docs = spark.createDataFrame([(1, "red", "a"), (2, "blue", "a")], "doc_id long, text string, kind string")

@@ -29,17 +29,19 @@ def exact_edges(lines: DataFrame, invoices: DataFrame, seconds: int = DAY) -> Da
     return met.where(F.abs(F.col("ts") - F.col("inv_ts")) <= seconds).select("line_id", "invoice_id")
 
 
-def band_edges(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, seconds: int = 3 * DAY) -> DataFrame:
+def band_edges(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, seconds: int = 3 * DAY, parties: bool = False) -> DataFrame:
     """Tier 2: same party, short by nothing or by a fee of 1100 up to `most`, at most three days apart.
 
-    Amounts are cut into buckets of `most`; a line looks into its own bucket and the two beside it.
+    Amounts are cut into buckets of `most`; a line looks into its own bucket and the two beside it. With `parties` an edge has both names, as paid_by and billed.
     """
     bucket = F.expr(f"amount DIV {most}")
     left = lines.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    right = invoices.select("invoice_id", "customer", F.col("amount").alias("inv_amount"), F.col("ts").alias("inv_ts"), F.expr(f"amount DIV {most}").alias("bucket"))
+    billed = [F.col("party").alias("billed")] if parties else []
+    right = invoices.select("invoice_id", "customer", F.col("amount").alias("inv_amount"), F.col("ts").alias("inv_ts"), bucket.alias("bucket"), *billed)
     delta = F.col("inv_amount") - F.col("amount")
     met = left.join(right, ["customer", "bucket"]).where(((delta == 0) | ((delta >= 1100) & (delta <= most))) & (F.abs(F.col("ts") - F.col("inv_ts")) <= seconds))
-    return met.select("line_id", "invoice_id", delta.alias("fee"), F.abs(F.col("ts") - F.col("inv_ts")).alias("lag"))
+    named = [F.col("party").alias("paid_by"), "billed"] if parties else []
+    return met.select("line_id", "invoice_id", delta.alias("fee"), F.abs(F.col("ts") - F.col("inv_ts")).alias("lag"), *named)
 
 
 def assign(edges: DataFrame, prefer: list[str]) -> DataFrame:
@@ -332,9 +334,9 @@ def scored_edges(lines: DataFrame, invoices: DataFrame, most: int = BUCKET, seco
     """Tier 2 with scores: (line_id, invoice_id, fee, lag, score) of the edges in the band whose party is alike (`floor`) and whose score reaches it.
 
     Half the score is the amount (1 if equal, 0.95 with a fee), two fifths the party, a tenth the date, which loses a tenth
-    over the band. Names are compared once for each distinct pair.
+    over the band. Names are compared once for each distinct pair. Edges are met once, with their names, and stored, as both the pairs and the scores read them.
     """
-    met = band_edges(lines, invoices, most, seconds).join(lines.select("line_id", F.col("party").alias("paid_by")), "line_id").join(invoices.select("invoice_id", F.col("party").alias("billed")), "invoice_id")
+    met = stored(band_edges(lines, invoices, most, seconds, parties=True), f"{workspace(lines.sparkSession)}/band")
     alike = met.select("paid_by", "billed").distinct().withColumn("likeness", party_similarity(F.col("paid_by"), F.col("billed"))).where(F.col("likeness") >= floor)
     score = 0.5 * F.when(F.col("fee") == 0, 1.0).otherwise(0.95) + 0.4 * F.col("likeness") + 0.1 * (1 - F.col("lag") / seconds * 0.1)
     return met.join(alike, ["paid_by", "billed"]).withColumn("score", score).where(F.col("score") >= floor).select("line_id", "invoice_id", "fee", "lag", "score")

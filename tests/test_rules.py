@@ -193,3 +193,11 @@ def test_stepped_edges_meet_by_amount_and_time(spark):
         got = reconcile.stepped_edges(*made, seconds=seconds, floor=0.0)
         assert {(r.line_id, r.entry_id, r.fee, r.lag) for r in got.collect()} == want
     assert "span" in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_band_edges_are_met_once_with_their_names(spark):
+    lines = spark.createDataFrame([(1, 7, "ACME", 100_000, 50), (2, 7, "OTHER", 100_000, 60)], "line_id long, customer long, party string, amount long, ts long")
+    invoices = spark.createDataFrame([(5, 7, "ACME", 100_000, 40), (6, 7, "ACME", 102_200, 45)], "invoice_id long, customer long, party string, amount long, ts long")
+    scored = reconcile.scored_edges(lines, invoices)
+    assert sorted((r.line_id, r.invoice_id, r.fee) for r in scored.collect()) == [(1, 5, 0), (1, 6, 2_200)]
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1

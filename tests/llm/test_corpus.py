@@ -519,6 +519,19 @@ def test_ids_are_the_librarys(ids):
             assert g.tolist() == ids(t), t[:80]
 
 
+def test_lone_words_share_calls_of_the_library(ids):
+    """Words of letters are encoded many at a time, with the ids that they have alone; signs and letters beyond Latin-1 are left as they are."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab Zé×÷ÿÀñ'\n.9ŃÃ ") for _ in range(rng.randrange(0, 30))) for _ in range(2000)] + ["é", "×a", " É", "Ã", "Ń a", "ÿÀ"]
+    coder, raw, sent = tokenids.PieceEncoder(tokenids.vocabulary_path()), [t.encode() for t in texts], []
+    encode = coder._ids
+    coder._ids = lambda some: sent.append(len(some)) or encode(some)
+    got, counts = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw])), 0)
+    for t, g in zip(texts, np.split(got, np.cumsum(counts)[:-1]), strict=True):
+        assert g.tolist() == ids(t), t
+    assert 0 < sum(sent) < coder.known
+
+
 def plain_features(text):
     """The features of one text as {place: value}, word by word."""
     from ledgerloom.llm.wordhash import mix64, span_hashes

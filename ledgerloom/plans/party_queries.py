@@ -185,9 +185,9 @@ def watched(spark, d) -> DataFrame:
     return transactions(spark, d).select("tx_id", "account", "amount", "ts", "is_credit", (F.col("account") * 3 % 17).alias("counter_account"), pick(PAYERS, k % 20).alias("counterparty"), pick(NOTES, k * 7 % 13).alias("narration"))
 
 
-def alerts_of(rows: DataFrame) -> DataFrame:
+def alerts_of(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     spark = rows.sparkSession
-    return W.watchlist(rows, KEYS, spark.createDataFrame(ACCOUNTS, "position int, account long"), spark.createDataFrame(LISTED, "position int, name string"))
+    return W.watchlist(rows, KEYS, spark.createDataFrame(ACCOUNTS, "position int, account long"), spark.createDataFrame(LISTED, "position int, name string"), keep)
 
 
 @query("aml_watchlist", f"{TXN}, {WATCH} SELECT tx_id, list, entry FROM ({ALERTS})")
@@ -203,7 +203,7 @@ def _(spark, d):
 @query("aml_statutory_screen", f"{TXN}, {WATCH} {SCREEN}")
 def _(spark, d):
     rows = watched(spark, d)
-    return S.statutory_screen(rows, alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id"))
+    return S.statutory_screen(rows, alerts_of(rows, ("account",)))
 
 
 ENHANCED = f"""{TXN}, {WATCH}, {MEDIAN}, st AS (SELECT tx_id, sum(CASE severity WHEN 'CRITICAL' THEN 3500 ELSE 2500 END) AS base FROM ({SCREEN}) GROUP BY tx_id), bu AS ({BURST}), su AS ({SURGE}), ri AS ({RISKS}),
@@ -219,7 +219,7 @@ ENHANCED = f"""{TXN}, {WATCH}, {MEDIAN}, st AS (SELECT tx_id, sum(CASE severity
 @query("aml_enhanced_scores", ENHANCED)
 def _(spark, d):
     rows = watched(spark, d)
-    listed = alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id")
+    listed = alerts_of(rows, ("account",))
     return S.enhanced_scores(rows, listed, W.whole_risk(rows, CLUSTERS))
 
 
@@ -231,14 +231,14 @@ def _(spark, d):
     """The report score and action of every statutory alert."""
     rows = watched(spark, d)
     score, action = K.report_action(F.col("severity"), {"CRITICAL": 85, "HIGH": 60, "MEDIUM": 35})
-    return S.statutory_screen(rows, alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id")).select("tx_id", "rule", score.alias("score"), action.alias("action"))
+    return S.statutory_screen(rows, alerts_of(rows, ("account",))).select("tx_id", "rule", score.alias("score"), action.alias("action"))
 
 
 @query("aml_fused_profiles", f"WITH s AS ({ENHANCED}) SELECT tx_id, CASE WHEN score >= 7000 THEN 'CRITICAL' WHEN score >= 5000 THEN 'HIGH' WHEN score >= 2500 THEN 'MEDIUM' ELSE 'LOW' END AS profile FROM s")
 def _(spark, d):
     """The risk class of every fused score."""
     rows = watched(spark, d)
-    listed = alerts_of(rows).join(rows.select("tx_id", "account"), "tx_id")
+    listed = alerts_of(rows, ("account",))
     return S.enhanced_scores(rows, listed, W.whole_risk(rows, CLUSTERS)).select("tx_id", S.risk_profile(F.col("score")).alias("profile"))
 
 

@@ -91,3 +91,26 @@ def test_fused_scores_by_hand(spark):
     # 1: its pair's transit alert, a burst, the band and an outlier; 2: high value, a burst and an outlier
     assert got[1] == (3_500 + 1_500 + 3_000, "statutory,burst,band,outlier") and got[2] == (3_500 + 1_500 + 2_500, "statutory,burst,outlier")
     assert got[3] == (2_500 + 3_500 + 2_375, "statutory,narration") and 4 not in got and 5 not in got
+
+
+def test_alerts_and_risks_keep_every_row(spark):
+    rows = [(1, 7, 7, "Tran Thi Ngoc", "danh  bac USDT"), (1, 11, 7, None, None), (2, 5, 11, "", "binanse"), (3, 5, 6, "TRẦN THỊ NGỌC", "danh bac"), (3, 5, 6, "TRẦN THỊ NGỌC", "danh bac"), (4, None, None, "x", "")]
+    tx = spark.createDataFrame(rows, "tx_id long, account long, counter_account long, counterparty string, narration string")
+    accounts, names_ = spark.createDataFrame([(1, 7), (0, 11)], "position int, account long"), spark.createDataFrame([(0, "Tran Thi Ngoc")], "position int, name string")
+    got = sorted(tuple(r) for r in watchlist.watchlist(tx, ["danh bac", "USDT"], accounts, names_, ("account",)).select("tx_id", "account", "list", "entry").collect())
+    assert got == sorted([(1, 7, "KEYWORD", "USDT"), (1, 7, "ACCOUNT", "7"), (1, 7, "NAME", "Tran Thi Ngoc"), (1, 11, "ACCOUNT", "11"), (2, 5, "ACCOUNT", "11"), *[(3, 5, "KEYWORD", "danh bac"), (3, 5, "NAME", "Tran Thi Ngoc")] * 2])
+    risks = sorted((r.tx_id, r.bps, r.category or "") for r in watchlist.whole_risk(tx, {"C": ["USDT", "BINANCE"], "G": ["danh bac"]}).collect())
+    assert risks == sorted([(1, 9_500, "G"), (1, 0, ""), (2, 8_300, "C"), (3, 9_500, "G"), (3, 9_500, "G"), (4, 0, "")])
+
+
+def test_texts_are_searched_once_each(spark):
+    """What is asked of a text is not pushed below the grouping of texts, where every row would pay for it."""
+    tx = spark.range(1000).selectExpr("id AS tx_id", "id % 9 AS account", "id % 7 AS counter_account", "concat('a', id % 3) AS counterparty", "concat('pay ', id % 5) AS narration")
+    listed = watchlist.watchlist(tx, ["danh bac"], spark.createDataFrame([(0, 3)], "position int, account long"), spark.createDataFrame([(0, "ab")], "position int, name string"))
+    for found in (listed, watchlist.whole_risk(tx, {"C": ["BINANCE"]})):
+        above = []
+        for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            above = [a for a in above if a[0] < depth]
+            assert not ("translate" in line and any("Aggregate [narration#" in a or "Aggregate [counterparty#" in a for _, a in above if "min(" not in a)), line[:300]
+            above.append((depth, line))

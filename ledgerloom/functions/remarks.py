@@ -1,9 +1,10 @@
-"""Remarks of payments: entities, abbreviations and intents by expressions, and dictionaries of any size by one pass of an automaton."""
+"""Remarks of payments: entities, abbreviations and intents by expressions, and dictionaries of any size by joins of words, and by automata for the rest."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ INVOICE, DENSE = r"(?:hd|hđ|hdon|hoa\s*don|hop\s*dong|so|inv|pkt)[\s\-_:#]*([a-
 TAX, PHONE, TRACE = r"(\d{10}(?:-\d{3})?)", r"((?:\+84|0)(?:3|5|7|8|9)\d{8})", r"((?:NPS|FT|MBB|TCB|VCB|BIDV|TX|VN)\d{6,})"
 #: Signs of a dictionary that one automaton holds, of some forty bytes each.
 AUTOMATON_SIGNS = 1 << 20
+#: Lengths of the patterns without white space that are looked up by joins; they lie inside runs of other signs, which are cut into pieces of twice the larger.
+SHORTEST, LONGEST = 9, 256
+WORD = r"[^\x20\x09-\x0D]"
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _all(x: Column, pattern: str) -> Column:
@@ -72,11 +78,13 @@ def intent(normalized: Column) -> Column:
 def dictionary_hits(rows: DataFrame, patterns: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pattern, start): every place, counted in signs from 0, at which a pattern of `patterns` (pattern string) stands in a text; places may overlap.
 
-    The patterns are dealt to automata of about AUTOMATON_SIGNS signs, each of which is broadcast and passes over the texts once, so what is sent at once is
-    bounded for any dictionary. Null and empty patterns and null texts have no places.
+    Patterns of SHORTEST to LONGEST signs without white space are `word_hits`. The others are dealt to automata of about AUTOMATON_SIGNS signs, each of which
+    is broadcast and passes over the texts once, so what is sent at once is bounded for any dictionary. Null and empty patterns and null texts have no places.
     """
     context, kind = rows.sparkSession.sparkContext, rows.schema[key].dataType.simpleString()
-    known = patterns.where("pattern <> ''").select("pattern").distinct()
+    every = patterns.where("pattern <> ''").select("pattern").distinct()
+    joined = F.length("pattern").between(SHORTEST, LONGEST) & F.col("pattern").rlike(rf"^{WORD}+\z")
+    known = every.where(~joined)
     signs = known.agg(F.sum(F.length("pattern").cast("long"))).first()[0] or 0
     parts = max(1, -(-signs // AUTOMATON_SIGNS))
 
@@ -106,12 +114,58 @@ def dictionary_hits(rows: DataFrame, patterns: DataFrame, key: str, text: str) -
 
         return rows.select(key, F.col(text).cast("string")).mapInArrow(run, f"`{key}` {kind}, pattern string, start long")
 
-    out = searched(0)
-    for part in range(1, parts):
+    out = word_hits(rows, every.where(joined), key, text)
+    for part in range(parts if signs else 0):
         out = out.union(searched(part))
     return out
 
 
+def word_hits(rows: DataFrame, words: DataFrame, key: str, text: str) -> DataFrame:
+    """`dictionary_hits` for distinct patterns of SHORTEST to LONGEST signs without white space, by joins that grow with texts and dictionary and not with their product.
+
+    Long runs without white space are cut into pieces, each of which tells the places in its first LONGEST signs. Each distinct piece is looked up once: a place whose first SHORTEST signs begin
+    a pattern is tried with the lengths that patterns with that beginning have.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, len(whole), 256)):
+            said = batch.column(1).cast(pa.large_string()).fill_null("")
+            bounds = np.frombuffer(said.buffers()[1], np.int64)[said.offset : said.offset + len(said) + 1]
+            data = np.frombuffer(said.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+            bounds = bounds - bounds[0]
+            # signs before each byte, and the byte at which each run starts and ends
+            signs, solid = np.append(0, np.cumsum((data & 0xC0) != 0x80)), ~_WHITE[data]
+            edge = np.append(solid, False) != np.append(False, solid)
+            edge[bounds] |= np.append(solid, False)[bounds] | np.append(False, solid)[bounds]
+            edges = np.flatnonzero(edge)
+            start, end = edges[:-1], edges[1:]
+            fits = (signs[end] - signs[start] >= SHORTEST) & np.append(solid, False)[start]
+            start, end = start[fits], end[fits]
+            size = signs[end] - signs[start]
+            # runs of more than LONGEST places are cut
+            n = np.maximum(1, -(-(size - SHORTEST + 1) // LONGEST))
+            run, turn = np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            first = signs[start][run] + LONGEST * turn
+            begin, stop, long = start[run], end[run], n[run] > 1
+            begin[long], stop[long] = (np.searchsorted(signs, at[long], side="right") - 1 for at in (first, np.minimum(first + 2 * LONGEST, signs[end][run])))
+            owner = np.searchsorted(bounds, begin, side="right") - 1
+            width = stop - begin
+            upto = np.append(0, np.cumsum(width))
+            held = data[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], width)]
+            piece = pa.Array.from_buffers(pa.large_string(), len(begin), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(held)]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), piece, pa.array((first - signs[bounds[owner]]).astype(np.int64))], [key, "piece", "start"])
+
+    places = rows.select(key, F.col(text).cast("string")).mapInArrow(cut, f"`{key}` {kind}, piece string, start long")
+    length = F.length("piece")
+    tried = places.select("piece").distinct().select("piece", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), length - SHORTEST + 1))).alias("at"))
+    sizes = words.groupBy(F.substring("pattern", 1, SHORTEST).alias("begin")).agg(F.collect_set(F.length("pattern")).alias("sizes"))
+    begun = tried.withColumn("begin", F.substring("piece", F.col("at"), F.lit(SHORTEST))).join(sizes, "begin")
+    sized = begun.select("piece", "at", F.explode(F.filter("sizes", lambda n: n <= length - F.col("at") + 1)).alias("n"))
+    hits = sized.select("piece", "at", F.substring("piece", F.col("at"), F.col("n")).alias("pattern")).join(words, "pattern")
+    return places.join(hits, "piece").select(key, "pattern", (F.col("start") + F.col("at") - 1).alias("start"))
+
+
 def contact_key(name: Column) -> Column:
     """The key under which a contact is looked up: no marks, lower case, single blanks."""
     return F.trim(F.regexp_replace(F.lower(unmarked_upper(name)), r"\s+", " "))

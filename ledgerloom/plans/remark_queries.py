@@ -76,7 +76,7 @@ PATTERNS = r"SELECT DISTINCT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]{9
     FROM p JOIN documents ON contains(text, pattern) GROUP BY pattern""",
 )
 def _(spark, d):
-    """Every long word of the conversations in every document: one pass of an automaton over the texts."""
+    """Every long word of the conversations in every document."""
     words = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]{9,})"), F.lit(1))).alias("pattern"))
     found = remarks.dictionary_hits(table(spark, d, "documents"), words, "doc_id", "text")
     return found.groupBy("pattern").agg(F.count_distinct("doc_id").alias("docs"), F.min("start").alias("least_start"))

@@ -1,6 +1,7 @@
 """Batches that die between two writes, templates that mislead, dictionaries in parts."""
 
 import random
+import sys
 import time
 from pathlib import Path
 
@@ -110,6 +111,21 @@ def test_dictionary_hits_equal_all_places(spark, monkeypatch):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_long_words_are_joined_and_not_passed_over(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [(k, None if k == 3 else "".join(rng.choice("aab\u00df\U0001f642" + " " * (k % 2)) for _ in range(rng.choice([0, 9, 60, 700])))) for k in range(30)]
+    cut = [t[a : a + n] for _, t in texts[::3] if t for n in (5, 9, 10, 16, 256, 257, 300) for a in (0, len(t) // 2, max(0, len(t) - n))]
+    patterns = {*cut, "a" * 9, "aaaaaaaaaa", "zzzzzzzzz", "a\nb" * 4} - {""}
+    rows, known = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = sorted((k, p, s) for k, t in texts for p in patterns for s in range(len(t or "")) if (t or "").startswith(p, s))
+    assert sorted(tuple(r) for r in remarks.dictionary_hits(rows, known, "id", "text").collect()) == want
+    # words alone need no automaton, however many they are
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    words = {p for p in patterns if 9 <= len(p) <= 256 and not set(p) & set(" \n")}
+    got = remarks.dictionary_hits(rows, spark.createDataFrame([(p,) for p in words], "pattern string"), "id", "text").collect()
+    assert sorted(tuple(r) for r in got) == [w for w in want if w[1] in words] and got
+
+
 def test_entities_by_hand(spark):
     cases = {
         "CK hd 88, HD-2026-77 mst 0312345678-001 call +84912345678 FT123456": (["88", "2026-77"], ["0312345678-001"], ["0312345678", "+84912345678"], ["FT123456"]),

@@ -192,7 +192,7 @@ def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, p
     """
     rows = below_header(files, aliases, least, stop)
     order = Window.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("over", F.max("ended").over(order)).where("NOT over")
+
     def cell(what: str) -> Column:
         spots = [F.get("cells", F.nullif(F.array_position("names", F.lit(n.lower())), F.lit(0)).cast("int") - 1) for n in aliases.get(what, [])]
         return F.coalesce(*spots) if spots else F.lit(None).cast("string")
@@ -210,8 +210,10 @@ def delimited(files: DataFrame, aliases: dict[str, list[str]], least: int = 3, p
     part = F.when(begins, cell("narration")).otherwise(F.coalesce(F.nullif(cell("narration"), F.lit("")), solid))
     balance = F.col("m_balance")
     head = F.struct(F.col("line_no").cast("long").alias("row_id"), cell("ref").alias("ref_code"), kind.alias("posting_type"), value.alias("amount"), balance.alias("balance_after"), cell("date").alias("value_date"))
-    entry = F.last(F.when(begins, F.col("line_no")), ignorenulls=True).over(order)
-    parsed = rows.select("file", "line_no", entry.alias("entry"), head.alias("head"), part.alias("part")).where("entry IS NOT NULL")
+    # cells and the header's names end here: what is sorted holds the parsed fields of a line only
+    slim = rows.select("file", "line_no", "ended", F.when(begins, F.col("line_no")).alias("begun"), F.when(begins, head).alias("head"), part.alias("part"))
+    inside = slim.withColumn("over", F.max("ended").over(order)).withColumn("entry", F.last("begun", ignorenulls=True).over(order))
+    parsed = inside.where("NOT over AND entry IS NOT NULL").select("file", "line_no", "entry", "head", "part")
     joined = parsed.groupBy("file", "entry").agg(
         F.min_by("head", "line_no").alias("h"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") != "", F.struct("line_no", "part")))), lambda x: x["part"]), " ").alias("narration"),

@@ -12,8 +12,8 @@ from ledgerloom.plans.storage import stored, workspace
 from ledgerloom.sources.statements import container_format
 
 TEMPLATE = "position int, template string, formats array<string>, extensions array<string>, magic array<string>, rules array<struct<target:string,pattern:string,score:int>>"
-#: Templates at most, as every file meets each of them, and signs of a text that `header_text` and `full_text` rules see.
-MOST_TEMPLATES, HEADER, FULL = 1_000, 4_096, 65_536
+#: Templates at most, as every file meets each of them, and signs of a text that are its header, which `header_text` rules are about.
+MOST_TEMPLATES, HEADER = 1_000, 4_096
 
 
 class Parser(NamedTuple):
@@ -27,11 +27,11 @@ def scores(files: DataFrame, templates: DataFrame) -> DataFrame:
     """(file, template, position, score) of (file, content) against every template that does not exclude it.
 
     A file whose format or extension is not among those stated is excluded, and one without a stated magic number unless it is text. An extension counts
-    5, a magic number 10, and each rule that matches its own score; a rule's target is `filename`, `header_text`, `full_text`, or else either of the first two.
+    5, a magic number 10, and each rule that matches its own score; a rule's target is `filename`, `header_text`, `full_text` (the whole text), or else either of the first two.
     """
     if templates.limit(MOST_TEMPLATES + 1).count() > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    seen = files.select("file", container_format(F.col("file"), F.col("content")).alias("format"), F.substring("content", 1, HEADER).alias("head"), F.substring("content", 1, FULL).alias("full"), F.hex(F.encode(F.substring("content", 1, 16), "UTF-8")).alias("first"))
+    seen = files.select("file", container_format(F.col("file"), F.col("content")).alias("format"), F.substring("content", 1, HEADER).alias("head"), F.col("content").alias("full"), F.hex(F.encode(F.substring("content", 1, 16), "UTF-8")).alias("first"))
     met = seen.crossJoin(F.broadcast(templates))
     name = F.lower("file")
     fits = (F.size("formats") == 0) | F.array_contains("formats", F.col("format"))

@@ -99,6 +99,13 @@ def test_dispatch_goes_on_where_a_parse_does_not_add_up(spark):
     assert {(r.file, r.template) for r in lost.collect()} == {(f, None) for f in ("a.csv", "b.bin", "c.csv")}
 
 
+def test_full_text_rules_see_the_whole_text(spark):
+    rules = [("full_text", "zz", 7), ("header_text", "zz", 2)]
+    table = spark.createDataFrame([(0, "late", [], [], [], rules)], templates.TEMPLATE)
+    files = spark.createDataFrame([("far.csv", "x" * 70_000 + "zz"), ("near.csv", "zz" + "x" * 70_000), ("not.csv", "x" * 70_000)], "file string, content string")
+    assert {(r.file, r.score) for r in templates.scores(files, table).collect()} == {("far.csv", 7), ("near.csv", 9), ("not.csv", 0)}
+
+
 def test_dictionary_hits_equal_all_places(spark, monkeypatch):
     rng = random.Random(10)
     texts = [(k, None if k == 3 else "".join(rng.choice("abß ") for _ in range(rng.randrange(60)))) for k in range(40)]

@@ -294,6 +294,27 @@ def test_jaccard_entries_meet_whatever_is_frequent(num):
     assert links > 150
 
 
+@pytest.mark.parametrize("num", [75, 80, 90, 97])
+def test_jaccard_similar_sets_share_as_many_entries_as_they_need(num):
+    """Unequal rare parts and sizes, at the edge of the similarity; and sets with little in common share fewer."""
+    rng, links, met = np.random.default_rng(num + 1), 0, 0
+    for turn in range(400):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(20, 60 if turn % 2 else 600)), dtype=np.uint64))
+        spare = len(x) - -(-num * len(x) // 100)
+        y = np.unique(np.concatenate([rng.permutation(x)[: len(x) - spare // 2], rng.integers(0, 1 << 63, spare - spare // 2, dtype=np.uint64)]))
+        z = np.unique(np.concatenate([x[:1], rng.integers(0, 1 << 63, len(x), dtype=np.uint64)]))
+        cells = rng.integers(0, 20, 1 << jaccard.CELL_BITS).astype(np.int32)
+        for limit in (0, 1, 3, 5, 10, 19, 100):
+            (a, _, p), (b, _, q), (c, _, r) = (jaccard.index_entries(s, cells, limit, num, 100) for s in (x, y, z))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= num * (len(x) + len(y) - both):
+                links += 1
+                assert len(np.intersect1d(a, b)) >= (max(p, q) if min(p, q) else 1)
+            if limit == 100 and len(x) * num > jaccard.SMALL * 100:
+                met += len(np.intersect1d(a, c)) >= min(max(p, r), jaccard.SHARE)
+    assert links > 500 and not met
+
+
 def test_jaccard_index_grows_with_the_prefix():
     rng = np.random.default_rng(3)
     cells = np.full(1 << jaccard.CELL_BITS, 50, dtype=np.int32)

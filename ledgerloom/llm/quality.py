@@ -5,8 +5,8 @@ count no more, and words in capitals also count in lower case. A text's features
 neighbouring words, hashed into 2**BITS places, each counted once and scaled to unit length, and a few shares
 (repeated words, signs, capitals, length). A score is the dot product with the weights through a sigmoid.
 
-Training reads at most about `max_train` labelled documents, chosen by a hash of doc_id (a documented bound: the
-weights have a fixed size and more rows change little); every document is scored over its whole text. Labels,
+Training reads all labelled documents outside the held-out third, in shards of about SHARD_ROWS by a hash of doc_id: updates are sequential in a shard,
+shards run beside one another, and the weights are the mean of the shards' by their rows. Every document is scored over its whole text. Labels,
 lang, source and doc_id are never features.
 
 Defined cases: null or empty texts have only the bias as feature; labels that are null or not 0 or 1 are left out;
@@ -16,6 +16,7 @@ scored and count as held out only by the remainder rule on the empty string; oth
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerloom.llm.common import small_batches
+from ledgerloom.llm.common import maybe_member, small_batches, stored, workspace
 from ledgerloom.llm.wordhash import _LOWER, mix64, pieces, span_hashes
 
 BITS, EXTRA = 18, 8
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 1e-4, 1e-4, 3
-MAX_TRAIN = 12_000
+#: Rows of a shard of the training rows, and weights of a part in which shards' weights are added up.
+SHARD_ROWS, PART = 4_000, 1 << 14
 
 #: Classes of bytes: 0 white space, 1 part of a word, then one class for each other ASCII sign.
 _KIND = np.ones(256, dtype=np.uint8)
@@ -107,30 +109,38 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> np.nd
 
 
 def train(examples: DataFrame) -> np.ndarray:
-    """Weights from rows (doc_id, text, label), a bounded sample such as `labelled` gives."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
-        for batch in batches:
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            for at, data, offsets in pieces(batch.column(0)):
+    """Weights from all rows (doc_id, text, label) such as `labelled` gives; only their mean over the shards, of a fixed size, comes to the driver."""
+    small_batches(examples.sparkSession)
+    size = (1 << BITS) + EXTRA
+    n, least, most = examples.agg(F.count("label"), F.min("label"), F.max("label")).first()
+    w = np.zeros(size, dtype=np.float32)
+    if not n or least == most:
+        w[1 << BITS] = 0 if not n else 20 if most else -20
+        return w
+
+    def run(table: pa.Table) -> pa.Table:
+        rows, table = [], table.sort_by([("o", "ascending"), ("text", "ascending")])
+        for batch in table.select(["text"]).to_batches(max_chunksize=1000):
+            for _, data, offsets in pieces(batch.column(0)):
                 i, x, first = features(data, offsets)
                 i, x = i.astype(np.int32), x.astype(np.float32)
                 rows += [(i[a:b], x[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                labels.append(y[at : at + len(offsets) - 1])
-        y = np.concatenate(labels) if labels else np.zeros(0)
-        if len(np.unique(y)) == 2:
-            w = ftrl(rows, y)
-        else:
-            w = np.zeros((1 << BITS) + EXTRA, dtype=np.float32)
-            w[1 << BITS] = 0 if not len(y) else 20 if y[0] else -20
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()])], ["w"])
+        sums = len(rows) * ftrl(rows, table["label"].to_numpy()).astype(np.float64)
+        parts = [sums[at : at + PART].tobytes() for at in range(0, size, PART)]
+        return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "some": table["shard"][:1].combine_chunks().take(pa.array([0] * len(parts))), "sums": pa.array(parts, pa.binary())})
 
-    small_batches(examples.sparkSession)
-    # one task on purpose: the updates are sequential and the sample is bounded
-    sample = examples.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("o")).repartition(1).sortWithinPartitions("o", "text").select("text", "label")
-    made = sample.mapInArrow(run, "w binary").first()
-    return np.frombuffer(made[0], dtype=np.float32) if made else np.zeros((1 << BITS) + EXTRA, dtype=np.float32)
+    def add(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_buffer()) for x in table["sums"]], axis=0)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    order = F.xxhash64("doc_id")
+    dealt = examples.select("text", F.col("label").cast("int").alias("label"), order.alias("o"), F.pmod(order, F.lit(-(-n // SHARD_ROWS))).cast("int").alias("shard"))
+    made = dealt.groupBy("shard").applyInArrow(run, "part int, some int, sums binary")
+    summed = made.groupBy("part", F.col("some") % 64).applyInArrow(add, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary")
+    for row in summed.collect():
+        part = np.frombuffer(row["sums"])
+        w[row["part"] * PART : row["part"] * PART + len(part)] = part / n
+    return w
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: Column | None = None) -> DataFrame:
@@ -155,7 +165,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 
 def cross_scores(examples: DataFrame, weights_of: Callable[[DataFrame], np.ndarray] = None, folds: int = 2) -> DataFrame:
-    """Rows (score, label) of the training sample itself, each scored with weights from the other folds only."""
+    """Rows (score, label) of the training rows themselves, each scored with weights from the other folds only."""
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds))
     made = None
     for k in range(folds):
@@ -167,8 +177,10 @@ def cross_scores(examples: DataFrame, weights_of: Callable[[DataFrame], np.ndarr
 
 def threshold(scored: DataFrame, lose: float) -> float:
     """The score below which at most the share `lose` of the good rows (label 1) of (score, label) lies, and never above one half."""
-    at = scored.where("label = 1").approxQuantile("score", [lose], 0.0)
-    return min(0.5, at[0]) if at else 0.5
+    good = stored(scored.where("label = 1").select("score"), f"{workspace(scored.sparkSession)}/good")
+    lowest = good.orderBy("score").limit(max(1, math.ceil(lose * good.count())))
+    at = lowest.agg(F.max("score")).first()[0]
+    return 0.5 if at is None else min(0.5, at)
 
 
 def remainder(id_: Column) -> Column:
@@ -176,13 +188,8 @@ def remainder(id_: Column) -> Column:
     return F.crc32(F.coalesce(id_.cast("string"), F.lit(""))) % 3
 
 
-def labelled(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Training rows (doc_id, text, label): labels of documents whose remainder is not 1, at most about max_train of them.
-
-    The sample is drawn from the labels, so that its ids are bounded and are broadcast to the documents.
-    """
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Training rows (doc_id, text, label): all documents with a label whose remainder is not 1; only those that may have one are shuffled."""
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    n = usable.count()
-    if n > max_train:
-        usable = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_train / n))
-    return docs.select("doc_id", "text").join(F.broadcast(usable), "doc_id").select("doc_id", "text", "label")
+    slim = docs.select("doc_id", "text")
+    return maybe_member(slim, usable, "doc_id").where("__maybe").select("doc_id", "text").join(usable, "doc_id").select("doc_id", "text", "label")

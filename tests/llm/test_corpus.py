@@ -195,6 +195,26 @@ def test_quality_learns_and_scores_all(spark, empty):
     assert quality.score(empty, quality.train(quality.labelled(empty, labels))).count() == 0
 
 
+def test_quality_trains_on_every_labelled_row(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, "good ").otherwise("bad "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", ((F.col("doc_id") + 1) % 2).cast("int").alias("quality"))
+    known = quality.labelled(docs, labels)
+    wanted = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(r.doc_id for r in known.select("doc_id").collect()) == wanted and len(wanted) > 13_000
+    monkeypatch.setattr(quality, "SHARD_ROWS", 100)
+    few = known.where("doc_id < 900")
+    rows = few.select("text", "label", F.xxhash64("doc_id").alias("o")).orderBy("o", "text").collect()
+    shards = -(-len(rows) // 100)
+    total = np.zeros((1 << quality.BITS) + quality.EXTRA)
+    for k in range(shards):
+        mine = [r for r in rows if r.o % shards == k]
+        vectors = [quality.features(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text)]))[:2] for r in mine]
+        total += len(mine) * quality.ftrl([(i, x.astype(np.float32)) for i, x in vectors], np.array([r.label for r in mine]))
+    weights = quality.train(few)
+    assert shards > 3 and np.allclose(weights, total / len(rows), atol=1e-5)
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 0) for r in quality.score(docs.where("doc_id < 900"), weights).collect())
+
+
 @pytest.fixture(scope="module")
 def ids():
     from tokenizers import Tokenizer

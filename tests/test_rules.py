@@ -195,6 +195,17 @@ def test_stepped_edges_meet_by_amount_and_time(spark):
     assert "span" in "".join(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
 
 
+def test_stepped_edges_are_not_shuffled(spark):
+    """Edges may be many more than lines and entries: they are met in one join, which gives the result, and both sides stand in few spans."""
+    lines = spark.range(200).selectExpr("id AS line_id", "'CREDIT' AS direction", "'An Phat' AS party", "'ck' AS narration", "id * 7001 - 300000 AS amount", "id * 90001 - 9000000 AS ts")
+    entries = lines.selectExpr("line_id AS entry_id", "direction", "'AN PHÁT' AS partner", "amount", "ts")
+    got = reconcile.stepped_edges(lines, entries)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    rows = [(r.line_id, r.amount, r.ts) for r in lines.collect()]
+    want = {(i, j) for i, a, t in rows for j, b, u in rows if (a == b or 1_100 <= abs(a - b) <= 11_000) and abs(t - u) <= 3 * 86_400}
+    assert sorted((r.line_id, r.entry_id) for r in got.collect()) == sorted(want) and len(want) > 500
+
+
 def test_band_edges_are_met_once_with_their_names(spark):
     lines = spark.createDataFrame([(1, 7, "ACME", 100_000, 50), (2, 7, "OTHER", 100_000, 60)], "line_id long, customer long, party string, amount long, ts long")
     invoices = spark.createDataFrame([(5, 7, "ACME", 100_000, 40), (6, 7, "ACME", 102_200, 45)], "invoice_id long, customer long, party string, amount long, ts long")

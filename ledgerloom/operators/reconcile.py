@@ -134,23 +134,29 @@ def pair_splits(lines: DataFrame, invoices: DataFrame) -> DataFrame:
 
 #: Triples that are looked up for a line at most; beyond that the search with its steps goes on, and says so where it ends.
 MOST_TRIPLES = 4_000_000
+#: Items that a search by steps looks up at once.
+STRETCH = 512
 
 
 class Parts:
-    """The (id, amount) items of a customer, by amount and id in arrays that lines after one another take from."""
+    """The (id, amount) items of a customer, by amount and id in arrays that lines after one another take from; of rows with one id the last counts."""
 
-    def __init__(self, items: Iterable[tuple[int, int]]) -> None:
-        rows = np.array([x for x in items if x[1] > 0], dtype=np.int64).reshape(-1, 2)
-        self.ids, self.amounts = rows[np.lexsort((rows[:, 0], rows[:, 1]))].T
-        self.down = np.lexsort((self.ids, -self.amounts))
+    def __init__(self, items: Iterable[tuple[int, int]] | np.ndarray) -> None:
+        ids, amounts = (items if isinstance(items, np.ndarray) else np.array(list(items), dtype=np.int64).reshape(-1, 2)).T
+        ids, at = np.unique(ids[::-1], return_index=True)
+        amounts = amounts[::-1][at]
+        order = np.argsort(amounts, kind="stable")
+        order = order[np.searchsorted(amounts[order], 0, side="right") :]
+        self.ids, self.amounts = ids[order], amounts[order]
+        self.sums = np.append(0, np.cumsum(self.amounts))
 
     def __len__(self) -> int:
         return len(self.ids)
 
     def drop(self, gone: list[int]) -> None:
-        stay = ~np.isin(self.ids, gone)
-        self.ids, self.amounts = self.ids[stay], self.amounts[stay]
-        self.down = np.lexsort((self.ids, -self.amounts))
+        spots = np.concatenate([np.flatnonzero(self.ids == i) for i in gone])
+        self.ids, self.amounts = np.delete(self.ids, spots), np.delete(self.amounts, spots)
+        self.sums = np.append(0, np.cumsum(self.amounts))
 
 
 def few_items(target: int, items: Parts | list[tuple[int, int]]) -> tuple[list[int] | None, bool]:
@@ -197,12 +203,22 @@ def few_items(target: int, items: Parts | list[tuple[int, int]]) -> tuple[list[i
 def search(target: int, items: Parts | list[tuple[int, int]], most: int = 8, steps: int = 100_000) -> tuple[list[int] | None, bool]:
     """(ids of two to `most` of the (id, amount) items that add up to target, whether the depth-first search came to its end)."""
     held = items if isinstance(items, Parts) else Parts(items)
-    down = held.down[len(held) - int(np.searchsorted(held.amounts, target, side="right")) :]
-    n, sizes = len(down), held.amounts[down]
-    ids, amounts = held.ids[down].tolist(), sizes.tolist()
-    tails = [*np.cumsum(sizes[::-1])[::-1].tolist(), 0]
-    # where the next smaller amount begins
-    other = (n - np.searchsorted(sizes[::-1], sizes)).tolist()
+    n, amounts, sums = int(np.searchsorted(held.amounts, target, side="right")), held.amounts, held.sums
+
+    def view(first: int) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Amounts, ids, where the next smaller amount begins, and sums from here on, of a stretch in falling order of amount and rising order of id."""
+        back = n - 1 - np.arange(first, min(n, first + STRETCH))
+        here = amounts[back]
+        starts = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+        counts = np.diff(np.append(starts, len(here)))
+        high, low = back[starts] + 1, back[starts + counts - 1]
+        high[0], low[-1] = np.searchsorted(amounts, here[0], side="right"), np.searchsorted(amounts, here[-1])
+        low, high = np.repeat(low, counts), np.repeat(high, counts)
+        left = sums[np.maximum(n - np.arange(first, first + len(back) + most + 1), 0)]
+        return here.tolist(), held.ids[low + high - 1 - back].tolist(), (n - low).tolist(), left.tolist()
+
+    # only stretches that the search comes to are looked at, as a customer may have millions of items
+    seen: dict[int, tuple[list[int], list[int], list[int], list[int]]] = {}
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, target, ())]
     while stack and steps:
         steps -= 1
@@ -211,12 +227,18 @@ def search(target: int, items: Parts | list[tuple[int, int]], most: int = 8, ste
             if len(chosen) >= 2:
                 return sorted(chosen), True
             continue
+        if k == n or len(chosen) == most:
+            continue
+        at, j = divmod(k, STRETCH)
+        if at not in seen:
+            seen[at] = view(at * STRETCH)
+        some, ids, other, tails = seen[at]
         # the most that the places left can hold, from here on
-        if k == n or len(chosen) == most or tails[k] - tails[min(n, k + most - len(chosen))] < left:
+        if tails[j] - tails[j + most - len(chosen)] < left:
             continue
-        stack.append((other[k], left, chosen))
-        if amounts[k] <= left:
-            stack.append((k + 1, left - amounts[k], (*chosen, ids[k])))
+        stack.append((other[j], left, chosen))
+        if some[j] <= left:
+            stack.append((k + 1, left - some[j], (*chosen, ids[j])))
     return None, not stack
 
 
@@ -241,12 +263,16 @@ def hopeful(lines: DataFrame, invoices: DataFrame) -> DataFrame:
 def searched(lines: DataFrame, invoices: DataFrame, most: int, steps: int) -> DataFrame:
     """(line_id, invoice_ids, status) of one search for each line; see `splits`. Lines of one block find different invoices, those of different blocks may not."""
     blocks = lines.groupBy("customer").agg(F.expr(f"(count(*) + {LINES_PER_BLOCK - 1}) DIV {LINES_PER_BLOCK}").alias("blocks"))
-    mine = F.pmod(F.xxhash64("line_id"), F.col("blocks"))
-    wanted = lines.join(blocks, "customer").select("customer", mine.alias("block"), F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
+    # lines of one amount stand in one block as long as it is not full, as they would find the same invoices in each
+    same = F.row_number().over(Window.partitionBy("customer", "amount").orderBy("line_id"))
+    mine = F.pmod(F.xxhash64("amount", F.expr(f"(same - 1) DIV {LINES_PER_BLOCK}")), F.col("blocks"))
+    wanted = lines.withColumn("same", same).join(blocks, "customer").select("customer", mine.alias("block"), F.col("line_id").alias("id"), "amount", F.lit(True).alias("is_line"))
     held = invoices.join(blocks, "customer").select("customer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("invoice_id").alias("id"), "amount", F.lit(False).alias("is_line"))
 
-    def solve(targets: list[tuple[int, int]], free: dict[int, int]) -> Iterator[tuple[int, list[int] | None, str]]:
-        items = Parts(free.items())
+    def solve(targets: list[tuple[int, int]], held: list[pa.RecordBatch]) -> Iterator[tuple[int, list[int] | None, str]]:
+        if not targets:
+            return
+        items = Parts(np.concatenate([np.column_stack([b.column(c).to_numpy() for c in ("id", "amount")]) for b in held] or [np.zeros((0, 2), dtype=np.int64)]))
         for line, target in sorted(targets):
             found, over = few_items(target, items)
             if not found and (most > 3 and len(items) > 3 or not over):
@@ -257,8 +283,8 @@ def searched(lines: DataFrame, invoices: DataFrame, most: int, steps: int) -> Da
                 yield line, found, "SPLIT" if found else "EXHAUSTED"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks stand together; one is held at a time."""
-        here, targets, free = None, [], {}
+        """Blocks stand together; one is held at a time, its invoices as arrays."""
+        here, targets, free = None, [], []
 
         def made(out: list[tuple]) -> pa.RecordBatch:
             lists = list(zip(*out, strict=True)) or [[], [], []]
@@ -266,20 +292,23 @@ def searched(lines: DataFrame, invoices: DataFrame, most: int, steps: int) -> Da
 
         for batch in batches:
             out: list[tuple] = []
-            for who, block, key, amount, is_line in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if (who, block) != here:
+            who, block, is_line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("customer", "block", "is_line"))
+            edges = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (block[1:] != block[:-1]) | (is_line[1:] != is_line[:-1]))) if len(who) else []
+            for start, stop in zip(edges, [*edges[1:], len(who)], strict=True):
+                if (who[start], block[start]) != here:
                     out += solve(targets, free)
-                    here, targets, free = (who, block), [], {}
-                if is_line:
-                    targets.append((key, amount))
+                    here, targets, free = (who[start], block[start]), [], []
+                part = batch.slice(start, stop - start).select(["id", "amount"])
+                if is_line[start]:
+                    targets += zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
                 else:
-                    free[key] = amount
+                    free.append(part)
             yield made(out)
         yield made(list(solve(targets, free)))
 
-    # a count of its own, as adaptive execution would put so few bytes into one task
-    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = wanted.unionByName(held).select("customer", "block", "id", "amount", "is_line").repartition(tasks, "customer", "block").sortWithinPartitions("customer", "block")
+    # a count of its own, as adaptive execution would put so few bytes into one task, and by the lines, so that large blocks seldom share one
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1_000, lines.count() // 2_000))
+    together = wanted.unionByName(held).select("customer", "block", "id", "amount", "is_line").repartition(tasks, "customer", "block").sortWithinPartitions("customer", "block", "is_line")
     return together.mapInArrow(run, "line_id long, invoice_ids array<long>, status string")
 
 

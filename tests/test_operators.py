@@ -117,6 +117,48 @@ def test_blocks_of_a_hot_customer_agree(spark, monkeypatch):
             assert reconcile.few_items(t, free)[0] is None and reconcile.subset_sum(t, free) is None
 
 
+def test_equal_lines_of_a_hot_customer_need_one_round(spark, monkeypatch):
+    """Lines of one amount would find the same invoices in every block, so they stand in one; each gets its own at once."""
+    shared_checkpoints(spark)
+    monkeypatch.setattr(reconcile, "LINES_PER_BLOCK", 16)
+    rng, written = random.Random(6), []
+    kinds = [[rng.randrange(10**7, 10**8) for _ in range(3)] for _ in range(3)]
+    inv = [(k * 100 + 10 * i + j, 7, a) for i, parts in enumerate(kinds) for j, a in enumerate(parts) for k in range(16)]
+    lines = [(i * 100 + k, 7, sum(parts)) for i, parts in enumerate(kinds) for k in range(16)]
+    stored = reconcile.stored
+    monkeypatch.setattr(reconcile, "stored", lambda df, path: written.append(path.rsplit("/")[-1]) or stored(df, path))
+    made = spark.createDataFrame(lines, "line_id long, customer long, amount long"), spark.createDataFrame(inv, "invoice_id long, customer long, amount long")
+    got = reconcile.splits(*made).collect()
+    used = [i for r in got for i in r.invoice_ids]
+    assert len(got) == 48 and len(used) == len(set(used)) == 144 and "found-1" not in written
+
+
+@given(st.lists(st.integers(1, 30), min_size=2, max_size=14), st.integers(2, 200), st.sampled_from([1, 2, 3, 1_024]), st.sampled_from([7, 100_000]))
+def test_search_by_stretches_takes_the_same_steps(amounts, target, stretch, steps):
+    """The search over stretches of the items gives what a search over one list of them, greatest first, gives."""
+    items, most = list(enumerate(amounts)), 4
+    down = sorted(((i, a) for i, a in items if a <= target), key=lambda x: (-x[1], x[0]))
+    stack, left_steps, want = [(0, target, ())], steps, None
+    while stack and left_steps:
+        left_steps -= 1
+        k, left, chosen = stack.pop()
+        if left == 0:
+            if len(chosen) >= 2:
+                want = (sorted(chosen), True)
+                break
+            continue
+        if k == len(down) or len(chosen) == most or sum(a for _, a in down[k : k + most - len(chosen)]) < left:
+            continue
+        stack.append((next((j for j in range(k, len(down)) if down[j][1] < down[k][1]), len(down)), left, chosen))
+        if down[k][1] <= left:
+            stack.append((k + 1, left - down[k][1], (*chosen, down[k][0])))
+    held, reconcile.STRETCH = reconcile.STRETCH, stretch
+    try:
+        assert reconcile.search(target, items, most, steps) == (want or (None, not stack))
+    finally:
+        reconcile.STRETCH = held
+
+
 def test_wide_split_query(spark):
     lines, inv = registry.wide_lines(spark, SF)
     total, amount = {r.line_id: r.amount for r in lines.collect()}, {r.invoice_id: r.amount for r in inv.collect()}

@@ -84,6 +84,21 @@ def test_index_keeps_vectors_without_a_document(spark, tmp_path):
     assert [r.doc_id for r in index.hybrid_search(spark, base, asked, 5).orderBy("rank").collect()] == [7, 1]
 
 
+def test_tables_of_all_documents_do_not_go_through_the_driver(spark, tmp_path, monkeypatch):
+    base, plans, stored = str(tmp_path / "d"), [], index.stored
+    monkeypatch.setattr(index, "stored", lambda df, path: plans.append(df) or stored(df, path))
+    docs = spark.createDataFrame([(1, "red", "a"), (2, "blue", "a")], "doc_id long, text string, kind string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id long, embedding array<double>")
+    index.build(spark, base, 1, docs, vectors, ["kind"])
+    index.build(spark, base, 2, docs.where("doc_id = 2"), vectors.where("doc_id = 2"), ["kind"])
+    asked = spark.createDataFrame([(9, ["red", "blue"])], "query_id long, terms array<string>")
+    assert [r.doc_id for r in index.sparse_search(spark, base, asked, 5, F.col("kind") == "a").orderBy("rank").collect()] == [1, 2]
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in (index.latest(spark, base, "vectors"), *plans)]
+    assert "BroadcastHashJoin" not in plans[0] and "ShuffledHashJoin" in plans[0]
+    # one small table only is broadcast: the terms that are asked for
+    assert len(plans) == 2 and plans[1].count("BroadcastHashJoin") <= 1 and plans[1].count("ShuffledHashJoin") >= 3
+
+
 def test_dispatch_goes_on_where_a_parse_does_not_add_up(spark):
     table = spark.createDataFrame([(0, "liar", ["CSV"], [".csv"], [], [("any", "x", 9)]), (1, "true", [], [], [], [("full_text", "zz", 1)]), (2, "none", ["PDF"], [], [], [])], templates.TEMPLATE)
 

@@ -135,7 +135,8 @@ def train(examples: DataFrame) -> np.ndarray:
 
     order = F.xxhash64("doc_id")
     dealt = examples.select("text", F.col("label").cast("int").alias("label"), order.alias("o"), F.pmod(order, F.lit(-(-n // SHARD_ROWS))).cast("int").alias("shard"))
-    made = dealt.groupBy("shard").applyInArrow(run, "part int, some int, sums binary")
+    # stored, so that the shuffled texts go at once
+    made = stored(dealt.groupBy("shard").applyInArrow(run, "part int, some int, sums binary"), f"{workspace(examples.sparkSession)}/shards")
     summed = made.groupBy("part", F.col("some") % 64).applyInArrow(add, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary")
     for row in summed.collect():
         part = np.frombuffer(row["sums"])
@@ -192,4 +193,4 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Training rows (doc_id, text, label): all documents with a label whose remainder is not 1; only those that may have one are shuffled."""
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 1).groupBy("doc_id").agg(F.min("quality").alias("label"))
     slim = docs.select("doc_id", "text")
-    return maybe_member(slim, usable, "doc_id").where("__maybe").select("doc_id", "text").join(usable, "doc_id").select("doc_id", "text", "label")
+    return maybe_member(slim, usable, "doc_id").where("__maybe").select("doc_id", "text").join(usable.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "label")
